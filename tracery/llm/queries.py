@@ -14,6 +14,30 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flat_graph import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -26,5 +50,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_token_files)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbsvm import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_flat_graph, op3_language_id, op4_surrogates, op6_simhash, op8_best_fit_packing, op9_token_files, op10_quality)}
 SQL: dict[str, str] = {}
