@@ -14,6 +14,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .flat_graph import near_vectors
 
@@ -38,6 +44,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -56,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_flat_graph, op3_language_id, op4_surrogates, op6_simhash, op8_best_fit_packing, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_flat_graph, op3_language_id, op4_surrogates, op6_simhash, op7_decontaminate, op8_best_fit_packing, op9_token_files, op10_quality)}
 SQL: dict[str, str] = {}
