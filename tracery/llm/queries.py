@@ -38,6 +38,12 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import cut_repeats
+
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -68,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_flat_graph, op3_language_id, op4_surrogates, op6_simhash, op7_decontaminate, op8_best_fit_packing, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_flat_graph, op3_language_id, op4_surrogates, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_best_fit_packing, op9_token_files, op10_quality)}
 SQL: dict[str, str] = {}
