@@ -58,69 +58,72 @@ class Table:
         self.freq = f.astype(np.uint64)
         self.start = (np.cumsum(f) - f).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(f), dtype=np.uint32), f)
+        self.by_slot: tuple[np.ndarray, np.ndarray] | None = None
 
     def encode(self, ids: np.ndarray) -> list[bytes]:
         """Blocks of equally many ids: a (blocks, n) array, n a multiple of LANES."""
         blocks, n = ids.shape
-        steps = ids.reshape(blocks, n // LANES, LANES)
-        state = np.full((blocks, LANES), LOW)
-        words = np.zeros((blocks, n + 1), np.uint32)
-        at = np.full(blocks, n + 1)
+        steps = np.ascontiguousarray(ids.reshape(blocks, n // LANES, LANES).transpose(1, 0, 2)).reshape(n // LANES, -1)
+        state = np.full(steps.shape[1], LOW)
+        words, out = np.empty(steps.shape, np.uint32), np.empty(steps.shape, bool)
         bits, shift = np.uint64(self.bits), np.uint64(63 - self.bits)
-        rows = np.arange(blocks)[:, None]
         for k in range(n // LANES - 1, -1, -1):
-            freq = self.freq[steps[:, k]]
-            out = state >= (freq << shift)
-            if out.any():
-                at -= out.sum(1)
-                place = at[:, None] + np.cumsum(out, 1) - 1
-                words[np.broadcast_to(rows, out.shape)[out], place[out]] = state[out].astype(np.uint32)
-                state = np.where(out, state >> np.uint64(32), state)
+            freq = self.freq[steps[k]]
+            np.greater_equal(state, freq << shift, out=out[k])
+            words[k] = state & np.uint64(0xFFFFFFFF)
+            state = np.where(out[k], state >> np.uint64(32), state)
             whole = state // freq
-            state = (whole << bits) + (state - whole * freq) + self.start[steps[:, k]]
-        return [state[b].astype("<u8").tobytes() + words[b, at[b] :].astype("<u4").tobytes() for b in range(blocks)]
+            state = (whole << bits) + (state - whole * freq) + self.start[steps[k]]
+        state, words, out = state.reshape(blocks, LANES), words.reshape(-1, blocks, LANES), out.reshape(-1, blocks, LANES)
+        return [state[b].astype("<u8").tobytes() + words[:, b][out[:, b]].astype("<u4").tobytes() for b in range(blocks)]
 
     def decode(self, blocks: list[bytes], n: int) -> np.ndarray:
         """The (blocks, n) ids of blocks of n ids."""
+        if self.by_slot is None:  # each slot's frequency, and its place within its id's slots
+            self.by_slot = self.freq[self.slot], np.arange(len(self.slot), dtype=np.uint64) - self.start[self.slot]
+        freq, place = self.by_slot
         state = np.stack([np.frombuffer(b, "<u8", LANES) for b in blocks]).astype(np.uint64)
         words = [np.frombuffer(b, "<u4", offset=8 * LANES) for b in blocks]
-        flat = np.concatenate([*words, np.zeros(1, np.uint32)]).astype(np.uint64)
-        at = np.cumsum([0, *map(len, words[:-1])])
-        out = np.empty((len(blocks), n // LANES, LANES), np.uint32)
+        flat = np.concatenate([*words, np.zeros(LANES + 1, np.uint32)]).astype(np.uint64)
+        at = np.cumsum([0, *map(len, words[:-1])])[:, None]
+        out = np.empty((n // LANES, len(blocks), LANES), np.uint32)
         bits, mask = np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
         for k in range(n // LANES):
-            low = state & mask
-            ids = self.slot[low]
-            out[:, k] = ids
-            state = self.freq[ids] * (state >> bits) + low - self.start[ids]
+            low = (state & mask).view(np.int64)
+            out[k] = self.slot[low]
+            state = freq[low] * (state >> bits) + place[low]
             need = state < LOW
-            count = need.sum(1)
-            place = np.minimum(at[:, None] + np.cumsum(need, 1) - need, len(flat) - 1)
-            state = np.where(need, (state << np.uint64(32)) | flat[place], state)
-            at = at + count
+            count = need.cumsum(1)
+            state = np.where(need, (state << np.uint64(32)) | flat[np.minimum(at + count - need, len(flat) - 1)], state)
+            at = at + count[:, -1:]
         if (state != LOW).any():
             raise ValueError("a block did not end in its first state")
-        return out.reshape(len(blocks), n)
+        return out.transpose(1, 0, 2).reshape(len(blocks), n)
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bounds: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
+def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bounds: np.ndarray, kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
+    """Each document's ids under its file's number; at the end, under -1, how often the task's documents hold each id."""
     gc.disable()  # the word cache holds no cycles
+    names = ["bucket", "doc_id", "ids"]
     words, end = word_tokens(tokenizer), end_id.to_bytes(4, "little")
+    counts = np.zeros(vocabulary, np.int64)
     for batch in batches:
-        ids = [np.frombuffer(words.ids(t.as_py()) + end, "<u4").astype(kind).tobytes() for t in batch.column(1)]
+        ids = []
+        for text in batch.column(1):
+            own = np.frombuffer(words.ids(text.as_py()) + end, "<u4").astype(kind)
+            ids.append(own.tobytes())
+        counts += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocabulary)
         key = batch.column(0).cast(pa.int64())
         bucket = np.searchsorted(bounds, key.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), key, pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), key, pa.array(ids, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
 
-def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
+def _count(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(vocabulary, np.int64)
     for batch in batches:
-        joined = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind)
-        if len(joined):
-            got = np.bincount(joined, minlength=len(counts))
-            got[: len(counts)] += counts
-            counts = got
+        for one in batch.column(0).to_pylist():
+            counts += np.frombuffer(one, "<i8")
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
 
@@ -249,16 +252,16 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     bounds = np.unique(np.array(cuts or [], np.int64))
     vocabulary = max(word_tokens(tokenizer).whole.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens, path = stored(run_arrow(own, _tokenize, "bucket int, doc_id long, ids binary", tokenizer=tokenizer, end_id=end_id, bounds=bounds, kind=kind), "ids")
+    tokens, path = stored(run_arrow(own, _tokenize, "bucket int, doc_id long, ids binary", tokenizer=tokenizer, end_id=end_id, bounds=bounds, kind=kind, vocabulary=vocabulary), "ids")
     counts = np.zeros(vocabulary, np.int64)
-    for r in run_arrow(tokens.select("ids"), _count, "id long, n long", kind=kind).groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in run_arrow(tokens.where("bucket = -1").select("ids"), _count, "id long, n long", vocabulary=vocabulary).groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     table = Table(counts)
     files_fs, base = fs.FileSystem.from_uri(folder)
     files_fs.create_dir(base, recursive=True)
     with files_fs.open_output_stream(f"{base}/table.bin") as f:
         f.write(counts.astype("<u8").tobytes())
-    ordered = tokens.repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    ordered = tokens.where("bucket >= 0").repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     written, _ = stored(run_arrow(ordered, _write_files, "bucket int, docs long, ids long", folder=folder, table=table, kind=kind), "files")
     drop_path(docs.sparkSession, path)
     return written, table
