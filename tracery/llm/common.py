@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,18 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished queries.
+
+    They go when nothing uses the query's frames any more; Spark's event queue holds on to the last query
+    until another has run, so a trivial one runs first.
+    """
+    gc.collect()
+    spark.range(1).count()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -4,7 +4,7 @@ Every string of `length` bytes belongs to the anchor that its content picks: the
 byte strings in it. So equal strings meet under one anchor wherever they are, and only anchors of several
 documents need a look. Neighbouring strings of one anchor travel together as one stretch of text.
 
-1. Each task cuts its documents into stretches. Of equal stretches in a batch only those of the smallest
+1. Each task cuts its documents into stretches. Of equal stretches in a slice only those of the smallest
    document travel on; the others are already known to be repeats.
 2. Stretches meet by anchor. Anchors of one document are dropped. Equal stretches again leave only those of
    the smallest document; where an anchor has different stretches, their text is fetched.
@@ -18,7 +18,6 @@ Documents meet their stretches in as many parts as their bytes need; no step hol
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, mixed, run_arrow, stored, text_buffer
+from .common import mixed, release, run_arrow, stored, text_buffer
 
 SHORT = 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of texts among which a task looks for equal stretches before any travels.
+SLICE = 12 << 20
+#: Bytes of fetched stretches in one suffix array; those of one anchor stay together.
+BUNDLE = 1 << 18
 DOC = np.dtype([("doc", "<i8"), ("row", "<u8"), ("n", "<u4")])
 
 
@@ -125,43 +128,55 @@ def _row_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Stretches by their anchor's part (kind 0), and those that a smaller document of the batch has too (kind 1)."""
+    """Stretches by their anchor's part (kind 0), and those that a smaller document of the slice has too (kind 1)."""
     for batch in batches:
         docs, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         raw, at = text_buffer(batch.column(2))
-        found: list[tuple] = []
         k = 0
         while k < len(docs):
-            end = k + 1
-            while end < len(docs) and at[end + 1] - at[k] <= CHUNK:
-                end += 1
-            for lo in range(int(at[k]), max(int(at[k]) + 1, int(at[end]) - length + 1), CHUNK):  # a very long text in overlapping pieces
-                hi = min(int(at[end]), lo + CHUNK + length - 1)
-                first, many, anchor, content = stretches(raw[lo:hi], at[k:end] - lo, length)
-                owner = np.searchsorted(at[: len(docs)], first + lo, side="right") - 1
-                found.append((owner, first + lo - at[owner], many, anchor, content))
+            end = max(k + 1, int(np.searchsorted(at, at[k] + SLICE, side="right")) - 1)
+            yield _row_batch(_cut_slice(docs, rows, raw, at, k, end, length, parts))
             k = end
-        if not found:
-            continue
-        owner, place, many, anchor, content = (np.concatenate(x) for x in zip(*found, strict=True))
-        doc, row = docs[owner], rows[owner]
-        order = np.lexsort((doc, content))
-        same = np.concatenate([[True], content[order][1:] != content[order][:-1]])
-        least = doc[order][same][np.cumsum(same) - 1]
-        later = np.empty(len(doc), bool)
-        later[order] = doc[order] > least
-        go = ~later
-        out = _rows(0, mixed(anchor[go]), parts, doc[go], row[go], anchor=anchor[go], content=content[go], place=place[go].astype("<u4"), many=many[go].astype("u1"))
-        out += _rows(1, row[later] >> np.uint64(1), parts, doc[later], row[later], place=place[later].astype("<u4"), many=many[later].astype("<u4"))
-        yield _row_batch(out)
+
+
+def _cut_slice(docs: np.ndarray, rows: np.ndarray, raw: np.ndarray, at: np.ndarray, k: int, stop: int, length: int, parts: int) -> list[tuple[int, int, bytes]]:
+    found: list[tuple] = []
+    while k < stop:
+        end = k + 1
+        while end < stop and at[end + 1] - at[k] <= CHUNK:
+            end += 1
+        for lo in range(int(at[k]), max(int(at[k]) + 1, int(at[end]) - length + 1), CHUNK):  # a very long text in overlapping pieces
+            hi = min(int(at[end]), lo + CHUNK + length - 1)
+            first, many, anchor, content = stretches(raw[lo:hi], at[k:end] - lo, length)
+            owner = k + np.searchsorted(at[k:end], first + lo, side="right") - 1
+            found.append((owner.astype(np.int32), (first + lo - at[owner]).astype("<u4"), many.astype("u1"), anchor, content))
+        k = end
+    owner, place, many, anchor, content = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    order = np.lexsort((docs[owner], content))
+    least = docs[owner[order]]
+    same = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]])) if len(order) else order
+    least = np.repeat(least[same], np.diff(np.concatenate([same, [len(order)]])))
+    later = np.empty(len(order), bool)
+    later[order] = docs[owner[order]] > least
+    del order, least, same
+    go = ~later
+    out = _rows(1, rows[owner[later]] >> np.uint64(1), parts, docs[owner[later]], rows[owner[later]], place=place[later], many=many[later].astype("<u4"))
+    owner, place, many, anchor, content = owner[go], place[go], many[go], anchor[go], content[go]
+    return out + _rows(0, mixed(anchor), parts, docs[owner], rows[owner], anchor=anchor, content=content, place=place, many=many)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """By part of anchors: repeats (kind 1), and stretches whose anchor has others too (kind 2)."""
+    """By part of anchors: repeats (kind 1), those known before too, and stretches whose anchor has others (kind 2)."""
     held: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
-        for part, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held[part].append(blob)
+        known = []
+        for kind, part, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if kind:
+                known.append((kind, part, blob))
+            else:
+                held[part].append(blob)
+        yield _row_batch(known)
     for part in sorted(held):
         x = _joined(held.pop(part), **WIDE)
         order = np.lexsort((x["doc"], x["content"], x["anchor"]))
@@ -190,8 +205,8 @@ def _by_row(x: dict[str, np.ndarray]) -> dict[tuple[int, int], slice]:
     return {(d, r): slice(a, b) for d, r, a, b in zip(x["doc"][cut].tolist(), x["row"][cut].tolist(), cut.tolist(), end.tolist(), strict=True)}
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Text of wanted stretches, dealt by anchor. Rows come by part, wanted stretches (kind 2) before texts (kind 3)."""
+def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Text of wanted stretches, by their anchor. Rows come by part, wanted stretches (kind 2) before texts (kind 3)."""
     wanted, by_row, blobs = None, {}, []
     last = None
     for batch in batches:
@@ -215,9 +230,9 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterat
             for anchor, place, many in zip(wanted["anchor"][own].tolist(), wanted["place"][own].tolist(), wanted["many"][own].tolist(), strict=True):
                 if (anchor, place) not in seen:  # a repeated row asks once for each of its copies
                     seen.add((anchor, place))
-                    got.append((int(anchor % parts), doc[k], row[k], place, raw[place : place + many + length - 1]))
+                    got.append((anchor - (anchor >> 63 << 64), doc[k], row[k], place, raw[place : place + many + length - 1]))
         columns = list(zip(*got, strict=True)) if got else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "doc", "row", "place", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["anchor", "doc", "row", "place", "content"])
 
 
 def suffix_array(text: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,38 +300,48 @@ def repeat_groups(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Repeats among fetched stretches (kind 1), by a suffix array over those of a part."""
-    held: dict[int, list[tuple]] = defaultdict(list)
+    """Repeats among fetched stretches (kind 1). Rows come by anchor, and whole anchors are taken together."""
+    held: list[tuple] = []
+    size, last = 0, None
     for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            held[r[0]].append(r[1:])
-    for part in sorted(held):
-        rows = held.pop(part)
-        doc = np.array([r[0] for r in rows], np.int64)
-        row = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        place = np.array([r[2] for r in rows], np.int64)
-        size = np.array([len(r[3]) for r in rows], np.int64)
-        # A symbol of its own after each stretch: no common prefix goes beyond it.
-        start = np.cumsum(size + 1) - size - 1
-        text = np.zeros(int((size + 1).sum()), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[start + size] = False
-        text[inside] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        text[~inside] = 256 + np.arange(len(rows))
-        owner = np.repeat(np.arange(len(rows)), size + 1)
-        sa, lcp = suffix_array(text, 2 * length)
-        left = np.concatenate([[-1], np.where(inside[:-1], text[:-1], -1)])
-        out: list[tuple[np.ndarray, np.ndarray, int]] = []
-        for prefix, lo, hi in repeat_groups(sa, lcp, left, length):
-            at = sa[lo:hi]
-            later = doc[owner[at]] > doc[owner[at]].min()
-            if later.any():
-                out.append((owner[at[later]], at[later] - start[owner[at[later]]], prefix))
-        if out:
-            who = np.concatenate([x[0] for x in out])
-            begin = place[who] + np.concatenate([x[1] for x in out])
-            many = np.repeat([x[2] - length + 1 for x in out], [len(x[0]) for x in out])
-            yield _row_batch(_rows(1, row[who] >> np.uint64(1), parts, doc[who], row[who], place=begin.astype("<u4"), many=many.astype("<u4")))
+        for anchor, *r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if anchor != last and size >= BUNDLE:
+                yield _row_batch(_bundle(held, length, parts))
+                held, size = [], 0
+            held.append(r)
+            size, last = size + len(r[3]), anchor
+    if held:
+        yield _row_batch(_bundle(held, length, parts))
+
+
+def _bundle(rows: list, length: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """Repeats among rows (document, row, place, content), by one suffix array."""
+    doc = np.array([r[0] for r in rows], np.int64)
+    row = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+    place = np.array([r[2] for r in rows], np.int64)
+    size = np.array([len(r[3]) for r in rows], np.int64)
+    # A symbol of its own after each stretch: no common prefix goes beyond it.
+    start = np.cumsum(size + 1) - size - 1
+    text = np.zeros(int((size + 1).sum()), np.int64)
+    inside = np.ones(len(text), bool)
+    inside[start + size] = False
+    text[inside] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    text[~inside] = 256 + np.arange(len(rows))
+    owner = np.repeat(np.arange(len(rows)), size + 1)
+    sa, lcp = suffix_array(text, 2 * length)
+    left = np.concatenate([[-1], np.where(inside[:-1], text[:-1], -1)])
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for prefix, lo, hi in repeat_groups(sa, lcp, left, length):
+        at = sa[lo:hi]
+        later = doc[owner[at]] > doc[owner[at]].min()
+        if later.any():
+            out.append((owner[at[later]], at[later] - start[owner[at[later]]], prefix))
+    if not out:
+        return []
+    who = np.concatenate([x[0] for x in out])
+    begin = place[who] + np.concatenate([x[1] for x in out])
+    many = np.repeat([x[2] - length + 1 for x in out], [len(x[0]) for x in out])
+    return _rows(1, row[who] >> np.uint64(1), parts, doc[who], row[who], place=begin.astype("<u4"), many=many.astype("<u4"))
 
 
 def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -372,12 +397,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20) -
     parts = int(max(1, min(1 << 20, size // part_bytes)))
     blobs = "kind int, part int, blob binary"
     cut = run_arrow(own.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)), _cut, blobs, length=length, parts=parts)
-    cut, cut_path = stored(cut, "stretches")
-    met = run_arrow(cut.where("kind = 0").repartition(parts, "part"), _meet, blobs, parts=parts).union(cut.where("kind = 1"))
-    met, _ = stored(met, "met")
-    drop_path(spark, cut_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffle's files go with the frames that used them
+    met, _ = stored(run_arrow(cut.repartition(parts, "part"), _meet, blobs, parts=parts), "met")
+    release(spark)
     none = F.lit(None)
     texts = own.select(F.lit(3).alias("kind"), (F.shiftrightunsigned("row", 1) % parts).cast("int").alias("part"), none.cast("binary").alias("blob"), "doc", "row", "text")
 
@@ -385,8 +406,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20) -
         rows = rows.select("kind", "part", "blob", none.cast("long").alias("doc"), none.cast("long").alias("row"), none.cast("string").alias("text"))
         return rows.union(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    fetched = run_arrow(beside(met.where("kind = 2")), _fetch, "part int, doc long, row long, place long, content binary", length=length, parts=parts)
-    more, _ = stored(run_arrow(fetched.repartition(parts, "part"), _repeats, blobs, length=length, parts=parts), "repeats")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    fetched = run_arrow(beside(met.where("kind = 2")), _fetch, "anchor long, doc long, row long, place long, content binary", length=length)
+    more, _ = stored(run_arrow(fetched.repartition(parts, "anchor").sortWithinPartitions("anchor"), _repeats, blobs, length=length, parts=parts), "repeats")
+    release(spark)
     return run_arrow(beside(met.where("kind = 1").union(more)), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length=length)
