@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ from .common import run_arrow
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Words whose scores a worker keeps; beyond that it starts anew, so memory is bounded.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,24 +36,34 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@dataclass
+class Logs:
+    """Log frequencies by language: a row of an array for each word or n-gram."""
+
+    at: dict[str, int]
+    rows: np.ndarray
+
+
 @dataclass
 class Model:
     """Log frequencies by language of words, and of n-grams by their length."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: list[dict[str, tuple[float, ...]]]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: list[Logs]
     index: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
     def word(self, word: str) -> tuple[float, ...]:
         """Log frequencies of a word, or those of its longest known n-grams."""
         if (found := self.words.get(word)) is not None:
-            return found
+            return tuple(self.word_rows[found].tolist())
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [x for g in grams(word, n) if (x := self.grams[n].get(g)) is not None]
+            get = self.grams[n].at.get
+            known = [x for g in grams(word, n) if (x := get(g)) is not None]
             if known:
-                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
+                return tuple((self.grams[n].rows[known].sum(0) / len(known)).tolist())
         return (0.0,) * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -90,7 +99,7 @@ def learn(rows: DataFrame, max_docs: int = 3000, max_words: int = 40_000, max_gr
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [{} for _ in range(LONGEST + 1)])
+        return Model([], {}, np.zeros((0, 0)), [])
     dealt = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 20)))])
     sample = rows.where(dealt < share[F.col("lang")]).select("lang", F.col("text").cast("string"))
@@ -105,16 +114,18 @@ def learn(rows: DataFrame, max_docs: int = 3000, max_words: int = 40_000, max_gr
                 for g in grams(word, k):
                     by_gram[k][lang][g] += n
 
-    def logs(counts: dict[str, Counter], most: int) -> dict[str, tuple[float, ...]]:
+    def logs(counts: dict[str, Counter], most: int) -> Logs:
         kept = sorted({x for c in counts.values() for x, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most]})
         total = {lang: sum(c.values()) for lang, c in counts.items()}
-        return {x: tuple(float(np.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * len(kept) + 1))) for lang in langs) for x in kept}
+        seen = np.array([[counts[lang][x] for lang in langs] for x in kept], np.float64).reshape(-1, len(langs))
+        whole = np.array([total[lang] + 0.5 * len(kept) + 1 for lang in langs])
+        return Logs({x: k for k, x in enumerate(kept)}, np.log((seen + 0.5) / whole))
 
-    return Model(langs, logs(words, max_words), [logs(c, max_grams) if k else {} for k, c in enumerate(by_gram)])
+    known = logs(words, max_words)
+    return Model(langs, known.at, known.rows, [logs(c, max_grams) for c in by_gram])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # the word cache holds no cycles
     for batch in batches:
         lang, score = zip(*(model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)), strict=True) if batch.num_rows else ((), ())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])

@@ -7,8 +7,8 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Words that a worker keeps; beyond that it starts anew, so memory is bounded.
-MAX_WORDS = 800_000
+#: Words that a worker keeps, and as many older ones, so memory is bounded.
+MAX_WORDS = 250_000
 #: Letters whose lower case is one letter and that normalization leaves as they are.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -21,13 +21,23 @@ def _byte_chars() -> dict[int, str]:
 
 
 class _Words(dict):
+    """Ids by word; a full one becomes the old one, whose words come back when they are met again."""
+
     def __init__(self, word):
-        self.word = word
+        self.word, self.old = word, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.word(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.word(key)
+        self[key] = found
         return found
 
+    def age(self) -> None:
+        if len(self) >= MAX_WORDS:
+            self.old = dict(self)
+            self.clear()
+
 
 class WordTokens:
     """ids(text) as packed little-endian uint32 bytes, equal to Tokenizer.encode(text, add_special_tokens=False).
@@ -78,8 +88,7 @@ class WordTokens:
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text and text.isascii():  # a special token's name counts only as it is written
             text = text.lower()
-        if len(self.cache) >= MAX_WORDS:
-            self.cache.clear()
+        self.cache.age()
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 
