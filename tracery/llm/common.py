@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch: long texts come in small batches, so that tasks hold little at once.
+BATCH_CONF, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by a path that Spark resolves."""
@@ -104,7 +107,10 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def run_arrow(df: DataFrame, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, **fixed) -> DataFrame:
-    """mapInArrow with fixed keyword arguments."""
+    """mapInArrow with fixed keyword arguments, over batches of bounded bytes (unless the session sets its own bound)."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        conf.set(BATCH_CONF, BATCH_BYTES)
     return df.mapInArrow(partial(f, **fixed), schema)
 
 

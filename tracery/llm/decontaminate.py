@@ -118,8 +118,8 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> np.nd
     return best
 
 
-def _align(batches: Iterator[pa.RecordBatch], items: Items, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _align(batches: Iterator[pa.RecordBatch], items: Items, threshold: float, rare: dict[int, set[int]]) -> Iterator[pa.RecordBatch]:
+    for batch in _rare(batches, rare):
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             item = part.column(1).to_pylist()
@@ -160,8 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: floa
         for k, s in zip(items.item.tolist(), items.seed.view(np.int64).tolist(), strict=True):
             by_item[k].append(s)
         rare = {k: {s for s in all_ if seen.get(s, 0) <= common * max(1.0, float(np.median([seen.get(x, 0) for x in all_])))} for k, all_ in by_item.items()}
-        chosen = run_arrow(found, _rare, "doc_id long, item int, seeds array<long>, start long, words binary", rare=rare)
-        scored = run_arrow(chosen, _align, PAIRS, items=items, threshold=threshold)
+        scored = run_arrow(found, _align, PAIRS, items=items, threshold=threshold, rare=rare)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds", (-F.col("start_word")).alias("at"))).alias("b"))
         result = result.union(best.select("doc_id", "item_id", "b.score", (-F.col("b.at")).alias("start_word"), "b.n_seeds"))
     return result

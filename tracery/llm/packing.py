@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import gc
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
@@ -21,7 +20,6 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, most: int) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # the word cache holds no cycles
     words, end = word_tokens(tokenizer), end_id.to_bytes(4, "little")
     names = [x.split()[0] for x in PIECES.split(", ")]
     for batch in batches:

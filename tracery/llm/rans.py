@@ -13,7 +13,6 @@ Any block can be decoded alone.
 
 from __future__ import annotations
 
-import gc
 import struct
 import uuid
 import zlib
@@ -103,7 +102,6 @@ class Table:
 
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bounds: np.ndarray, kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     """Each document's ids under its file's number; at the end, under -1, how often the task's documents hold each id."""
-    gc.disable()  # the word cache holds no cycles
     names = ["bucket", "doc_id", "ids"]
     words, end = word_tokens(tokenizer), end_id.to_bytes(4, "little")
     counts = np.zeros(vocabulary, np.int64)
