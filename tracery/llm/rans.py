@@ -29,6 +29,8 @@ from .tokens import word_tokens
 
 MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 32
 LOW = np.uint64(1 << 31)
+#: Words whose ids a worker keeps.
+WORDS = 400_000
 FOOTER = struct.Struct("<QQQQ8s")
 INDEX = np.dtype([("at", "<u8"), ("size", "<u4"), ("ids", "<u4"), ("crc", "<u4")])
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "<u4"), ("ids", "<u4")])
@@ -103,7 +105,7 @@ class Table:
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bounds: np.ndarray, kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     """Each document's ids under its file's number; at the end, under -1, how often the task's documents hold each id."""
     names = ["bucket", "doc_id", "ids"]
-    words, end = word_tokens(tokenizer), end_id.to_bytes(4, "little")
+    words, end = word_tokens(tokenizer, WORDS), end_id.to_bytes(4, "little")
     counts = np.zeros(vocabulary, np.int64)
     for batch in batches:
         ids = []

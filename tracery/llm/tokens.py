@@ -33,8 +33,8 @@ class _Words(dict):
         self[key] = found
         return found
 
-    def age(self) -> None:
-        if len(self) >= MAX_WORDS:
+    def age(self, most: int) -> None:
+        if len(self) >= most:
             self.old = dict(self)
             self.clear()
 
@@ -48,7 +48,7 @@ class WordTokens:
     kind (checked when loaded); for others the whole text is encoded at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_WORDS):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -64,7 +64,7 @@ class WordTokens:
                 vocab=m["vocab"], merges=[tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"]],
                 end_of_word_suffix=m["end_of_word_suffix"], cache_capacity=0,
             )
-        self.chars = _byte_chars()
+        self.chars, self.most = _byte_chars(), most
         self.cache = _Words(self.word)
 
     def word(self, word: str) -> bytes:
@@ -88,11 +88,11 @@ class WordTokens:
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text and text.isascii():  # a special token's name counts only as it is written
             text = text.lower()
-        self.cache.age()
+        self.cache.age(self.most)
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    """One tokenizer for each worker and file."""
-    return WordTokens(path)
+def word_tokens(path: str, most: int = MAX_WORDS) -> WordTokens:
+    """One tokenizer for each worker and file, that keeps `most` words and as many older ones."""
+    return WordTokens(path, most)
