@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +114,20 @@ def run_arrow(df: DataFrame, f: Callable[..., Iterator[pa.RecordBatch]], schema:
     return df.mapInArrow(partial(f, **fixed), schema)
 
 
+def uncollected(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f with Python's cycle collection off until the task's batches are done: for steps that make many objects and no cycles."""
+
+    @wraps(f)
+    def own(batches: Iterator[pa.RecordBatch], **fixed) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from f(batches, **fixed)
+        finally:
+            gc.enable()
+
+    return own
+
+
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Component of each of n local nodes (its smallest index), by vectorised hooking and pointer jumping."""
     parent = np.arange(n)

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, run_arrow, scratch_path, stored
+from .common import drop_path, run_arrow, scratch_path, stored, uncollected
 from .tokens import word_tokens
 
 MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 32
@@ -102,6 +102,7 @@ class Table:
         return out.transpose(1, 0, 2).reshape(len(blocks), n)
 
 
+@uncollected
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bounds: np.ndarray, kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     """Each document's ids under its file's number; at the end, under -1, how often the task's documents hold each id."""
     names = ["bucket", "doc_id", "ids"]
