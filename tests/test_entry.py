@@ -1,5 +1,6 @@
 """The driver's contract, with and without the training-data operators."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -22,7 +23,7 @@ assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES)
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).columns == ["target", "caller"] or entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
 
 
 def test_every_sql_has_a_query():
@@ -36,4 +37,4 @@ def test_without_the_operators():
 def test_nothing_else_imports_them():
     for f in (ROOT / "tracery").rglob("*.py"):
         if "llm" not in f.parts:
-            assert "llm" not in f.read_text(), f
+            assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", f.read_text(), re.M), f
