@@ -26,6 +26,8 @@ def test_unseen_words_back_off(spark):
     assert model.word("straßenbahnen") == model.word("straßenbahnen") and "straßenbahnen" not in model.words
     assert model.predict("straßenbahnhandschuh")[0] == "de" and model.predict("gloveswith")[0] == "en"
     assert model.predict("12 ?")[0] == "und" and 0 <= model.predict("zzz")[1] <= 1
+    assert model.predict("\u00b2 \u2167 \u00bd 7\u00b2") == ("und", 0.0)  # numerals, no letter
+    assert model.predict("\u00b2 schlüsselbund")[0] == "de"
 
 
 def test_language_cases(spark):

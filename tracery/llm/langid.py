@@ -69,7 +69,8 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score from 0 to 1) of a whole text; und and 0 if it has no letter or nothing was learned."""
         found = WORD.findall((text or "").lower())
-        if not found or not self.langs:
+        # WORD also matches numerals that are no decimal digits, such as \u00b2 and \u2167
+        if not self.langs or not any(c.isalpha() for w in found for c in w):
             return "und", 0.0
         if self.rows is None or len(self.index) + len(found) > MAX_WORDS:
             self.index, self.rows = {}, np.zeros((1 << 12, len(self.langs)))
