@@ -80,3 +80,18 @@ def test_an_item_copied_everywhere_keeps_its_seeds(spark):
     docs = spark.createDataFrame([(k, f"{item} {k}") for k in range(300)], "doc_id long, text string")
     tests = spark.createDataFrame([(1, item), (2, "of the and is on of it by the way")], "item_id long, text string")
     assert decontaminate.contaminated(docs, tests).count() == 300
+
+
+def test_an_edited_copy_in_thousands_of_documents(spark):
+    """Every 6th word changed: 13 of 37 seeds survive, and all of them are common where thousands hold the copy."""
+    own = [f"w{k}" for k in range(40)]
+    edited = [f"new{k}" if k % 6 == 5 else w for k, w in enumerate(own)]
+    texts = {k: " ".join([f"before{k}", *(edited if k % 3 else own[:8] + [f"fill{k}"] * 20), f"after{k}"]) for k in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(own)), (2, "some other item of more words than four")], "item_id long, text string")
+    number = {w: k + 1 for k, w in enumerate(own)}
+    item = np.array([number[w] for w in own])
+    best = decontaminate.smith_waterman([np.array([number.get(w, 0) for w in t.split()]) for t in texts.values()], [item] * len(texts))
+    want = {(k, 1): b / 80 for k, b in zip(texts, best.tolist(), strict=True) if b / 80 >= 0.5}
+    assert len(want) == 2000
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests).collect()} == want

@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds pair passages with test items, and Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds pair passages with test items, and Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text that tasks hold at once; a larger benchmark is taken in so many parts.
 ITEM_BYTES = 4 << 20
+#: Words of the passages that are aligned at once, and scores of distinct stretches that a task remembers.
+ALIGNED_WORDS, KEPT_SCORES = 1 << 20, 1 << 16
 PAIRS = "doc_id long, item_id long, score double, start_word long, n_seeds int"
 
 
@@ -118,19 +121,47 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> np.nd
     return best
 
 
+def _scores(pairs: list[tuple[int, bytes]], items: Items, threshold: float) -> list[float]:
+    """Share of a full match's score for each (item, words); 0 where the item's words that occur cannot reach the threshold."""
+    out = [0.0] * len(pairs)
+    open_: list[tuple[int, int, np.ndarray]] = []
+    for k, (item, raw) in enumerate(pairs):
+        own, words = items.words[item], np.frombuffer(raw, "<i4")
+        if np.isin(own, words).sum() / len(own) >= threshold:  # no alignment matches more words than these
+            open_.append((len(words), k, words))
+    open_.sort(key=lambda x: x[:2])
+    lo = 0
+    while lo < len(open_):
+        hi = lo + 1
+        while hi < len(open_) and hi - lo < 512 and (hi + 1 - lo) * open_[hi][0] <= ALIGNED_WORDS:
+            hi += 1
+        own = [items.words[pairs[k][0]] for _, k, _ in open_[lo:hi]]
+        best = smith_waterman([w for _, _, w in open_[lo:hi]], own)
+        for (_, k, _), n, w in zip(open_[lo:hi], best.tolist(), own, strict=True):
+            out[k] = n / (MATCH * len(w))
+        lo = hi
+    return out
+
+
 def _align(batches: Iterator[pa.RecordBatch], items: Items, threshold: float, rare: dict[int, set[int]]) -> Iterator[pa.RecordBatch]:
-    for batch in _rare(batches, rare):
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            item = part.column(1).to_pylist()
-            own = [items.words[k] for k in item]
-            best = smith_waterman([np.frombuffer(w, "<i4") for w in part.column(4).to_pylist()], own)
-            score = best / np.array([MATCH * len(w) for w in own])
-            ok = np.flatnonzero(score >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(ok)), pa.array([items.ids[item[k]] for k in ok], pa.int64()), pa.array(score[ok]), part.column(3).take(pa.array(ok)), pa.array([len(part.column(2)[int(k)]) for k in ok], pa.int32())],
-                ["doc_id", "item_id", "score", "start_word", "n_seeds"],
-            )
+    """Align every stretch, each distinct (item, words) of a task once. Rarity only counts seeds, it drops no stretch."""
+    known: dict[tuple[int, bytes], float] = {}
+    for batch in batches:
+        item = batch.column(1).to_pylist()
+        raw = batch.column(4).to_pylist()
+        keys = [(k, hashlib.blake2b(w, digest_size=16).digest()) for k, w in zip(item, raw, strict=True)]
+        if len(known) > KEPT_SCORES:
+            known = {}
+        new = {key: (k, w) for key, k, w in zip(keys, item, raw, strict=True) if key not in known}
+        known.update(zip(new, _scores(list(new.values()), items, threshold), strict=True))
+        score = np.array([known[key] for key in keys], np.float64)
+        ok = np.flatnonzero(score >= threshold)
+        seeds = batch.column(2)
+        n = [sum(s in rare[item[k]] for s in seeds[k].as_py()) for k in ok.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(ok)), pa.array([items.ids[item[k]] for k in ok], pa.int64()), pa.array(score[ok]), batch.column(3).take(pa.array(ok)), pa.array(n, pa.int32())],
+            ["doc_id", "item_id", "score", "start_word", "n_seeds"],
+        )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: float = 8.0, threshold: float = 0.5) -> DataFrame:
@@ -138,9 +169,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: floa
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Words are runs of
     letters, digits and underscores in lower case. An item's seeds are its n-grams of words (an item with
-    fewer is one seed) except those that are common: in more than `common` times as many documents as its
-    median seed, so an item that is copied everywhere keeps its seeds. score is the best local alignment's
-    share of a full match's; rows below the threshold are left out. Null and empty texts and items match
+    fewer is one seed), and every stretch of a document that holds one is aligned, however common the seed.
+    n_seeds counts those of the stretch that are rare: in at most `common` times as many stretches as the
+    item's median seed; it may be 0. score is the best local alignment's share of a full match's; rows below
+    the threshold are left out. Null and empty texts and items match
     nothing; null ids stay null; repeated documents each count; equal items are each reported. No
     documents or no items give no rows.
     """
@@ -164,11 +196,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: floa
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds", (-F.col("start_word")).alias("at"))).alias("b"))
         result = result.union(best.select("doc_id", "item_id", "b.score", (-F.col("b.at")).alias("start_word"), "b.n_seeds"))
     return result
-
-
-def _rare(batches: Iterator[pa.RecordBatch], rare: dict[int, set[int]]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seeds = [[s for s in own if s in rare[k]] for k, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        keep = pa.array([k for k, s in enumerate(seeds) if s], pa.int64())
-        new = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seeds, pa.list_(pa.int64())), *batch.columns[3:]], batch.schema.names)
-        yield new.take(keep)
