@@ -27,6 +27,28 @@ def test_unmarked_page():
     assert got.split("\n") == ["A heading of this page", LONG, LONG, LONG]
 
 
+def test_article_tags_that_hold_less_than_the_rest():
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(6))
+    whole = "\n".join(f"{k} {LONG}" for k in range(6))
+    teaser = "<article><h3>Another story</h3><p>A teaser of some words.</p></article>"
+    assert html_blocks.main_text(page(f"<div>{body}</div><hr><hr><ul><li></ul>{'<aside>x</aside>' * 4}{teaser}")) == whole
+    comments = "".join(f'<article class="comment" id="c{k}"><p>Reader {k}: {LONG} {LONG}</p></article>' for k in range(5))
+    assert html_blocks.main_text(page(f"<div>{body}</div>{comments}")) == whole
+    assert html_blocks.main_text(page(f"<article>{body}</article>{comments}")) == whole
+
+
+def test_text_beside_the_article():
+    first, second = f"<p>1 {LONG}</p>" * 3, f"<p>2 {LONG}</p>" * 2
+    both = "\n".join([f"1 {LONG}"] * 3 + [f"2 {LONG}"] * 2)
+    assert html_blocks.main_text(page(f"<article>{first}</article><div>{second}</div>")) == both
+    assert html_blocks.main_text(page(f"<div>You are here</div><article>{first}</article><div>Share it</div>")) == both[: both.index("\n2")]
+
+
+def test_names_of_the_only_article():
+    for name in ("post category-social tag-search", "layout-with-sidebar", "widget"):
+        assert html_blocks.main_text(page(f'<article class="{name}"><p>{LONG}</p></article>')) == LONG
+
+
 def test_long_page_is_kept_whole():
     rng = random.Random(6)
     blocks = [" ".join(rng.choice(["word", "x&lt;y", "é"]) for _ in range(rng.choice([1, 3, 200]))) for _ in range(2000)]

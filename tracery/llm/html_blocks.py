@@ -23,6 +23,9 @@ DROPPED = frozenset("aside button dialog fieldset footer form head input label m
 # Words of class, id and role names that mark what is not the article.
 NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner bio breadcrumb breadcrumbs byline comment comments commentlist commentary-list consent contentinfo cookie cookies copyright disqus feedback footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paging pagination paywall popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud tags toolbar tooltip widget widgets".split())
 
+# What such words say nothing about in the names of an outermost article.
+TAXONOMY, LAYOUT = frozenset("category tag type format status".split()), frozenset("has no with without".split())
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
@@ -44,10 +47,23 @@ def _not_article(rest: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
+def _not_page(rest: str) -> bool:
+    """Whether an outermost article's names mark it as no article of the page; names of taxonomy and layout do not count."""
+    if UNSEEN.search(rest):
+        return True
+    for m in NAMED.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            if words and words[0] not in TAXONOMY and not LAYOUT.intersection(words) and any(w in NOT_ARTICLE for w in words):
+                return True
+    return False
+
+
+def lines(page: str, strict: bool = True) -> list[tuple[str, int, bool]]:
     """The page's blocks in order: (text, characters outside links, inside article or main).
 
     A block that is no part of an article by its markup is an empty line: it has no text, but keeps its place.
+    Not strict: the names of outermost articles do not count.
     """
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
@@ -115,7 +131,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
         left_out = name in DROPPED or name == "header" and not articles or name not in ("html", "body", "article", "main") and _not_article(m["rest"])
-        left_out = left_out or name == "article" and articles > 0 and _not_article(m["rest"])
+        if name == "article":
+            left_out = left_out or (_not_article(m["rest"]) if articles > 0 else strict and _not_page(m["rest"]))
         if left_out:
             close_block()
             skipped += 1
@@ -128,34 +145,53 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _stretches(weight: np.ndarray, window: int, least: int) -> list[list[int]]:
+    """Runs of lines between the points where the text of a window of lines surges and dives."""
+    if not weight.any():
+        return []
+    padded = np.concatenate([np.zeros(window - 1, np.int64), weight, np.zeros(window - 1, np.int64)])
+    sums = np.convolve(padded, np.ones(window, np.int64), "valid")  # sums[i + k]: the windows that hold line i
+    full = np.array([sums[i : i + window].max() > least for i in range(len(weight))]) & (weight > 0)
+    out: list[list[int]] = []
+    for i in np.flatnonzero(full).tolist():
+        if out and i - out[-1][-1] <= window:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
     """Main text of a whole page, its blocks joined by line ends; empty if it has none.
 
     A window of lines slides over the page, and its text outside links is summed. Text begins where the sum
-    rises above a threshold and ends where it falls below it. In a page that marks its article, lines
-    outside it weigh nothing and any text is above the threshold. In one that does not, the threshold is
-    `surge` characters (or half of the fullest window, if that is less), lines that are mostly links weigh
-    nothing, and only stretches with at least `share` of the longest one's text are kept.
+    rises above a threshold and ends where it falls below it: `surge` characters, or half of the fullest
+    window, if that is less. Lines that are mostly links weigh nothing, and only stretches with at least
+    `share` of the longest one's text are kept. In a page that marks its article, each line inside weighs
+    more than `surge` characters more, so any text there is above the threshold and surges by itself; text
+    outside is kept where it surges without it and has its share beside it. Where the stretches outside have
+    more text than the marked article, the mark counts for nothing. An outermost article whose names mark it
+    as something else, such as a comment, is left out unless nothing else is found.
     """
     found = lines(page or "")
-    marked = any(inside for text, _, inside in found if text)
-    weight = np.array([0 if not text or marked and not inside or not marked and 2 * own < len(text) else max(own, int(marked)) for text, own, inside in found], np.int64)
-    if not weight.any():
-        return ""
-    padded = np.concatenate([np.zeros(window - 1, np.int64), weight, np.zeros(window - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(window, np.int64), "valid")  # sums[i + k]: the windows that hold line i
-    least = 0 if marked else min(surge, int(sums.max()) // 2)
-    full = np.array([sums[i : i + window].max() > least for i in range(len(weight))]) & (weight > 0)
-    stretches: list[list[int]] = []
-    for i in np.flatnonzero(full).tolist():
-        if stretches and i - stretches[-1][-1] <= window:
-            stretches[-1].append(i)
+    if not any(text for text, _, _ in found):
+        found = lines(page or "", strict=False)
+    plain = np.array([own if text and 2 * own >= len(text) else 0 for text, own, _ in found], np.int64)
+    inside = np.array([bool(text) and marked for text, _, marked in found], bool)
+    fullest = int(np.convolve(plain, np.ones(window, np.int64)).max()) if len(plain) else 0
+    stretches, weight = _stretches(plain, window, min(surge, fullest // 2)), plain
+    if inside.any():
+        around = np.where(inside, 0, plain)
+        outside = _stretches(around, window, surge)
+        if int(plain[inside].sum()) >= sum(int(around[s].sum()) for s in outside):
+            weight = np.where(inside, [own + surge + 1 for _, own, _ in found], plain)
+            stretches = [*_stretches(np.where(inside, weight, 0), window, surge), *outside]
         else:
-            stretches.append([i])
+            inside[:] = False
     sizes = [int(weight[s].sum()) for s in stretches]
-    kept = [s for s, n in zip(stretches, sizes, strict=True) if marked or n >= share * max(sizes)]
-    text = [found[i][0] for s in kept for i in range(s[0], s[-1] + 1) if found[i][0] and (not marked or found[i][2])]
-    return "\n".join(text)
+    kept = [s for s, n in zip(stretches, sizes, strict=True) if n >= share * max(sizes)]
+    at = sorted(i for s in kept for i in range(s[0], s[-1] + 1) if found[i][0] and inside[i] == inside[s[0]])
+    return "\n".join(found[i][0] for i in at)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
