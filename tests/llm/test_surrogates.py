@@ -108,6 +108,34 @@ def test_collisions_are_keyed_anew(spark):
         assert one == got[2].split()[-1] and len({one, two, other, "123-45-6789"}) == 4
 
 
+def test_names_that_collide_are_keyed_anew(spark):
+    words = [c + v for c in "bdfglm" for v in "aeiou"]  # a quarter of the 105 images are real names
+    docs = spark.createDataFrame([(k, f"Mr. {w.capitalize()} is here") for k, w in enumerate(words)] + [(99, "Mr. 李明 is here")], "doc_id long, text string")
+    for bound in (50_000, 0):
+        new = {r.doc_id: r.text.split()[1].lower() for r in s.surrogates(docs, KEY, bound=bound).collect()}
+        assert len(set(new.values())) == len(words) + 1 and not set(new.values()) & {*words, "李明"}
+    assert not {n.lower() for n in (*s.MALE_NAMES, *s.FEMALE_NAMES)} & set(new.values())
+
+
+def test_settled_entities_keep_their_surrogate(spark, monkeypatch):
+    """c's new surrogate is that of a settled entity that sorts after it."""
+    known = {("c", 0): "z", ("z", 0): "q", ("y", 0): "k", ("c", 1): "k", ("c", 2): "w"}
+    table = spark.createDataFrame([("ssn", x, known[x, 0]) for x in "czy"], "kind string, entity string, surrogate string")
+    given_table = [table, lambda df, tweak: spark.createDataFrame([(r.kind, r.entity, known[r.entity, tweak]) for r in df.collect()], table.schema)]
+    monkeypatch.setattr(s, "run_arrow", lambda df, f, schema, **kw: table if f is s._entities else given_table[1](df, f.keywords["tweak"]))
+    got = {(r.entity, r.tweak) for r in s.collisions(spark.createDataFrame([("x",)], "text string"), KEY).collect()}
+    assert got == {("c", 2)}
+
+
+def test_untitled_repeats_of_a_name():
+    text = "Mrs. Anna Müller came. Anna  Müller sat; ANNA MÜLLER's hat, Müller’s coat and Anna. An annals entry."
+    new, n = s.rewrite(text, KEY)
+    first, last = new.split()[1:3]
+    last = last.rstrip(".")
+    assert new == f"Mrs. {first} {last} came. {first}  {last} sat; {first.upper()} {last.upper()}'s hat, {last}’s coat and {first}. An annals entry."
+    assert n == 5 and "anna " not in new.lower() and "müller" not in new.lower()
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, "nothing here"), (4, "mail a.b@c.org"), (4, "mail a.b@c.org"), (None, "call +1 555 123 4567"), (5, "x@y.org " * 20_000)]
     docs = spark.createDataFrame([(*r, 9, "k") for r in rows], "doc_id long, text string, n_entities int, kind string")

@@ -4,7 +4,8 @@ A surrogate is a keyed permutation of the entity's format: the entity's characte
 alphabet (digits, vowels, consonants, hexadecimal digits, ...), are one number of a mixed radix, and a
 Feistel network permutes those numbers. So one entity has one surrogate everywhere, however it is spaced
 or capitalised, and two entities never share one. A shift inside the permutation leaves no entity as it
-was. A last check over the corpus re-keys those whose surrogate is another real entity.
+was. A check over the corpus re-keys those whose surrogate is another real entity, until none is left.
+Names are entities word by word; a listed given name after a title stands for another listed one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, run_arrow, stored
+from .common import run_arrow, stored
 
 # Honorifics and given names by gender, in natural order.
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "M", "Señor", "Sr"]
@@ -33,7 +35,7 @@ ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèé
 HEX = "0123456789abcdef"
 
 _TITLE = "|".join(sorted({*MALE_TITLES, *FEMALE_TITLES, *OPEN_TITLES}, key=len, reverse=True))
-_NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_NAME = r"[^\W\d_a-z](?:[^\W\d_]|(?!['’]s(?!\w))['’-](?=[^\W\d_]))+"
 KINDS: dict[str, str] = {
     "email": r"(?<![\w.+-])[\w.+-]*\w@(?:\w(?:[\w-]*\w)?\.)+[^\W\d_]{2,24}(?!\w)",
     "secret": r"(?<![A-Za-z0-9])(?:(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
@@ -54,13 +56,23 @@ MARKS: dict[str, list[str]] = {
 }
 
 
+#: Words among which the repeats of a name are looked for; a possessive's ending is none of its letters.
+REPEAT = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+#: From this tweak on, and where no character can be exchanged, names and the local parts of emails become new syllables.
+FREE = 6
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> dict[str, re.Pattern]:
     return {k: re.compile(p) for k, p in KINDS.items()}
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities of a whole text, left to right; the kind listed first wins an overlap."""
+    """(start, end, kind) of the entities of a whole text, left to right; the kind listed first wins an overlap.
+
+    A name that stands after a title is "untitled" wherever else it or one of its words stands, in the same
+    letters or in capitals.
+    """
     text = text or ""
     taken: list[tuple[int, int, str]] = []
     digits = any(d in text for d in "0123456789")
@@ -70,7 +82,28 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             if not any(a < m.end() and m.start() < b for a, b, _ in taken):
                 taken.append((m.start(), m.end(), kind))
-    return sorted(taken)
+    names = [text[a:b].split()[1:] for a, b, kind in taken if kind == "name"]
+    return sorted(taken + _repeats(text, names, sorted(taken))) if names else sorted(taken)
+
+
+def _repeats(text: str, names: list[list[str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where names and their words stand outside what is taken."""
+    forms = [f for ws in names for f in (ws, [w.upper() for w in ws])]
+    whole, single = {tuple(ws) for ws in forms}, {w for ws in forms for w in ws}
+    starts = [a for a, _, _ in taken]
+    out: list[tuple[int, int, str]] = []
+    words: list[str] = []  # of the last one in out
+    for m in REPEAT.finditer(text):
+        k = bisect_left(starts, m.end())
+        if m[0] not in single or k and taken[k - 1][1] > m.start():
+            continue
+        if out and len(words) == 1 and (words[0], m[0]) in whole and text[out[-1][1] : m.start()].isspace():
+            out[-1] = (out[-1][0], m.end(), "untitled")
+            words.append(m[0])
+        else:
+            out.append((m.start(), m.end(), "untitled"))
+            words = [m[0]]
+    return out
 
 
 def luhn(digits: str) -> bool:
@@ -179,6 +212,12 @@ def _given(word: str, gender: str, p: Permutation) -> str | None:
     return None
 
 
+def _syllables(entity: str, p: Permutation, tweak: int) -> str:
+    """Letters picked by a keyed hash of the whole entity, more of them at higher tweaks."""
+    n = max(2, -(-len(entity) // 2), tweak - FREE + 2)
+    return "".join(ALPHABETS[a][p._prf(len(ALPHABETS[a]), "syllable", k, a, entity)] for k in range(n) for a in (2, 1))
+
+
 def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
     """The surrogate of a canonical entity, canonical itself."""
     p = Permutation(key, f"{'digits' if kind in ('phone', 'ssn') else kind}/{tweak}")
@@ -196,10 +235,16 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
         return ".".join(str(b) for b in x.to_bytes(4, "big"))
     if kind == "ipv6":
         return p.text(entity, [HEX])
+    if kind == "name":
+        new = p.text(entity)
+        return _syllables(entity, p, tweak) if tweak >= FREE or new == entity else new
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{p.text(local)}@{Permutation(key, f'domain/{tweak}').text(host)}.{top}"
+        new = p.text(local)
+        if tweak >= FREE or new == local:
+            new = _syllables(local, p, tweak)
+        return f"{new}@{Permutation(key, f'domain/{tweak}').text(host)}.{top}"
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
         return p.text(entity, [HEX if entity == entity.lower() else HEX.upper()])
     if kind in ("secret", "assigned", "iban"):
@@ -210,19 +255,33 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
     return p.text(entity)
 
 
+def _roles(mention: str, key: bytes) -> list[tuple[str, str | None]]:
+    """(canonical word, the listed name it becomes or None) of each word of a name after a title."""
+    title, *words = mention.split()
+    low = [canonical("name", f"x {w}") for w in words]
+    first = _given(low[0], _gender(title), Permutation(key, "name/0")) if len(low) > 1 else None
+    return [(w, first if k == 0 else None) for k, w in enumerate(low)]
+
+
+def _images(mention: str, key: bytes, tweaks: dict[tuple[str, str], int]) -> tuple[tuple[str, ...], list[str]]:
+    """The canonical words of a name after a title, and their surrogates."""
+    roles = _roles(mention, key)
+    return tuple(w for w, _ in roles), [given or surrogate("name", w, key, tweaks.get(("name", w), 0)) for w, given in roles]
+
+
+def _renamed(words: list[str], images: list[str]) -> list[str]:
+    """The surrogates in the capitals of the words they stand for."""
+    out = []
+    for w, new in zip(words, images, strict=True):
+        if sum(map(str.isalnum, w)) == sum(map(str.isalnum, new)) and len(w) == len(new):
+            out.append(_refit(w, new))
+        else:
+            out.append(new.upper() if w.isupper() else new.capitalize())
+    return out
+
+
 def replaced(kind: str, text: str, key: bytes, tweak: int = 0) -> str:
-    """A mention's replacement, in the mention's own format."""
-    if kind == "name":
-        title, rest = text.split(None, 1)
-        gap = text[len(title) : len(text) - len(rest)]
-        words = re.split(r"(\s+)", rest)
-        p = Permutation(key, f"name/{tweak}")
-        new = []
-        for k, w in enumerate(words):
-            low = canonical("name", f"x {w}") if w.strip() else w
-            given = _given(low, _gender(title), p) if k == 0 and len(words) > 1 else None
-            new.append(given.capitalize() if given else _refit(w, p.text(low)) if w.strip() else w)
-        return title + gap + "".join(new)
+    """A mention's replacement, in the mention's own format, for all kinds but names."""
     new = surrogate(kind, canonical(kind, text), key, tweak)
     if kind in ("card", "phone", "ssn", "iban"):
         return _refit(text, new)
@@ -236,18 +295,50 @@ def rewrite(text: str | None, key: bytes, tweaks: dict[tuple[str, str], int] | N
     found = find(text)
     if not found:
         return text, 0
+    tweaks = tweaks or {}
+    whole: dict[tuple[str, ...], list[str]] = {}
+    single: dict[str, str] = {}
+    for a, b, kind in found:
+        if kind == "name":
+            words, images = _images(text[a:b], key, tweaks)
+            whole.setdefault(words, images)
+            for w, new in zip(words, images, strict=True):
+                single.setdefault(w, new)
     out, at = [], 0
     for a, b, kind in found:
-        tweak = tweaks.get((kind, canonical(kind, text[a:b])), 0) if tweaks else 0
-        out += [text[at:a], replaced(kind, text[a:b], key, tweak)]
+        mention = text[a:b]
+        if kind in ("name", "untitled"):
+            parts = re.split(r"(\s+)", mention)
+            own = parts[0 if kind == "untitled" else 2 :: 2]
+            if kind == "name":
+                images = _images(mention, key, tweaks)[1]
+            else:
+                low = tuple(canonical("name", f"x {w}") for w in own)
+                images = whole.get(low) or [single[w] for w in low]
+            parts[0 if kind == "untitled" else 2 :: 2] = _renamed(own, images)
+            new = "".join(parts)
+        else:
+            new = replaced(kind, mention, key, tweaks.get((kind, canonical(kind, mention)), 0))
+        out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), len(found)
 
 
+def _keyed(text: str | None, key: bytes) -> set[tuple[str, str]]:
+    """(kind, entity) of what a text mentions and a keyed permutation replaces: names word by word, without listed ones."""
+    out = set()
+    for a, b, kind in find(text):
+        if kind == "name":
+            out |= {(kind, w) for w, given in _roles(text[a:b], key) if given is None}
+        elif kind != "untitled":
+            out.add((kind, canonical(kind, text[a:b])))
+    return out
+
+
 def _entities(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(kind, canonical(kind, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, kind in find(t) if kind != "name"}
-        rows = [(kind, x, surrogate(kind, x, key)) for kind, x in sorted(seen)]
+        seen = set().union(*(_keyed(t, key) for t in batch.column(0).to_pylist() if t))
+        rows = [(kind, x, new) for kind, x in sorted(seen) if (new := surrogate(kind, x, key)) != x]  # no letter or digit to exchange: signs alone
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "entity", "surrogate"])
 
@@ -259,28 +350,31 @@ def _rekey(batches: Iterator[pa.RecordBatch], key: bytes, tweak: int) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], ["kind", "entity", "surrogate"])
 
 
-def collisions(texts: DataFrame, key: bytes, rounds: int = 6) -> DataFrame:
-    """Entities that need another tweak (kind, entity, tweak): their surrogate is a real entity of the corpus or one of two."""
+def collisions(texts: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+    """Entities that need another tweak (kind, entity, tweak): their surrogate is a real entity of the corpus or one of two.
+
+    An entity once settled keeps its surrogate; the newer one is keyed anew, until none collides. Fails if
+    some still do after all rounds.
+    """
     spark = texts.sparkSession
     columns = "kind string, entity string, surrogate string"
-    used, path = stored(run_arrow(texts, _entities, columns, key=key).distinct(), "entities")
-    real = used.select("kind", F.col("entity").alias("surrogate"))
+    left, _ = stored(run_arrow(texts, _entities, columns, key=key).distinct(), "entities")
+    listed = spark.createDataFrame([("name", canonical("name", f"x {n}")) for n in (*MALE_NAMES, *FEMALE_NAMES)], "kind string, surrogate string")
+    taken = left.select("kind", F.col("entity").alias("surrogate")).union(listed)
     fixed = spark.createDataFrame([], "kind string, entity string, tweak int")
-    left = used
     for tweak in range(1, rounds + 1):
-        twice = used.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"), F.max("entity").alias("other")).where("keeper <> other")
-        bad = left.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity").union(
-            left.join(twice, ["kind", "surrogate"]).where("entity <> keeper").select("kind", "entity")
+        firsts = left.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"))
+        bad = left.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity").union(
+            left.join(firsts, ["kind", "surrogate"]).where("entity <> keeper").select("kind", "entity")
         ).distinct()
         bad, _ = stored(bad, "rekeyed")
         if not bad.limit(1).count():
-            break
-        left = run_arrow(bad, partial(_rekey, key=key, tweak=tweak), columns)
-        used = used.join(bad, ["kind", "entity"], "left_anti").union(left)
-        fixed = fixed.join(bad, ["kind", "entity"], "left_anti").union(bad.withColumn("tweak", F.lit(tweak)))
-    out, _ = stored(fixed, "tweaks")
-    drop_path(spark, path)
-    return out
+            out, _ = stored(fixed, "tweaks")
+            return out
+        taken = taken.union(left.join(bad, ["kind", "entity"], "left_anti").select("kind", "surrogate"))
+        left, _ = stored(run_arrow(bad, partial(_rekey, key=key, tweak=tweak), columns), "entities")
+        fixed, _ = stored(fixed.join(bad, ["kind", "entity"], "left_anti").union(bad.withColumn("tweak", F.lit(tweak))), "tweaks")
+    raise RuntimeError(f"{bad.count()} entities have no surrogate of their own after {rounds} rounds")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, tweaks: dict, last: bool) -> Iterator[pa.RecordBatch]:
@@ -310,9 +404,9 @@ def surrogates(docs: DataFrame, key: bytes = b"tracery", text: str = "text", bou
     return _rewrite_joined(own, text, key, tweaks, schema)
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mentions(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [sorted({f"{kind} {canonical(kind, t[a:b])}" for a, b, kind in find(t)}) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
+        got = [sorted(f"{kind} {x}" for kind, x in _keyed(t, key)) for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.string()))], [*batch.schema.names, "_mentions"])
 
 
@@ -329,7 +423,7 @@ def _rewrite_own(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.R
 
 def _rewrite_joined(own: DataFrame, text: str, key: bytes, tweaks: DataFrame, schema: T.StructType) -> DataFrame:
     """As surrogates, with the colliding entities joined to the distinct texts that mention them."""
-    found, _ = stored(run_arrow(own.select(text).distinct(), _mentions, T.StructType([T.StructField(text, T.StringType()), T.StructField("_mentions", T.ArrayType(T.StringType()))])), "mentions")
+    found, _ = stored(run_arrow(own.select(text).distinct(), _mentions, T.StructType([T.StructField(text, T.StringType()), T.StructField("_mentions", T.ArrayType(T.StringType()))]), key=key), "mentions")
     known = tweaks.select(F.concat_ws(" ", "kind", "entity").alias("m"), "tweak")
     digest = F.sha2(F.col(text), 256)
     each = found.select(digest.alias("_text"), F.explode("_mentions").alias("m")).join(known, "m")
