@@ -62,6 +62,15 @@ def test_many_small_shards(spark, clustered, monkeypatch):
     assert np.mean([found[k][1] == c for k, (_, c, _) in want.items()]) > 0.98
 
 
+def test_a_large_cell_is_dealt_by_members_and_queries(spark):
+    own = spark.range(2000).selectExpr("id AS rep", "'g' AS `group`", "3 AS cell", "cast('v' AS binary) AS vec", "1L AS copies", "id % 4 > 0 AS home", "20 AS parts", "cast(id % 20 AS int) AS part", "array(id) AS out")
+    shards = flat_graph._shards(own).groupBy("shard").agg({"*": "count"}).collect()
+    assert len(shards) == 400 and max(r[1] for r in shards) <= 200
+    met = flat_graph._shards(own)
+    pairs = met.where("home").selectExpr("shard", "rep AS a").join(met.where("member").selectExpr("shard", "rep AS b"), "shard")
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 1500 * 2000
+
+
 def test_prune_keeps_the_nearest(clustered):
     v = np.array([r[2] for r in clustered[:200]])
     v /= np.sqrt((v * v).sum(1, keepdims=True))

@@ -273,6 +273,20 @@ def _brute(batches: Iterator[pa.RecordBatch], asked: tuple[list, np.ndarray, np.
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], ["rep", "links"])
 
 
+def _shards(own: DataFrame) -> DataFrame:
+    """Rows (shard, rep, vec, copies, home, member, out): a shard has one part of a cell's members and asks one part of its vectors.
+
+    A member of several parts' graphs has one list. Members are repeated for each part that asks, so a shard
+    holds two parts at most, however large its cell; a vector asks every part of its own cluster.
+    """
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = own.withColumn("asks", each).withColumn("to", F.col("part")).withColumn("member", F.lit(True)).withColumn("home", F.col("home") & (F.col("asks") == F.col("part")))
+    others = own.where("home").withColumn("asks", F.col("part")).withColumn("to", each).where("to <> part").withColumn("member", F.lit(False))
+    others = others.withColumn("out", F.lit(None).cast("array<long>"))
+    every = members.unionByName(others).withColumn("shard", F.xxhash64("group", "cell", "to", "asks"))
+    return every.select("shard", "rep", "vec", "copies", "home", "member", "out")
+
+
 def _linked(reps: DataFrame, cells: DataFrame, threshold: float, beam: int) -> DataFrame:
     """Rows (rep, to, links) of the shards' searches over the united graph."""
     shards = cells.groupBy("group", "cell").agg(F.count("*").alias("n"))
@@ -282,10 +296,7 @@ def _linked(reps: DataFrame, cells: DataFrame, threshold: float, beam: int) -> D
     members = own.withColumn("shard", key)
     built = run_arrow(members.select("shard", "rep", "vec").repartition("shard").sortWithinPartitions("shard", "rep"), _build, "rep long, out array<long>")
     united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))
-    # A member of several parts' graphs has one list; a query visits every part of its own cluster.
-    every = own.withColumn("to", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
-    every = every.withColumn("shard", F.xxhash64("group", "cell", F.col("to"))).withColumn("member", F.col("to") == F.col("part"))
-    rows = every.join(united, "rep", "left").select("shard", "rep", "vec", "copies", "home", "member", "out")
+    rows = _shards(own.join(united, "rep", "left"))
     return run_arrow(rows.repartition("shard").sortWithinPartitions("shard", "rep"), _search, "rep long, to long, links long", threshold=threshold, beam=beam)
 
 
@@ -299,7 +310,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, beam: int = 48, ma
     other; repeated rows count as copies. No vectors give no rows.
 
     The centres come from about max_sample vectors of each label, at most max_clusters for each label;
-    larger clusters are dealt over parts that each query visits in turn, so nothing is capped. About
+    larger clusters are dealt over parts, and a task holds one part and asks the queries of one part. About
     `audits` vectors are compared with all others by brute force; while fewer than the target share of
     their links is found, the beam and the overlap double, three times at most.
     """
