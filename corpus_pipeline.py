@@ -10,8 +10,6 @@ from tracery.llm.common import stored, table
 from tracery.llm.queries import word_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A language that is less likely than this is no language that was learned.
-LEAST_SCORE = 0.5
 #: Secret of the surrogates; a deployment gives its own.
 KEY = b"tracery"
 
@@ -22,12 +20,12 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from docs; those without a letter or a likely language go."""
+    """Documents in one of the languages learned from docs; only those without a letter go."""
     docs = _documents(docs)
     known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     model = langid.learn(known.select(F.col("doc_id").alias("key"), "lang", "text"))
     scored = langid.predict(docs, model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
+    return scored.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,16 @@ def test_language(kept):
     assert len(after) > 0.9 * len(before)
 
 
+def test_short_documents_stay(spark, sf):
+    """Words that several languages share, alone in a document: no language is likely, but none of them is junk."""
+    shared = ["in", "la", "de", "so", "an", "es", "der", "me", "Andththwhes.", "Aononeaat. Tioningen.", "xq"]
+    docs = [(k, w, None, "a", len(w)) for k, w in enumerate(shared)] + [(98, "12 ² 7", None, "a", 6)]
+    frame = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    frame = frame.withColumn("doc_id", frame.doc_id + 1000).union(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, frame, sf).where("doc_id < 1000").collect()}
+    assert got == set(range(len(shared)))
+
+
 def test_near_duplicates(kept):
     before, after = rows(kept[1]), rows(kept[2])
     firsts = {c for _, _, c in plain_groups({k: r.text for k, r in before.items()})}
