@@ -156,3 +156,22 @@ def test_projection_keeps_the_first_node(spark):
     n, e = projection.graph(nodes, projection.note_edges(notes, resolved, governed))
     assert rows(n, "id", "label", "path") == [("note:g", "Guide", "g.md"), ("note:g#how-to", "How To", "g.md#L3:H2")]
     assert rows(e, "src", "kind", "dst") == [("note:g", "cites", "note:h"), ("note:g", "contains", "note:g#how-to"), ("note:g", "governs", "code:a.py"), ("note:g", "references", "symbol:a.py#fn:f"), ("note:g", "supersedes", "note:ADR-9")]
+
+
+def test_braces_of_any_number_and_depth(spark):
+    from tracery.operators import recursion
+
+    deep = "::{".join(f"m{k}" for k in range(40)) + "}" * 39
+    wide = "a::{" + ", ".join(f"b{k}::{{c, self}}" for k in range(40)) + "}"
+    frame = spark.createDataFrame([(1, deep), (2, wide), (3, "x::y"), (4, None), (5, "a::{b, c::{}}")], "id int, module string")
+    got = sorted(tuple(r) for r in recursion.expand_braces(frame, "module").collect())
+    want = [(1, "::".join(f"m{k}" for k in range(40))), *[(2, f"a::b{k}{end}") for k in range(40) for end in ("::c", "")], (3, "x::y"), (5, "a::b")]
+    assert got == sorted(want)
+
+
+def test_a_long_cycle(spark):
+    from tracery.operators import recursion
+
+    edges = spark.createDataFrame([(k, (k + 1) % 66) for k in range(66)], "src int, dst int").coalesce(1)
+    got = recursion.cycles(edges).collect()
+    assert sorted(r.start for r in got) == list(range(66)) and all(len(r.path) == 66 and r.path[0] == r.start for r in got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,7 +67,7 @@ def chain_ends(edges: DataFrame) -> DataFrame:
     return done.select("start", F.col("at").alias("end"), "steps")
 
 
-def cycles(edges: DataFrame, longest: int = 64) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(start, path): each simple cycle once for each of its members, the path beginning at that member.
 
     Edges off all cycles are peeled away first, so paths only grow where a cycle can be.
@@ -79,25 +80,45 @@ def cycles(edges: DataFrame, longest: int = 64) -> DataFrame:
             break
         edges = kept
     paths = cut(edges.select(F.array("src").alias("path"), F.col("dst").alias("at")))
-    found = None
-    for _ in range(longest):
+    found = paths.limit(0).select(F.col("at").alias("start"), "path")
+    while paths.limit(1).count():  # a path holds no node twice, so this ends
         closed = paths.where(F.col("at") == F.col("path")[0]).select(F.col("path")[0].alias("start"), "path")
-        found = closed if found is None else found.union(closed)
+        if closed.limit(1).count():
+            found = found.union(closed)
         grow = paths.where(~F.array_contains("path", F.col("at")))
         paths = cut(grow.join(edges, grow.at == edges.src).select(F.concat("path", F.array("at")).alias("path"), F.col("dst").alias("at")))
-        if not paths.limit(1).count():
-            break
     return found.distinct()
 
 
-def expand_braces(modules: DataFrame, column: str, deepest: int = 16) -> DataFrame:
-    """Rows with the braces of a::{b, c::{d}} written out, innermost first, in the column itself."""
-    inner = r"(?s)^(.*)\{([^{}]*)\}(.*)$"
-    done, left = modules.where(~F.col(column).contains("{")), modules.where(F.col(column).contains("{"))
-    for _ in range(deepest):
-        parts = F.filter(F.transform(F.split(F.regexp_extract(column, inner, 2), ","), lambda p: F.trim(p)), lambda p: p != "")
-        own = F.explode(F.transform(parts, lambda p: F.concat(F.regexp_extract(column, inner, 1), p, F.regexp_extract(column, inner, 3))))
-        left = left.withColumn(column, own)
-        done = done.union(left.where(~F.col(column).contains("{")))
-        left = left.where(F.col(column).contains("{"))
-    return done.withColumn(column, F.regexp_replace(column, "::self$", "")).distinct()
+def braces(text: str | None) -> list[str]:
+    """All that a text with braces stands for: each group is expanded by itself, at any depth; one left open ends with the text."""
+    if text is None:
+        return []
+    stack: list[tuple[list[str], list[str]]] = [([], [""])]  # for each open group what is done, and what is being written
+
+    def end() -> None:
+        own, now = stack.pop()
+        own += [x for p in now if (x := p.strip())]
+        above, outer = stack[-1]
+        stack[-1] = (above, [o + x for o in outer for x in own])
+
+    for part in re.findall(r"[{},]|[^{},]+", text):
+        own, now = stack[-1]
+        if part == "{":
+            stack.append(([], [""]))
+        elif part == "," and len(stack) > 1:
+            stack[-1] = (own + [x for p in now if (x := p.strip())], [""])
+        elif part == "}" and len(stack) > 1:
+            end()
+        else:
+            stack[-1] = (own, [p + part for p in now])
+    while len(stack) > 1:
+        end()
+    return stack[0][1]
+
+
+def expand_braces(modules: DataFrame, column: str) -> DataFrame:
+    """Rows with the braces of a::{b, c::{d}} written out in the column itself, however many and deep they are."""
+    plain, nested = modules.where(~F.col(column).contains("{")), modules.where(F.col(column).contains("{"))
+    own = F.explode(F.udf(braces, "array<string>")(F.col(column)))
+    return plain.union(nested.withColumn(column, own)).withColumn(column, F.regexp_replace(column, "::self$", "")).distinct()
