@@ -77,12 +77,46 @@ def patterns(bins: int, docs: int) -> list[tuple[int, ...]]:
     return found
 
 
+def _best_fit(runs: list[tuple[int, Counter]], left: dict[int, int], most: int) -> dict[int, list[tuple[int, Counter]]]:
+    """Runs (sequences, lengths in each) by the room they leave, once all of left is packed: longest first, each by best fit, into runs or new ones."""
+    spaces: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
+    keys: list[int] = []
+
+    def put(m: int, took: Counter) -> None:
+        free = most - sum(x * c for x, c in took.items())
+        if not spaces[free]:
+            bisect.insort(keys, free)
+        spaces[free].append((m, took))
+
+    for run in runs:
+        put(*run)
+    for length in sorted(left, reverse=True):
+        n = left[length]
+        while n > 0:
+            k = bisect.bisect_left(keys, length)
+            if k < len(keys):
+                free = keys[k]
+                m, took = spaces[free].pop()
+                if not spaces[free]:
+                    del keys[k]
+            else:
+                free, m, took = most, n, Counter()
+            fits = min(free // length, n)
+            full = min(m, n // fits)
+            if took and m > full:
+                put(m - full, took)
+            put(full, took + Counter({length: fits}))
+            n -= full * fits
+    return spaces
+
+
 def plan(histogram: dict[int, int], most: int, bins: int = 128, docs: int = 3) -> np.ndarray:
     """Where pieces of each length go: rows (length, first rank, copies in a sequence, sequences, first sequence, offset).
 
     Works on the histogram alone, so its size follows the number of lengths, never the number of pieces.
-    Fitted patterns come first; the rest goes by best fit, longest first, into what they leave free and
-    then into new sequences.
+    Fitted patterns come first, the last part of each as long as its room allows; the rest goes by best fit,
+    longest first, into what they leave free and then into new sequences. Then the sequences with the most
+    room are packed anew, more of them each time and all at last, so the result is never worse than best fit.
     """
     width = -(-most // bins)
     left = dict(histogram)
@@ -100,54 +134,54 @@ def plan(histogram: dict[int, int], most: int, bins: int = 128, docs: int = 3) -
         for length, n in left.items():
             if -(-length // width) <= len(b):
                 b[-(-length // width) - 1] += n
-        times = nnls(a / 1.0, b)
+        times = nnls(a, b)
+        sizes = sorted(left)
         for j in np.argsort(-times, kind="stable"):
             n = int(times[j] + 1e-6)
             while n > 0:
                 took: Counter = Counter()
-                for part in ways[j]:  # the longest lengths that the bins still hold
+                for part in ways[j][:-1]:  # the longest lengths that the bins still hold
                     length = next((x for x in queue[part] if left[x] > took[x]), None)
                     if length is None:
                         break
                     took[length] += 1
-                if sum(took.values()) < len(ways[j]):
+                # the last part is the longest that what is left holds: bins are coarse, lengths are not
+                free = most - sum(x * c for x, c in took.items())
+                k = bisect.bisect_right(sizes, free) - 1
+                while k >= 0 and left[sizes[k]] <= took[sizes[k]]:
+                    k -= 1
+                if took.total() < len(ways[j]) - 1 or k < 0 or sizes[k] <= width * (ways[j][-1] - 1):
                     break
+                took[sizes[k]] += 1
                 m = min(n, *(left[x] // c for x, c in took.items()))
                 runs.append((m, took))
                 n -= m
                 for x, c in took.items():
                     left[x] -= c * m
-                for part in ways[j]:
-                    while queue[part] and not left[queue[part][0]]:
-                        queue[part].popleft()
-    spaces: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
-    keys: list[int] = []
-
-    def put(m: int, took: Counter) -> None:
-        free = most - sum(x * c for x, c in took.items())
-        if not spaces[free]:
-            bisect.insort(keys, free)
-        spaces[free].append((m, took))
-
-    for run in runs:
-        put(*run)
-    for length in sorted(left, reverse=True):
-        n = left[length]
-        while n > 0:
-            k = bisect.bisect_left(keys, length)
-            if k < len(keys):
-                free = keys[k]
-                m, took = spaces[free].pop()
-                if not spaces[free]:
-                    del keys[k]
-            else:
-                free, m, took = most, n, Counter()
-            fits = min(free // length, n)
-            full = min(m, n // fits)
-            if took and m > full:
-                put(m - full, took)
-            put(full, took + Counter({length: fits}))
-            n -= full * fits
+                    if not left[x]:
+                        sizes.pop(bisect.bisect_left(sizes, x))
+                        queue[-(-x // width)].remove(x)
+    spaces = _best_fit(runs, left, most)
+    # Sequences with the most room are taken apart and packed anew, more of them each time, while that saves some.
+    total = sum(m for own in spaces.values() for m, _ in own)
+    least = -(-sum(x * n for x, n in histogram.items()) // most)
+    share = 1 / 64
+    while total > least and share <= 1:
+        kept, again, apart = [], Counter(), share * total
+        for free in sorted(spaces, reverse=True):
+            for m, took in spaces[free]:
+                n = min(m, max(0, -int(-apart // 1)))
+                apart -= n
+                if n:
+                    again.update({x: c * n for x, c in took.items()})
+                if m > n:
+                    kept.append((m - n, took))
+        tried = _best_fit(kept, dict(again), most)
+        got = sum(m for own in tried.values() for m, _ in own)
+        if got < total:
+            spaces, total = tried, got
+        else:
+            share *= 2
     rows, ranks, first = [], Counter(), 0
     for free in sorted(spaces):
         for m, took in spaces[free]:
@@ -175,9 +209,11 @@ def _place(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.R
 def pack(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int = 1, bins: int = 128, pattern_docs: int = 3) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    docs has doc_id and text; other columns are ignored. A null or empty text is the end id alone. Repeated
-    rows and repeated ids are packed as often as they occur. No documents give no rows. The driver sees one
-    count for each length (at most `most`); ranks within a length are dealt over salted groups.
+    docs has doc_id and text; other columns are ignored. A null or empty text is the end id alone; a text of
+    more than `most` ids, however long, is cut into pieces. A null doc_id stays null. Repeated rows and
+    repeated ids are packed as often as they occur; pieces that tie in length are placed by id, piece and
+    checksum. No documents give no rows. The driver sees one count for each length (at most `most`); ranks
+    within a length are dealt over salted groups.
     """
     spark = docs.sparkSession
     pieces, _ = stored(run_arrow(docs.select("doc_id", "text"), _cut, PIECES, tokenizer=tokenizer, end_id=end_id, most=most), "pieces")
@@ -190,7 +226,6 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int = 1, bin
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    # At most `most` x salts rows: a bound that does not grow with the input.
-    ranked = salted.withColumn("own", F.row_number().over(own)).join(F.broadcast(firsts), ["length", "salt"])
+    ranked = salted.withColumn("own", F.row_number().over(own)).join(firsts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("own") - 1)
     return run_arrow(ranked.drop("salt", "own", "first"), _place, PACKED, rows=plan(histogram, most, bins, pattern_docs))
