@@ -23,7 +23,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .flat_graph import near_vectors
 
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_flat_graph, op3_language_id, op4_surrogates, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_best_fit_packing, op9_token_files, op10_quality)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_flat_graph": """
+WITH RECURSIVE v AS (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+ SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = e.vec_id"""
+}
