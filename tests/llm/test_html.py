@@ -1,7 +1,10 @@
 """Main text of written pages whose article is known."""
 
 import random
+import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,8 +67,73 @@ def test_any_markup(parts):
 
 
 def test_broken_tags_take_linear_time():
-    for bad in ("<p class='" * 20_000, "<div " + "a='b\" " * 50_000, "<script>" * 20_000, "<p>" * 100_000, "<" * 200_000, "<!--" * 50_000):
-        html_blocks.main_text(bad)
+    bad = [
+        "<p class='" * 20_000, "<div " + "a='b\" " * 50_000, "<script>" * 20_000, "<p>" * 100_000, "<" * 200_000, "<!--" * 50_000, "<div>" * 50_000 + "</span>" * 40_000,
+        "<div></b>" * 50_000, "<b>" * 60_000 + "<p>" * 60_000, "<li><table>" + "<div>" * 40_000 + "<li></li>" * 30_000, "<article>a" * 50_000, "<article>a</article>" * 25_000,
+        "<p><span class=ad>x" * 25_000, "<td><div>" * 50_000, "<div class=sidebar>a" * 25_000, "<p ' > ' " * 30_000 + "'", "<p x='>' " * 30_000, "<p x=\"" + "<b y='" * 40_000,
+    ]
+    for page in bad:
+        began = time.process_time()
+        html_blocks.main_text(page)
+        assert time.process_time() - began < 5 * max(1, len(page) / 500_000), page[:40]
+
+
+def plain_stretches(weight, surge, ground):
+    """The window scan as it is said: walk over all windows, one by one."""
+    n, w = len(weight), html_blocks.WINDOW
+    sums = [sum(weight[max(0, j - w + 1) : j + 1]) for j in range(n + w - 1)]
+    out, j = [], 0
+    while j < len(sums):
+        if sums[j] <= ground:
+            j += 1
+            continue
+        first = j
+        while j < len(sums) and sums[j] > ground:
+            j += 1
+        if max(sums[first:j]) > surge:
+            lines = [i for i in range(max(0, first - w + 1), min(n, j)) if weight[i]]
+            out.append((lines[0], lines[-1]))
+    return out
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from([0, 0, 0, 3, 10, 25, 70, 200]), max_size=60), st.integers(0, 120), st.integers(0, 120))
+def test_windows(weight, surge, ground):
+    ground = min(surge, ground)
+    assert html_blocks.stretches(np.array(weight, np.int64), surge, ground) == plain_stretches(weight, surge, ground)
+
+
+def test_names_count_whole():
+    """An article whose holders have names that only sound like something else is whole."""
+    body, whole = f"<h1>Title</h1><p>{LONG}</p>", f"Title\n{LONG}"
+    for holder in ("<div class='content with-sidebar'>", "<div class='layout no-menu'>", "<form id=aspnet>", "<fieldset>", "<header>", "<div class=widget>"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert html_blocks.main_text(page(holder + inner)) == whole, holder
+    assert html_blocks.main_text(page(f"<article><div class='article-header'><h1>Title</h1></div><p class='social'>{LONG}</p></article>")) == whole
+    assert html_blocks.main_text(page(f"<article><h1>Title</h1><div id='search-history'><p>{LONG}</p></div></article>")) == whole
+    assert html_blocks.main_text(page(f"<article><p>Let <math><mi>x</mi></math> be one. {LONG}</p></article>")) == f"Let x be one. {LONG}"
+    assert html_blocks.main_text(page(f"<article><p>One <span class='ad'>Buy</span> line. {LONG}</p></article>")) == f"One line. {LONG}"
+    for junk in ("site-header", "comment-list", "cookieBanner", "related_posts", "sidebar-left"):
+        assert html_blocks.main_text(page(f"<article>{body}<div class='{junk}'><p>{LONG}</p></div></article>")) == whole, junk
+
+
+def test_teaser_beside_the_story():
+    story = "".join(f"<p>{k} {LONG}</p>" for k in range(3))
+    assert html_blocks.main_text(page(f"<article>teaser one</article><div id='story'>{story}</div>")) == "\n".join(f"{k} {LONG}" for k in range(3))
+
+
+def test_short_lines_of_an_article_stay():
+    blocks = ["Les.", "A", LONG, "B", "C", "D", "Par.", "E", "F", LONG, "Z"]
+    parted = "<aside>x</aside><nav>y</nav><form>z</form>".join(f"<p>{b}</p>" for b in blocks)
+    assert html_blocks.main_text(page(f"<article>{parted}</article>")) == "\n".join(blocks)
+
+
+def test_surge_and_dive_decide_without_marks(spark, sf):
+    """The scan alone, without the weight that article and main add, finds the same text on most pages."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    bare = [re.sub(r"</?(?:article|main)\b[^>]*>", lambda m: "<div>" if m[0][1] != "/" else "</div>", p or "") for p in pages]
+    same = sum(html_blocks.main_text(p) == html_blocks.main_text(b) for p, b in zip(pages, bare, strict=True))
+    assert same >= 0.9 * len(pages)
 
 
 def test_pages(spark, sf):

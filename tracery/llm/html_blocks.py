@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,86 +17,117 @@ from .common import run_arrow
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|title|xmp"
+RAW = "script|style|noscript|template|textarea|iframe|svg|object|canvas|audio|video|title|xmp"
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend summary".split())
+HOLDERS = frozenset("ul ol dl table select menu".split())
+SCOPES = HOLDERS | frozenset(ENDS_ITSELF)
+#: Elements that hold no part of an article, and those of them that may still hold it whole.
 DROPPED = frozenset("aside button dialog fieldset footer form head input label menu nav search select".split())
+WRAPS = frozenset("dialog fieldset form header label search".split())
+# Elements whose names are not looked at, as they are a text's own parts.
+OWN = frozenset("html body p h1 h2 h3 h4 h5 h6 pre blockquote b strong i em u code q cite mark small sub sup td th tr tbody thead".split())
 # Words of class, id and role names that mark what is not the article.
-NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner bio breadcrumb breadcrumbs byline comment comments commentlist commentary-list consent contentinfo cookie cookies copyright disqus feedback footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paging pagination paywall popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud tags toolbar tooltip widget widgets".split())
-
-# What such words say nothing about in the names of an outermost article.
-TAXONOMY, LAYOUT = frozenset("category tag type format status".split()), frozenset("has no with without".split())
+NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot advertorial banner bio breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus feedback footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paging pagination paywall popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud tags toolbar tooltip widget widgets".split())
+# Those of them that may stand on an element that holds the article, and words beside them that only say where or what kind of box it is.
+LAYOUT = frozenset("form header hidden login modal overlay paywall popup search subscription widget widgets".split())
+BESIDE = frozenset("area bar block bottom box col column container cont fixed form global holder inner item items left level link links list main major minor module outer page panel post posts primary right rail row secondary section site slot story stories top unit view wrap wrapper".split())
 
+#: Attributes of a tag: a quote counts only behind an equals sign, and only where its end is near; END ends a tag that the page leaves open.
+REST, END = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]{0,9999}+\"|'[^']{0,9999}+')?+|[\"'])*+", ">"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>]){REST}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{REST})>",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 UNSEEN = re.compile(r"(?<![\w-])(?:hidden(?=[\s/>]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: Lines in a window, text that a window needs to surge, and text at which it has dived.
+WINDOW, SURGE, GROUND = 3, 80, 20
 
-def _not_article(rest: str) -> bool:
-    if UNSEEN.search(rest):
-        return True
-    for m in NAMED.finditer(rest):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = [w.lower() for w in WORDS.findall(name)]
-            if any(w in NOT_ARTICLE for w in words):
-                return True
-    return False
 
+def _named(rest: str) -> str:
+    """The word for which a tag's class, id and role names mark it as no article, else nothing.
 
-def _not_page(rest: str) -> bool:
-    """Whether an outermost article's names mark it as no article of the page; names of taxonomy and layout do not count."""
+    A name counts whole: all its words must be such words or only say where the box stands, so
+    `site-header` and `comment-list` count, `article-header`, `with-sidebar` and `search-history` do not.
+    """
     if UNSEEN.search(rest):
-        return True
+        return "unseen"
     for m in NAMED.finditer(rest):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = [w.lower() for w in WORDS.findall(name)]
-            if words and words[0] not in TAXONOMY and not LAYOUT.intersection(words) and any(w in NOT_ARTICLE for w in words):
-                return True
-    return False
+            marks = [w for w in words if w in NOT_ARTICLE]
+            if marks and all(w in NOT_ARTICLE or w in BESIDE for w in words):
+                return marks[0]
+    return ""
 
 
-def lines(page: str, strict: bool = True) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: (text, characters outside links, inside article or main).
+@dataclass
+class Box:
+    """An element that may hold no part of the article: what holds it, whether it may wrap the article, and what it holds."""
 
-    A block that is no part of an article by its markup is an empty line: it has no text, but keeps its place.
-    Not strict: the names of outermost articles do not count.
-    """
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-    skipped = articles = links = 0
+    above: int
+    wraps: bool
+    article: bool
+    text: int = 0
+    marked: bool = False
+
+
+@dataclass
+class Line:
+    """A block of text, or an empty line: its characters outside links, the article it is in (0: none) and its innermost box."""
+
+    text: str
+    own: int = 0
+    article: int = 0
+    box: int = -1
+
+
+def scan(page: str) -> tuple[list[Line], list[Box]]:
+    """The page's blocks in order, and its boxes. The work grows with the page, however its tags are nested."""
+    lines: list[Line] = []
+    boxes: list[Box] = []
+    stack: list[tuple[str, int, int, int]] = []  # open elements: name, its box or -1, places below it of a block and of a list, table or part of one
+    open_: Counter = Counter()
+    inside: list[int] = []  # open articles
+    held: list[int] = []  # open boxes
+    around: dict[int, tuple[list[str], int]] = {}  # what was read of a block when a box within a line began
     parts: list[str] = []
-    linked = 0
+    linked = articles = 0
 
     def close_block() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), articles > 0))
+                lines.append(Line(text, max(0, len(text) - linked), inside[0] if inside else 0, held[-1] if held else -1))
         parts, linked = [], 0
 
     def pop() -> str:
-        nonlocal skipped, articles, links
-        name, left_out = stack.pop()
-        if left_out:
-            skipped -= 1
-            out.append(("", 0, False))
-        articles -= name in ("article", "main")
-        links -= name == "a"
+        nonlocal parts, linked
+        name, box, _, _ = stack[-1]
+        if name in BLOCK or box >= 0:
+            close_block()
+        stack.pop()
+        open_[name] -= 1
+        if box >= 0:
+            held.pop()
+            lines.append(Line("", box=box))
+            parts, linked = around.pop(box, ([], 0))
+        if name in ("article", "main"):
+            inside.pop()
         return name
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not skipped:
+    for m in TOKEN.finditer(page + END):
+        if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
-            if links:
+            if open_["a"]:
                 linked += len(" ".join(html.unescape(piece).split()))
         at = m.end()
         name = m["name"]
@@ -104,94 +137,148 @@ def lines(page: str, strict: bool = True) -> list[tuple[str, int, bool]]:
         if m["end"]:
             if name in BLOCK:
                 close_block()
-            if any(x == name for x, _ in stack):
+            if open_[name]:
                 while pop() != name:
                     pass
             continue
         if name in BLOCK:
-            close_block()
-            if name in ENDS_P and stack:  # an open paragraph ends here, with what is open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+            if name in ENDS_P and open_["p"]:  # an open paragraph ends here, with what is open in it
+                k = len(stack) - 1 if stack[-1][0] in BLOCK else stack[-1][2]
+                if k >= 0 and stack[k][0] == "p":
+                    while len(stack) > k:
+                        pop()
             for ended in ENDS_ITSELF.get(name, ()):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == ended:
+                if open_[ended]:
+                    k = len(stack) - 1 if stack[-1][0] in SCOPES else stack[-1][3]
+                    while k >= 0 and stack[k][0] != ended and stack[k][0] not in HOLDERS:
+                        k = stack[k][3]
+                    if k >= 0 and stack[k][0] == ended:
                         while len(stack) > k:
                             pop()
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                        break
+            close_block()
         elif name == "br":
             parts.append(" ")
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
-        left_out = name in DROPPED or name == "header" and not articles or name not in ("html", "body", "article", "main") and _not_article(m["rest"])
-        if name == "article":
-            left_out = left_out or (_not_article(m["rest"]) if articles > 0 else strict and _not_page(m["rest"]))
-        if left_out:
-            close_block()
-            skipped += 1
-        stack.append((name, left_out))
-        articles += name in ("article", "main")
-        links += name == "a"
-    if at < len(page) and not skipped:
+        outermost = name in ("article", "main") and not inside
+        word = "" if name in OWN or name == "main" and outermost else _named(m["rest"])
+        tag = name in DROPPED or name == "header" and not inside
+        box = -1
+        if tag or word:
+            box = len(boxes)
+            if name in BLOCK:
+                close_block()
+            else:  # the line goes on behind it
+                around[box] = parts, linked
+                parts, linked = [], 0
+            boxes.append(Box(held[-1] if held else -1, not outermost and (name in WRAPS if tag else word in LAYOUT), outermost))
+            held.append(box)
+        if name in ("article", "main"):
+            articles += outermost
+            inside.append(inside[0] if inside else articles)
+            if box < 0 and held:
+                boxes[held[-1]].marked = True
+        below = len(stack) - 1
+        block, scope = (below if not stack or stack[-1][0] in kinds else stack[-1][k] for kinds, k in ((BLOCK, 2), (SCOPES, 3)))
+        stack.append((name, box, block, scope))
+        open_[name] += 1
+    if at < len(page):
         parts.append(page[at:])
+    while stack:
+        pop()
     close_block()
+    return lines, boxes
+
+
+def weighed(lines: list[Line], boxes: list[Box], names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, article) of each line. A line of a box that holds no part of the article weighs nothing.
+
+    A line outside the article weighs its characters outside links, if these are half of it; in an `article`
+    or `main` all its characters and GROUND + 1 more, as even a short line belongs to it. A box that may wrap
+    the article is none where it holds a marked one or more than half of the page's text. Not names: the
+    names of outermost articles do not count.
+    """
+    for line in lines:
+        if line.box >= 0:
+            boxes[line.box].text += line.own
+    for box in reversed(boxes):  # what a box holds stands after it
+        if box.above >= 0:
+            boxes[box.above].text += box.text
+            boxes[box.above].marked |= box.marked
+    whole = sum(line.own for line in lines)
+    shut: list[bool] = []
+    for box in boxes:
+        left_out = not (box.wraps and (box.marked or 2 * box.text > whole)) and (names or not box.article)
+        shut.append(left_out or box.above >= 0 and shut[box.above])
+    weight, article = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    for k, line in enumerate(lines):
+        if line.text and not (line.box >= 0 and shut[line.box]):
+            article[k] = line.article
+            weight[k] = len(line.text) + GROUND + 1 if line.article else line.own if 2 * line.own >= len(line.text) else 0
+    return weight, article
+
+
+def stretches(weight: np.ndarray, surge: int, ground: int) -> list[tuple[int, int]]:
+    """(first line, last line) of each stretch of lines: runs of windows with more text than the ground in which some window surges.
+
+    Text begins where the sum of a window of lines leaves the ground on its way above `surge`, and ends where
+    it is back there.
+    """
+    n = len(weight)
+    if not n or not weight.any():
+        return []
+    sums = np.convolve(weight, np.ones(WINDOW, np.int64))  # sums[i + k]: the windows that hold line i
+    up = np.concatenate([[False], sums > ground, [False]])
+    edge = np.flatnonzero(up[1:] != up[:-1])
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # windows a to b - 1, window j holds the lines j - WINDOW + 1 to j
+        if sums[a:b].max() > surge:
+            held = np.flatnonzero(weight[max(0, a - WINDOW + 1) : min(n, b)]) + max(0, a - WINDOW + 1)
+            out.append((int(held[0]), int(held[-1])))
     return out
 
 
-def _stretches(weight: np.ndarray, window: int, least: int) -> list[list[int]]:
-    """Runs of lines between the points where the text of a window of lines surges and dives."""
+def _found(weight: np.ndarray, article: np.ndarray, share: float) -> list[int]:
+    """Lines of the stretches that are kept. Those of each article and those around are scanned apart: its boundary is one of every stretch."""
     if not weight.any():
         return []
-    padded = np.concatenate([np.zeros(window - 1, np.int64), weight, np.zeros(window - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(window, np.int64), "valid")  # sums[i + k]: the windows that hold line i
-    full = np.array([sums[i : i + window].max() > least for i in range(len(weight))]) & (weight > 0)
-    out: list[list[int]] = []
-    for i in np.flatnonzero(full).tolist():
-        if out and i - out[-1][-1] <= window:
-            out[-1].append(i)
-        else:
-            out.append([i])
-    return out
+    fullest = int(np.convolve(weight, np.ones(WINDOW, np.int64)).max())
+    surge = min(SURGE, fullest // 2)
+    found: list[tuple[int, list[int]]] = []
+    inside = np.flatnonzero((article > 0) & (weight > 0))  # what is left out inside an article parts nothing
+    for keep in np.split(inside, np.flatnonzero(np.diff(article[inside])) + 1) if len(inside) else []:
+        found += [(int(weight[keep[a : b + 1]].sum()), keep[a : b + 1].tolist()) for a, b in stretches(weight[keep], surge, min(GROUND, surge))]
+    plain = np.where(article > 0, 0, weight)  # around an article junk stands: there a dive is any fall below the surge
+    around = SURGE if len(inside) else surge
+    for a, b in stretches(plain, around, around):
+        found.append((int(plain[a : b + 1].sum()), [i for i in range(a, b + 1) if plain[i]]))
+    heaviest = max((n for n, _ in found), default=0)
+    return sorted(i for n, r in found if n >= share * heaviest for i in r)
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
+def main_text(page: str | None, share: float = 0.2) -> str:
     """Main text of a whole page, its blocks joined by line ends; empty if it has none.
 
-    A window of lines slides over the page, and its text outside links is summed. Text begins where the sum
-    rises above a threshold and ends where it falls below it: `surge` characters, or half of the fullest
-    window, if that is less. Lines that are mostly links weigh nothing, and only stretches with at least
-    `share` of the longest one's text are kept. In a page that marks its article, each line inside weighs
-    more than `surge` characters more, so any text there is above the threshold and surges by itself; text
-    outside is kept where it surges without it and has its share beside it. Where the stretches outside have
-    more text than the marked article, the mark counts for nothing. An outermost article whose names mark it
-    as something else, such as a comment, is left out unless nothing else is found.
+    A window of lines slides over the page, and the weights of its lines are summed. Text begins where the
+    sum surges above a threshold (SURGE, or half of the fullest window, if that is less) and ends where it
+    dives: below GROUND inside an `article` or `main`, below the threshold around it. Of the stretches of
+    text those with at least `share` of the heaviest one's weight are kept. Where the text around has more
+    characters than what is marked, the mark adds no weight. Where names alone left nothing, those of
+    outermost articles do not count.
     """
-    found = lines(page or "")
-    if not any(text for text, _, _ in found):
-        found = lines(page or "", strict=False)
-    plain = np.array([own if text and 2 * own >= len(text) else 0 for text, own, _ in found], np.int64)
-    inside = np.array([bool(text) and marked for text, _, marked in found], bool)
-    fullest = int(np.convolve(plain, np.ones(window, np.int64)).max()) if len(plain) else 0
-    stretches, weight = _stretches(plain, window, min(surge, fullest // 2)), plain
-    if inside.any():
-        around = np.where(inside, 0, plain)
-        outside = _stretches(around, window, surge)
-        if int(plain[inside].sum()) >= sum(int(around[s].sum()) for s in outside):
-            weight = np.where(inside, [own + surge + 1 for _, own, _ in found], plain)
-            stretches = [*_stretches(np.where(inside, weight, 0), window, surge), *outside]
-        else:
-            inside[:] = False
-    sizes = [int(weight[s].sum()) for s in stretches]
-    kept = [s for s, n in zip(stretches, sizes, strict=True) if n >= share * max(sizes)]
-    at = sorted(i for s in kept for i in range(s[0], s[-1] + 1) if found[i][0] and inside[i] == inside[s[0]])
-    return "\n".join(found[i][0] for i in at)
+    lines, boxes = scan(page or "")
+    weight, article = weighed(lines, boxes)
+    if not weight.any() and boxes:
+        for box in boxes:
+            box.text = 0
+        weight, article = weighed(lines, boxes, names=False)
+    marked = article > 0
+    if marked.any():
+        plain = np.where(marked, 0, weight)
+        around = sum(int(plain[a : b + 1].sum()) for a, b in stretches(plain, SURGE, SURGE))
+        if around > int((weight[marked] - GROUND - 1).sum()):
+            weight, article = np.where(marked, weight - GROUND - 1, weight), np.zeros_like(article)
+    return "\n".join(lines[i].text for i in _found(weight, article, share))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +291,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     pages has page_id, url and html; other columns are ignored. Null and empty html, and pages without an
-    article's text, give an empty text and 0; null ids and urls stay null; repeated rows each get a row;
-    no pages give no rows.
+    article's text, give an empty text and 0; a very long page is read whole, in time that grows with its
+    length; of stretches that tie in weight all are kept; null ids and urls stay null; repeated rows each
+    get a row; no pages give no rows.
     """
     return run_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), _extract, "page_id long, url string, text string, n_chars long")
