@@ -263,7 +263,7 @@ def main_text(page: str | None, share: float = 0.2) -> str:
     sum surges above a threshold (SURGE, or half of the fullest window, if that is less) and ends where it
     dives: below GROUND inside an `article` or `main`, below the threshold around it. Of the stretches of
     text those with at least `share` of the heaviest one's weight are kept. Where the text around has more
-    characters than what is marked, the mark adds no weight. Where names alone left nothing, those of
+    characters than what is marked, the mark adds no weight and is a boundary only. Where names alone left nothing, those of
     outermost articles do not count.
     """
     lines, boxes = scan(page or "")
@@ -277,7 +277,7 @@ def main_text(page: str | None, share: float = 0.2) -> str:
         plain = np.where(marked, 0, weight)
         around = sum(int(plain[a : b + 1].sum()) for a, b in stretches(plain, SURGE, SURGE))
         if around > int((weight[marked] - GROUND - 1).sum()):
-            weight, article = np.where(marked, weight - GROUND - 1, weight), np.zeros_like(article)
+            weight = np.where(marked, [line.own if 2 * line.own >= len(line.text) else 0 for line in lines], weight)
     return "\n".join(lines[i].text for i in _found(weight, article, share))
 
 
