@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -136,6 +137,34 @@ def test_untitled_repeats_of_a_name():
     assert n == 5 and "anna " not in new.lower() and "müller" not in new.lower()
 
 
+def test_who_is_found():
+    """Probes: untitled mentions, names of the title's gender, national numbers, and numbers that are nobody's."""
+    new, n = s.rewrite("Mr John Smith said. John Smith said.", KEY)
+    assert n == 2 and "John" not in new and "Smith" not in new and new.split()[1:3] == new.split()[4:6]
+    mrs, mr = s.rewrite("Mrs Fiona Brown", KEY)[0].split(), s.rewrite("Mr Kevin Brown", KEY)[0].split()
+    assert mrs[2] == mr[2] and all(x in s.SURNAMES for x in mrs[2].split("-"))
+    assert all(x in s.FEMALE_NAMES for x in mrs[1].split("-")) and all(x in s.MALE_NAMES for x in mr[1].split("-"))
+    both = s.rewrite("Dr Fiona Brown, that is Mrs Fiona Brown", KEY)[0].replace(",", "").split()
+    assert both[1:3] == both[6:8]
+    assert [k for _, _, k in s.find("call 07700 900123 or 0211 123 4567")] == ["phone", "phone"]
+    assert [(k, a) for a, _, k in s.find("Passport No: X1234567 and passport 123456789")] == [("passport", 13), ("passport", 35)]
+    assert not s.find("version 1.2.3.4, v10.20.30.40, order 1234567890123 and 4111111111111112, passport photo")
+    assert [k for _, _, k in s.find("my visa card 4111111111111112, host 1.2.3.4")] == ["card", "ipv4"]
+
+
+def test_long_texts_take_linear_time():
+    text = " ".join(f"user{k}@host{k % 97}.org 10.{k % 200}.{k % 99}.7 +1 555 {k % 900 + 100} 4567" for k in range(30_000))
+    began = time.process_time()
+    assert len(s.find(text)) == 90_000
+    assert time.process_time() - began < 20
+
+
+def test_the_key_has_no_default(spark):
+    with pytest.raises(TypeError):
+        s.surrogates(spark.createDataFrame([("x",)], "text string"))
+    assert s.session_key(spark) != s.session_key(spark)
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, "nothing here"), (4, "mail a.b@c.org"), (4, "mail a.b@c.org"), (None, "call +1 555 123 4567"), (5, "x@y.org " * 20_000)]
     docs = spark.createDataFrame([(*r, 9, "k") for r in rows], "doc_id long, text string, n_entities int, kind string")

@@ -139,6 +139,7 @@ def build(v: np.ndarray) -> np.ndarray:
     c = min(CANDIDATES, n - 1)
     if c <= 0:
         return np.full((n, NEAR + LONG), -1)
+    v = v.astype(np.float32)
     near = np.empty((n, c), np.int64)
     for lo in range(0, n, 512):
         s = v[lo : lo + 512] @ v.T
@@ -177,12 +178,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(v: np.ndarray, edges: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of similarity >= threshold: greedy search from the medoid, then outward through all in range.
+    """(query, node) pairs of similarity >= threshold, and some just below: greedy search from the medoid, then outward through all in range.
 
     edges: (n, r) indices, -1 for none. own: each query's node, -1 if it is none of this graph's; its edges
     are followed too. Pairs hold no query with its own node.
     """
     n, q = len(v), len(queries)
+    v, queries, threshold = v.astype(np.float32), queries.astype(np.float32), threshold - 1e-5  # pairs are verified later
     beam = min(beam, n)
     medoid = int((v @ v.mean(0)).argmax())
     seen = np.zeros((q, n + 1), bool)  # the last column stands for no node
@@ -191,7 +193,7 @@ def search(v: np.ndarray, edges: np.ndarray, queries: np.ndarray, own: np.ndarra
     done = np.ones((q, beam), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = medoid, queries @ v[medoid], False
     seen[:, medoid] = True
-    padded, table = np.concatenate([v, np.zeros((1, v.shape[1]))]), np.concatenate([np.where(edges < 0, n, edges), np.full((1, edges.shape[1]), n)])
+    padded, table = np.concatenate([v, np.zeros((1, v.shape[1]), np.float32)]), np.concatenate([np.where(edges < 0, n, edges), np.full((1, edges.shape[1]), n)])
     inside: list[tuple[np.ndarray, np.ndarray]] = [(rows[sims[:, 0] >= threshold], np.full(int((sims[:, 0] >= threshold).sum()), medoid))]
     for _ in range(2 * beam):
         pick = np.where(done, -np.inf, sims).argmax(1)
@@ -431,7 +433,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, beam: int = 32, ma
     lists = run_arrow(built.select("shard", "rep", "member", "border", "out"), _lists, "rep long, shard long, out array<long>")
     shared = lists.groupBy("rep").agg(F.collect_set("shard").alias("shards"), F.array_distinct(F.flatten(F.collect_list("out"))).alias("out")).where(F.size("shards") > 1)
     extra = shared.select("rep", "out", F.explode("shards").alias("shard")).groupBy("shard").agg(F.collect_list(F.struct("rep", "out")).alias("extra"))
-    found, _ = stored(run_arrow(built.drop("border").join(extra, "shard", "left"), _search, found_columns, kind=kind, threshold=threshold, beam=beam), "links")
+    found, _ = stored(run_arrow(built.drop("border").repartition(tasks, "shard").join(extra.repartition(tasks, "shard"), "shard", "left"), _search, found_columns, kind=kind, threshold=threshold, beam=beam), "links")
     drop_path(spark, built_path)
 
     recall, poor = None, []

@@ -33,9 +33,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .surrogates import surrogates
+    from .surrogates import session_key, surrogates
 
-    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,20 +5,23 @@ alphabet (digits, vowels, consonants, hexadecimal digits, ...), are one number o
 Feistel network permutes those numbers. So one entity has one surrogate everywhere, however it is spaced
 or capitalised, and two entities never share one. A shift inside the permutation leaves no entity as it
 was. A check over the corpus re-keys those whose surrogate is another real entity, until none is left.
-Names are entities word by word; a listed given name after a title stands for another listed one.
+Names are entities word by word. A listed given name after a title stands for another listed one of its
+gender; other given names become double ones of the title's gender and surnames double surnames, where they
+are in Latin letters; names in other scripts keep their script.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +33,8 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
 OPEN_TITLES = ["Dr", "Prof"]
 MALE_NAMES = ["Adam", "Alexander", "Andrew", "Anthony", "Antonio", "Benjamin", "Carlos", "Charles", "Christian", "Daniel", "David", "Edward", "Felix", "Francisco", "Frank", "George", "Hans", "Henri", "Jack", "Jacques", "James", "Jean", "John", "José", "Juan", "Jürgen", "Klaus", "Louis", "Luis", "Manuel", "Mark", "Martin", "Michael", "Miguel", "Nicolas", "Oliver", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "Tim", "William", "Wolfgang"]
 FEMALE_NAMES = ["Alice", "Amanda", "Ana", "Andrea", "Angela", "Anna", "Barbara", "Carla", "Carmen", "Catherine", "Charlotte", "Christine", "Claire", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Françoise", "Greta", "Heidi", "Helena", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Laura", "Linda", "Lisa", "Lucía", "Margaret", "Maria", "Marie", "Mary", "Monika", "Nathalie", "Nicole", "Olivia", "Patricia", "Pilar", "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Ursula"]
+SURNAMES = ["Alonso", "Andersen", "Bauer", "Becker", "Bennett", "Bernard", "Blanc", "Bonnet", "Braun", "Carter", "Castro", "Clarke", "Cooper", "Cruz", "Delgado", "Dubois", "Durand", "Evans", "Faure", "Ferrari", "Fischer", "Fontaine", "Fuchs", "Garnier", "Girard", "Gomez", "Gray", "Hansen", "Harris", "Hartmann", "Herrera", "Hoffmann", "Hughes", "Jensen", "Keller", "Klein", "Kowalski", "Lambert", "Lange", "Larsen", "Leroy", "Lopez", "Marchand", "Mason", "Mercier", "Molina", "Moreau", "Morgan", "Neumann", "Nielsen", "Novak", "Ortega", "Parker", "Perrin", "Ramos", "Reyes", "Richter", "Romano", "Rossi", "Schmitt", "Schulz", "Turner", "Vogel", "Wagner"]
+LISTS = {"name": SURNAMES, "male": MALE_NAMES, "female": FEMALE_NAMES, "given": [*MALE_NAMES, *FEMALE_NAMES]}
 # Alphabets whose characters are exchanged among themselves.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöùúûü", "çñýÿß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 HEX = "0123456789abcdef"
@@ -45,11 +50,15 @@ KINDS: dict[str, str] = {
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w]|-\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+-])0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?![\w-])",
+    "passport": r"(?<!\w)(?i:passport|reisepass|passeport|pasaporte)(?:\s+(?i:no|nr|number|nummer|numéro|número))?[.:]?\s+([A-Z]{0,2}\d{6,9}|[A-Z0-9]*\d[A-Z0-9]{7,8})(?!\w)",
     "name": rf"(?<!\w)(?:{_TITLE})\.?\s+{_NAME}(?:\s+{_NAME})?",
 }
 #: Kinds that need a digit, and what else a text must hold for a kind to be looked for.
-NUMERIC = ("iban", "ipv4", "ipv6", "ssn", "card", "phone")
+NUMERIC = ("iban", "ipv4", "ipv6", "ssn", "card", "phone", "passport")
+#: What stands before four numbers that are a version and no address, or before a number that is a card's whatever its last digit.
+VERSION = re.compile(r"(?i)(?:\bv|\bver|version|release|build|revision)[ .:=]*\Z")
+CARD = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|karte|kreditkarte|carte|tarjeta)\W+(?:\w+\W+){0,2}\Z")
 MARKS: dict[str, list[str]] = {
     "email": ["@"], "secret": [*"0123456789", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xox", "AKIA"], "assigned": ['="', "='", '= "', "= '", ':"', ":'", ': "', ": '"],
     "name": [t + end for t in (*MALE_TITLES, *FEMALE_TITLES, *OPEN_TITLES) for end in (" ", ".", "\n", "\t")],
@@ -79,11 +88,24 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for kind, pattern in _patterns().items():
         if not (digits if kind in NUMERIC else any(m in text for m in MARKS[kind])):
             continue
+        starts, new = [a for a, _, _ in taken], []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
-                taken.append((m.start(), m.end(), kind))
+            a, b = m.span(1) if kind == "passport" else m.span()
+            k = bisect_left(starts, b)  # what is taken does not overlap, so one neighbour tells
+            if not (k and taken[k - 1][1] > a) and _real(kind, text, a, b):
+                new.append((a, b, kind))
+        taken = sorted(taken + new) if new else taken
     names = [text[a:b].split()[1:] for a, b, kind in taken if kind == "name"]
-    return sorted(taken + _repeats(text, names, sorted(taken))) if names else sorted(taken)
+    return sorted(taken + _repeats(text, names, taken)) if names else taken
+
+
+def _real(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether what looks like an entity is one: cards have a check digit or are called so, versions are no addresses."""
+    if kind == "card":
+        return luhn(canonical(kind, text[a:b])) or bool(CARD.search(text, max(0, a - 40), a))
+    if kind == "ipv4":
+        return not VERSION.search(text, max(0, a - 12), a)
+    return True
 
 
 def _repeats(text: str, names: list[list[str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -192,7 +214,7 @@ def canonical(kind: str, text: str) -> str:
         return "".join(c for c in text if c.isdigit())
     if kind == "iban":
         return text.replace(" ", "")
-    if kind in ("secret", "assigned"):
+    if kind in ("secret", "assigned", "passport"):
         return text
     if kind == "name":
         return " ".join(unicodedata.normalize("NFC", w).casefold() if w.lower() != w.casefold() else unicodedata.normalize("NFC", w).lower() for w in text.split()[1:])
@@ -212,6 +234,16 @@ def _given(word: str, gender: str, p: Permutation) -> str | None:
     return None
 
 
+def _invented(kind: str, entity: str, p: Permutation, parts: int) -> str:
+    """A name of several listed ones, no two neighbours of them equal, picked by a keyed hash of the entity."""
+    listed, at = LISTS[kind], []
+    for k in range(parts):
+        n = len(listed) - (k > 0)
+        x = p._prf(n, "listed", k, entity)
+        at.append(x + (k > 0 and x >= at[-1]))
+    return "-".join(listed[k].lower() for k in at)
+
+
 def _syllables(entity: str, p: Permutation, tweak: int) -> str:
     """Letters picked by a keyed hash of the whole entity, more of them at higher tweaks."""
     n = max(2, -(-len(entity) // 2), tweak - FREE + 2)
@@ -235,7 +267,9 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
         return ".".join(str(b) for b in x.to_bytes(4, "big"))
     if kind == "ipv6":
         return p.text(entity, [HEX])
-    if kind == "name":
+    if kind in LISTS:
+        if all(ord(c) < 0x250 for c in entity) and tweak < 2 * FREE:
+            return _invented(kind, entity, p, 2 if tweak < FREE else 3)
         new = p.text(entity)
         return _syllables(entity, p, tweak) if tweak >= FREE or new == entity else new
     if kind == "email":
@@ -247,7 +281,7 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
         return f"{new}@{Permutation(key, f'domain/{tweak}').text(host)}.{top}"
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
         return p.text(entity, [HEX if entity == entity.lower() else HEX.upper()])
-    if kind in ("secret", "assigned", "iban"):
+    if kind in ("secret", "assigned", "iban", "passport"):
         kept = {"iban": 2}.get(kind, 0) or next((len(x) for x in ("AKIA", "sk-", "pk-", "sk_", "pk_", "ghp_", "gho_") if entity.startswith(x)), 0)
         return entity[:kept] + p.text(entity[kept:], ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
     if kind == "phone" and len(entity) > 10:  # the country's code stays
@@ -255,18 +289,20 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
     return p.text(entity)
 
 
-def _roles(mention: str, key: bytes) -> list[tuple[str, str | None]]:
-    """(canonical word, the listed name it becomes or None) of each word of a name after a title."""
+def _roles(mention: str, key: bytes) -> list[tuple[str, str, str | None]]:
+    """(kind, canonical word, the listed name it becomes or None) of each word of a name after a title."""
     title, *words = mention.split()
-    low = [canonical("name", f"x {w}") for w in words]
-    first = _given(low[0], _gender(title), Permutation(key, "name/0")) if len(low) > 1 else None
-    return [(w, first if k == 0 else None) for k, w in enumerate(low)]
+    low, gender = [canonical("name", f"x {w}") for w in words], _gender(title)
+    if len(low) == 1:
+        return [("name", low[0], None)]
+    first = _given(low[0], gender, Permutation(key, "name/0"))
+    return [({"m": "male", "f": "female"}.get(gender, "given"), low[0], first), *(("name", w, None) for w in low[1:])]
 
 
 def _images(mention: str, key: bytes, tweaks: dict[tuple[str, str], int]) -> tuple[tuple[str, ...], list[str]]:
     """The canonical words of a name after a title, and their surrogates."""
     roles = _roles(mention, key)
-    return tuple(w for w, _ in roles), [given or surrogate("name", w, key, tweaks.get(("name", w), 0)) for w, given in roles]
+    return tuple(w for _, w, _ in roles), [given or surrogate(kind, w, key, tweaks.get((kind, w), 0)) for kind, w, given in roles]
 
 
 def _renamed(words: list[str], images: list[str]) -> list[str]:
@@ -276,7 +312,7 @@ def _renamed(words: list[str], images: list[str]) -> list[str]:
         if sum(map(str.isalnum, w)) == sum(map(str.isalnum, new)) and len(w) == len(new):
             out.append(_refit(w, new))
         else:
-            out.append(new.upper() if w.isupper() else new.capitalize())
+            out.append(new.upper() if w.isupper() else "-".join(x.capitalize() for x in new.split("-")))
     return out
 
 
@@ -310,8 +346,9 @@ def rewrite(text: str | None, key: bytes, tweaks: dict[tuple[str, str], int] | N
         if kind in ("name", "untitled"):
             parts = re.split(r"(\s+)", mention)
             own = parts[0 if kind == "untitled" else 2 :: 2]
-            if kind == "name":
-                images = _images(mention, key, tweaks)[1]
+            if kind == "name":  # one person has one name in a document, whatever the title
+                words, images = _images(mention, key, tweaks)
+                images = whole.get(words, images)
             else:
                 low = tuple(canonical("name", f"x {w}") for w in own)
                 images = whole.get(low) or [single[w] for w in low]
@@ -329,7 +366,7 @@ def _keyed(text: str | None, key: bytes) -> set[tuple[str, str]]:
     out = set()
     for a, b, kind in find(text):
         if kind == "name":
-            out |= {(kind, w) for w, given in _roles(text[a:b], key) if given is None}
+            out |= {(role, w) for role, w, given in _roles(text[a:b], key) if given is None}
         elif kind != "untitled":
             out.add((kind, canonical(kind, text[a:b])))
     return out
@@ -387,9 +424,18 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, tweaks: dict, last:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.string()), pa.array(n, pa.int32())], [*batch.schema.names, "n_entities"])
 
 
-def surrogates(docs: DataFrame, key: bytes = b"tracery", text: str = "text", bound: int = 50_000) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret (spark.tracery.surrogates.key), or else one of this call's own, which nobody can undo."""
+    given = spark.conf.get("spark.tracery.surrogates.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
+def surrogates(docs: DataFrame, key: bytes, text: str = "text", bound: int = 50_000) -> DataFrame:
     """docs with the entities of its text column replaced, and n_entities added at the end.
 
+    key is a secret of at most 64 bytes: who has it can undo the surrogates. The work on a text grows with its
+    length, however many entities it holds; where patterns tie for a place the kind listed first takes it.
+
     All other columns stay as they are, whatever their names but n_entities, which is replaced. A null text
     stays null with 0 entities, an empty one empty; repeated rows get the same replacement; no rows give no
     rows. The entities that collide go to the tasks when they are at most `bound`; else the text column is
