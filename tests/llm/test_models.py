@@ -79,6 +79,18 @@ def test_features_are_the_same_in_chunks():
     assert set(f("ab cd ab cd ab cd").tolist()) <= set(f(long).tolist()) and len(f("")) == len(f(None)) == 0
 
 
+def test_words_are_whole_whatever_the_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        words = ["".join(rng.choice(list("abé"), rng.integers(1, 40 if rng.random() < 0.9 else 900))) for _ in range(rng.integers(1, 200))]
+        text = "".join(w + ("" if rng.random() < 0.02 else " " * int(rng.integers(1, 90))) + (w + " ") * int(rng.random() < 0.2) for w in words)
+        whole = nbsvm.Features()(text)
+        monkeypatch.setattr(nbsvm, "CHUNK", 64)
+        assert (nbsvm.Features()(text) == whole).all()
+        monkeypatch.undo()
+    assert len(nbsvm.Features()("word " * 700_000)) and len(nbsvm.Features()("y" * 3_000_000))
+
+
 def test_quality_cases(spark):
     rows = [(k, "clean words of a text" if k % 2 else "buy buy buy now") for k in range(60)] + [(60, None), (61, ""), (None, "x"), (3, "again"), (62, "y" * 300_000)]
     docs = spark.createDataFrame([(*r, 1.0, 0) for r in rows], "doc_id long, text string, score double, label int")

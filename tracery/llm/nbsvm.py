@@ -38,32 +38,64 @@ class Features:
                 code = code[:-1] * np.uint64(256) + part[n - 1 :] if len(part) >= n else part[:0]
                 if n in BYTE_GRAMS:
                     found.append(self._distinct(self._hash(code, n)))
-            found.append(self._distinct(self._words(raw[lo : lo + CHUNK])))
+        before = np.zeros(0, np.uint64)  # the last words of the part before: n-grams go on across parts
+        lo = 0
+        while lo < len(raw):
+            hi = self._end_of_word(raw, lo + CHUNK)
+            own = self._codes(raw[lo:hi]) if hi - lo <= 2 * CHUNK else np.array([self._long(w) for w in raw[lo:hi].tobytes().split()], np.uint64)
+            code = np.concatenate([before, own])
+            found.append(self._distinct(self._words(code, len(before))))
+            before, lo = code[-max(WORD_GRAMS) :], hi
         return np.sort(self._distinct(np.concatenate(found)))
 
+    @staticmethod
+    def _end_of_word(raw: np.ndarray, at: int) -> int:
+        """The first place from `at` on that stands before white space, so that no word is cut; a word may be any length."""
+        while at < len(raw):
+            part = raw[at : at + CHUNK]
+            space = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+            if len(space):
+                return at + int(space[0])
+            at += CHUNK
+        return len(raw)
+
     def _hash(self, code: np.ndarray, n: int) -> np.ndarray:
         h = (code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def _words(self, raw: np.ndarray) -> np.ndarray:
-        """Hashed word n-grams, where a repeated word is written as a mark of its own."""
+    def _codes(self, raw: np.ndarray) -> np.ndarray:
+        """A hash of each word."""
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if not len(start):
-            return np.zeros(0, np.int64)
-        place = np.arange(len(raw), dtype=np.uint64)
+            return np.zeros(0, np.uint64)
         total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self._powers(len(raw)))])
-        code = mixed((total[end] - total[start]) * self._inverse(place[start]))
+        return mixed((total[end] - total[start]) * self._inverse(start))
+
+    def _long(self, word: bytes) -> int:
+        """The hash of one word, a part at a time."""
+        total = 0
+        for at in range(0, len(word), CHUNK):
+            part = np.frombuffer(word, np.uint8, min(CHUNK, len(word) - at), at).astype(np.uint64) + np.uint64(1)
+            total += int((part * self._powers(len(part))).sum()) * pow(self.BASE, at, 1 << 64)
+        return int(mixed(np.array([total % (1 << 64)], np.uint64))[0])
+
+    def _words(self, code: np.ndarray, known: int) -> np.ndarray:
+        """Hashed word n-grams that end behind the first `known` words; a word equal to the one before is written as a mark of its own."""
+        code = code.copy()
         code[1:][code[1:] == code[:-1]] = np.uint64(61)
+        if known >= max(WORD_GRAMS):  # that first word was only needed to tell whether the second repeats it
+            code, known = code[1:], known - 1
         out = []
         for n in WORD_GRAMS:
-            if len(code) >= n:
-                h = np.zeros(len(code) - n + 1, np.uint64)
+            first = max(0, known - n + 1)
+            if len(code) - first >= n:
+                h = np.zeros(len(code) - first - n + 1, np.uint64)
                 for k in range(n):
-                    h = mixed(h * np.uint64(31) + code[k : len(code) - n + 1 + k])
+                    h = mixed(h * np.uint64(31) + code[first + k : len(code) - n + 1 + k])
                 out.append(self._hash(h & np.uint64((1 << 40) - 1), 8 + n))
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     BASE = pow(0x2545F4914F6CDD1D, 1, 1 << 64)
 
@@ -174,7 +206,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; learned from labelled rows whose crc32(doc_id) mod 3 is not 1.
 
     docs needs doc_id and text, labels doc_id and quality; other columns are ignored. A null or empty text
-    is scored by the bias alone. Null labels and null ids are not learned from; of repeated labels the mean
+    is scored by the bias alone; a very long one is read whole, a part at a time. A score of 0.5 counts as 1. Null labels and null ids are not learned from; of repeated labels the mean
     counts. Without labels of both kinds every score is the smoothed share of label 1. A null doc_id is not
     held out. Repeated rows each get a row; no documents give no rows.
     """
