@@ -1,5 +1,7 @@
 """Language identification and the quality classifier: held-out figures, what is learned from, and odd rows."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +32,25 @@ def test_unseen_words_back_off(spark):
     assert model.predict("\u00b2 schlüsselbund")[0] == "de"
 
 
+def test_counts_are_plain_counts(spark, sf):
+    """The model against plain counting of words and n-grams on the driver."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.lang is not None]
+    model = langid.learn(spark.createDataFrame([(r.doc_id, r.lang, r.text) for r in docs], "key long, lang string, text string"), max_docs=1 << 20)
+    for size in range(langid.LONGEST + 1):
+        count = {lang: Counter() for lang in model.langs}
+        for r in docs:
+            for w in langid.WORD.findall((r.text or "").lower()):
+                count[r.lang].update([w] if size == 0 else langid.grams(w, size))
+        kept = sorted(x for x in set().union(*count.values()) if sum(c[x] for c in count.values()) >= 2)
+        assert sorted(model.grams[size].at) == kept
+        for j, lang in enumerate(model.langs):
+            want = np.log((np.array([count[lang][x] for x in kept]) + 0.5) / (sum(count[lang].values()) + 0.5 * len(kept) + 1))
+            assert np.allclose(model.grams[size].rows[[model.grams[size].at[x] for x in kept], j], want)
+    text = max((r.text or "" for r in docs), key=len)
+    rows = np.array([model.word(w) for w in langid.WORD.findall(text.lower())])
+    assert model.predict(text)[0] == model.langs[int(rows.mean(0).argmax())]
+
+
 def test_language_cases(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !", None), (None, "the house", "en"), (5, "the house", "en"), (5, "the house", "en"), (7, "das haus " * 40_000, "de"), (9, "das haus", "de"), (12, "the house", "en")]
     docs = spark.createDataFrame([(*r, "x", 0.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_arrow
+from .common import drop_path, run_arrow, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -52,6 +52,7 @@ class Model:
     words: dict[str, int]
     word_rows: np.ndarray
     grams: list[Logs]
+    evidence: int = 10
     index: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
@@ -67,7 +68,12 @@ class Model:
         return (0.0,) * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score from 0 to 1) of a whole text; und and 0 if it has no letter or nothing was learned."""
+        """(language, score from 0 to 1) of a whole text; und and 0 if it has no letter or nothing was learned.
+
+        All words decide the language, by their mean log frequency; a tie goes to the first language in order.
+        The score is the language's share of the likelihoods of `evidence` mean words, or of all words if
+        there are fewer: words of a text depend on each other, and the product over all of them says 1 of any text.
+        """
         found = WORD.findall((text or "").lower())
         # WORD also matches numerals that are no decimal digits, such as \u00b2 and \u2167
         if not self.langs or not any(c.isalpha() for w in found for c in w):
@@ -86,44 +92,57 @@ class Model:
             at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
         mean = self.rows[at].mean(0)
         best = int(mean.argmax())
-        odds = np.exp((mean - mean[best]) * min(len(found), 10))
+        odds = np.exp((mean - mean[best]) * min(len(found), self.evidence))
         return self.langs[best], float(1 / odds.sum())
 
 
-def learn(rows: DataFrame, max_docs: int = 3000, max_words: int = 40_000, max_grams: int = 20_000) -> Model:
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, size, gram, n) of the n-grams of counted words (lang, word, n)."""
+    for batch in batches:
+        found: Counter = Counter()
+        for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for size in range(1, LONGEST + 1):
+                for g in grams(word, size):
+                    found[lang, size, g] += n
+        lang, size, gram = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "size", "gram", "n"])
+
+
+def learn(rows: DataFrame, max_docs: int = 3000, least: int = 2, evidence: int = 10) -> Model:
     """Fit on rows (key, lang, text) with a language.
 
-    Parameters that bound the model, whatever the corpus: about max_docs documents of each language, dealt
-    by a hash of key; max_words words of each language and max_grams n-grams of each length, most frequent first.
+    max_docs bounds the labelled sample: about so many documents of each language, dealt by a hash of key, so
+    the model's size does not grow with the corpus. Words and n-grams that the sample holds fewer than `least`
+    times count as unseen; all others are kept. They are counted in tasks, and the driver gathers what is kept.
     """
     rows = rows.where("lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, np.zeros((0, 0)), [])
+        return Model([], {}, np.zeros((0, 0)), [], evidence)
     dealt = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 20)))])
     sample = rows.where(dealt < share[F.col("lang")]).select("lang", F.col("text").cast("string"))
-    counted = run_arrow(sample, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, Counter] = {lang: Counter() for lang in langs}
-    by_gram: list[dict[str, Counter]] = [{lang: Counter() for lang in langs} for _ in range(LONGEST + 1)]
-    for r in counted.toLocalIterator():  # the sample's words: bounded by max_docs
-        words[r.lang][r.word] = r.n
-    for lang in langs:
-        for word, n in words[lang].items():
-            for k in range(1, LONGEST + 1):
-                for g in grams(word, k):
-                    by_gram[k][lang][g] += n
-
-    def logs(counts: dict[str, Counter], most: int) -> Logs:
-        kept = sorted({x for c in counts.values() for x, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most]})
-        total = {lang: sum(c.values()) for lang, c in counts.items()}
-        seen = np.array([[counts[lang][x] for lang in langs] for x in kept], np.float64).reshape(-1, len(langs))
-        whole = np.array([total[lang] + 0.5 * len(kept) + 1 for lang in langs])
-        return Logs({x: k for k, x in enumerate(kept)}, np.log((seen + 0.5) / whole))
-
-    known = logs(words, max_words)
-    return Model(langs, known.at, known.rows, [logs(c, max_grams) for c in by_gram])
+    counted, path = stored(run_arrow(sample, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    grammed = run_arrow(counted, _gram_counts, "lang string, size int, gram string, n long")
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
+    every = counted.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n").union(grammed).groupBy("size", "gram").agg(*by_lang)
+    every, every_path = stored(every, "grams")
+    own = [f"n{k}" for k in range(len(langs))]
+    totals = {r["size"]: [r[c] for c in own] for r in every.groupBy("size").agg(*[F.sum(c).alias(c) for c in own]).collect()}
+    kept = every.where(sum((F.col(c) for c in own), F.lit(0)) >= least).orderBy("size", "gram").toArrow()  # bounded by the sample
+    for p in (path, every_path):
+        drop_path(rows.sparkSession, p)
+    size, gram = kept.column("size").to_numpy(), kept.column("gram").to_pylist()
+    seen = np.stack([kept.column(c).to_numpy() for c in own], axis=1).astype(np.float64) if len(gram) else np.zeros((0, len(langs)))
+
+    def logs(of: int) -> Logs:
+        lo, hi = np.searchsorted(size, [of, of + 1])
+        whole = np.array(totals.get(of, [0] * len(langs))) + 0.5 * (hi - lo) + 1
+        return Logs({g: k for k, g in enumerate(gram[lo:hi])}, np.log((seen[lo:hi] + 0.5) / whole))
+
+    known, *by_size = (logs(of) for of in range(LONGEST + 1))
+    return Model(langs, known.at, known.rows, [known, *by_size], evidence)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -138,7 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     own = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string"))
     schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return run_arrow(own, _predict, schema, model=model)
+    return run_arrow(own, _predict, schema, model=model)  # the model's size is bounded by the sample
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -146,7 +165,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Needs doc_id, text, lang; other columns are ignored. A null doc_id is neither held out nor learned from;
     a null lang is not learned from; a text that is null or has no letter gives und with score 0, as every
-    text does when nothing could be learned. Repeated rows each get a row; no documents give no rows.
+    text does when nothing could be learned. A very long text is read whole; languages that tie go by name.
+    Repeated rows each get a row; no documents give no rows.
     """
     own = docs.select("doc_id", "lang", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
