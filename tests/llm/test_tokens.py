@@ -144,6 +144,14 @@ def test_several_files_and_long_texts(spark, library, tmp_path):
     assert written.count() > 3
     got = sorted(tuple(r) for r in rans.read_corpus(written, folder, table).collect())
     assert got == expected(texts, library)
+    assert {f.name for f in (tmp_path / "corpus").glob("part-*")} == {r.file for r in written.collect()}  # no attempt is left behind
+    largest = max(written.collect(), key=lambda r: r.blocks)
+    assert largest.blocks > 2
+    uri = f"{folder}/{largest.file}"
+    whole = [(d, p, i.tolist()) for d, p, i in rans.read_file(uri, table)]
+    for size in (1, 2, 3):  # any ranges of blocks give every document once
+        parts = [(d, p, i.tolist()) for k in range(0, largest.blocks, size) for d, p, i in rans.read_file(uri, table, k, k + size)]
+        assert parts == whole
     broken = max((tmp_path / "corpus").glob("part-*.rans"), key=lambda f: f.stat().st_size)
     raw = bytearray(broken.read_bytes())
     raw[40] ^= 1

@@ -8,7 +8,11 @@ range of ascending document ids. A file is
 A block holds up to BLOCK ids as LANES interleaved streams: the lanes' first states (a checkpoint that
 needs nothing before it), then 32-bit words in the order in which the lanes read them. The block index
 gives each block's place, size, ids and crc32; the document table each document's id and length.
-Any block can be decoded alone.
+Any block can be decoded alone, so files are read by ranges of blocks: a range gives the documents that
+begin in it, and goes on into the next blocks for the end of the last one.
+
+A file has a name of its own for each attempt to write it, and only the names that a finished job reports
+count: a lost attempt leaves a file that nobody reads, and it is deleted.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import drop_path, run_arrow, scratch_path, stored, uncollected
 from .tokens import word_tokens
 
-MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 32
+MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 16
+#: Blocks that one task decodes.
+RANGE = 32
 LOW = np.uint64(1 << 31)
 #: Words whose ids a worker keeps.
 WORDS = 400_000
@@ -130,12 +136,12 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[pa.Re
 
 
 class _Writer:
-    """One file, under a name of its own until it is whole; a repeated attempt writes the same bytes."""
+    """One file, under a name of its own."""
 
     def __init__(self, folder: str, bucket: int, table: Table):
         self.fs, base = fs.FileSystem.from_uri(folder)
-        self.path, self.own = f"{base}/part-{bucket:05d}.rans", f"{base}/_part-{bucket:05d}-{uuid.uuid4().hex}"
-        self.out, self.table, self.at = self.fs.open_output_stream(self.own), table, len(MAGIC)
+        self.name = f"part-{bucket:05d}-{uuid.uuid4().hex}.rans"
+        self.out, self.table, self.at = self.fs.open_output_stream(f"{base}/{self.name}"), table, len(MAGIC)
         self.out.write(MAGIC)
         self.index: list[tuple] = []
         self.docs: list[tuple] = []
@@ -163,7 +169,7 @@ class _Writer:
             self.out.write(block)
             self.at += len(block)
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> tuple[str, int, int, int]:
         self._flush(BLOCK)
         last = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
         if len(last):  # padded with the first id that has a frequency
@@ -173,10 +179,7 @@ class _Writer:
         self.out.write(index + docs)
         self.out.write(FOOTER.pack(self.at, len(self.index), len(self.docs), zlib.crc32(index + docs), MAGIC))
         self.out.close()
-        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.fs.delete_file(self.path)
-        self.fs.move(self.own, self.path)
-        return len(self.docs), self.total
+        return self.name, len(self.docs), self.total, len(self.index)
 
 
 def _write_files(batches: Iterator[pa.RecordBatch], folder: str, table: Table, kind: str) -> Iterator[pa.RecordBatch]:
@@ -190,12 +193,16 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str, table: Table, k
             writer.add(doc_id, np.frombuffer(ids, kind).astype(np.uint32))
     if writer:
         done.append((bucket, *writer.close()))
-    b, docs, ids = zip(*done, strict=True) if done else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(docs, pa.int64()), pa.array(ids, pa.int64())], ["bucket", "docs", "ids"])
+    columns = list(zip(*done, strict=True)) if done else [()] * 5
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "file", "docs", "ids", "blocks"])
+
 
+def read_file(uri: str, table: Table, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, place, ids) of each document of a file that begins in the blocks from first to before last.
 
-def read_file(uri: str, table: Table) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of each document of a file, its checksums checked; a few blocks are held at a time."""
+    place counts the file's ids before the document. Checksums are checked; a few blocks are held at a time.
+    """
     files, path = fs.FileSystem.from_uri(uri)
     with files.open_input_file(path) as f:
         size = f.size()
@@ -207,9 +214,13 @@ def read_file(uri: str, table: Table) -> Iterator[tuple[int | None, np.ndarray]]
             raise ValueError(f"{uri} is damaged")
         index = np.frombuffer(tail, INDEX, blocks)
         documents = np.frombuffer(tail, DOCS, docs, blocks * INDEX.itemsize)
-        held, have, done = [], 0, 0
-        for doc_id, known, n in documents.tolist():
-            while have < n:
+        begin = np.concatenate([[0], np.cumsum(index["ids"].astype(np.int64))])
+        places = np.cumsum(documents["ids"].astype(np.int64)) - documents["ids"]
+        lo, hi = np.searchsorted(places, [begin[min(first, blocks)], begin[blocks if last is None else min(last, blocks)]]).tolist()
+        held, have, done = [], 0, first
+        skip = int(places[lo] - begin[first]) if lo < hi else 0
+        for place, (doc_id, known, n) in zip(places[lo:hi].tolist(), documents[lo:hi].tolist(), strict=True):
+            while have < skip + n:
                 group = index[done : done + TOGETHER]
                 group = group[group["ids"] == group["ids"][0]]
                 f.seek(int(group["at"][0]))
@@ -220,19 +231,18 @@ def read_file(uri: str, table: Table) -> Iterator[tuple[int | None, np.ndarray]]
                 held.append(table.decode(got, -(-real // LANES) * LANES)[:, :real].reshape(-1))
                 have += real * len(group)
                 done += len(group)
-            joined = held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0, np.uint32)
-            yield doc_id if known else None, joined[:n]
-            held, have = [joined[n:]], len(joined) - n
+            joined = held[0] if len(held) == 1 else np.concatenate(held)
+            yield doc_id if known else None, place, joined[skip : skip + n]
+            held, have, skip = [joined[skip + n :]], len(joined) - skip - n, 0
 
 
 def _read_files(batches: Iterator[pa.RecordBatch], folder: str, table: Table) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for batch in batches:
-        for bucket, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for file, start, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             rows = []
-            for doc_id, ids in read_file(f"{folder}/part-{bucket:05d}.rans", table):
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                start += len(ids)
+            for doc_id, place, ids in read_file(f"{folder}/{file}", table, first, first + RANGE):
+                rows.append((doc_id, start + place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 if len(rows) == 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
                     rows = []
@@ -240,16 +250,17 @@ def _read_files(batches: Iterator[pa.RecordBatch], folder: str, table: Table) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
 
-def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_bytes: int = 16 << 20, max_files: int = 4096) -> tuple[DataFrame, Table]:
-    """Write all documents' ids in ascending doc_id order (nulls first) to folder; rows (bucket, docs, ids), and the table.
+def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_bytes: int = 16 << 20, max_files: int = 1 << 16) -> tuple[DataFrame, Table]:
+    """Write all documents' ids in ascending doc_id order (nulls first) to folder; rows (bucket, file, docs, ids, blocks), and the table.
 
-    The driver holds one count for each id of the vocabulary and one boundary for each file (at most max_files);
-    beyond that files grow longer, not more, and writers hold a few blocks of them at a time.
+    The driver holds one count for each id of the vocabulary and one boundary for each file (at most max_files:
+    1 TB of text in files of 16 MB; beyond that files grow longer, and are still read by ranges of blocks).
+    Writers hold a few blocks at a time.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = int(min(max_files, max(1, size // file_bytes)))
-    cuts = own.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files)).first()[0] if files > 1 else []
+    cuts = own.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(10_000, 20 * files))).first()[0] if files > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
     vocabulary = max(word_tokens(tokenizer).whole.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -263,27 +274,33 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     with files_fs.open_output_stream(f"{base}/table.bin") as f:
         f.write(counts.astype("<u8").tobytes())
     ordered = tokens.where("bucket >= 0").repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    written, _ = stored(run_arrow(ordered, _write_files, "bucket int, docs long, ids long", folder=folder, table=table, kind=kind), "files")
+    written, _ = stored(run_arrow(ordered, _write_files, "bucket int, file string, docs long, ids long, blocks long", folder=folder, table=table, kind=kind), "files")
     drop_path(docs.sparkSession, path)
+    counted = {r.file for r in written.select("file").collect()}  # at most max_files rows
+    for found in files_fs.get_file_info(fs.FileSelector(base)):
+        if found.base_name.endswith(".rans") and found.base_name not in counted:
+            files_fs.delete_file(found.path)
     return written, table
 
 
 def read_corpus(written: DataFrame, folder: str, table: Table) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     spark = written.sparkSession
-    at, rows = 0, []
+    at, rows, ranges = 0, [], 0
     for r in written.orderBy("bucket").collect():  # at most max_files rows
-        rows.append((r.bucket, at))
+        rows.append((r.file, at, r.blocks))
         at += r.ids
-    todo = spark.createDataFrame(rows, "bucket int, start long").repartition(max(1, len(rows)), "bucket")
-    return run_arrow(todo, _read_files, "doc_id long, start long, n_tokens long, ids_crc32 long", folder=folder, table=table)
+        ranges += -(-r.blocks // RANGE)
+    files = spark.createDataFrame(rows, "file string, start long, blocks long")
+    todo = files.select("file", "start", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(RANGE))).alias("first"))
+    return run_arrow(todo.repartition(max(1, min(ranges, 1 << 16))), _read_files, "doc_id long, start long, n_tokens long, ids_crc32 long", folder=folder, table=table)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write docs (doc_id, text; other columns are ignored) as token files in the shared folder and read them back.
 
-    A null or empty text is the end id alone; rows that repeat an id stand beside each other, each with
-    its own start; a null id comes first; no documents give no rows.
+    A null or empty text is the end id alone; a very long text spans blocks; rows that repeat an id stand
+    beside each other by their ids, each with its own start; a null id comes first; no documents give no rows.
     """
     folder = scratch_path(docs.sparkSession, "corpus")
     written, table = write_corpus(docs, folder, tokenizer, end_id)
