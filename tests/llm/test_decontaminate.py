@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,3 +97,26 @@ def test_an_edited_copy_in_thousands_of_documents(spark):
     want = {(k, 1): b / 80 for k, b in zip(texts, best.tolist(), strict=True) if b / 80 >= 0.5}
     assert len(want) == 2000
     assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests).collect()} == want
+
+
+@settings(deadline=None)
+@given(st.integers(0, 50), st.integers(0, 400), st.integers(1, 40))
+def test_windows_hold_every_run(first, size, span):
+    pieces = list(decontaminate.windows(first, first + size, span))
+    assert all(b - a <= 2 * span for a, b in pieces)
+    assert all(any(a <= k and min(first + size, k + span) <= b for a, b in pieces) for k in range(first, first + size))
+
+
+def test_a_document_that_repeats_an_item_over_millions_of_words(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40))
+    text = " ".join(f"{item} {k}" if k % 3 else item for k in range(50_000))
+    items = decontaminate.Items([(7, item)], 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["doc_id", "text"])
+    (found,) = decontaminate._candidates(iter([batch]), items)
+    assert max(len(w) for w in found.column(4).to_pylist()) <= 4 * 2 * decontaminate.SPAN * 40
+    tracemalloc.start()
+    (got,) = decontaminate._align(iter([found]), items, 0.5, {0: set()})
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert got.num_rows == found.num_rows and max(got.column(2).to_pylist()) == 1.0

@@ -17,9 +17,11 @@ from .common import mixed, run_arrow, stored
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words that an alignment with a positive score can span, in times of its item's words: each match pays for two others.
+SPAN = 3
 #: Bytes of benchmark text that tasks hold at once; a larger benchmark is taken in so many parts.
 ITEM_BYTES = 4 << 20
-#: Words of the passages that are aligned at once, and scores of distinct stretches that a task remembers.
+#: Words of the passages, and of the items, that are aligned at once, and scores of distinct stretches that a task remembers.
 ALIGNED_WORDS, KEPT_SCORES = 1 << 20, 1 << 16
 PAIRS = "doc_id long, item_id long, score double, start_word long, n_seeds int"
 
@@ -77,6 +79,14 @@ class Items:
         return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def windows(first: int, end: int, span: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a stretch of words, each of 2 x span words at most, such that every run of span words lies in one."""
+    yield first, min(end, first + 2 * span)
+    while first + 2 * span < end:
+        first += span
+        yield first, min(end, first + 2 * span)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     """For each stretch of a text that holds seeds of an item: the seeds, and the numbered words around them."""
     names = ["doc_id", "item", "seeds", "start", "words"]
@@ -96,8 +106,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.
             cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(begins) > size[1:])) + 1
             for group in np.split(np.arange(len(item)), cut):
                 n = int(size[group[0]])
-                lo, hi = max(0, int(begins[group[0]]) - n // 2), min(len(words), int(begins[group[-1]]) + n + n // 2)
-                rows.append((doc_id, int(item[group[0]]), np.unique(items.seed[which[group]]).view(np.int64), lo, words[lo:hi].astype("<i4").tobytes()))
+                first, end = max(0, int(begins[group[0]]) - n // 2), min(len(words), int(begins[group[-1]]) + n + n // 2)
+                for lo, hi in windows(first, end, SPAN * n):
+                    own = group if hi - lo == end - first else group[slice(*np.searchsorted(begins[group], [lo - n, hi]))]
+                    if len(own):
+                        rows.append((doc_id, int(item[group[0]]), np.unique(items.seed[which[own]]).view(np.int64), lo, words[lo:hi].astype("<i4").tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -106,7 +119,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.
 def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Best local alignment scores of passages with items, pair by pair, all pairs a row of the matrix at a time."""
     n, width, height = len(items), max(map(len, items), default=0), max(map(len, passages), default=0)
-    item, passage = np.full((n, width), -1), np.full((n, height), -2)
+    item, passage = np.full((n, width), -1, np.int32), np.full((n, height), -2, np.int32)
     for k, (p, w) in enumerate(zip(passages, items, strict=True)):
         item[k, : len(w)], passage[k, : len(p)] = w, p
     above, best = np.zeros((n, width + 1), np.int32), np.zeros(n, np.int32)
@@ -132,8 +145,11 @@ def _scores(pairs: list[tuple[int, bytes]], items: Items, threshold: float) -> l
     open_.sort(key=lambda x: x[:2])
     lo = 0
     while lo < len(open_):
-        hi = lo + 1
-        while hi < len(open_) and hi - lo < 512 and (hi + 1 - lo) * open_[hi][0] <= ALIGNED_WORDS:
+        hi, width = lo + 1, len(items.words[pairs[open_[lo][1]][0]])
+        while hi < len(open_) and hi - lo < 512:
+            width = max(width, len(items.words[pairs[open_[hi][1]][0]]))
+            if (hi + 1 - lo) * max(width, open_[hi][0]) > ALIGNED_WORDS:
+                break
             hi += 1
         own = [items.words[pairs[k][0]] for _, k, _ in open_[lo:hi]]
         best = smith_waterman([w for _, _, w in open_[lo:hi]], own)
@@ -169,10 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: floa
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Words are runs of
     letters, digits and underscores in lower case. An item's seeds are its n-grams of words (an item with
-    fewer is one seed), and every stretch of a document that holds one is aligned, however common the seed.
+    fewer is one seed), and every stretch of a document that holds one is aligned, however common the seed;
+    a very long stretch in overlapping pieces, such that every alignment with a score lies in one.
     n_seeds counts those of the stretch that are rare: in at most `common` times as many stretches as the
     item's median seed; it may be 0. score is the best local alignment's share of a full match's; rows below
-    the threshold are left out. Null and empty texts and items match
+    the threshold are left out; of stretches that tie the one with more rare seeds counts, then the first.
+    A benchmark of more than ITEM_BYTES takes a pass over docs for each so many bytes. Null and empty texts and items match
     nothing; null ids stay null; repeated documents each count; equal items are each reported. No
     documents or no items give no rows.
     """
