@@ -1,6 +1,7 @@
 """Every stage of the pipeline on its own input, against plain Python."""
 
 import re
+from pathlib import Path
 
 import pytest
 
@@ -98,5 +99,42 @@ def test_odd_documents(spark, sf):
         corpus_pipeline.STAGES[-1][1](spark, frame, sf).collect()
 
 
+def test_no_text_without_a_near_copy_is_lost(spark, sf):
+    """One id with several texts, and null ids: only near copies go."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(5)]
+    rows = [(1, texts[0]), (3, texts[0]), (3, texts[1]), (3, texts[2]), (3, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[3]), (4, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(1, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (4, texts[4])], key=str)
+
+
+def test_contaminated_documents_go_whatever_their_ids(spark, sf):
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    rows = [(1, "clean words only"), (1, f"before {item} after"), (None, item), (None, "more clean words"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(1, "clean words only"), (None, "more clean words"), (2, None), (3, "")], key=str)
+
+
+def test_scratch_tables_go(spark, sf):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    assert corpus_pipeline.run(spark, sf).count() > 100
+    left = {p.name.split("-")[1] for p in shared.iterdir() if p.name not in before}
+    assert left == {"pii_surrogates", "pieces"}  # what the result reads
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracery.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert common.shared_dir(session) == common.shared_dir(session)
+
+
 def test_ten_queries():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))

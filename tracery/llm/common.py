@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial, wraps
+from contextlib import contextmanager
+from functools import lru_cache, partial, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.gettempdir()}/tracery-{application}-{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, one of our own serves a local session, whose executors are its driver; on a cluster
+    it is an error, as each machine would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/tracery-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tracery-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracery-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made in here at the end: for a step whose result is written outside the shared folder or by `stored` before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_path(spark, path)
+
+
+def kept_table(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """stored(make(), name), without the scratch tables that making it took."""
+    path = scratch_path(spark, name)
+    with temporary(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

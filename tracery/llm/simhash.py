@@ -50,8 +50,8 @@ def covering_masks(radius: int) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(batch.num_columns - 1)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], masks: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -121,20 +121,42 @@ def fingerprint_edges(fps: DataFrame, radius: int, part: int = PART) -> DataFram
     return run_arrow(dealt.repartition("key").sortWithinPartitions("key", "fp"), _links, "a long, b long", radius=radius)
 
 
+def _components(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (fp, ...) with the component of their fingerprints."""
+    found = components(fingerprint_edges(nodes, radius)).select(F.col("node").alias("fp"), F.col("component").alias("_component"))
+    return nodes.join(found, "fp", "left").withColumn("component", F.coalesce("_component", "fp")).drop("_component")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
     docs has doc_id and text; other columns are ignored. Null, empty and wordless texts have fingerprint
-    zero and link like any other. Equal fingerprints are one node, so copies cost one row each; repeated
-    rows stay. A null doc_id is never a component's name while another id is in it. No documents give no rows.
+    zero and link like any other; a very long text is read whole, and a bit that is set in just half of its
+    hashes is 0. Equal fingerprints are one node, so copies cost one row each; repeated rows stay. A null
+    doc_id is never a component's name while another id is in it. No documents give no rows.
     """
-    spark = docs.sparkSession
-    own, _ = stored(run_arrow(docs.select("doc_id", F.col("text").cast("string")), _fingerprints, "doc_id long, fp long", words=words), "fps")
+    own, _ = stored(run_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long", words=words), "fps")
     nodes, path = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = components(fingerprint_edges(nodes, radius)).select(F.col("node").alias("fp"), "component")
-    named = nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = _components(nodes, radius)
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     groups, _ = stored(named.join(names, "component").select("fp", "component_id"), "groups")
-    drop_path(spark, path)
+    drop_path(docs.sparkSession, path)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(groups, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """docs without near-copies: of each group the row of the smallest doc_id (nulls last) stays, once.
+
+    Rows that share an id but not a text are told apart by a hash of the text; of rows that share both one
+    stays, whichever its other columns. All columns stay but `_row`. Groups are those of simhash_groups.
+    """
+    keyed = docs.drop("_row").withColumn("_row", F.xxhash64(F.col("text").cast("string")))
+    own, path = stored(run_arrow(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("text").cast("string")), _fingerprints, "doc_id long, _row long, fp long", words=words), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    nodes, nodes_path = stored(own.groupBy("fp").agg(first.alias("first")), "nodes")
+    firsts, _ = stored(_components(nodes, radius).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "firsts")
+    drop_path(docs.sparkSession, path)
+    drop_path(docs.sparkSession, nodes_path)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first"))
+    return keyed.join(firsts, same, "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
