@@ -171,3 +171,16 @@ def symbol_selector(kind: Column, name: Column, parent: Column) -> Column:
         .when(kind.isin("class", "struct", "type"), F.concat(F.lit("type:"), name))
         .otherwise(F.concat(kind, F.lit(":"), name))
     )
+
+
+def is_file_backed(path: Column, link: Column) -> Column:
+    """X26. Whether a link's path names a note's file: its stem, or its path with or without the extension, whatever the case."""
+    key, low = F.lower(link), F.lower(path)
+    return (F.lower(stem(path)) == key) | (low == key) | (F.regexp_replace(low, r"\.md$", "") == key) & low.endswith(".md")
+
+
+def portable_target(path: Column, link: Column) -> Column:
+    """X26. A link written with the stem of a note's file, its own text as alias unless it is that already."""
+    fragment = link_fragment(link)
+    own = F.concat(stem(path), F.when(fragment.isNotNull(), F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+    return F.when(own == link, own).otherwise(F.concat(own, F.lit("|"), link))

@@ -136,3 +136,25 @@ def is_text(head: Column) -> Column:
     """Whether a file's first kilobyte is text: no null byte, and no mark of a PDF or PNG file."""
     hexed = F.hex(F.substring(head, 1, 1024))
     return ~(hexed.rlike("^(?:..)*?00") | hexed.startswith("25504446") | hexed.startswith("89504E47"))
+
+
+def position(x: Column, offset: Column) -> Column:
+    """X17. Struct (line, utf16, chars) of a byte offset, all from zero: the column in code units of UTF-16 and in characters.
+
+    Null where the offset is beyond the text or within a character. A CR that ends the line with an LF at the
+    offset is no part of it.
+    """
+    raw = F.encode(x, "UTF-8")
+    before = F.decode(F.substring(raw, F.lit(1), offset.cast("int")), "UTF-8")
+    line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))
+    own = F.substring_index(before, "\n", -1)
+    ends = own.endswith("\r") & (F.hex(F.substring(raw, (offset + 1).cast("int"), F.lit(1))) == "0A")
+    own = F.when(ends, F.regexp_replace(own, r"\r\z", "")).otherwise(own)
+    found = F.struct(line.cast("long").alias("line"), utf16_length(own).alias("utf16"), F.char_length(own).cast("long").alias("chars"))
+    return F.when((offset >= 0) & (offset <= F.octet_length(raw)) & (F.octet_length(F.encode(before, "UTF-8")) == offset), found)
+
+
+def key_line(frontmatter: Column, needle: Column) -> Column:
+    """X25. The file's line of the first frontmatter line that holds a text, or of the first one; the opening mark is line 1."""
+    at = F.instr(frontmatter, needle)
+    return F.when(at > 0, line_number(frontmatter, at - 1) + 1).otherwise(F.lit(2).cast("long"))

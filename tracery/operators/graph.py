@@ -75,6 +75,11 @@ def governs(governed: DataFrame) -> DataFrame:
     return governed.select("decision", "path").distinct()
 
 
+def governing(governed: DataFrame, paths: DataFrame) -> DataFrame:
+    """J11. (path, decision), distinct: decisions of any status that govern a path; paths may be files (path, file)."""
+    return governed.join(paths.select("path", "file"), "path").select(F.col("file").alias("path"), "decision").distinct()
+
+
 def coverage_total(sources: DataFrame, governed: DataFrame) -> DataFrame:
     """source_files, governed_files, ungoverned_files; all decisions count, whatever their status."""
     n = sources.agg(F.count("*").alias("source_files"))

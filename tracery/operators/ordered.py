@@ -10,13 +10,32 @@ RANGE_ROWS, MOST_RANGES = 500_000, 4096
 
 
 def ranged(df: DataFrame, key: Column) -> DataFrame:
-    """df with _range: equal-width ranges of a numeric key, as many as the rows need. A null key comes first."""
+    """df with _range: ranges of a numeric key with about equally many rows, as many as they need. A null key comes first.
+
+    The ranges are cut at quantiles, so an outlier fills no range alone and crowds none; rows of one key stay together.
+    """
     number = key.cast("double")
-    low, high, rows = df.agg(F.min(number), F.max(number), F.count("*")).first()
+    rows = df.count()
     ranges = min(MOST_RANGES, max(1, rows // RANGE_ROWS))
-    if ranges == 1 or low is None or low == high:
+    if ranges == 1:
         return df.withColumn("_range", F.lit(0))
-    return df.withColumn("_range", F.coalesce(F.width_bucket(number, F.lit(low), F.lit(high), F.lit(ranges)), F.lit(0)).cast("int"))
+    cuts = df.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))])
+    place = F.size(F.filter(bounds, lambda b: b <= number)) if len(cuts or []) < 64 else _place(bounds, number)
+    return df.withColumn("_range", F.when(number.isNull(), F.lit(-1)).otherwise(place).cast("int"))
+
+
+def _place(bounds: Column, number: Column) -> Column:
+    """How many of the sorted bounds are at most the number, by halving."""
+    lo, hi = F.lit(0), F.size(bounds)
+    state = F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(bounds, mid) <= number)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_RANGES.bit_length())), state, half)["lo"]
 
 
 def running_sum(df: DataFrame, key: Column, order: list[Column], value: Column, name: str) -> DataFrame:
@@ -81,3 +100,12 @@ def asof_latest(sites: DataFrame, directives: DataFrame, key: str, order: list[s
     inside = Window.partitionBy(key, "_span").orderBy(*order, "_site").rowsBetween(Window.unboundedPreceding, 0)
     told = both.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)).where("_site = 1")
     return told.join(carried, [key, "_span"], "left").select(*sites.columns, F.coalesce("_inside", "_carried").alias(value))
+
+
+def snapshot_order(rows: DataFrame, latest: Column) -> DataFrame:
+    """W4. rows (snapshot, place, mtime) with position from 1: indexed ones in their order, then the others by time and hash, the latest last.
+
+    One task orders them: there are as many as a history keeps, and orphans.
+    """
+    w = Window.orderBy(latest, F.col("place").isNull(), "place", "mtime", "snapshot")
+    return rows.withColumn("position", F.row_number().over(w).cast("long"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pattern as code
 from ..functions.ids import trimmed
 from ..functions.text import denies, glob_prefix, glob_regex
 from .resolve import partial_paths
@@ -86,15 +87,57 @@ def denied_imports(imports: DataFrame, rules: DataFrame, scopes: DataFrame) -> D
     return imports.join(bad, "module").join(scopes.distinct(), ["rule", "path"]).select("rule", "path", "module").distinct()
 
 
+MATCHES = "id string, decision string, path string, line long, range string, text string, captures map<string,string>"
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in MATCHES.split(", ")]
+    kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())]
+    for batch in batches:
+        rows: list[tuple] = []
+        for path, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for p in asked:
+                if text and code.error(p["pattern"], p["rule"]) is None:
+                    rows += [(p["id"], p["decision"], path, line, place, found, list(captures.items())) for line, place, found, captures in code.matches(text, p["pattern"], p["rule"])]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def matches(files: DataFrame, policies: DataFrame, scope: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Match rows (id, decision, path, line, range, text, captures) of policies in the files that their decisions govern.
+
+    files: path, language, text; policies: id, decision, language, pattern, rule; scope: decision, path, as
+    governed() gives it; changed: path, if only those count. A file is read once for all policies of its
+    language and scope; policies that cannot be read match nothing (see declaration_errors).
+    """
+    asked = scope.select("decision", "path").distinct()
+    asked = asked if changed is None else asked.join(changed.select("path").distinct(), "path", "left_semi")
+    asked = asked.join(policies.select("decision", "id", "language", "pattern", "rule"), "decision")
+    asked = asked.groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
+    return files.join(asked, ["path", "language"]).select("path", "text", "asked").mapInArrow(_matches, MATCHES)
+
+
+def in_match_order(found: DataFrame) -> DataFrame:
+    """O5, O6. Match rows by path, line, range and text, and by captures where these tie."""
+    return found.orderBy("path", "line", "range", "text", F.to_json(F.array_sort(F.map_entries("captures"))))
+
+
+def violations(found: DataFrame) -> DataFrame:
+    """V9. A diagnostic for each match row."""
+    message = F.concat("decision", F.lit(" policy `"), "id", F.lit("` matched `"), "text", F.lit("`"))
+    return found.select(F.lit("error").alias("severity"), F.lit("policy-violation").alias("code"), "path", "line", message.alias("message"))
+
+
 def declaration_errors(patterns: DataFrame) -> DataFrame:
-    """(id, line, code) of unusable policy patterns (id, line, language, pattern, rule)."""
+    """(id, line, code) of unusable policy patterns (id, line, language, pattern, rule), with their path if they have one."""
     blank = lambda c: F.coalesce(trimmed(F.col(c)), F.lit("")) == ""
-    code = (
+    why = (
         F.when(blank("id"), "missing-policy-pattern-id")
         .when(F.col("pattern").isNotNull() & F.col("rule").isNotNull(), "ambiguous-policy-pattern-body")
         .when(F.col("language").isNull() & F.col("pattern").isNull() & F.col("rule").isNull(), "missing-policy-pattern-definition")
         .when(blank("language"), "missing-policy-pattern-language")
         .when(F.col("pattern").isNull() & F.col("rule").isNull(), "missing-policy-pattern-body")
         .when(blank("pattern") & blank("rule"), "empty-policy-pattern")
+        .when(F.udf(code.error, "string")("pattern", "rule").isNotNull(), "invalid-policy-pattern")
     )
-    return patterns.select("id", "line", code.alias("code")).where("code is not null")
+    return patterns.select(*[c for c in ("path", "id", "line") if c in patterns.columns], why.alias("code")).where("code is not null")

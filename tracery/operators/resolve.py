@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import link_fragment, link_target, slug, stem
+from ..functions.ids import is_line_fragment, link_fragment, link_target, slug, stem
 from .ordered import first_wins
 
 
@@ -62,7 +62,7 @@ def links(raw: DataFrame, notes: DataFrame, paths: DataFrame, symbols: DataFrame
     known = symbols.select(F.col("path").alias("_path"), F.col("selector").alias("_f")).distinct().withColumn("_symbol", F.lit(True))
     pattern = patterns.select(F.col("id").alias("key")).distinct().withColumn("_pattern", F.lit(True))
     once = once.join(found, "key", "left").join(known, ["_path", "_f"], "left").join(pattern, "key", "left")
-    line = F.coalesce(F.col("_f").rlike("^L[0-9]+(-L[0-9]+)?$"), F.lit(False))
+    line = F.coalesce(is_line_fragment(F.col("_f")), F.lit(False))
     source = F.col("_path").isNotNull() & (F.col("_f").isNull() | line | F.coalesce("_symbol", F.lit(False)))
     note = (F.col("_how") == "any") & F.col("note").isNotNull() & (F.col("_f").isNull() | F.coalesce(has_heading(F.col("headings"), F.col("_f")), F.lit(False)))
     kind = (

@@ -20,14 +20,14 @@ def told(rows: DataFrame, severity: str, code: str | Column, message: Column, li
     return rows.select(F.lit(severity).alias("severity"), own.alias("code"), "path", (F.lit(None).cast("long") if line is None else line).alias("line"), message.alias("message"))
 
 
-def note_rules(notes: DataFrame, decision_dir: str) -> DataFrame:
-    """V1-V3 and duplicate ids. notes: path, id, kind, title, status, headings (level, text, line), frontmatter_error, historical.
+def note_local_rules(notes: DataFrame, decision_dir: str) -> DataFrame:
+    """V1-V3. notes: path, id, kind, title, status, headings (level, text, line), frontmatter_error, historical.
 
     A note whose frontmatter cannot be read has no other diagnostics of its own.
     """
     bad = told(notes.where("frontmatter_error is not null"), "error", "invalid-frontmatter", F.col("frontmatter_error"), F.lit(1).cast("long"))
     good = notes.where("frontmatter_error is null")
-    here = F.col("path").startswith(f"{decision_dir}/") & (F.col("path") != f"{decision_dir}/README.md")
+    here = decision_path(F.col("path"), decision_dir)
     decision = good.where("kind = 'decision'")
     known = decision.where(ids.is_decision_id(F.coalesce("id", F.lit(""))))
     rows = [
@@ -40,11 +40,26 @@ def note_rules(notes: DataFrame, decision_dir: str) -> DataFrame:
         told(known.where(~ids.decision_file_ok(F.col("id"), F.col("path"))), "error", "adr-filename", F.concat(F.lit("file name does not match "), "id")),
         told(decision.where(document_error().isNotNull()), "error", "document-format", document_error()),
     ]
-    many = good.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    rows.append(told(good.join(many, "id"), "error", "duplicate-id", F.concat(F.lit("id is declared more than once: "), "id")))
     return reduce(DataFrame.union, rows)
 
 
+def duplicate_ids(notes: DataFrame) -> DataFrame:
+    """V7. Every note whose id another one declares too."""
+    good = notes.where("frontmatter_error is null")
+    many = good.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return told(good.join(many, "id"), "error", "duplicate-id", F.concat(F.lit("id is declared more than once: "), "id"))
+
+
+def note_rules(notes: DataFrame, decision_dir: str) -> DataFrame:
+    """V1-V3 and duplicate ids."""
+    return note_local_rules(notes, decision_dir).union(duplicate_ids(notes))
+
+
+def decision_path(path: Column, decision_dir: str) -> Column:
+    """F12. Whether a path is a decision's: a Markdown file under the folder, but for the README directly there."""
+    return path.startswith(f"{decision_dir}/") & path.endswith(".md") & (path != f"{decision_dir}/README.md")
+
+
 def document_error() -> Column:
     """What is wrong with a decision's document, else null; historical ones need no sections."""
     first = F.filter("headings", lambda h: h["level"] == 1)
@@ -101,15 +116,54 @@ def supersession_rules(decisions: DataFrame) -> DataFrame:
 
 
 def immutability(changes: DataFrame, allowed: DataFrame, decision_dir: str) -> DataFrame:
-    """V11. Changed decisions that are not allowed: accepted before (status_before), and not in allowed (path)."""
-    own = changes.where(F.col("path").startswith(f"{decision_dir}/") & (F.col("status") != "added") & (F.col("status_before") == "accepted"))
-    return told(own.join(allowed, "path", "left_anti"), "error", "adr-immutability-violation", F.lit("an accepted decision was changed"))
+    """V11. Changed decisions: changes (status, path, previous_path) that neither add nor copy one and are not in allowed (path).
+
+    allowed holds the exceptions by the path that the change leads to: proven receipts, renames of sources,
+    portable links, and what a branch alone has.
+    """
+    own = changes.where(~F.col("status").isin("added", "copied") & decision_path(F.coalesce("previous_path", "path"), decision_dir))
+    shown = F.concat_ws(" -> ", "previous_path", "path")
+    return told(own.join(allowed.select("path").distinct(), "path", "left_anti").withColumn("_shown", shown), "error", "adr-immutability-violation", F.concat("_shown", F.lit(": decisions are immutable; supersede it by a new one")))
+
+
+def scope_move(changes: DataFrame, config: str, before: str, now: str) -> DataFrame:
+    """V12. One diagnostic where a change of the configuration moves the decision folder and a decision changes with it."""
+    paths = changes.select(F.explode(F.array("path", "previous_path")).alias("path")).where("path is not null")
+    told_ = paths.agg(F.max(F.col("path") == config).alias("moved"), F.max(decision_path(F.col("path"), before) | decision_path(F.col("path"), now)).alias("decision"))
+    rows = told_.where(F.col("moved") & F.col("decision") & F.lit(before != now)).withColumn("path", F.lit(config))
+    return told(rows, "error", "decision-scope-move", F.lit(f"decisions move from {before} to {now} together with a change of a decision"))
+
+
+def widening(config: str, decision_dir: str) -> Column:
+    """F8. Whether a change (status, path, previous_path) needs everything to be checked."""
+    touched = [F.coalesce((F.col(c) == config) | F.col(c).startswith(f"{decision_dir}/"), F.lit(False)) for c in ("path", "previous_path")]
+    return F.col("status").isin("deleted", "renamed", "other") | touched[0] | touched[1]
 
 
 def needs_full_scan(changes: DataFrame, config: str, decision_dir: str) -> bool:
-    """F8. Whether a change set needs everything to be checked: a file went or moved, or configuration or a decision changed."""
-    wide = ~F.col("status").isin("added", "modified") | (F.col("path") == config) | F.col("path").startswith(f"{decision_dir}/")
-    return bool(changes.agg(F.max(wide)).first()[0])
+    """F8. Whether any change of a set does: a file went or moved, or the configuration or a decision changed."""
+    whole = changes if "previous_path" in changes.columns else changes.withColumn("previous_path", F.lit(None).cast("string"))
+    return bool(whole.agg(F.max(widening(config, decision_dir))).first()[0])
+
+
+def validate(notes: DataFrame, links: DataFrame, targets: DataFrame, decisions: DataFrame, declared: DataFrame, matched: DataFrame, decision_dir: str, changed: DataFrame | None = None) -> DataFrame:
+    """V14, F7. All diagnostics in order, or those of changed paths (path) alone.
+
+    notes, links, targets and decisions as the rules above take them; declared: path, line, code of policy
+    patterns that cannot be used; matched: policy diagnostics. A check of changed paths leaves out what
+    concerns several notes: ids declared twice and supersession.
+    """
+    definitions = told(declared, "error", F.col("code"), F.lit("policy pattern cannot be used"), F.col("line"))
+    local = [note_local_rules(notes, decision_dir), target_rules(targets), definitions, link_rules(links), matched.select("severity", "code", "path", "line", "message")]
+    own = reduce(DataFrame.union, local)
+    if changed is not None:
+        return in_order(own.join(changed.select("path").distinct(), "path", "left_semi").select("severity", "code", "path", "line", "message"))
+    return in_order(own.union(duplicate_ids(notes)).union(supersession_rules(decisions)))
+
+
+def severity_counts(diagnostics: DataFrame) -> DataFrame:
+    """A7. One row: errors, warnings."""
+    return diagnostics.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
 def in_order(diagnostics: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .recursion import cut
+
 #: Steps that an alias of an alias is followed.
 DEEPEST = 16
 
@@ -40,7 +42,7 @@ def expand_aliases(sites: DataFrame, directives: DataFrame) -> DataFrame:
     for _ in range(DEEPEST):
         found = active(front, own).where(F.col("alias") == F.substring_index("module", ".", 1))
         best = found.groupBy("id").agg(F.max_by(F.struct("target", "d_line", "d_site"), F.struct("d_line", "d_site")).alias("x"))
-        stepped = front.join(best, "id", "left")
+        stepped = cut(front.join(best, "id", "left"))  # each round reads it three times
         ended = stepped.where("x is null").select(*sites.columns)
         out = ended if out is None else out.union(ended)
         rest = F.regexp_replace("module", r"^[^.]*", "")
@@ -75,3 +77,15 @@ def visible_imports(sites: DataFrame, imports: DataFrame, callables: DataFrame)
     ok = ok & (F.col("only_kind").isNull() | (F.col("only_kind") == F.concat("kind", F.lit("s"))))
     one = matched.where(ok).groupBy("id").agg(F.min("target").alias("low"), F.max("target").alias("high"))
     return sites.select("id").distinct().join(one, "id", "left").select("id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"))
+
+
+def remote_callables(callables: DataFrame) -> DataFrame:
+    """J15. (module, name, arity, target): the one callable (id, module, name, arity) of each, else null."""
+    one = callables.groupBy("module", "name", "arity").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return one.select("module", "name", "arity", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"))
+
+
+def clause_groups(clauses: DataFrame) -> DataFrame:
+    """A12. Clauses (module, least, most, line) by module and arity: default arguments give several arities; ranges are merged."""
+    each = clauses.where("least <= most").withColumn("arity", F.explode(F.sequence("least", "most")))
+    return each.groupBy("module", "arity").agg(F.count("*").alias("clauses"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))

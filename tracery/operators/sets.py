@@ -25,6 +25,11 @@ def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFra
     return left.join(right, keys, "full").where("_a is null or _b is null").select(*keys)
 
 
+def intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """U3. Keys that both sides have, distinct."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def equal_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row, equal: whether both sides hold the same keys."""
     return symmetric_difference(a, b, keys).agg((F.count("*") == 0).alias("equal"))

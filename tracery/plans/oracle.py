@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.text import glob_regex
+from .oracle_parts import PATHS
 from .queries import ASKED, GLOBS, RULES, SCOPES
+from .validation_oracle import SQL as VALIDATION
 
 SYMBOLS = """symbols AS (SELECT 'part:' || p_partkey AS id, p_brand AS path, p_name || ' ' || p_brand AS name, lower(p_type) AS kind,
  p_size >= 25 AS exported, p_size % 5 = 0 AS top_level, p_partkey AS seq FROM part)"""
@@ -13,7 +14,6 @@ GOVERNED = "governed AS (SELECT DISTINCT 'supplier:' || l_suppkey AS decision, '
 NOTE_LINKS = """note_links AS (SELECT DISTINCT 'supplier:' || l_suppkey AS note, CASE WHEN l_suppkey % 10 = 0 AND p_size = 1 THEN p_brand ELSE 'part:' || p_partkey END AS target
  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50)"""
 USER_LINKS = "user_links AS (SELECT e.user_id AS note, p.user_id AS target FROM events e JOIN events p ON p.event_id = e.event_id - 1)"
-PATHS = "paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/|[?#].*$', '', 'g') AS path FROM pages)"
 DECISIONS = """decisions AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'draft' END AS status FROM orders),
  edges AS (SELECT * FROM (SELECT o_orderkey AS src, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)"""
 SHIPS = """a AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'ships' AS kind, 'part:' || l_partkey AS dst FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'),
@@ -24,8 +24,15 @@ def _values(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
+#: What each glob of the bindings means, written by hand.
+MEANT = {
+    "fr/*": "^fr/[^/]*$", "**/2*": "^(.*/)?2[^/]*$", "en/[1-3]??": "^en/[1-3][^/][^/]$", "{de,es}/*5": "^(de|es)/[^/]*5$", "zz/*": "^zz/[^/]*$", "825": "^825$", "en/30?": "^en/30[^/]$",
+    "economy": "^economy$", "small::red": "^small::red$", "*/blue/*": "^[^/]*/blue/[^/]*$", "Brand#1*": "^Brand#1[^/]*$", "*": "^[^/]*$", "Brand#?": "^Brand#[^/]$",
+}
+
+
 def _regexes(rows: list[tuple[str, str]]) -> str:
-    return _values([(a, b, glob_regex(b)) for a, b in rows])
+    return _values([(a, b, MEANT[b]) for a, b in rows])
 
 
 SUPERSEDED = f"""WITH RECURSIVE {DECISIONS}, closure(id) AS (SELECT e.dst FROM edges e JOIN decisions d ON d.id = e.src AND d.status = 'accepted'
@@ -118,7 +125,8 @@ SQL = {
     "debounce_sessions": """SELECT event_id, CAST(sum(fresh) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM
  (SELECT event_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL 250 MILLISECOND THEN 0 ELSE 1 END AS fresh FROM events)""",
     "state_summary": f"""WITH {SHIPS} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM b) AS edges, (SELECT count(DISTINCT p_brand) FROM part) AS sources, (SELECT count(*) FROM benchmark) AS patterns""",
-    "failure_categories": """SELECT o_orderpriority AS category, count(*) AS n, o_orderpriority = (SELECT min(o_orderpriority) FROM orders WHERE o_orderstatus = 'P') AS sets_code FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
+    "failure_categories": """WITH e AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN o_orderpriority ELSE 'other' END AS category FROM orders WHERE o_orderstatus = 'P')
+ SELECT category, count(*) AS n, category = (SELECT min(category) FROM e) AS sets_code FROM e GROUP BY 1""",
     "severity_counts": "SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS warnings FROM events",
     "affected_paths": "SELECT 'part:' || l_partkey AS path FROM lineitem UNION SELECT 'supplier:' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "changes": f"""WITH {SHIPS}, bf AS (SELECT dst AS path, min(src) || '/' || max(src) || '/' || count(*) AS hash FROM a GROUP BY 1), af AS (SELECT dst AS path, min(src) || '/' || max(src) || '/' || count(*) AS hash FROM b GROUP BY 1),
@@ -147,11 +155,12 @@ SQL = {
     "note_resolution": """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN (SELECT 'N' || min(n_nationkey) FROM nation WHERE n_regionkey = c_custkey % 8)
  ELSE (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey = c_custkey % 40) END AS note FROM customer""",
     "github_escape": r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS escaped_md5 FROM documents""",
-    "diagnostic_filter": f"WITH {PATHS} SELECT page_id FROM paths WHERE path LIKE '%12%' OR (contains(path, '/') AND regexp_replace(path, '/[^/]*$', '') LIKE '%es%')",
+    "diagnostic_filter": f"WITH {PATHS} SELECT page_id FROM paths WHERE contains(regexp_extract(path, '[^/]*$'), '12') OR (contains(path, '/') AND contains(regexp_replace(path, '/[^/]*$', ''), '12'))",
     "line_counts": "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line FROM documents",
     "remote_callables": """SELECT p_brand AS module, p_name AS name, CAST(p_size % 3 AS BIGINT) AS arity, CASE WHEN count(*) = 1 THEN min('part:' || p_partkey) END AS target FROM part GROUP BY 1, 2, 3""",
     "clause_groups": """SELECT l_partkey AS module, CAST(a AS BIGINT) AS arity, count(*) AS clauses, min(l_orderkey) AS first_line, max(l_orderkey) AS last_line
  FROM (SELECT l_partkey, l_orderkey, unnest(range(l_linenumber % 3, l_linenumber + 1)) AS a FROM lineitem WHERE l_linenumber % 3 <= l_linenumber) GROUP BY 1, 2""",
     "snapshot_order": """WITH o AS (SELECT r_regionkey * 25 + n_nationkey AS snapshot, CASE WHEN r_regionkey < 3 THEN n_nationkey * 5 + r_regionkey END AS place, n_nationkey % 4 AS mtime FROM region, nation)
  SELECT snapshot, row_number() OVER (ORDER BY snapshot = 7, place IS NULL, place NULLS FIRST, mtime, snapshot) AS position FROM o""",
+    **VALIDATION,
 }

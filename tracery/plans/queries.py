@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, hashing, ordered, policy, recursion, resolve, sets
+from ..operators import graph, hashing, ordered, policy, recursion, resolve, rules, scopes, sets
+from ..sources import notes
 from . import bind
 from .bind import micros, named, table
+from .validation import QUERIES as VALIDATION
 
 # Fixed values of the bindings: globs of decisions, import rules, the query of suggestions.
 GLOBS = [("d1", "fr/*"), ("d2", "**/2*"), ("d3", "en/[1-3]??"), ("d4", "{de,es}/*5"), ("d5", "zz/*"), ("d6", "825"), ("d7", "en/30?")]
@@ -64,8 +66,7 @@ def governs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def governing(spark: SparkSession, sf: str) -> DataFrame:
-    parts = bind.symbols(spark, sf).select(F.col("id").alias("path"), F.col("path").alias("brand"))
-    return bind.governed(spark, sf).join(parts, "path").select(F.col("brand").alias("path"), "decision").distinct()
+    return graph.governing(bind.governed(spark, sf), bind.symbols(spark, sf).select(F.col("id").alias("path"), F.col("path").alias("file")))
 
 
 def glob_scope(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +118,7 @@ def equal_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 def changed_policy_paths(spark: SparkSession, sf: str) -> DataFrame:
     changed = bind.shipments(spark, sf, True).select(F.col("dst").alias("path"))
-    return changed.intersect(bind.governed(spark, sf).select("path"))
+    return sets.intersection(changed, bind.governed(spark, sf), ["path"])
 
 
 def retention(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,8 +176,10 @@ def scope_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_extract(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return table(spark, sf, "pages").select("page_id", found.alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    """A page's links, its addresses written as links of a note."""
+    text_ = F.regexp_replace("html", r'href="([^"\[\]\n]+)"', "\n[[$1]]\n")
+    found = notes.notes(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), text_.alias("text")))
+    return found.select(F.col("path").cast("long").alias("page_id"), F.explode("links.link").alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 def link_resolve(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,14 +264,12 @@ def state_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def failure_categories(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    first = rows.agg(F.min("o_orderpriority").alias("_first"))  # five categories at most
-    return rows.crossJoin(first).select(F.col("o_orderpriority").alias("category"), "n", (F.col("o_orderpriority") == F.col("_first")).alias("sets_code"))
+    rows = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "P", "error").otherwise("warning").alias("severity"), F.lower("o_orderpriority").alias("code"))
+    return rules.report(rows, {f"{k}-{name.upper()}": [f"{k}-{name}"] for k, name in enumerate(("urgent", "high", "medium"), 1)})
 
 
 def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
-    return events.agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "signup").alias("warnings"))
+    return rules.severity_counts(table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warning").alias("severity")))
 
 
 def affected_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,8 +324,8 @@ def github_escape(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diagnostic_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bind.url_paths(spark, sf).select("page_id", "path", ids.parent_dir(F.col("path")).alias("code"))
-    return rows.where(F.contains("path", F.lit("12")) | F.contains("code", F.lit("es"))).select("page_id")
+    rows = bind.url_paths(spark, sf).select("page_id", ids.file_name(F.col("path")).alias("message"), ids.parent_dir(F.col("path")).alias("code"), F.lit("x").alias("path"))
+    return rules.containing(rows, "12").select("page_id")
 
 
 def line_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,25 +334,20 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def remote_callables(spark: SparkSession, sf: str) -> DataFrame:
     """(module, name, arity) to the one callable, else none."""
-    parts = table(spark, sf, "part").select(F.col("p_brand").alias("module"), F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("long").alias("arity"), named("part", "p_partkey").alias("id"))
-    one = parts.groupBy("module", "name", "arity").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    return one.select("module", "name", "arity", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"))
+    return scopes.remote_callables(table(spark, sf, "part").select(F.col("p_brand").alias("module"), F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("long").alias("arity"), named("part", "p_partkey").alias("id")))
 
 
 def clause_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses by module and name; default arguments give several arities; the ranges are merged."""
     c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("module"), (F.col("l_linenumber") % 3).cast("long").alias("least"), F.col("l_linenumber").cast("long").alias("most"), F.col("l_orderkey").alias("line"))
-    c = c.where("least <= most").withColumn("arity", F.explode(F.sequence("least", "most")))
-    return c.groupBy("module", "arity").agg(F.count("*").alias("clauses"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return scopes.clause_groups(c)
 
 
 def snapshot_order(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed snapshots in their order, then the others by time and hash, the latest last; place from 1."""
     o = table(spark, sf, "region").crossJoin(table(spark, sf, "nation").select("n_nationkey"))  # 125 rows
     o = o.select((F.col("r_regionkey") * 25 + F.col("n_nationkey")).alias("snapshot"), F.when(F.col("r_regionkey") < 3, F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("place"), (F.col("n_nationkey") % 4).alias("mtime"))
-    latest = F.col("snapshot") == 7
-    w = Window.orderBy(latest, F.col("place").isNull(), "place", "mtime", "snapshot")
-    return o.select("snapshot", F.row_number().over(w).cast("long").alias("position"))
+    return ordered.snapshot_order(o, F.col("snapshot") == 7).select("snapshot", "position")
 
 
 QUERIES = {
@@ -365,3 +361,4 @@ QUERIES = {
         github_escape, diagnostic_filter, line_counts, remote_callables, clause_groups, snapshot_order,
     )
 }
+QUERIES |= VALIDATION

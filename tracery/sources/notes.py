@@ -57,6 +57,73 @@ def scan(body: str, before: int = 0) -> tuple[list[dict], list[dict]]:
     return headings, links
 
 
+def link_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of a text's links; code blocks and code spans hold none."""
+    found, at = [], 0
+    lines = text.splitlines(keepends=True)
+    linked = {}
+    for link in scan(text)[1]:
+        linked.setdefault(link["line"], []).append(link["link"])
+    for k, line in enumerate(lines, 1):
+        code = [m.span() for m in SPAN.finditer(line)]
+        if k in linked:
+            found += [(at + m.start(), at + m.end(), m[1]) for m in LINK.finditer(line) if not any(a < m.end() and m.start() < b for a, b in code)]
+        at += len(line)
+    return found
+
+
+def path_decision(path: str) -> str | None:
+    """The decision id that a decision's file name gives."""
+    name = re.sub(r"\.md$", "", path.rsplit("/", 1)[-1])
+    if m := re.fullmatch(r"(?:ADR-)?(\d{8})-([a-z0-9]+(?:-[a-z0-9]+)*)", name):
+        return f"ADR-{m[1]}-{m[2]}"
+    m = re.fullmatch(r"(?:ADR-)?(\d{4})(?:-.*)?", name)
+    return f"ADR-{m[1]}" if m else None
+
+
+def portable(text: str | None) -> str | None:
+    """X23. A text whose links to decisions by file with the id as alias are written as that id alone."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for a, b, body in link_spans(text):
+        target, bar, alias = body.partition("|")
+        base, _, fragment = target.strip().partition("#")
+        alias = alias.strip()
+        own, _, own_fragment = alias.partition("#")
+        if bar and own and path_decision(base.strip()) == own and fragment.strip() == own_fragment.strip():
+            out += [text[at:a], f"[[{alias}]]"]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def governs_rewritten(text: str | None, new: dict[str, str] | None) -> str | None:
+    """X24. A note whose governs values are replaced by a map, each in its own quotes; null where its frontmatter cannot be rewritten."""
+    head, _, _ = split_frontmatter(text or "")
+    if head is None:
+        return None
+    first = (text or "").index("\n") + 1
+    out, inside, seen = [], False, False
+    for line in head.splitlines(keepends=True):
+        if line.strip() and not line[0].isspace() and not line.startswith("#"):
+            inside = line.rstrip("\r\n") == "governs:"
+            if line.startswith("governs:") and (not inside or seen):
+                return None
+            seen |= inside
+        elif inside and line.strip() and not line.lstrip().startswith("#"):
+            m = re.match(r"(\s*- )('(?:[^']|'')*'|\"(?:\\.|[^\"\\])*\"|[^\s'\"\[{&*!|>@`][^\r\n]*?)([ \t]*\r?\n)\Z", line)
+            if not m or m[2][0] not in "'\"" and " #" in m[2]:
+                return None
+            quote = m[2][0] if m[2][0] in "'\"" else ""
+            value = m[2][1:-1].replace("''", "'") if quote == "'" else re.sub(r"\\(.)", r"\1", m[2][1:-1]) if quote else m[2]
+            if value in (new or {}):
+                to = new[value]
+                to = to.replace("'", "''") if quote == "'" else to.replace("\\", "\\\\").replace('"', '\\"') if quote else to
+                line = f"{m[1]}{quote}{to}{quote}{m[3]}"
+        out.append(line)
+    return (text or "")[:first] + "".join(out) + (text or "")[first + len(head) :]
+
+
 def _strings(x: object) -> list[str]:
     return [str(v) for v in x] if isinstance(x, list) else []
 
