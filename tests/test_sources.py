@@ -104,6 +104,36 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 2
 
 
+@pytest.mark.parametrize("stop", ["staged", "installed", "committed"])
+def test_a_publication_may_stop_anywhere(spark, tmp_path, stop):
+    folder = f"file://{tmp_path}/state"
+    first = snapshots.publish(spark, folder, graph(spark, ["a"]))
+
+    def die(step):
+        if step == stop:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        snapshots.publish(spark, folder, graph(spark, ["a", "b"]), at=die)
+    seen = sorted(r.id for r in snapshots.load(spark, folder, "latest", "nodes").collect())
+    assert seen == (["a", "b"] if stop == "committed" else ["a"])
+    assert first in [x["root"] for x in snapshots.history(spark, folder)]
+    again = snapshots.publish(spark, folder, graph(spark, ["a", "b"]))
+    assert [x["root"] for x in snapshots.history(spark, folder)] == [first, again]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if not p.name.startswith(".")) == sorted([first, again, *(p.name for p in (tmp_path / "state").glob("index.*.json"))])
+    assert len(list((tmp_path / "state").glob("index.*.json"))) == 1
+
+
+def test_every_table_counts(spark, tmp_path):
+    folder = f"file://{tmp_path}/state"
+    patterns = [graph(spark, ["a"]) | {"patterns": spark.createDataFrame([(x,)], "id string")} for x in "pq"]
+    one, two = (snapshots.publish(spark, folder, t) for t in patterns)
+    assert one != two and [snapshots.load(spark, folder, r, "patterns").first().id for r in (one, two)] == ["p", "q"]
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "state" / one).rglob("*.parquet")}
+    assert snapshots.publish(spark, folder, patterns[0]) == one
+    assert {p: p.stat().st_mtime_ns for p in files} == files  # readers' files stay as they are
+
+
 def test_refresh(spark, tmp_path):
     drops, folder = tmp_path / "events", f"file://{tmp_path}/state"
     drops.mkdir()
@@ -115,7 +145,8 @@ def test_refresh(spark, tmp_path):
             raise OSError("no source")
         return graph(spark, ["n" * len(causes)])
 
-    handler = refresh.Refresh(rebuild, lambda t: snapshots.publish(spark, folder, t))
+    fresh = lambda: refresh.Refresh(spark, f"{folder}/own", rebuild, lambda t: snapshots.publish(spark, folder, t))
+    handler = fresh()
 
     def drop(name, *paths):
         (drops / name).write_text("\n".join(json.dumps({"path": p}) for p in paths))
@@ -127,12 +158,80 @@ def test_refresh(spark, tmp_path):
     fail[0] = True
     drop("3.json", "src/b.rs")
     assert handler.last == first and handler.errors == ["no source"] and handler.pending == "source"
+    handler = fresh()  # the process died
+    assert handler.pending == "source" and handler.last == first and handler.done == 2
     fail[0] = False
     drop("4.json", "docs/b.md")
     assert causes == ["source", "source", "source"] and handler.generation == 2 and handler.pending is None
     assert [x["root"] for x in snapshots.history(spark, folder)] == [first, handler.last]
 
 
+def test_a_configuration_that_changes_around_the_commit(spark, tmp_path):
+    config, published = [1], []
+
+    def commit(tables):
+        published.append(tables)
+        config[0] += 1
+        return "root"
+
+    handler = refresh.Refresh(spark, f"file://{tmp_path}/own", lambda why: {}, commit, lambda: config[0])
+    assert not handler.refresh("docs") and len(published) == 1 and handler.pending == "docs"
+    handler.commit = lambda tables: "root"
+    assert handler.refresh(None) and handler.pending is None
+    handler.rebuild = lambda why: config.__setitem__(0, 99) or {}
+    handler.commit = published.append
+    assert not handler.refresh("docs") and len(published) == 1
+
+
+def test_events_before_the_first_build_wait(spark, tmp_path):
+    order = []
+    handler = refresh.Refresh(spark, f"file://{tmp_path}/own", lambda why: order.append(why) or {}, lambda t: "r")
+    import threading
+
+    batch = spark.createDataFrame([("docs",)], "what string")
+    other = threading.Thread(target=lambda: handler(batch, 0))
+
+    def start():
+        other.start()
+        return "query"
+
+    assert refresh.started(handler, start) == "query"
+    other.join()
+    assert order == ["source", "docs"]
+
+
+def test_only_the_newest_load_publishes():
+    gone = []
+    r = refresh.Revisions(gone.append)
+    a, b = r.begin(), r.begin()
+    assert not r.publish(a, "late") and r.publish(b, "new") and r.current == "new" and gone == ["late"]
+    c = r.begin()
+    assert r.publish(c, "newer") and gone == ["late", "new"]
+
+
+def test_generations_follow_the_configuration():
+    class Query:
+        isActive = True
+
+        def stop(self):
+            self.isActive = False
+
+    config, made = ["a"], []
+
+    def start(c):
+        if c == "bad":
+            raise OSError("cannot watch")
+        made.append((c, Query()))
+        return made[-1][1]
+
+    g = refresh.Generations(lambda: config[0], start)
+    assert g.step() and g.step() and [c for c, _ in made] == ["a"]
+    config[0] = "bad"
+    assert not g.step() and not made[0][1].isActive and g.errors == ["cannot watch"]
+    config[0] = "b"
+    assert g.step() and g.number == 2 and made[-1][1].isActive
+
+
 def test_incremental_equals_full(spark):
     parse = lambda t: code.parsed(t).withColumn("n", F.size("symbols")).select("path", "n")
     frame = lambda d: spark.createDataFrame([(p, "python", t) for p, t in d.items()], "path string, language string, text string").withColumn("hash", F.sha2("text", 256))

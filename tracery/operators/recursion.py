@@ -11,25 +11,37 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder of spark.checkpoint.dir (one of our own where that is unset)."""
+    """df without its lineage, kept in the folder of spark.checkpoint.dir.
+
+    Where that is unset, a folder of our own serves a local session; on a cluster it is an error, as each
+    machine would write to its own disk.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(own or f"file://{tempfile.gettempdir()}/tracery-checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
+#: Rounds whose additions are read as they are before they are written as one.
+TOGETHER = 16
+
+
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids reached from starts (id) by edges (src, dst) in one step or more; cycles end by themselves.
 
-    Each round joins only what the last one added.
+    Each round joins and writes only what the last one added; what was seen is written anew every TOGETHER rounds.
     """
-    seen = cut(edges.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("id")).distinct())
-    front = seen
+    front = cut(edges.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("id")).distinct())
+    seen, rounds = front, 1
     while front.limit(1).count():
         step = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, "id", "left_anti"))
-        seen = cut(seen.union(front))
+        seen, rounds = seen.union(front), rounds + 1
+        if rounds % TOGETHER == 0:
+            seen = cut(seen)
     return seen
 
 

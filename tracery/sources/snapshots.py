@@ -1,10 +1,24 @@
-"""Published snapshots: tables under a folder of their own, one pointer file that commits them, and retention."""
+"""Published snapshots: tables under a folder of their own, one index that commits them, recovery and retention.
+
+A publication has these steps, and may stop between any two of them:
+
+1. tables are written to a folder that no reader knows (staged);
+2. that folder gets the name of its contents' root hash, unless there is one already (installed);
+3. a new index is written under a name of its own and gets the next index's name (committed);
+4. older indexes, and snapshots that the new index no longer lists, are deleted (cleaned).
+
+Before step 3 readers see the last snapshot, after it the new one; no file is ever replaced. `recover` deletes
+what an interrupted publication left.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.hashing import root_hash
 
@@ -15,48 +29,102 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _read(spark: SparkSession, path: str) -> str | None:
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    _, p, fs = _fs(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     _, p, fs = _fs(spark, path)
-    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(p) else None
+    fs.delete(p, True)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Whether old got the name new, which nothing had."""
+    jvm, p, fs = _fs(spark, old)
+    to = jvm.org.apache.hadoop.fs.Path(new)
+    return not fs.exists(to) and fs.rename(p, to)
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside and rename: readers see the old file or the new one."""
-    jvm, p, fs = _fs(spark, path)
-    own = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    out = fs.create(own, True)
+    """Write a file that nothing has read yet, whole or not at all."""
+    jvm, p, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}.new")
+    out = fs.create(p, False)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(own, p)
+    if not _rename(spark, p.toString(), path):
+        fs.delete(p, False)
+        raise RuntimeError(f"{path} was written by another publication")
+
+
+def _indexes(spark: SparkSession, folder: str, name: str = "index") -> list[int]:
+    parts = [x.split(".") for x in _names(spark, folder)]
+    return sorted(int(x[1]) for x in parts if len(x) == 3 and x[0] == name and x[2] == "json" and x[1].isdigit())
+
+
+def read_json(spark: SparkSession, folder: str, name: str) -> object:
+    """The newest document of a name, or nothing."""
+    known = _indexes(spark, folder, name)
+    return json.loads("".join(r.value for r in spark.read.text(f"{folder}/{name}.{known[-1]}.json", wholetext=True).collect())) if known else None
+
+
+def write_json(spark: SparkSession, folder: str, name: str, value: object) -> None:
+    """A new newest document of a name; older ones go after it stands."""
+    known = _indexes(spark, folder, name)
+    _write(spark, f"{folder}/{name}.{(known or [0])[-1] + 1}.json", json.dumps(value))
+    for k in known:
+        _delete(spark, f"{folder}/{name}.{k}.json")
 
 
 def history(spark: SparkSession, folder: str) -> list[dict]:
     """Committed snapshots, oldest first: at most as many as are kept."""
-    text = _read(spark, f"{folder}/index.json")
-    return json.loads(text) if text else []
+    return read_json(spark, folder, "index") or []
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20) -> str:
-    """Write tables (nodes and edges have a hash) as a snapshot and commit it; returns its root hash.
+def contents(tables: dict[str, DataFrame]) -> str:
+    """One hash of all tables' rows, whatever their order."""
+    out = {}
+    for name, t in sorted(tables.items()):
+        rows = t.select("hash") if "hash" in t.columns and name in ("nodes", "edges") else t.select(F.sha2(F.to_json(F.struct(*sorted(t.columns))), 256).alias("hash"))
+        out[name] = root_hash(rows).first()[0] or "empty"
+    return root_hash(next(iter(tables.values())).sparkSession.createDataFrame([(f"{k}:{v}",) for k, v in out.items()], "hash string")).first()[0]
 
-    Tables are written first, under the root's own folder; the index is the commit, so a job that dies
-    before it leaves the last snapshot in place, and one that is repeated writes the same again. Equal
-    contents are one snapshot that becomes the newest. What falls out of the kept ones is deleted last.
+
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20, at: Callable[[str], None] = lambda step: None) -> str:
+    """Write tables as a snapshot and commit it; returns the root hash of all of them (nodes and edges by their own hashes).
+
+    Equal contents are one snapshot that becomes the newest and is not written again. What falls out of the
+    kept ones is deleted last. at(step) is called after each step.
     """
-    root = root_hash(tables["nodes"].select("hash").union(tables["edges"].select("hash"))).first()[0] or "empty"
-    for name, t in tables.items():
-        t.write.mode("overwrite").parquet(f"{folder}/{root}/{name}")
+    root = contents(tables)
+    if root not in _names(spark, folder):
+        staged = f"{folder}/staged-{uuid.uuid4().hex}"
+        for name, t in tables.items():
+            t.write.parquet(f"{staged}/{name}")
+        at("staged")
+        if not _rename(spark, staged, f"{folder}/{root}"):
+            _delete(spark, staged)
+    at("installed")
     kept = [x for x in history(spark, folder) if x["root"] != root]
-    kept = [*kept, {"root": root, "seq": max((x["seq"] for x in kept), default=0) + 1}]
-    gone, kept = kept[: max(0, len(kept) - keep)], kept[max(0, len(kept) - keep) :]
-    _write(spark, f"{folder}/index.json", json.dumps(kept))
-    for x in gone:
-        _, p, fs = _fs(spark, f"{folder}/{x['root']}")
-        fs.delete(p, True)
+    kept = [*kept, {"root": root, "seq": max((x["seq"] for x in kept), default=0) + 1}][-keep:]
+    known = _indexes(spark, folder)
+    _write(spark, f"{folder}/index.{(known or [0])[-1] + 1}.json", json.dumps(kept))
+    at("committed")
+    recover(spark, folder)
+    at("cleaned")
     return root
 
 
+def recover(spark: SparkSession, folder: str) -> None:
+    """Delete what the newest index does not list: older indexes, staged tables, and snapshots without a commit."""
+    listed, known = {x["root"] for x in history(spark, folder)}, _indexes(spark, folder)
+    for name in _names(spark, folder):
+        old_index = any(name == f"index.{k}.json" for k in known[:-1])
+        snapshot = len(name) == 64 and all(c in "0123456789abcdef" for c in name)
+        if old_index or name.startswith("staged-") or name.endswith(".new") or (snapshot and name not in listed):
+            _delete(spark, f"{folder}/{name}")
+
+
 def load(spark: SparkSession, folder: str, ref: str, name: str) -> DataFrame:
     """A table of a snapshot: latest, or a root hash."""
     known = [x["root"] for x in history(spark, folder)]
