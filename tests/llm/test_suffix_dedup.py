@@ -45,8 +45,8 @@ def test_documents(spark, sf):
     assert got(docs) == want
 
 
-@pytest.mark.parametrize("part_bytes", [16 << 20, 3000])
-def test_planted(spark, part_bytes):
+@pytest.mark.parametrize("part_bytes, hot", [(16 << 20, 2048), (3000, 2048), (3000, 2)])
+def test_planted(spark, part_bytes, hot):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 9)))
     passages = [" ".join(word() for _ in range(rng.randint(9, 40))) for _ in range(12)] + ["ab" * 60, "x" * 300, "abc" * 17]
@@ -56,10 +56,20 @@ def test_planted(spark, part_bytes):
         rows.append((rng.randrange(200), "".join(parts)))
     rows += [rows[3], (500, rows[5][1]), (None, rows[5][1]), (501, None), (502, ""), (503, rows[5][1][:50]), (504, rows[5][1][:49]), (505, "ab" * 30_000)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, part int, row int").repartition(5)
-    assert got(docs, part_bytes=part_bytes) == plain(rows)
+    assert got(docs, part_bytes=part_bytes, hot=hot) == plain(rows)
     assert got(docs.limit(0)) == []
 
 
+def test_a_common_line_in_different_surroundings(spark):
+    """One line in every document: its anchors are dealt string by string, and no task has most of the rows."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line = word(70)
+    rows = [(k, word(rng.randint(60, 90)) + line + word(rng.randint(60, 90))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(docs, hot=16) == got(docs) == plain(rows)
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.text("abc", max_size=30), min_size=1, max_size=4), st.integers(1, 4))
 def test_repeat_groups(texts, least):

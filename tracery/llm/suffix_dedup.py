@@ -7,7 +7,9 @@ documents need a look. Neighbouring strings of one anchor travel together as one
 1. Each task cuts its documents into stretches. Of equal stretches in a slice only those of the smallest
    document travel on; the others are already known to be repeats.
 2. Stretches meet by anchor. Anchors of one document are dropped. Equal stretches again leave only those of
-   the smallest document; where an anchor has different stretches, their text is fetched.
+   the smallest document; where an anchor has different stretches, their text is fetched. Where it has very many
+   (a common line in different surroundings), each of their strings is fetched by itself, and of equal
+   strings in a batch only those of the smallest document travel on: the key is the whole string then.
 3. For that text a suffix array with common prefixes is built, and a stack scan over it gives the maximal
    repeats: intervals whose left neighbours differ. All their occurrences but those of the smallest document
    are repeats.
@@ -35,6 +37,8 @@ CHUNK = 1 << 18
 SLICE = 12 << 20
 #: Bytes of fetched stretches in one suffix array; those of one anchor stay together.
 BUNDLE = 1 << 18
+#: Different stretches of one anchor that meet in one task; those of a more frequent anchor meet string by string.
+HOT, IS_HOT = 2048, 128
 DOC = np.dtype([("doc", "<i8"), ("row", "<u8"), ("n", "<u4")])
 
 
@@ -166,7 +170,7 @@ def _cut_slice(docs: np.ndarray, rows: np.ndarray, raw: np.ndarray, at: np.ndarr
     return out + _rows(0, mixed(anchor), parts, docs[owner], rows[owner], anchor=anchor, content=content, place=place, many=many)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], parts: int, hot: int) -> Iterator[pa.RecordBatch]:
     """By part of anchors: repeats (kind 1), those known before too, and stretches whose anchor has others (kind 2)."""
     held: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
@@ -186,10 +190,12 @@ def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         by_anchor, by_content = np.cumsum(new_anchor) - 1, np.cumsum(new) - 1
         at = np.flatnonzero(new_anchor)
         shared = (np.minimum.reduceat(x["doc"], at) != np.maximum.reduceat(x["doc"], at))[by_anchor]
-        several = np.bincount(by_anchor[new])[by_anchor] > 1
+        different = np.bincount(by_anchor[new])[by_anchor]
         later = x["doc"] > x["doc"][new][by_content]
-        fetch = shared & several & ~later
-        out = _rows(1, x["row"][later] >> np.uint64(1), parts, x["doc"][later], x["row"][later], place=x["place"][later], many=x["many"][later].astype("<u4"))
+        fetch = shared & (different > 1) & ~later
+        x["many"] = x["many"] | np.where(different > hot, IS_HOT, 0).astype("u1")
+        many = (x["many"][later] & (IS_HOT - 1)).astype("<u4")
+        out = _rows(1, x["row"][later] >> np.uint64(1), parts, x["doc"][later], x["row"][later], place=x["place"][later], many=many)
         out += _rows(2, x["row"][fetch] >> np.uint64(1), parts, x["doc"][fetch], x["row"][fetch], anchor=x["anchor"][fetch], content=x["content"][fetch], place=x["place"][fetch], many=x["many"][fetch])
         yield _row_batch(out)
 
@@ -205,14 +211,19 @@ def _by_row(x: dict[str, np.ndarray]) -> dict[tuple[int, int], slice]:
     return {(d, r): slice(a, b) for d, r, a, b in zip(x["doc"][cut].tolist(), x["row"][cut].tolist(), cut.tolist(), end.tolist(), strict=True)}
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Text of wanted stretches, by their anchor. Rows come by part, wanted stretches (kind 2) before texts (kind 3)."""
+def _fetch(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Text of wanted stretches by their anchor, or string by string; with a part, repeats that are known by now.
+
+    Rows come by part, wanted stretches (kind 2) before texts (kind 3).
+    """
     wanted, by_row, blobs = None, {}, []
     last = None
     for batch in batches:
         kinds, part, blob = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         doc, row, text = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
         got: list[tuple] = []
+        least: dict[bytes, list[tuple[int, int, int]]] = {}  # where the smallest document of the batch has each string
+        known: list[tuple[int, int, int]] = []
         for k in range(len(kinds)):
             if part[k] != last:
                 wanted, by_row, blobs, last = None, {}, [], part[k]
@@ -228,11 +239,31 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             raw = text[k].as_py().encode("utf-8", "surrogatepass")
             seen = set()
             for anchor, place, many in zip(wanted["anchor"][own].tolist(), wanted["place"][own].tolist(), wanted["many"][own].tolist(), strict=True):
-                if (anchor, place) not in seen:  # a repeated row asks once for each of its copies
-                    seen.add((anchor, place))
-                    got.append((anchor - (anchor >> 63 << 64), doc[k], row[k], place, raw[place : place + many + length - 1]))
-        columns = list(zip(*got, strict=True)) if got else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["anchor", "doc", "row", "place", "content"])
+                if (anchor, place) in seen:  # a repeated row asks once for each of its copies
+                    continue
+                seen.add((anchor, place))
+                if not many & IS_HOT:
+                    got.append((anchor - (anchor >> 63 << 64), doc[k], row[k], place, raw[place : place + many + length - 1], None))
+                    continue
+                for at in range(place, place + (many & (IS_HOT - 1))):
+                    own, string = (doc[k], row[k], at), raw[at : at + length]
+                    best = least.setdefault(string, [])
+                    if best and best[0][0] < doc[k]:
+                        known.append(own)
+                    elif best and best[0][0] > doc[k]:
+                        known += best
+                        least[string] = [own]
+                    else:
+                        best.append(own)
+        for string, places in least.items():
+            key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+            got += [(key, *own, string, None) for own in places]
+        if known:
+            d, r, at = (np.array(x, np.int64) for x in zip(*known, strict=True))
+            spans = _rows(1, r.view(np.uint64) >> np.uint64(1), parts, d, r.view(np.uint64), place=at.astype("<u4"), many=np.ones(len(at), "<u4"))
+            got += [(hash((to, len(b))), None, None, None, b, to) for _, to, b in spans]
+        columns = list(zip(*got, strict=True)) if got else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary(), pa.int32()), strict=True)], ["anchor", "doc", "row", "place", "content", "part"])
 
 
 def suffix_array(text: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +331,13 @@ def repeat_groups(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Repeats among fetched stretches (kind 1). Rows come by anchor, and whole anchors are taken together."""
+    """Repeats among fetched stretches (kind 1), and those that are known. Rows come by anchor, and whole anchors are taken together."""
     held: list[tuple] = []
     size, last = 0, None
     for batch in batches:
+        known = batch.filter(batch.column(5).is_valid())
+        yield _row_batch([(1, to, b) for to, b in zip(known.column(5).to_pylist(), known.column(4).to_pylist(), strict=True)])
+        batch = batch.filter(batch.column(5).is_null())
         for anchor, *r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if anchor != last and size >= BUNDLE:
                 yield _row_batch(_bundle(held, length, parts))
@@ -382,22 +416,22 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()), strict=True)], names)
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     docs has doc_id and text; other columns are ignored. Each byte is removed that lies in a string of
     `length` bytes that also starts in a document with a smaller doc_id. Null and empty texts have no
-    bytes. Documents of one id (repeated rows) take nothing from each other; one without an id takes
+    bytes; a very long text is taken in overlapping pieces. Documents of one id (repeated rows) take nothing from each other; one without an id takes
     nothing and loses nothing. No documents give no rows.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text, "doc_id").alias("row"), text.alias("text"))  # copies of a text have rows of their own
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, min(1 << 20, size // part_bytes)))
     blobs = "kind int, part int, blob binary"
     cut = run_arrow(own.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)), _cut, blobs, length=length, parts=parts)
-    met, _ = stored(run_arrow(cut.repartition(parts, "part"), _meet, blobs, parts=parts), "met")
+    met, _ = stored(run_arrow(cut.repartition(parts, "part"), _meet, blobs, parts=parts, hot=hot), "met")
     release(spark)
     none = F.lit(None)
     texts = own.select(F.lit(3).alias("kind"), (F.shiftrightunsigned("row", 1) % parts).cast("int").alias("part"), none.cast("binary").alias("blob"), "doc", "row", "text")
@@ -406,7 +440,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20) -
         rows = rows.select("kind", "part", "blob", none.cast("long").alias("doc"), none.cast("long").alias("row"), none.cast("string").alias("text"))
         return rows.union(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    fetched = run_arrow(beside(met.where("kind = 2")), _fetch, "anchor long, doc long, row long, place long, content binary", length=length)
+    fetched = run_arrow(beside(met.where("kind = 2")), _fetch, "anchor long, doc long, row long, place long, content binary, part int", length=length, parts=parts)
     more, _ = stored(run_arrow(fetched.repartition(parts, "anchor").sortWithinPartitions("anchor"), _repeats, blobs, length=length, parts=parts), "repeats")
     release(spark)
     return run_arrow(beside(met.where("kind = 1").union(more)), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length=length)
