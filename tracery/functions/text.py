@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # Languages and media types by extension.
 LANGUAGES = {"ex": "elixir", "exs": "elixir", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript"}
 MEDIA = {"gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "pdf": "application/pdf", "png": "image/png", "svg": "image/svg+xml", "webp": "image/webp"}
-# Words that look like calls but are none, by natural order.
-NO_CALLS = ["Err", "None", "Ok", "Some", "for", "if", "match", "print", "return", "switch", "while"]
+# Words that look like calls but are none.
+NO_CALLS = ["Err", "Ok", "Some", "for", "format", "if", "match", "println", "return", "sizeof", "switch", "vec", "while"]
 
 
 def looked_up(x: Column, values: dict[str, str], other: str | None = None) -> Column:
@@ -145,16 +145,45 @@ def position(x: Column, offset: Column) -> Column:
     offset is no part of it.
     """
     raw = F.encode(x, "UTF-8")
-    before = F.decode(F.substring(raw, F.lit(1), offset.cast("int")), "UTF-8")
+    before = F.try_validate_utf8(F.substring(raw, F.lit(1), offset.cast("int")).cast("string"))
     line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))
     own = F.substring_index(before, "\n", -1)
     ends = own.endswith("\r") & (F.hex(F.substring(raw, (offset + 1).cast("int"), F.lit(1))) == "0A")
     own = F.when(ends, F.regexp_replace(own, r"\r\z", "")).otherwise(own)
     found = F.struct(line.cast("long").alias("line"), utf16_length(own).alias("utf16"), F.char_length(own).cast("long").alias("chars"))
-    return F.when((offset >= 0) & (offset <= F.octet_length(raw)) & (F.octet_length(F.encode(before, "UTF-8")) == offset), found)
+    return F.when((offset >= 0) & (offset <= F.octet_length(raw)) & before.isNotNull(), found)
 
 
 def key_line(frontmatter: Column, needle: Column) -> Column:
     """X25. The file's line of the first frontmatter line that holds a text, or of the first one; the opening mark is line 1."""
     at = F.instr(frontmatter, needle)
     return F.when(at > 0, line_number(frontmatter, at - 1) + 1).otherwise(F.lit(2).cast("long"))
+
+
+def split_top_level(x: Column, separator: str = ",") -> Column:
+    """X22. The trimmed parts of a text between separators outside of brackets of the four kinds, without empty ones."""
+    kinds = ("()", "[]", "{}", "<>")
+    depth = lambda s: [F.greatest(s[f"d{k}"] + F.when(s["c"] == o, 1).when(s["c"] == e, -1).otherwise(0), F.lit(0)).alias(f"d{k}") for k, (o, e) in enumerate(kinds)]
+    start = F.struct(*[F.lit(0).alias(f"d{k}") for k in range(4)], F.lit("").alias("c"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        depths = depth({**{f"d{k}": s[f"d{k}"] for k in range(4)}, "c": c})
+        cut = (c == separator) & (sum(depths[1:], depths[0]) == 0)
+        return F.struct(*depths, c.alias("c"), F.when(cut, F.lit("")).otherwise(F.concat(s["now"], c)).alias("now"), F.when(cut, F.array_append(s["out"], s["now"])).otherwise(s["out"]).alias("out"))
+
+    end = F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), start, step)
+    return F.filter(F.transform(F.array_append(end["out"], end["now"]), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def signature(x: Column) -> Column:
+    """X21. Struct (inputs, output) of a declaration's text: what stands between its first brackets, and behind -> or a colon after them.
+
+    White space of any kind is one space. inputs are structs (name, type, value), split at the first colon and
+    equals sign outside of brackets.
+    """
+    flat = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+    inner = F.regexp_extract(flat, r"\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", 1)
+    rest = F.regexp_extract(flat, r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?:->|:)\s*([^{;=]*?)\s*(?:[{;=]|\z|:\z)", 1)
+    part = lambda p, k: F.nullif(F.regexp_replace(F.regexp_extract(p, r"^([^:=]*)(?::((?:[^=<>]|<[^<>]*>)*))?(?:=(.*))?$", k), "^ | $", ""), F.lit(""))
+    inputs = F.transform(split_top_level(inner), lambda p: F.struct(part(p, 1).alias("name"), part(p, 2).alias("type"), part(p, 3).alias("value")))
+    return F.struct(inputs.alias("inputs"), F.nullif(rest, F.lit("")).alias("output"))

@@ -64,6 +64,18 @@ def cited_by(links: DataFrame) -> DataFrame:
     return cites(links).where("note <> target").select("target", "note")
 
 
+def citation_index(notes: DataFrame, links: DataFrame) -> DataFrame:
+    """A11. (note, citing, has_outgoing) of notes (note): how many other notes cite it, and whether it cites any, itself included."""
+    into = cited_by(links).groupBy(F.col("target").alias("note")).agg(F.count("*").alias("citing"))
+    out = cites(links).select("note").distinct().withColumn("_out", F.lit(True))
+    return notes.join(into, "note", "left").join(out, "note", "left").select("note", F.coalesce("citing", F.lit(0)).alias("citing"), F.coalesce("_out", F.lit(False)).alias("has_outgoing"))
+
+
+def targets(declared: DataFrame, links: DataFrame, patterns: DataFrame) -> DataFrame:
+    """J7. (note, target), distinct: what a note's frontmatter declares (note, target), where its links lead, and its patterns (note, pattern)."""
+    return declared.select("note", "target").union(cites(links)).union(patterns.select("note", F.concat(F.lit("match:"), "pattern"))).distinct()
+
+
 def orphans(notes: DataFrame, links: DataFrame) -> DataFrame:
     """Notes without an outgoing link (one to itself counts) and without one from another note."""
     return notes.join(links.select("note").distinct(), "note", "left_anti").join(

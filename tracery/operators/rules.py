@@ -50,6 +50,19 @@ def duplicate_ids(notes: DataFrame) -> DataFrame:
     return told(good.join(many, "id"), "error", "duplicate-id", F.concat(F.lit("id is declared more than once: "), "id"))
 
 
+def duplicate_pattern_rules(declared: DataFrame) -> DataFrame:
+    """V7. declared: pattern (the full id), local (its part in the decision), path (the note), line, seq (order of declarations).
+
+    Each later declaration in the note that declares a pattern first, and every note of several that declare it.
+    """
+    first = declared.groupBy("pattern").agg(F.min(F.struct("path", "seq")).alias("f"), F.array_sort(F.collect_set("path")).alias("notes"))  # as many notes as declare one pattern
+    rows = declared.join(first, "pattern")
+    again = rows.where((F.col("path") == F.col("f.path")) & (F.col("seq") > F.col("f.seq")))
+    several = rows.where(F.size("notes") > 1).select("pattern", "path", "notes").distinct()
+    message = F.concat(F.lit("pattern id `"), "pattern", F.lit("` is declared in multiple notes: "), F.array_join("notes", ", "))
+    return told(again, "error", "duplicate-policy-pattern", F.concat(F.lit("policy pattern id `"), "local", F.lit("` is declared more than once")), F.col("line").cast("long")).union(told(several, "error", "duplicate-pattern-id", message))
+
+
 def note_rules(notes: DataFrame, decision_dir: str) -> DataFrame:
     """V1-V3 and duplicate ids."""
     return note_local_rules(notes, decision_dir).union(duplicate_ids(notes))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import policy, projection, resolve, rules, scopes, sets
-from ..sources import notes
+from ..operators import graph, policy, projection, recursion, resolve, rules, scopes, sets
+from ..sources import code, files, notes
 from ..streaming import refresh
 from . import bind
 from .bind import named, table
@@ -343,11 +343,101 @@ def _policies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return files, policies, scope
 
 
+def scan_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are no text of UTF-8, and paths that climb out."""
+    content = F.when(F.col("doc_id") % 5 == 0, F.concat(F.unhex(F.lit("61FF")), F.encode("text", "UTF-8"))).when(F.col("doc_id") % 5 == 1, F.concat(F.unhex(F.lit("00FF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    path = F.concat(F.when(F.col("doc_id") % 7 == 0, "../").otherwise("a/"), F.col("doc_id").cast("string"))
+    return files.scan_errors(table(spark, sf, "documents").select(path.alias("path"), content.alias("content")))
+
+
+def documentation_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes and assets of a documentation folder."""
+    path = F.concat(_variant("p_partkey", ["docs/", "docs/node_modules/", "docs/.git/", "docs/target/"]), F.col("p_partkey").cast("string"), _variant("p_size", [".md", ".PNG", ".rs", "", ".MD", ".svg"]))
+    return files.routed(table(spark, sf, "part").select(path.alias("path")))
+
+
+def asset_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Media files by their first bytes, in order of their paths, until the budget would be passed."""
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("89504E47")), F.encode("text", "UTF-8")))
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("img/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".png")).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return files.assets(rows, 300_000).select("path", "mime", "bytes")
+
+
+def document_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes of documents without their last line end."""
+    end = _variant("doc_id", ["", "\n", "\r\n", "\n\n"])
+    return table(spark, sf, "documents").select("doc_id", files.document_hash(F.concat("text", F.lit("."), end)).alias("hash"))
+
+
+def citation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """How many notes cite each, and whether it cites any."""
+    return graph.citation_index(table(spark, sf, "events").select(F.col("user_id").alias("note")).distinct(), bind.user_links(spark, sf).where("note % 3 > 0"))
+
+
+def note_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What notes declare, link to, and match."""
+    links = bind.note_links(spark, sf)
+    declared = table(spark, sf, "supplier").select(named("supplier", "s_suppkey").alias("note"), F.lit("src/main").alias("target"))
+    return graph.targets(declared, links, links.select("note", F.concat(F.lit("p"), F.substring("target", -1, 1)).alias("pattern")))
+
+
+def top_level_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a text between commas outside of brackets."""
+    raw = F.concat(F.lit(" a<b, c>, ["), F.col("p_size").cast("string"), F.lit(", {2}], ,f("), F.col("p_brand"), F.lit(", x) , "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.split_top_level(raw), ";").alias("parts"))
+
+
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Inputs and output of declarations."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    raw = F.concat(F.lit("fn  "), name, _variant("p_partkey", ["(a: u8,\n  b: Vec<u8, A>) -> Option<T> {", "(x: number = 3, y?: string): Map<a, b> {", "(self, n=2):", "()"]))
+    found = text.signature(raw)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(found["inputs"], lambda i: F.concat_ws("|", i["name"], i["type"], i["value"])), ";").alias("inputs"), found["output"].alias("output"))
+
+
+def parsed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols, imports and calls of source files, keywords left out and repeats once."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    rust = F.concat(F.lit("use a::{b, c};\npub fn "), name, F.lit("(x: u8) {\n    helper(1); helper(2);\n    if (x) { Some(x) }\n}\nfn other() {}\n"))
+    python = F.concat(F.lit("import os\nclass "), name, F.lit(":\n    def run(self):\n        return help()\ndef _no():\n    pass\n"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), _variant("p_partkey", ["rust", "python"]).alias("language"), F.when(F.col("p_partkey") % 2 == 0, rust).otherwise(python).alias("text"))
+    flat = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in f])), ";")
+    return code.parsed(rows).select("path", flat("symbols", "name", "kind", "exported", "start_line", "end_line").alias("symbols"), flat("imports", "module", "line").alias("imports"), flat("calls", "caller", "text", "line").alias("calls"))
+
+
+def brace_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports with their braces written out."""
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("a::{b, c::{"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(", self}}")).alias("module"))
+    return recursion.expand_braces(rows, "module")
+
+
+def incremental_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of files after a change; only those with a new hash are parsed again."""
+    part = table(spark, sf, "part")
+    before = part.where("p_size < 40").select(F.col("p_partkey").cast("string").alias("path"), F.lit("old").alias("hash"), F.lit("kept").alias("how"))
+    now = part.where("p_size > 10").select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_size") % 2 == 0, "old").otherwise("new").alias("hash"))
+    return refresh.incremental(before, now, lambda rows: rows.select("path", F.lit("parsed").alias("how")))
+
+
+def suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first suggestions for a query, matches before subsequences."""
+    scored = bind.url_paths(spark, sf).select("path").distinct().select("path", text.suggestion_score(F.lit("e3"), F.col("path")).alias("score"))
+    return scored.where("score is not null").orderBy(F.desc("score"), "path").limit(50)
+
+
+def duplicate_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """V7, A5: patterns that a note, or several notes, declare more than once."""
+    rows = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat_ws("/", F.lit("D"), "p_type").alias("pattern"), F.col("p_type").alias("local"), F.concat(F.lit("n"), (F.col("p_size") % 4).cast("string")).alias("path"), F.col("p_partkey").alias("line"), F.col("p_partkey").alias("seq"))
+    return rules.duplicate_pattern_rules(rows).select("code", "path", "line", "message")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         note_rules, link_rules, target_rules, supersession_rules, policy_declarations, immutable_decisions, scope_moves, full_scan, diagnostic_order, publication_gate, reconciliation, receipt_proof,
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
         positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_violations, validation_full, validation_changed,
+        scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
+        duplicate_pattern_rules,
     )
 }

@@ -103,6 +103,34 @@ SQL = {
     "policy_matches": f"WITH {FOUND} SELECT id, path, CAST(line AS BIGINT) AS line, range, text, captures FROM found",
     "policy_violations": f"WITH {FOUND} SELECT 'error' AS severity, 'policy-violation' AS code, path, CAST(line AS BIGINT) AS line, decision || ' policy `' || id || '` matched `' || text || '`' AS message FROM found",
 }
+SQL |= {
+    "scan_errors": """SELECT CASE WHEN doc_id % 7 = 0 THEN '../' ELSE 'a/' END || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'path is not safe' ELSE 'content is not UTF-8' END AS reason
+ FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""",
+    "documentation_scan": "SELECT 'docs/' || p_partkey || CASE p_size % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.PNG' ELSE '.svg' END AS path, CASE p_size % 6 WHEN 0 THEN 'note' ELSE 'asset' END AS what FROM part WHERE p_partkey % 4 = 0 AND p_size % 6 IN (0, 1, 5)",
+    "asset_budget": """SELECT path, 'image/png' AS mime, bytes FROM (SELECT path, bytes, sum(bytes) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS used FROM
+ (SELECT 'img/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.png' AS path, CAST(strlen(text) + 4 AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 > 0)) WHERE used <= 300000""",
+    "document_hashes": "SELECT doc_id, sha256(text || '.' || CASE doc_id % 4 WHEN 3 THEN chr(10) ELSE '' END) AS hash FROM documents",
+    "citation_index": """WITH l AS (SELECT e.user_id AS note, p.user_id AS target FROM events e JOIN events p ON p.event_id = e.event_id - 1 WHERE e.user_id % 3 > 0)
+ SELECT u AS note, (SELECT count(DISTINCT note) FROM l WHERE target = u AND note <> u) AS citing, EXISTS (SELECT 1 FROM l WHERE note = u) AS has_outgoing FROM (SELECT DISTINCT user_id AS u FROM events)""",
+    "note_targets": """WITH l AS (SELECT DISTINCT 'supplier:' || l_suppkey AS note, CASE WHEN l_suppkey % 10 = 0 AND p_size = 1 THEN p_brand ELSE 'part:' || p_partkey END AS target FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50)
+ SELECT 'supplier:' || s_suppkey AS note, 'src/main' AS target FROM supplier UNION SELECT note, target FROM l UNION SELECT note, 'match:p' || right(target, 1) FROM l""",
+    "top_level_parts": "SELECT p_partkey, 'a<b, c>;[' || p_size || ', {2}];f(' || p_brand || ', x);' || p_name AS parts FROM part",
+    "signatures": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a|u8;b|Vec<u8, A>' WHEN 1 THEN 'x|number|3;y?|string' WHEN 2 THEN 'self;n|2' ELSE '' END AS inputs,
+ CASE p_partkey % 4 WHEN 0 THEN 'Option<T>' WHEN 1 THEN 'Map<a, b>' END AS output FROM part""",
+    "parsed_sources": """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 2 WHEN 0 THEN n || ':function:true:2:5;other:function:false:6:6' ELSE n || ':class:true:2:4;run:method:true:3:4;_no:function:false:5:6' END AS symbols,
+ CASE p_partkey % 2 WHEN 0 THEN 'a::{b, c}:1' ELSE 'os:1' END AS imports, CASE p_partkey % 2 WHEN 0 THEN n || ':helper:3' ELSE CASE WHEN n < 'run' THEN n || ':help:4;run:help:4' ELSE 'run:help:4;' || n || ':help:4' END END AS calls
+ FROM (SELECT *, replace(p_name, ' ', '_') AS n FROM part)""",
+    "brace_expansion": "SELECT p_partkey, unnest(['a::b', 'a::c::' || replace(p_name, ' ', '_'), 'a::c']) AS module FROM part",
+    "incremental_parse": """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size % 2 = 0 THEN 'old' ELSE 'new' END AS hash, CASE WHEN p_size % 2 = 0 AND p_size < 40 THEN 'kept' ELSE 'parsed' END AS how FROM part WHERE p_size > 10""",
+    "suggestions": f"""WITH f AS ({SQL["fuzzy_scores"]}), s AS (SELECT path, CAST(CASE WHEN path = 'e3' THEN 100000 WHEN regexp_extract(path, '[^/]*$') = 'e3' THEN 90000 WHEN ends_with(path, '/e3') THEN 80000 - strlen(path)
+ WHEN starts_with(regexp_extract(path, '[^/]*$'), 'e3') THEN 70000 - strlen(path) WHEN contains(path, 'e3') THEN 60000 - (instr(path, 'e3') - 1) - strlen(path) ELSE 40000 + score - strlen(path) END AS BIGINT) AS score FROM f)
+ SELECT path, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, path LIMIT 50""",
+    "duplicate_pattern_rules": """WITH d AS (SELECT 'D/' || p_type AS pattern, p_type AS local, 'n' || (p_size % 4) AS path, p_partkey AS line FROM part WHERE p_partkey % 50 = 0),
+ r AS (SELECT *, min(path) OVER (PARTITION BY pattern) AS first_note, row_number() OVER (PARTITION BY pattern, path ORDER BY line) AS n FROM d),
+ m AS (SELECT pattern, string_agg(DISTINCT path, ', ' ORDER BY path) AS notes, count(DISTINCT path) AS many FROM d GROUP BY pattern)
+ SELECT 'duplicate-policy-pattern' AS code, path, CAST(line AS BIGINT) AS line, 'policy pattern id `' || local || '` is declared more than once' AS message FROM r WHERE path = first_note AND n > 1
+ UNION ALL SELECT DISTINCT 'duplicate-pattern-id', d.path, CAST(NULL AS BIGINT), 'pattern id `' || m.pattern || '` is declared in multiple notes: ' || m.notes FROM d JOIN m ON m.pattern = d.pattern WHERE m.many > 1""",
+}
 _LOCAL = f"""SELECT code, path FROM ({NOTE_LOCAL}) UNION ALL SELECT code, path FROM ({LINKS}) UNION ALL SELECT code, path FROM ({TARGETS}) UNION ALL SELECT code, path FROM ({DECLARED})
  UNION ALL SELECT 'policy-violation', path FROM (WITH {FOUND} SELECT path FROM found)"""
 SQL["validation_full"] = f"SELECT code, count(*) AS n FROM ({_LOCAL} UNION ALL SELECT code, path FROM ({DUPLICATES}) UNION ALL SELECT code, path FROM ({SUPERSESSION})) GROUP BY code"

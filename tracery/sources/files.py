@@ -46,6 +46,31 @@ def listing(spark: SparkSession, folder: str, roots: list[str] = ("",), excludes
     return rows.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), "content").where(~pruned(F.col("path"), list(excludes)))
 
 
+class ScanError(ValueError):
+    """Files that cannot be read, all of them at once."""
+
+
+def scan_errors(files: DataFrame) -> DataFrame:
+    """S5. (path, reason), distinct: files (path, content) that should be text and are no UTF-8, and paths that are not safe."""
+    bad = F.when(ids.safe_path(F.col("path")).isNull(), "path is not safe").when(text.is_text(F.col("content")) & ~F.is_valid_utf8(F.col("content").cast("string")), "content is not UTF-8")
+    return files.select("path", bad.alias("reason")).where("reason is not null").distinct()
+
+
+def checked(files: DataFrame, shown: int = 1000) -> DataFrame:
+    """S5. files, or a ScanError that lists all errors in order (the first `shown` of very many)."""
+    errors = [f"{r.path}: {r.reason}" for r in scan_errors(files).orderBy("path", "reason").limit(shown).collect()]
+    if errors:
+        raise ScanError("\n".join(errors))
+    return files
+
+
+def routed(paths: DataFrame) -> DataFrame:
+    """S3. paths (path) of a documentation folder with what: note or asset by extension; others, and pruned folders, are left out."""
+    ext = F.regexp_extract(F.col("path"), r"[^/]\.([^./]*)$", 1)
+    what = F.when(ext == "md", "note").when(text.media_type(F.lower(ext)).isNotNull(), "asset")
+    return paths.where(~pruned(F.col("path"))).withColumn("what", what).where("what is not null")
+
+
 def sources(files: DataFrame) -> DataFrame:
     """(path, language, hash, text) of text files; others are left out. Reading, telling and hashing are one pass."""
     known = files.where(text.is_text(F.col("content")))
