@@ -16,6 +16,8 @@ from .resolve import partial_paths
 
 #: Characters of patterns that a task holds at once; more patterns are taken in several passes.
 PATTERN_CHARS = 4 << 20
+#: Parts of all paths that a glob without literal directories meets one by one.
+SALTS = 64
 
 
 def _scan(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]], key: str) -> Iterator[pa.RecordBatch]:
@@ -68,12 +70,15 @@ def governed(globs: DataFrame, paths: DataFrame) -> DataFrame:
     """(decision, path), distinct: paths that a decision's globs match; a glob that matches none is tried as a path's tail.
 
     A glob's literal directories are an equality with a path's own, so only globs that begin with a special
-    character meet all paths.
+    character meet all paths, in SALTS parts.
     """
     own = paths.distinct()
     folder = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.when(k < F.size(F.split("path", "/")), F.lit("/")).otherwise(F.lit(""))))))
     starts = own.select("path", folder.alias("prefix"))
-    hits = globs.where("regex is not null").join(starts, "prefix").where("path rlike regex").select("decision", "glob", "path")
+    salt = F.when(F.col("prefix") == "", F.pmod(F.xxhash64("path"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("prefix") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    wanted = globs.where("regex is not null").withColumn("salt", F.explode(salts))
+    hits = wanted.join(starts.withColumn("salt", salt), ["prefix", "salt"]).where("path rlike regex").select("decision", "glob", "path")
     rest = globs.select("decision", "glob").join(hits.select("decision", "glob").distinct(), ["decision", "glob"], "left_anti")
     found = partial_paths(rest.select(F.regexp_replace("glob", "#.*$", "").alias("query")).distinct(), own)
     fallback = rest.withColumn("query", F.regexp_replace("glob", "#.*$", "")).join(found, "query").select("decision", "path")
@@ -83,7 +88,12 @@ def governed(globs: DataFrame, paths: DataFrame) -> DataFrame:
 def denied_imports(imports: DataFrame, rules: DataFrame, scopes: DataFrame) -> DataFrame:
     """(rule, path, module), distinct: imports (path, module) that a rule (rule, deny, deny_regex) forbids in its scope (rule, path)."""
     modules = imports.select("module").distinct()
-    bad = modules.join(rules, denies(F.col("module"), F.col("deny"), F.col("deny_regex"))).select("rule", "module").distinct()
+    parts = F.split("module", "::")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "::"))
+    held = modules.select("module", F.explode(heads).alias("deny")).join(rules.select("rule", "deny"), "deny").select("rule", "module")
+    globs = rules.where(F.col("deny").rlike(r"[*?\[{\\]"))  # only these have to meet every module
+    matched = modules.join(globs, denies(F.col("module"), F.col("deny"), F.col("deny_regex"))).select("rule", "module")
+    bad = held.union(matched).distinct()
     return imports.join(bad, "module").join(scopes.distinct(), ["rule", "path"]).select("rule", "path", "module").distinct()
 
 
