@@ -244,3 +244,81 @@ def test_incremental_equals_full(spark):
 def test_single_writer(tmp_path):
     with refresh.single_writer(str(tmp_path / "lock")), pytest.raises(BlockingIOError), refresh.single_writer(str(tmp_path / "lock")):
         pass
+
+
+ELIXIR = """defmodule Acme.Worker do
+  @moduledoc '''
+  def not_code(x)
+  '''
+  alias Acme.{Store, Other}
+  alias Acme.Long.Name, as: Short
+  import Enum, only: [map: 2], except: [sum: 1]
+  use GenServer
+  @behaviour Acme.Job
+  @callback handle(term, integer) :: :ok
+
+  def run(x, opts \\\\ []) when is_list(opts) do
+    alias Acme.Inner
+    x |> Store.put(1) |> local(2)   # comment(1)
+    Inner.go()
+    Enum.each(x, &helper/1)
+    f = &Short.call/3
+    apply(Acme.Late, :fun, [1, 2])
+    apply(x, :y, z)
+    x.send(1)
+    fn a -> bump(a) end
+  end
+
+  def run(:none, _), do: Other.none()
+  defp helper(y) do
+    if y do
+      ~r/call(1)/
+    end
+  end
+  defdelegate size(map), to: Map, as: :count
+  defmacro mac(a), do: a
+end
+
+defimpl Enumerable, for: Acme.Worker do
+  def count(_), do: 0
+end
+""".replace("'''", '"' * 3)
+
+
+def test_elixir():
+    from tracery.sources import elixir
+
+    r = elixir.parse("a.ex", ELIXIR)
+    assert [(m["name"], m["kind"], m["start_line"], m["end_line"]) for m in r["modules"]] == [("Acme.Worker", "module", 1, 32), ("Enumerable.Acme.Worker", "implementation", 34, 36)]
+    assert [(c["kind"], c["name"], c["least"], c["most"], c["exported"], c["start_line"], c["end_line"]) for c in r["callables"]] == [
+        ("callback", "handle", 2, 2, True, 10, 10), ("function", "run", 1, 2, True, 12, 22), ("function", "run", 2, 2, True, 24, 24), ("function", "helper", 1, 1, False, 25, 29),
+        ("function", "size", 1, 1, True, 30, 30), ("macro", "mac", 1, 1, True, 31, 31), ("function", "count", 1, 1, True, 35, 35),
+    ]
+    assert [(d["kind"], d["module"], d["alias"], d["scope_start"], d["scope_end"]) for d in r["directives"]] == [
+        ("alias", "Acme.Store", "Store", 5, 32), ("alias", "Acme.Other", "Other", 5, 32), ("alias", "Acme.Long.Name", "Short", 6, 32), ("import", "Enum", None, 7, 32), ("use", "GenServer", None, 8, 32), ("alias", "Acme.Inner", "Inner", 13, 22),
+    ]
+    assert [(x["kind"], x["module"], x["name"], x["arity"], x["line"]) for x in r["relations"]] == [
+        ("implementation", "Acme.Job", None, None, 9), ("call", "Store", "put", 2, 14), ("call", None, "local", 2, 14), ("call", "Inner", "go", 0, 15), ("call", "Enum", "each", 2, 16), ("capture", None, "helper", 1, 16),
+        ("capture", "Short", "call", 3, 17), ("call", "Acme.Late", "fun", 2, 18), ("dynamic", None, None, None, 19), ("dynamic", None, "send", 1, 20), ("call", None, "bump", 1, 21), ("call", "Other", "none", 0, 24),
+        ("delegate", "Map", "count", 1, 30), ("protocol", "Enumerable", None, None, 34),
+    ]
+
+
+@given(st.text(st.sampled_from("def do end fn(){}[],.:&|>/@#\"\\A1 x\n")))
+def test_any_text_is_elixir(t):
+    from tracery.functions import pattern
+    from tracery.sources import elixir
+
+    elixir.parse("x.ex", t)
+    pattern.tokens(t)
+
+
+def test_code_patterns():
+    from tracery.functions import pattern
+
+    find = lambda text, p=None, rule=None: [(line, place, captures) for line, place, _, captures in pattern.matches(text, p, rule)]
+    assert find("a = f(1, g(2));\n// f(3)\n\"f(4)\"; x.f(5)", "f($$$A)") == [(1, "L1:C5-L1:C15", {"A": "1\n,\ng(2)"})]
+    assert find("f(a, a) f(a, b)", "f($X, $X)") == [(1, "L1:C1-L1:C8", {"X": "a"})]
+    assert find("if x { log(1) } log(2)", rule="{pattern: log($A), inside: {pattern: 'if x { $$$ }'}}") == [(1, "L1:C8-L1:C14", {"A": "1"})]
+    assert find("f(g(1)) f(2)", rule="{any: [{pattern: f($A)}], has: {pattern: g($B)}}") == [(1, "L1:C1-L1:C8", {"A": "g(1)"})]
+    assert pattern.error("", None) and pattern.error(None, "kind: call") and pattern.error(None, "[") and not pattern.error("f($A)", None)

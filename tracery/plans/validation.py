@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators import elixir, graph, policy, projection, recursion, resolve, rules, scopes, sets
 from ..sources import code, files, notes
+from ..sources import elixir as elixir_source
 from ..streaming import refresh
 from . import bind
 from .bind import named, table
@@ -431,6 +432,32 @@ def duplicate_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.duplicate_pattern_rules(rows).select("code", "path", "line", "message")
 
 
+def _elixir(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    pair = F.concat(F.lit("Acme.M"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string"))
+    body = F.concat(
+        F.lit("defmodule Acme.M"), k, F.lit(" do\n  alias "), pair, F.lit(", as: Next\n  import Acme.Base, only: [help: 1]\n  def run(x, y \\\\ 1) do\n    x |> Next.run(2)\n    help(x)\n    own(x) # no(x)\n    gone(x)\n    apply(Acme.M"), k,
+        F.lit(", :run, [1])\n    x.send(1)\n  end\n  defp own(x), do: &Next.run/1\n  def run(:none, _) do\n    Next.own(1)\n  end\n  @callback handle(term) :: :ok\nend\n"),
+    )
+    sources = table(spark, sf, "part").select(F.concat(k, F.lit(".ex")).alias("path"), body.alias("text"))
+    return elixir_source.parsed(sources.union(spark.createDataFrame([("base.ex", "defmodule Acme.Base do\n  def help(x), do: x\nend\n")], "path string, text string")))
+
+
+def elixir_callables(spark: SparkSession, sf: str) -> DataFrame:
+    """Callables of modules, their clauses merged and their defaults written out."""
+    return elixir.callables(_elixir(spark, sf)).select("id", "kind", "exported", "clauses", "first_line", "last_line")
+
+
+def elixir_directives(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases and imports with their scopes."""
+    return elixir.directives(_elixir(spark, sf)).select("path", "kind", "owner", "module", "alias", F.array_join("only", ",").alias("only"), "d_line", "scope_start", "scope_end")
+
+
+def elixir_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """What calls, captures and literal applications lead to."""
+    return elixir.relations(_elixir(spark, sf)).select("path", "line", "kind", "caller", "text", "target", "outcome")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -438,6 +465,6 @@ QUERIES = {
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
         positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_violations, validation_full, validation_changed,
         scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
-        duplicate_pattern_rules,
+        duplicate_pattern_rules, elixir_callables, elixir_directives, elixir_relations,
     )
 }

@@ -131,6 +131,19 @@ SQL |= {
  SELECT 'duplicate-policy-pattern' AS code, path, CAST(line AS BIGINT) AS line, 'policy pattern id `' || local || '` is declared more than once' AS message FROM r WHERE path = first_note AND n > 1
  UNION ALL SELECT DISTINCT 'duplicate-pattern-id', d.path, CAST(NULL AS BIGINT), 'pattern id `' || m.pattern || '` is declared in multiple notes: ' || m.notes FROM d JOIN m ON m.pattern = d.pattern WHERE m.many > 1""",
 }
+SQL |= {
+    "elixir_callables": """SELECT 'Acme.M' || p_partkey || '.' || n AS id, kind, exported, CAST(clauses AS BIGINT) AS clauses, CAST(a AS BIGINT) AS first_line, CAST(b AS BIGINT) AS last_line FROM part,
+ (VALUES ('run/1', 'function', true, 1, 4, 11), ('run/2', 'function', true, 2, 4, 15), ('own/1', 'function', false, 1, 12, 12), ('handle/1', 'callback', true, 1, 16, 16)) v(n, kind, exported, clauses, a, b)
+ UNION ALL SELECT 'Acme.Base.help/1', 'function', true, 1, 2, 2""",
+    "elixir_directives": """SELECT p_partkey || '.ex' AS path, 'alias' AS kind, 'Acme.M' || p_partkey AS owner, 'Acme.M' || (p_partkey - p_partkey % 2) AS module, 'Next' AS alias, CAST(NULL AS VARCHAR) AS only, CAST(2 AS BIGINT) AS d_line, CAST(2 AS BIGINT) AS scope_start, CAST(17 AS BIGINT) AS scope_end FROM part
+ UNION ALL SELECT p_partkey || '.ex', 'import', 'Acme.M' || p_partkey, 'Acme.Base', NULL, 'help/1', 3, 3, 17 FROM part""",
+    "elixir_relations": """WITH p AS (SELECT p_partkey || '.ex' AS path, 'Acme.M' || p_partkey || '.' AS me, 'Acme.M' || (p_partkey - p_partkey % 2) || '.' AS other, p_partkey - p_partkey % 2 IN (SELECT p_partkey FROM part) AS there FROM part)
+ SELECT path, CAST(5 AS BIGINT) AS line, 'call' AS kind, 'run' AS caller, other || 'run/2' AS text, CASE WHEN there THEN other || 'run/2' END AS target, CASE WHEN there THEN 'resolved' ELSE 'external' END AS outcome FROM p
+ UNION ALL SELECT path, 6, 'call', 'run', 'help/1', 'Acme.Base.help/1', 'resolved' FROM p UNION ALL SELECT path, 7, 'call', 'run', 'own/1', me || 'own/1', 'resolved' FROM p UNION ALL SELECT path, 8, 'call', 'run', 'gone/1', NULL, 'external' FROM p
+ UNION ALL SELECT path, 9, 'call', 'run', me || 'run/1', me || 'run/1', 'resolved' FROM p UNION ALL SELECT path, 10, 'dynamic', 'run', 'send/1', NULL, 'dynamic' FROM p
+ UNION ALL SELECT path, 12, 'capture', 'own', other || 'run/1', CASE WHEN there THEN other || 'run/1' END, CASE WHEN there THEN 'resolved' ELSE 'external' END FROM p
+ UNION ALL SELECT path, 14, 'call', 'run', other || 'own/1', NULL, 'external' FROM p""",
+}
 _LOCAL = f"""SELECT code, path FROM ({NOTE_LOCAL}) UNION ALL SELECT code, path FROM ({LINKS}) UNION ALL SELECT code, path FROM ({TARGETS}) UNION ALL SELECT code, path FROM ({DECLARED})
  UNION ALL SELECT 'policy-violation', path FROM (WITH {FOUND} SELECT path FROM found)"""
 SQL["validation_full"] = f"SELECT code, count(*) AS n FROM ({_LOCAL} UNION ALL SELECT code, path FROM ({DUPLICATES}) UNION ALL SELECT code, path FROM ({SUPERSESSION})) GROUP BY code"
