@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import drop_path, run_arrow, scratch_path, stored, uncollected
 from .tokens import word_tokens
 
-MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 16
+MAGIC, LANES, BLOCK, TOGETHER = b"TRRANS01", 32, 1 << 16, 32
 #: Blocks that one task decodes.
-RANGE = 32
+RANGE = 64
 LOW = np.uint64(1 << 31)
 #: Words whose ids a worker keeps.
 WORDS = 400_000
@@ -218,10 +218,12 @@ def read_file(uri: str, table: Table, first: int = 0, last: int | None = None) -
         places = np.cumsum(documents["ids"].astype(np.int64)) - documents["ids"]
         lo, hi = np.searchsorted(places, [begin[min(first, blocks)], begin[blocks if last is None else min(last, blocks)]]).tolist()
         held, have, done = [], 0, first
+        last = blocks if last is None else min(last, blocks)
         skip = int(places[lo] - begin[first]) if lo < hi else 0
         for place, (doc_id, known, n) in zip(places[lo:hi].tolist(), documents[lo:hi].tolist(), strict=True):
             while have < skip + n:
-                group = index[done : done + TOGETHER]
+                stop = last if done < last else done + -(-(skip + n - have) // BLOCK)  # beyond the range only what the last document needs
+                group = index[done : min(done + TOGETHER, stop)]
                 group = group[group["ids"] == group["ids"][0]]
                 f.seek(int(group["at"][0]))
                 got = [f.read(int(s)) for s in group["size"]]
