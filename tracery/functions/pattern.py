@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
 
 TOKEN = re.compile(r"\$\$\$[A-Z_][A-Z0-9_]*|\$\$\$|\$[A-Z_][A-Z0-9_]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|[^\W\d]\w*[?!]?(?=\()|\w+|::|->|=>|[=!<>]=|&&|\|\||\S")
 COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![\"'\w])#(?![\[!])[^\n]*", re.S)
@@ -155,6 +156,7 @@ def matches(text: str, pattern: str | None, rule: str | None) -> list[tuple[int,
     return out
 
 
+@lru_cache(maxsize=4096)
 def error(pattern: str | None, rule: str | None) -> str | None:
     """Why a pattern or a rule cannot be used, else nothing."""
     try:
