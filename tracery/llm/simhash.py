@@ -149,14 +149,15 @@ def without_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     """docs without near-copies: of each group the row of the smallest doc_id (nulls last) stays, once.
 
     Rows that share an id but not a text are told apart by a hash of the text; of rows that share both one
-    stays, whichever its other columns. All columns stay but `_row`. Groups are those of simhash_groups.
+    stays, whichever its other columns. All columns stay but `_key` and `_row`. Groups are those of simhash_groups.
     """
-    keyed = docs.drop("_row").withColumn("_row", F.xxhash64(F.col("text").cast("string")))
-    own, path = stored(run_arrow(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("text").cast("string")), _fingerprints, "doc_id long, _row long, fp long", words=words), "fps")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    keys = ["_key", "_row"]
+    text = F.col("text").cast("string")
+    keyed = docs.drop(*keys).withColumn("_key", F.xxhash64(F.lit(1), "doc_id", text)).withColumn("_row", F.xxhash64(text))  # neither is null
+    own, path = stored(run_arrow(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text), _fingerprints, "doc_id long, _key long, _row long, fp long", words=words), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_key"))
     nodes, nodes_path = stored(own.groupBy("fp").agg(first.alias("first")), "nodes")
-    firsts, _ = stored(_components(nodes, radius).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "firsts")
+    firsts, _ = stored(_components(nodes, radius).groupBy("component").agg(F.min("first").alias("first")).select("first._key", "first._row"), "firsts")
     drop_path(docs.sparkSession, path)
     drop_path(docs.sparkSession, nodes_path)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first"))
-    return keyed.join(firsts, same, "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return keyed.join(firsts, keys, "left_semi").dropDuplicates(keys).drop(*keys)  # one shuffle for both
