@@ -175,3 +175,73 @@ def test_a_long_cycle(spark):
     edges = spark.createDataFrame([(k, (k + 1) % 66) for k in range(66)], "src int, dst int").coalesce(1)
     got = recursion.cycles(edges).collect()
     assert sorted(r.start for r in got) == list(range(66)) and all(len(r.path) == 66 and r.path[0] == r.start for r in got)
+
+
+def test_scopes_by_blocks_of_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    span = lambda: sorted((rng.randrange(1, 400), rng.randrange(1, 400)))
+    sites = [(i, rng.choice("fg"), rng.choice(["M", None, ""]), rng.randrange(1, 400), rng.randrange(3), f"{rng.choice('ABC')}.x") for i in range(300)]
+    directives = [(rng.choice("fg"), rng.choice(["M", None, ""]), rng.randrange(1, 400), rng.randrange(3), *span(), rng.choice("ABC"), f"T{i}") for i in range(300)]
+    s = spark.createDataFrame(sites, "id long, path string, owner string, line long, site long, module string")
+    d = spark.createDataFrame(directives, "path string, owner string, d_line long, d_site long, scope_start long, scope_end long, alias string, target string")
+    want = sorted((a[0], x[7]) for a in sites for x in directives if a[1:3] == x[:2] and x[2:4] < a[3:5] and x[4] <= a[3] <= x[5])
+    for unit in (1, 50):
+        assert rows(scopes.active(s, d, unit), "id", "target") == want
+    none = spark.createDataFrame([], d.schema)
+    assert rows(scopes.active(s, none), "id") == [] and rows(scopes.expand_aliases(s, none)) == sorted((a[0], a[5]) for a in sites)
+
+    def written(path, owner, line, site, module, depth=16):
+        own = [x for x in directives if (path, owner) == x[:2] and x[2:4] < (line, site) and x[4] <= line <= x[5] and x[6] == module.split(".")[0]]
+        if not own or not depth:
+            return module
+        last = max(own, key=lambda x: x[2:4])
+        return written(path, owner, last[2], last[3], last[7] + module[len(last[6]) :], depth - 1)
+
+    unique = {x[:4] + x[6:7]: x for x in directives}
+    directives[:] = unique.values()
+    d = spark.createDataFrame(directives, d.schema)
+    assert rows(scopes.expand_aliases(s, d)) == sorted((a[0], written(*a[1:])) for a in sites)
+
+
+def test_a_large_file_meets_only_what_is_active(spark):
+    """Of 100,000 sites and as many directives of one file only pairs that hold are joined."""
+    n = 100_000
+    one = spark.range(n).select(F.lit("f").alias("path"), F.lit("M").alias("owner"), (F.col("id") * 3).alias("at"))
+    sites = one.select("path", "owner", (F.col("at") + 1).alias("line"), F.lit(0).alias("site"), F.col("at").alias("id"))
+    directives = one.select("path", "owner", F.col("at").alias("d_line"), F.lit(0).alias("d_site"), F.col("at").alias("scope_start"), (F.col("at") + 4).alias("scope_end"))
+    assert scopes.active(sites, directives).count() == 2 * n - 1
+
+
+def test_components_cycles_and_closure_of_any_graph(spark):
+    import random
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(38)]
+    edges += [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(200, 201), (201, 202), (202, 200), (202, 5)] + [(300 + i, 301 + i) for i in range(9)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), list(after.get(a, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        return seen
+
+    reach = {x: reached(x) for e in edges for x in e}
+    want = {x: min(y for y in reach if y in reach[x] and x in reach[y]) for x in reach if x in reach[x]}
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    assert dict(rows(recursion.strong_components(frame))) == want
+    found = recursion.cycles(frame).collect()
+    assert sorted(r.start for r in found) == sorted(want)
+    for r in found:
+        assert r.path[0] == r.start and len(set(r.path)) == len(r.path) and set(zip(r.path, r.path[1:] + r.path[:1], strict=True)) <= set(edges)
+    starts = spark.createDataFrame([(0,), (100,), (303,), (999,)], "id long")
+    assert [i for (i,) in rows(recursion.reachable(starts, frame))] == sorted(reach.get(0, set()) | reach[100] | reach[303])
+    empty = frame.limit(0)
+    assert rows(recursion.cycles(empty)) == [] and rows(recursion.reachable(starts, empty)) == []

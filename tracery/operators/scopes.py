@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import placed
+from .ordered import asof_latest
 from .recursion import cut
 
 #: Steps that an alias of an alias is followed.
 DEEPEST = 16
 
 
-def active(sites: DataFrame, directives: DataFrame) -> DataFrame:
+#: Lines of one span in which the last directive of a block is looked up.
+SPAN = 4096
+
+
+def _meeting(sites: DataFrame, directives: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
+    """sites and directives with the key (_key) by which they meet: file, owner, and a block of lines that the site lies in and the scope holds."""
+    begin = F.greatest("scope_start", "d_line")  # a directive is of no use before its own line
+    s, d = placed(sites, directives, F.col("line"), begin, F.col("scope_end"), unit)
+    key = F.struct("path", F.col("owner").isNull().alias("free"), F.coalesce("owner", F.lit("")).alias("owner"), "_block").alias("_key")
+    return s.select("*", key).drop("_block"), d.select("*", key).drop("_block")
+
+
+def active(sites: DataFrame, directives: DataFrame, unit: int = 1) -> DataFrame:
     """sites (path, owner, line, site, ...) joined to the directives of their file and owner that stand before them and whose scope holds them.
 
-    directives: path, owner, d_line, d_site, scope_start, scope_end, ... ; the owner may be null on both sides.
+    directives: path, owner, d_line, d_site, scope_start, scope_end, ... ; the owner may be null on both sides. Sites and
+    scopes meet by blocks of lines (of `unit` lines at least), so a large file costs no more than what is active in it.
     """
-    same = (F.col("s.path") == F.col("d.path")) & F.col("s.owner").eqNullSafe(F.col("d.owner"))
+    s, d = _meeting(sites, directives, unit)
     before = F.struct("d.d_line", "d.d_site") < F.struct("s.line", "s.site")
     inside = F.col("s.line").between(F.col("d.scope_start"), F.col("d.scope_end"))
     kept = [F.col(f"d.{c}") for c in directives.columns if c not in ("path", "owner")]
-    return sites.alias("s").join(directives.alias("d"), same & before & inside).select("s.*", *kept)
+    return s.alias("s").join(d.alias("d"), "_key").where(before & inside).select(*[f"s.{c}" for c in sites.columns], *kept)
 
 
 def latest(sites: DataFrame, directives: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,13 +50,18 @@ def expand_aliases(sites: DataFrame, directives: DataFrame) -> DataFrame:
 
     The latest active alias of the module's first part replaces it, and what it stands for is looked up again
     where that alias stands, at most DEEPEST times. directives: path, owner, d_line, d_site, scope_start,
-    scope_end, alias, target.
+    scope_end, alias, target. In each block of lines a site looks up only the last directive before it, so a name that
+    a file gives again and again costs a row for each time.
     """
     out, front = None, sites
     own = directives.select("path", "owner", "d_line", "d_site", "scope_start", "scope_end", "alias", "target")
     for _ in range(DEEPEST):
-        found = active(front, own).where(F.col("alias") == F.substring_index("module", ".", 1))
-        best = found.groupBy("id").agg(F.max_by(F.struct("target", "d_line", "d_site"), F.struct("d_line", "d_site")).alias("x"))
+        s, d = _meeting(front, own, 1)
+        # A directive counts from the byte behind its own on.
+        s = s.select("id", F.struct("_key", F.substring_index("module", ".", 1).alias("alias")).alias("_key"), "line", "site")
+        d = d.select(F.struct("_key", "alias").alias("_key"), F.col("d_line").alias("line"), (F.col("d_site") + 1).alias("site"), F.struct("target", "d_line", "d_site").alias("x"))
+        found = asof_latest(s, d, "_key", ["line", "site"], "x", F.floor(F.col("line") / SPAN))
+        best = found.where("x is not null").groupBy("id").agg(F.max_by("x", F.struct("x.d_line", "x.d_site")).alias("x"))
         stepped = cut(front.join(best, "id", "left"))  # each round reads it three times
         ended = stepped.where("x is null").select(*sites.columns)
         out = ended if out is None else out.union(ended)

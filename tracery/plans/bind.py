@@ -74,5 +74,32 @@ def shipments(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
     return lines.select("l_suppkey", "l_partkey").distinct().select(named("supplier", "l_suppkey").alias("src"), F.lit("ships").alias("kind"), named("part", "l_partkey").alias("dst"))
 
 
+def edited_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(before, after): documents as files (path, hash, text); by doc_id % 5 moved and cut, moved and begun anew, moved and cut short, gone, kept."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", (F.col("doc_id") % 5).alias("k"))
+    path = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"))
+    lines = F.split("text", "\n")
+    head = lambda part: F.array_join(F.slice(lines, F.lit(1), F.ceil(F.size(lines) * part).cast("int")), "\n")
+    begun = F.concat(F.lit("begun "), F.col("doc_id").cast("string"), F.regexp_extract("text", r"(?s)^[^\n]*(.*)$", 1))
+    later = F.when(F.col("k") == 0, head(0.75)).when(F.col("k") == 1, begun).when(F.col("k") == 2, head(0.25)).when(F.col("doc_id") % 10 == 9, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))
+    before = docs.select(F.when(F.col("k") == 4, path("kept")).otherwise(path("old")).alias("path"), "text")
+    after = docs.where("k <> 3").select(F.when(F.col("k") == 4, path("kept")).otherwise(path("new")).alias("path"), later.alias("text"))
+    return tuple(d.select("path", F.sha2("text", 256).alias("hash"), "text") for d in (before, after))
+
+
+def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits (commit, status, path, previous_path): a customer's k-th order moves its file to the path of k % 3; with status P there is no file.
+
+    Customers with an even key have a file before their first order.
+    """
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), "o_custkey", F.row_number().over(w).alias("k"), (F.col("o_orderstatus") != "P").alias("there"))
+    o = o.withColumn("was", F.coalesce(F.lag("there").over(Window.partitionBy("o_custkey").orderBy("commit")), F.col("o_custkey") % 2 == 0)).where("was or there")
+    place = lambda k: F.concat_ws("/", F.col("o_custkey").cast("string"), (k % 3).cast("string"))
+    here, gone = place(F.col("k")), place(F.col("k") - 1)
+    status = F.when(F.col("was") & F.col("there"), "renamed").when(F.col("there"), "added").otherwise("deleted")
+    return o.select("commit", status.alias("status"), F.when(F.col("there"), here).otherwise(gone).alias("path"), F.when(F.col("was") & F.col("there"), gone).alias("previous_path"))
+
+
 def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))

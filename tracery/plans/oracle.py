@@ -138,6 +138,44 @@ SQL = {
  UNION ALL SELECT 'added', path, NULL FROM added WHERE path NOT IN (SELECT path FROM renamed) AND path NOT IN (SELECT path FROM copied)
  UNION ALL SELECT 'deleted', path, NULL FROM deleted WHERE path NOT IN (SELECT previous_path FROM renamed)
  UNION ALL SELECT 'modified', af.path, NULL FROM af JOIN bf ON af.path = bf.path AND af.hash <> bf.hash""",
+    "changes_similar": r"""WITH RECURSIVE d AS (SELECT doc_id, text, doc_id % 5 AS k, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+ bf AS (SELECT CASE WHEN k = 4 THEN 'kept/' ELSE 'old/' END || doc_id AS path, text FROM d),
+ af AS (SELECT CASE WHEN k = 4 THEN 'kept/' ELSE 'new/' END || doc_id AS path, CASE WHEN k = 0 THEN array_to_string(list_slice(l, 1, CAST(ceil(len(l) * 0.75) AS INT)), chr(10))
+   WHEN k = 1 THEN 'begun ' || doc_id || substr(text, length(l[1]) + 1) WHEN k = 2 THEN array_to_string(list_slice(l, 1, CAST(ceil(len(l) * 0.25) AS INT)), chr(10))
+   WHEN doc_id % 10 = 9 THEN text || chr(10) || 'more' ELSE text END AS text FROM d WHERE k <> 3),
+ added AS (SELECT * FROM af WHERE path NOT IN (SELECT path FROM bf)), deleted AS (SELECT * FROM bf WHERE path NOT IN (SELECT path FROM af)),
+ exact AS (SELECT x.path, y.path AS previous_path FROM added x JOIN deleted y USING (text) WHERE text IN (SELECT text FROM added GROUP BY 1 HAVING count(*) = 1) AND text IN (SELECT text FROM deleted GROUP BY 1 HAVING count(*) = 1)),
+ copied AS (SELECT x.path, k.previous_path FROM added x JOIN (SELECT af.text, min(af.path) AS previous_path FROM af JOIN bf ON af.path = bf.path AND af.text = bf.text GROUP BY 1) k ON k.text = x.text WHERE x.path NOT IN (SELECT path FROM exact)),
+ a AS (SELECT * FROM deleted WHERE path NOT IN (SELECT previous_path FROM exact)), b AS (SELECT * FROM added WHERE path NOT IN (SELECT path FROM exact) AND path NOT IN (SELECT path FROM copied)),
+ ac AS (SELECT min(path) AS file, text, count(*) AS n, row_number() OVER (ORDER BY min(path)) AS i FROM a GROUP BY text), bc AS (SELECT min(path) AS file, text, count(*) AS n, row_number() OVER (ORDER BY min(path)) AS i FROM b GROUP BY text),
+ ap AS (SELECT file, p, count(*) AS n FROM (SELECT file, unnest(regexp_extract_all(text, '[^
+]{0,63}
+|[^
+]{1,64}')) AS p FROM ac) GROUP BY 1, 2), bp AS (SELECT file, p, count(*) AS n FROM (SELECT file, unnest(regexp_extract_all(text, '[^
+]{0,63}
+|[^
+]{1,64}')) AS p FROM bc) GROUP BY 1, 2),
+ s AS (SELECT ap.file AS l, bp.file AS r, sum(least(ap.n, bp.n) * strlen(p)) AS shared FROM ap JOIN bp USING (p) GROUP BY 1, 2),
+ pairs AS (SELECT l, r, ac.i AS li, bc.i AS ri, ac.n AS ln, bc.n AS rn, CAST(floor(shared * 100 / greatest(strlen(ac.text), strlen(bc.text))) AS INT) AS percent,
+   row_number() OVER (ORDER BY CAST(floor(shared * 100 / greatest(strlen(ac.text), strlen(bc.text))) AS INT) DESC, ac.text <> bc.text, l, r) AS place
+   FROM s JOIN ac ON ac.file = l JOIN bc ON bc.file = r WHERE shared * 100 >= 50 * greatest(strlen(ac.text), strlen(bc.text))),
+ walk(place, lu, ru, l, r, percent, lf, rf, n) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list_transform(range(max(i)), lambda x: 0) FROM ac), (SELECT list_transform(range(max(i)), lambda x: 0) FROM bc), '', '', 0, 0, 0, 0
+  UNION ALL SELECT p.place, list_transform(lu, lambda x, i: CASE WHEN i = p.li THEN x + greatest(0, least(p.ln - lu[p.li], p.rn - ru[p.ri])) ELSE x END),
+   list_transform(ru, lambda x, i: CASE WHEN i = p.ri THEN x + greatest(0, least(p.ln - lu[p.li], p.rn - ru[p.ri])) ELSE x END), p.l, p.r, p.percent, lu[p.li], ru[p.ri], least(p.ln - lu[p.li], p.rn - ru[p.ri])
+  FROM walk JOIN pairs p ON p.place = walk.place + 1),
+ took AS (SELECT l, r, percent, lf, rf, unnest(range(CAST(n AS BIGINT))) AS k FROM walk WHERE n > 0),
+ am AS (SELECT a.path, ac.file, row_number() OVER (PARTITION BY ac.file ORDER BY a.path) - 1 AS number FROM a JOIN ac USING (text)), bm AS (SELECT b.path, bc.file, row_number() OVER (PARTITION BY bc.file ORDER BY b.path) - 1 AS number FROM b JOIN bc USING (text)),
+ moved AS (SELECT bm.path, am.path AS previous_path, percent FROM took JOIN am ON am.file = l AND am.number = lf + k JOIN bm ON bm.file = r AND bm.number = rf + k)
+ SELECT 'renamed' AS status, path, previous_path, 100 AS percent FROM exact UNION ALL SELECT 'copied', path, previous_path, 100 FROM copied UNION ALL SELECT 'renamed', path, previous_path, percent FROM moved
+ UNION ALL SELECT 'added', path, NULL, NULL FROM b WHERE path NOT IN (SELECT path FROM moved) UNION ALL SELECT 'deleted', path, NULL, NULL FROM a WHERE path NOT IN (SELECT previous_path FROM moved)
+ UNION ALL SELECT 'modified', af.path, NULL, NULL FROM af JOIN bf ON af.path = bf.path AND af.text <> bf.text""",
+    "rename_history": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS commit, o_orderstatus <> 'P' AS there, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders
+  UNION ALL SELECT DISTINCT o_custkey, NULL, o_custkey % 2 = 0, 0 FROM orders),
+ f AS (SELECT *, CASE WHEN there AND NOT coalesce(lag(there) OVER (PARTITION BY c ORDER BY k), false) THEN 1 ELSE 0 END AS starts, lead(there) OVER (PARTITION BY c ORDER BY k) AS next, lead(commit) OVER (PARTITION BY c ORDER BY k) AS next_commit FROM o),
+ g AS (SELECT *, sum(starts) OVER (PARTITION BY c ORDER BY k) AS life FROM f)
+ SELECT c || '/' || (min(k) % 3) AS first_path, arg_min(commit, k) FILTER (k > 0 AND starts = 1) AS born, c || '/' || (max(k) % 3) AS last_path, max(next_commit) FILTER (next = false) AS died, count(*) - 1 AS steps
+ FROM g WHERE there GROUP BY c, life""",
     "selector_resolution": f"""WITH {SYMBOLS}, q AS (SELECT path, name AS selector FROM symbols UNION SELECT path, kind FROM symbols UNION SELECT NULL, p_name || ' Brand#3' FROM part),
  k AS (SELECT id, path, name AS selector, 0 AS rank FROM symbols UNION ALL SELECT id, path, kind, 1 FROM symbols),
  m AS (SELECT q.path, q.selector, k.id, k.rank, min(k.rank) OVER (PARTITION BY q.path, q.selector) AS best FROM q LEFT JOIN k ON k.selector = q.selector AND (q.path IS NULL OR k.path = q.path))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, hashing, ordered, policy, recursion, resolve, rules, scopes, sets
+from ..operators import graph, hashing, ordered, policy, recursion, renames, resolve, rules, scopes, sets
 from ..sources import notes
 from . import bind
 from .bind import micros, named, table
@@ -166,13 +166,12 @@ def asof_alias(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scope_interval(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", micros("ts").alias("at"))
-    day = 86_400_000_000
-    sites = e.where("event_type = 'purchase'").select("event_id", "user_id", "at", F.floor(F.col("at") / day).alias("day"))
-    scopes = e.where("event_type = 'signup'").select(F.col("event_id").alias("directive"), "user_id", F.col("at").alias("first"), (F.col("at") + 3 * day).alias("last"))
-    # A scope stands under each of its days, so a user with very many events is dealt over days.
-    scopes = scopes.withColumn("day", F.explode(F.sequence(F.floor(F.col("first") / day), F.floor(F.col("last") / day))))
-    return sites.join(scopes, ["user_id", "day"]).where("at between first and last").select("event_id", "directive")
+    """Purchases in the three days after a sign-up of the same user; blocks are hours."""
+    e = table(spark, sf, "events").select("event_id", F.lit("").alias("path"), F.col("user_id").cast("string").alias("owner"), "event_type", micros("ts").alias("line"))
+    hour = 3_600_000_000
+    sites = e.where("event_type = 'purchase'").select("event_id", "path", "owner", "line", F.lit(0).alias("site"))
+    signed = e.where("event_type = 'signup'").select("path", "owner", F.col("line").alias("d_line"), F.lit(-1).alias("d_site"), F.col("line").alias("scope_start"), (F.col("line") + 72 * hour).alias("scope_end"), F.col("event_id").alias("directive"))
+    return scopes.active(sites, signed, hour).select("event_id", "directive")
 
 
 def link_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,6 +283,16 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     return sets.changes_between(listing(False), listing(True))
 
 
+def changes_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, moved with a third of their lines lost, with a new first line or with most lines lost, gone, kept or changed."""
+    return renames.similar_changes(*bind.edited_documents(spark, sf))
+
+
+def rename_history(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 over time: each order of a customer is a commit that moves the customer's file, or deletes it."""
+    return renames.followed(bind.order_history(spark, sf))
+
+
 def selector_resolution(spark: SparkSession, sf: str) -> DataFrame:
     symbols = bind.symbols(spark, sf).select("id", "path", F.col("name").alias("selector"), F.array("kind").alias("aliases"))
     parts = table(spark, sf, "part")
@@ -357,7 +366,7 @@ QUERIES = {
         coverage_total, coverage_by_module, coverage_by_owner, nodes_by_kind, snapshot_diff, symmetric_difference, equal_sets, changed_policy_paths, retention,
         budget_cut, first_wins, duplicates, duplicate_patterns, supersession_effective, supersession_historical, rename_chain, asof_alias, scope_interval, link_extract,
         link_resolve, slug, safe_path, id_parse, decision_ids, suggest_topk, node_hashes, graph_root_hash, policy_scan, deny_imports, debounce_sessions, state_summary,
-        failure_categories, severity_counts, affected_paths, changes, selector_resolution, container_parent, pattern_resolution, editor_lookup, note_resolution,
+        failure_categories, severity_counts, affected_paths, changes, changes_similar, rename_history, selector_resolution, container_parent, pattern_resolution, editor_lookup, note_resolution,
         github_escape, diagnostic_filter, line_counts, remote_callables, clause_groups, snapshot_order,
     )
 }
