@@ -24,6 +24,8 @@ LEAST, SHARES = 10, 1_000_000_000
 TOP = 10
 #: Cells (groups by terms) of a dense block, and groups of a block; more groups are compared in pairs of blocks of groups.
 CELLS, GROUPS = 1 << 18, 1 << 10
+#: Parts over which a language's terms are dealt to meet what is known of the language.
+PARTS = 256
 #: Counts that a task holds before it hands them on.
 HELD = 1 << 19
 
@@ -227,7 +229,9 @@ def divergence(docs: DataFrame, held: int = HELD, cells: int = CELLS, groups: in
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("long")
     head = head.select("*", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
     head = head.select("lang", "source", "own", dealt.alias("d"), "block", none.alias("term"), nothing.alias("n"), "whole", nothing.alias("total"), nothing.alias("lang_whole"))
-    body = kept.join(langs, "lang").select("lang", "source", side(), F.col("sides"), F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "n", "total", (F.col("all_n") + 2 * F.col("v")).alias("lang_whole"))
+    # A language has very many terms: they are dealt over parts to meet its sizes.
+    many = langs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    body = kept.withColumn("part", F.pmod(F.xxhash64("term", "source"), F.lit(PARTS)).cast("int")).join(many, ["lang", "part"]).select("lang", "source", side(), F.col("sides"), F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "n", "total", (F.col("all_n") + 2 * F.col("v")).alias("lang_whole"))
     body = body.select("lang", "source", "own", dealt.alias("d"), "block", "term", "n", nothing.alias("whole"), "total", "lang_whole")
     rows = head.union(body)
     tile = F.concat_ws(" ", F.col("block").cast("string"), F.col("d.side").cast("string"), F.col("d.other").cast("string"), F.col("lang"))
