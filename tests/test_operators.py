@@ -245,3 +245,35 @@ def test_components_cycles_and_closure_of_any_graph(spark):
     assert [i for (i,) in rows(recursion.reachable(starts, frame))] == sorted(reach.get(0, set()) | reach[100] | reach[303])
     empty = frame.limit(0)
     assert rows(recursion.cycles(empty)) == [] and rows(recursion.reachable(starts, empty)) == []
+
+
+def test_globs_by_their_literal_characters(spark):
+    import random
+    import re
+
+    from tracery.functions.text import glob_regex
+
+    rng = random.Random(2)
+    names = ["name", "na", "main", "x", "lib.rs", "a.b", "ünï", "tests", "z[1]", ""]
+    paths = sorted({"/".join(rng.choice(names) + rng.choice(["", "1", ".rs"]) for _ in range(rng.randrange(1, 5))) for _ in range(400)} - {""})
+    globs = ["**/name*.rs", "*.rs", "**", "*", "?", "**/x", "x/**", "**/tests/**", "*/na?/*", "{main,name}/*", "**/{a.b,x}*", "[mn]a*", "**/z\\[1\\]*", "*a*", "**/nothing*", "na**me", "?/**/?", "**/*", "src/**", "lib.rs", "*ï*", "*/*/*/*", "{x", "[!m]*"]
+    made = policy.with_regex(spark, [(f"d{i % 20}", g) for i, g in enumerate(globs)])
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    want = set()
+    for i, g in enumerate(globs):
+        try:
+            hits = {p for p in paths if re.search(glob_regex(g), p)}
+        except ValueError:
+            hits = set()
+        if not hits:  # a tail of a path
+            tails = [p for p in paths if p == g or p.endswith(f"/{g}")]
+            hits = {g} if g in tails else set(tails[:1])
+        want |= {(f"d{i % 20}", p) for p in hits}
+    assert set(rows(policy.governed(made, frame))) == want
+
+
+def test_many_globs_meet_few_paths(spark):
+    """A thousand globs over 20,000 paths: what meets is what matches, not their product."""
+    paths = spark.range(20_000).select(F.concat(F.lit("src/mod"), (F.col("id") % 40).cast("string"), F.lit("/name"), F.col("id").cast("string"), F.lit("_x.rs")).alias("path"))
+    made = policy.with_regex(spark, [(f"d{i}", f"**/name{i}_*.rs") for i in range(0, 20_000, 20)])
+    assert policy.governed(made, paths).count() == 1000

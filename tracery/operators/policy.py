@@ -6,18 +6,19 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pattern as code
 from ..functions.ids import trimmed
 from ..functions.text import denies, glob_prefix, glob_regex
+from .recursion import cut
 from .resolve import partial_paths
 
 #: Characters of patterns that a task holds at once; more patterns are taken in several passes.
 PATTERN_CHARS = 4 << 20
-#: Parts of all paths that a glob without literal directories meets one by one.
-SALTS = 64
+#: Pairs of globs and paths that one task should meet under one gram.
+PAIRS = 1 << 20
 
 
 def _scan(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]], key: str) -> Iterator[pa.RecordBatch]:
@@ -66,19 +67,59 @@ def with_regex(spark: SparkSession, globs: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "decision string, glob string, regex string, prefix string")
 
 
+def literal_grams(glob: Column) -> Column:
+    """Grams that every path of a glob holds: of three characters, or of two or one where it has no longer literal stretch.
+
+    What stands in braces or brackets, or beside a `**`, whose slashes may be missing, is in no stretch.
+    """
+    bare = F.regexp_replace(glob, r"(?s)\\.|\[.*\]|\{.*\}|/?\*\*/?|[*?]", "\0")
+    stretches = F.filter(F.split(bare, "\0"), lambda x: F.length(x) > 0)
+    size = F.least(F.lit(3), F.array_max(F.transform(stretches, F.length)))
+    each = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - size + 1)), lambda k: F.substring(x, k, size))
+    grams = F.flatten(F.transform(F.filter(stretches, lambda x: F.length(x) >= size), each))
+    return F.when(F.size(stretches) > 0, F.array_distinct(grams)).otherwise(F.array(F.lit("")))
+
+
+def _by_gram(globs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(decision, glob, path) of globs that begin with a special character.
+
+    A glob is filed under that gram of its own which fewest paths hold, and only paths with this gram meet it. A gram with
+    very many globs and paths is dealt over parts. Globs without a literal character meet all paths, as they match most of them.
+    """
+    wanted = cut(globs.select("glob", "regex").distinct().withColumn("gram", F.explode(literal_grams(F.col("glob")))))
+    sizes = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # of 0 to 3
+    if not sizes:
+        return globs.select("decision", "glob", F.lit("").alias("path")).limit(0)
+
+    def grams_of(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("path") - n + 1)), lambda k: F.substring("path", k, F.lit(n)))
+        return F.when(F.length("path") >= n, all_).otherwise(F.array().cast("array<string>")) if n else F.array(F.lit(""))
+
+    grams = [grams_of(n) for n in sizes]
+    own = paths.select("path", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    own = cut(own)
+    often = own.groupBy("gram").agg(F.count("*").alias("paths"))
+    # A gram that no path holds leaves its glob without a match.
+    filed = wanted.join(often, "gram", "left").groupBy("glob", "regex").agg(F.min(F.struct(F.coalesce("paths", F.lit(0)).alias("paths"), "gram")).alias("x")).where("x.paths > 0")
+    filed = cut(filed.select("glob", "regex", "x.gram", "x.paths"))
+    parts = filed.groupBy("gram").agg(F.ceil(F.count("*") * F.max("paths") / PAIRS).cast("int").alias("parts"))
+    asked = filed.join(parts, "gram").select("glob", "regex", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = own.join(parts, "gram").select("path", "gram", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"))
+    hits = held.join(asked, ["gram", "part"]).where("path rlike regex").select("glob", "path")
+    return globs.select("decision", "glob").join(hits, "glob").select("decision", "glob", "path")
+
+
 def governed(globs: DataFrame, paths: DataFrame) -> DataFrame:
     """(decision, path), distinct: paths that a decision's globs match; a glob that matches none is tried as a path's tail.
 
-    A glob's literal directories are an equality with a path's own, so only globs that begin with a special
-    character meet all paths, in SALTS parts.
+    A glob's literal directories are an equality with a path's own; globs without are looked up by a gram of their literal
+    characters. Neither meets a path that does not hold these.
     """
     own = paths.distinct()
-    folder = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.when(k < F.size(F.split("path", "/")), F.lit("/")).otherwise(F.lit(""))))))
-    starts = own.select("path", folder.alias("prefix"))
-    salt = F.when(F.col("prefix") == "", F.pmod(F.xxhash64("path"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    salts = F.when(F.col("prefix") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    wanted = globs.where("regex is not null").withColumn("salt", F.explode(salts))
-    hits = wanted.join(starts.withColumn("salt", salt), ["prefix", "salt"]).where("path rlike regex").select("decision", "glob", "path")
+    folder = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.when(k < F.size(F.split("path", "/")), F.lit("/")).otherwise(F.lit("")))))
+    wanted = globs.where("regex is not null")
+    hits = wanted.where("prefix <> ''").join(own.select("path", folder.alias("prefix")), "prefix").where("path rlike regex").select("decision", "glob", "path")
+    hits = cut(hits.union(_by_gram(wanted.where("prefix = ''"), own)))
     rest = globs.select("decision", "glob").join(hits.select("decision", "glob").distinct(), ["decision", "glob"], "left_anti")
     found = partial_paths(rest.select(F.regexp_replace("glob", "#.*$", "").alias("query")).distinct(), own)
     fallback = rest.withColumn("query", F.regexp_replace("glob", "#.*$", "")).join(found, "query").select("decision", "path")
