@@ -9,11 +9,26 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-TOKEN = re.compile(r"\$\$\$[A-Z_][A-Z0-9_]*|\$\$\$|\$[A-Z_][A-Z0-9_]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|[^\W\d]\w*[?!]?(?=\()|\w+|::|->|=>|[=!<>]=|&&|\|\||\S")
-COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![\"'\w])#(?![\[!])[^\n]*", re.S)
+STRING = r"\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])*'"
+#: In these a quote opens one character, or names a lifetime.
+CHARACTER = r"\"(?:\\.|[^\"\\])*\"|`[^`]*`|'(?:\\(?:u\{\w+\}|x\w\w|.)|[^'\\\n])'"
+SLASHES, HASH = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r"(?<![\"'\w])#(?![\[!])[^\n]*"
+# Comments of the known languages; others may have all.
+COMMENTS = {"elixir": HASH, "python": HASH, "go": SLASHES, "javascript": SLASHES, "rust": SLASHES, "typescript": SLASHES}
+
+
+@lru_cache
+def _lexer(language: str | None) -> tuple[re.Pattern, re.Pattern]:
+    """Tokens, and strings or comments, of a language."""
+    string = CHARACTER if language in ("rust", "go") else STRING
+    token = re.compile(r"\$\$\$[A-Z_][A-Z0-9_]*|\$\$\$|\$[A-Z_][A-Z0-9_]*|" + string + r"|[^\W\d]\w*[?!]?(?=\()|\w+|::|->|=>|[=!<>]=|&&|\|\||\S")
+    return token, re.compile(string + "|" + COMMENTS.get(language, f"{SLASHES}|{HASH}"), re.S)
+
+
 CLOSES = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -25,44 +40,52 @@ class Tokens:
     values: list[str]
     spans: list[tuple[int, int]]
     behind: dict[int, int]
+    language: str | None = None
 
 
-def tokens(text: str, comments: bool = True) -> Tokens:
-    strings = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|" + COMMENT.pattern, re.S)
-    code = strings.sub(lambda m: m[0] if m[0][0] in "\"'`" else re.sub(r"[^\n]", " ", m[0]), text) if comments else text
-    found = list(TOKEN.finditer(code))
+def tokens(text: str, language: str | None = None, comments: bool = True) -> Tokens:
+    token, quoted = _lexer(language)
+    code = quoted.sub(lambda m: m[0] if m[0][0] in "\"'`" else re.sub(r"[^\n]", " ", m[0]), text) if comments else text
+    found = list(token.finditer(code))
     values, open_, behind = [m[0] for m in found], [], {}
     for k, v in enumerate(values):
         if v in CLOSES:
             open_.append(k)
         elif v in CLOSES.values() and open_ and CLOSES[values[open_[-1]]] == v:
             behind[open_.pop()] = k + 1
-    return Tokens(text, values, [m.span() for m in found], behind)
+    return Tokens(text, values, [m.span() for m in found], behind, language)
 
 
-def _run(t: Tokens, at: int, many: bool) -> list[int]:
+def _run(t: Tokens, at: int, many: bool) -> Iterator[int]:
     """Where a run that begins at a token may end, the shortest first."""
-    ends = [at] if many else []
+    if many:
+        yield at
     while at < len(t.values):
         v = t.values[at]
         if v in CLOSES.values() or v == ";" or v == "," and not many:
-            break
+            return
         if v in CLOSES and at not in t.behind:
-            break
+            return
         at = t.behind.get(at, at + 1)
-        ends.append(at)
-    return ends
+        yield at
 
 
-def _match(p: list[str], k: int, t: Tokens, at: int, held: dict[str, tuple[int, int]]) -> tuple[int, dict[str, tuple[int, int]]] | None:
+def _match(p: list[str], k: int, t: Tokens, at: int, held: dict[str, tuple[int, int]], failed: set[tuple[int, int]] | None) -> tuple[int, dict[str, tuple[int, int]]] | None:
+    """failed: places of the pattern that are known not to match from a token on, where no name is bound twice."""
     while k < len(p):
         if p[k].startswith("$") and len(p[k]) > 1:
-            for end in _run(t, at, p[k].startswith("$$$")):
+            tried = [at]
+            for end in () if failed is not None and (k, at) in failed else _run(t, at, p[k].startswith("$$$")):
                 old = held.get(p[k])
                 if old and t.values[slice(*old)] != t.values[at:end]:
                     continue
-                if found := _match(p, k + 1, t, end, held if p[k] == "$$$" else {**held, p[k]: (at, end)}):
+                if found := _match(p, k + 1, t, end, held if p[k] == "$$$" else {**held, p[k]: (at, end)}, failed):
                     return found
+                if failed is not None and end != at and (k, end) in failed:
+                    break  # a run from there on has the same ends
+                tried.append(end)
+            if failed is not None:
+                failed.update((k, x) for x in tried)
             return None
         if at >= len(t.values) or t.values[at] != p[k]:
             return None
@@ -88,14 +111,16 @@ def _nodes(t: Tokens, a: int, b: int) -> list[str]:
 
 def find(pattern: str, t: Tokens) -> dict[tuple[int, int], dict[str, str]]:
     """Token ranges that match a pattern, with what its names stand for."""
-    p = tokens(pattern, comments=False).values
+    p = tokens(pattern, t.language, comments=False).values
     if not p:
         raise ValueError("empty pattern")
     out = {}
+    names = [x for x in p if x.startswith("$") and len(x) > 1 and x != "$$$"]
+    failed: set[tuple[int, int]] | None = set() if len(names) == len(set(names)) else None
     for at, v in enumerate(t.values):
         if not p[0].startswith("$") and (v != p[0] or at and re.match(r"\w", v) and t.values[at - 1] in (".", "::")):
             continue
-        if (got := _match(p, 0, t, at, {})) and got[0] > at:
+        if (got := _match(p, 0, t, at, {}, failed)) and got[0] > at:
             captures = {}
             for name, (a, b) in got[1].items():
                 nodes = _nodes(t, a, b) if name.startswith("$$$") else [t.text[t.spans[a][0] : t.spans[b - 1][1]]]
@@ -134,25 +159,40 @@ def evaluate(rule: dict, t: Tokens, among: dict[tuple[int, int], dict[str, str]]
     return out
 
 
-def matches(text: str, pattern: str | None, rule: str | None) -> list[tuple[int, str, str, dict[str, str]]]:
-    """(line, range, text, captures) of what a pattern or a rule matches, in order of their places."""
+def read(rule: str) -> dict:
+    """A rule of its text; what it holds is read too, so a rule that can be read can be evaluated."""
     import yaml
 
-    t = tokens(text)
-    if rule is None:
-        found = find(pattern or "", t)
-    else:
-        told = yaml.safe_load(rule)
-        told = told.get("rule", told) if isinstance(told, dict) else told
-        if not isinstance(told, dict):
+    told = yaml.safe_load(rule)
+    told = told.get("rule", told) if isinstance(told, dict) else told
+
+    def check(part: object) -> None:
+        if not isinstance(part, dict):
             raise ValueError("a rule is a mapping")
-        found = evaluate(told, t)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        re.compile(part.get("regex", ""))
+        if "pattern" in part and not tokens(part["pattern"], comments=False).values:
+            raise ValueError("empty pattern")
+        for key in ("any", "all"):
+            for x in part.get(key, []):
+                check(x)
+        for key in ("not", "has", "inside"):
+            if key in part:
+                check(part[key])
+
+    check(told)
+    return told
+
+
+def matches(text: str | Tokens, pattern: str | None, rule: str | None) -> list[tuple[int, str, str, dict[str, str]]]:
+    """(line, range, text, captures) of what a pattern or a rule matches, in order of their places; a file's tokens serve many."""
+    t = text if isinstance(text, Tokens) else tokens(text)
+    found = find(pattern or "", t) if rule is None else evaluate(read(rule), t)
+    starts = [0, *(m.end() for m in re.finditer("\n", t.text))]
     out = []
     for (a, b), captures in sorted(found.items()):
         lo, hi = t.spans[a][0], t.spans[b - 1][1]
         (l1, l2) = (bisect_right(starts, x) for x in (lo, hi))
-        out.append((l1, f"L{l1}:C{lo - starts[l1 - 1] + 1}-L{l2}:C{hi - starts[l2 - 1] + 1}", text[lo:hi].strip(), captures))
+        out.append((l1, f"L{l1}:C{lo - starts[l1 - 1] + 1}-L{l2}:C{hi - starts[l2 - 1] + 1}", t.text[lo:hi].strip(), captures))
     return out
 
 

@@ -146,26 +146,34 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())]
     for batch in batches:
         rows: list[tuple] = []
-        for path, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for p in asked:
-                if text and code.error(p["pattern"], p["rule"]) is None:
-                    rows += [(p["id"], p["decision"], path, line, place, found, list(captures.items())) for line, place, found, captures in code.matches(text, p["pattern"], p["rule"])]
+        for path, language, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            t = code.tokens(text, language) if text else None
+            for p in asked if t else ():
+                if code.error(p["pattern"], p["rule"]) is None:
+                    rows += [(p["id"], p["decision"], path, line, place, found, list(captures.items())) for line, place, found, captures in code.matches(t, p["pattern"], p["rule"])]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
+def scanned(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Match rows (id, decision, path, line, range, text, captures) of pairs (path, language, id, decision, pattern, rule) in files (path, language, text).
+
+    A file is read, and its tokens told, once for all its policies.
+    """
+    asked = pairs.groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
+    return files.join(asked, ["path", "language"]).select("path", "language", "text", "asked").mapInArrow(_matches, MATCHES)
+
+
 def matches(files: DataFrame, policies: DataFrame, scope: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Match rows (id, decision, path, line, range, text, captures) of policies in the files that their decisions govern.
 
     files: path, language, text; policies: id, decision, language, pattern, rule; scope: decision, path, as
-    governed() gives it; changed: path, if only those count. A file is read once for all policies of its
-    language and scope; policies that cannot be read match nothing (see declaration_errors).
+    governed() gives it; changed: path, if only those count. Policies that cannot be read match nothing (see
+    declaration_errors).
     """
     asked = scope.select("decision", "path").distinct()
     asked = asked if changed is None else asked.join(changed.select("path").distinct(), "path", "left_semi")
-    asked = asked.join(policies.select("decision", "id", "language", "pattern", "rule"), "decision")
-    asked = asked.groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
-    return files.join(asked, ["path", "language"]).select("path", "text", "asked").mapInArrow(_matches, MATCHES)
+    return scanned(files, asked.join(policies.select("decision", "id", "language", "pattern", "rule"), "decision"))
 
 
 def in_match_order(found: DataFrame) -> DataFrame:

@@ -6,22 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Where that is unset, a folder of our own serves a local session; on a cluster it is an error, as each
     machine would write to its own disk.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    own = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not own and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not own and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(own or f"file://{tempfile.gettempdir()}/tracery-checkpoints-{uuid.uuid4().hex}")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import elixir, graph, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators import elixir, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators.recursion import shared_folder
 from ..sources import code, files, notes
 from ..sources import elixir as elixir_source
 from ..streaming import refresh
@@ -311,6 +314,30 @@ def policy_matches(spark: SparkSession, sf: str) -> DataFrame:
     return policy.matches(files, policies, scope).select("id", "path", "line", "range", "text", F.array_join(F.transform(F.array_sort(F.map_entries("captures")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("captures"))
 
 
+def policy_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all declarations of a pattern the first, where its decision is effective: brands of an even number are."""
+    part = table(spark, sf, "part")
+    local = F.when(F.col("p_partkey") % 4 == 1, F.lit(" ")).when(F.col("p_partkey") % 4 > 1, F.concat(F.lit(" "), "p_name"))
+    own = F.when(F.col("p_size") % 9 > 0, F.concat(F.lit("D"), F.col("p_size") % 5))
+    declared = part.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("seq"), own.alias("decision"), local.alias("local"), F.lit("rust").alias("language"), F.lit("x()").alias("pattern"), F.lit(None).cast("string").alias("rule"))
+    effective = spark.createDataFrame([("D0",), ("D2",), ("D4",)], "id string")
+    return partitions.registered(declared, effective).select("id", "path", "seq")
+
+
+def policy_rescan(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches after one file in a hundred and one policy changed, and how many pairs were scanned again for them."""
+    files, policies, scope = _policies(spark, sf)
+    hashed = lambda f: f.withColumn("hash", F.sha2("text", 256))
+    globs = policies.select("decision", F.lit("src/*").alias("glob")).distinct()
+    folder = f"{shared_folder(spark)}/tracery-matches-{uuid.uuid4().hex}"
+    partitions.rescan(spark, folder, hashed(files), partitions.plan(policies, globs), scope)
+    name = F.col("path").substr(F.lit(5), F.lit(20)).cast("long")
+    edited = files.withColumn("text", F.when(name % 101 == 1, F.regexp_replace("text", '(?s)log\\("[^"]*"', 'log("changed"')).otherwise(F.col("text")))
+    other = policies.withColumn("pattern", F.when(F.col("id") == "p3", "drop($X)").otherwise(F.col("pattern")))
+    n = partitions.rescan(spark, folder, hashed(edited), partitions.plan(other, globs), scope)
+    return partitions.matches(spark, folder).select("id", "path", "line", "range", "text", F.lit(n).cast("long").alias("scanned"))
+
+
 def policy_violations(spark: SparkSession, sf: str) -> DataFrame:
     """V9: the diagnostics of those matches."""
     files, policies, scope = _policies(spark, sf)
@@ -463,7 +490,7 @@ QUERIES = {
     for f in (
         note_rules, link_rules, target_rules, supersession_rules, policy_declarations, immutable_decisions, scope_moves, full_scan, diagnostic_order, publication_gate, reconciliation, receipt_proof,
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
-        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_violations, validation_full, validation_changed,
+        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed,
         scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
         duplicate_pattern_rules, elixir_callables, elixir_directives, elixir_relations,
     )

@@ -35,6 +35,9 @@ FOUND = """found AS (SELECT f.id, f.decision, 'src/' || p_partkey AS path, f.lin
  ('p5', 'd2', 2, NULL, NULL, 'A=@' || chr(10) || ',' || chr(10) || 'x + 1'), ('p5', 'd2', 4, 'L4:C23-L4:C32', 'log(y, z)', 'A=y' || chr(10) || ',' || chr(10) || 'z')
  ) f(id, decision, line, place, text, captures) ON CASE f.decision WHEN 'd1' THEN p_partkey % 2 = 0 AND p_size % 3 = 0 ELSE p_partkey % 2 = 1 AND p_size % 3 <> 1 END
  WHERE NOT (f.id = 'p5' AND f.line = 2 AND contains(p_name, 'red')))"""
+#: The same after names were edited in one file of a hundred, and p3 asks for drop($X).
+EDITED = FOUND.replace("FROM part)", "FROM (SELECT * REPLACE (CASE WHEN p_partkey % 101 = 1 THEN 'changed' ELSE p_name END AS p_name) FROM part))")
+EDITED = EDITED.replace("('p3', 'd2', 2, NULL, NULL, 'A=@;B=x + 1'), ('p3', 'd2', 4, 'L4:C23-L4:C32', 'log(y, z)', 'A=y;B=z')", "('p3', 'd2', 4, 'L4:C18-L4:C33', 'drop(log(y, z))', 'X=log(y, z)')")
 SITES = """s AS (SELECT event_id AS id, user_id, event_id AS line FROM events WHERE event_type = 'purchase'), d AS (SELECT user_id, event_id AS d FROM events WHERE event_type = 'signup'),
  a AS (SELECT s.id, d.d FROM s JOIN d ON d.user_id = s.user_id AND d.d < s.line AND s.line <= d.d + 8000)"""
 
@@ -101,6 +104,10 @@ SQL = {
     "heading_links": """SELECT c_custkey, CASE WHEN ok THEN 'note' ELSE 'broken' END AS kind, CASE WHEN ok THEN 'N' || (c_custkey % 25) END AS target FROM
  (SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN false WHEN 4 THEN false WHEN 5 THEN regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') = 'nation-3' ELSE true END AS ok FROM customer JOIN nation ON n_nationkey = c_custkey % 25)""",
     "policy_matches": f"WITH {FOUND} SELECT id, path, CAST(line AS BIGINT) AS line, range, text, captures FROM found",
+    "policy_plan": """WITH d AS (SELECT p_brand AS path, p_partkey AS seq, 'D' || (p_size % 5) AS decision, p_name AS local FROM part WHERE p_size % 9 > 0 AND p_partkey % 4 > 1),
+ f AS (SELECT decision, decision || '/' || local AS id, path, seq, row_number() OVER (PARTITION BY decision, local ORDER BY path, seq) AS n FROM d) SELECT id, path, seq FROM f WHERE n = 1 AND decision IN ('D0', 'D2', 'D4')""",
+    "policy_rescan": f"""WITH {EDITED}, n AS (SELECT sum(CASE WHEN p_partkey % 2 = 0 AND p_size % 3 = 0 AND p_partkey % 101 = 1 THEN 2 WHEN p_partkey % 2 = 1 AND p_size % 3 <> 1 THEN CASE WHEN p_partkey % 101 = 1 THEN 3 ELSE 1 END ELSE 0 END) AS n FROM part)
+ SELECT id, path, CAST(line AS BIGINT) AS line, range, text, CAST(n AS BIGINT) AS scanned FROM found, n""",
     "policy_violations": f"WITH {FOUND} SELECT 'error' AS severity, 'policy-violation' AS code, path, CAST(line AS BIGINT) AS line, decision || ' policy `' || id || '` matched `' || text || '`' AS message FROM found",
 }
 SQL |= {
