@@ -322,3 +322,67 @@ def test_code_patterns():
     assert find("if x { log(1) } log(2)", rule="{pattern: log($A), inside: {pattern: 'if x { $$$ }'}}") == [(1, "L1:C8-L1:C14", {"A": "1"})]
     assert find("f(g(1)) f(2)", rule="{any: [{pattern: f($A)}], has: {pattern: g($B)}}") == [(1, "L1:C1-L1:C8", {"A": "g(1)"})]
     assert pattern.error("", None) and pattern.error(None, "kind: call") and pattern.error(None, "[") and not pattern.error("f($A)", None)
+
+
+def test_publication_is_blocked_by_what_governs_nothing(spark, tmp_path):
+    """The gate is derived from notes and files, and a blocked publication leaves the last snapshot."""
+    from tracery.operators import checks
+
+    note = "---\nid: ADR-0001\nkind: decision\ntitle: One\nstatus: {}\ngoverns: ['{}']\n---\n# One\n## Context\n## Decision\n## Consequences\n"
+    files_ = spark.createDataFrame([("src/a.rs", "rust", "fn a() {}")], "path string, language string, text string")
+    symbols = spark.createDataFrame([("src/a.rs#fn:a", "src/a.rs", "fn:a", ["a"])], "id string, path string, selector string, aliases array<string>")
+    folder = f"file://{tmp_path}"
+
+    def blockers(status, glob):
+        texts = spark.createDataFrame([("docs/adr/0001-one.md", note.format(status, glob))], "path string, text string")
+        return checks.blocking(checks.derive(notes.notes(texts), files_, symbols))
+
+    first = snapshots.publish(spark, folder, {"files": files_}, blockers=blockers("accepted", "src/**"))
+    with pytest.raises(snapshots.PublicationBlocked, match="unresolved-governs"):
+        snapshots.publish(spark, folder, {"files": files_.limit(0)}, blockers=blockers("accepted", "lib/**"))
+    with pytest.raises(snapshots.PublicationBlocked, match="invalid-glob"):
+        snapshots.publish(spark, folder, {"files": files_.limit(0)}, blockers=blockers("accepted", "src/{x"))
+    assert [x["root"] for x in snapshots.history(spark, folder)] == [first]
+    assert snapshots.publish(spark, folder, {"files": files_.limit(0)}, blockers=blockers("draft", "lib/**")) != first
+
+
+def test_derived_targets(spark):
+    from tracery.operators import checks
+
+    paths = spark.createDataFrame([("src/a.rs",), ("lib/b.rs",)], "path string")
+    symbols = spark.createDataFrame([("src/a.rs#fn:run", "src/a.rs", "fn:run", ["run"])], "id string, path string, selector string, aliases array<string>")
+    values = ["src/a.rs", "a.rs", "source:src/a.rs", "src/a.rs#fn:run", "src/a.rs#run", "a.rs#fn:run", "src/a.rs#fn:no", "none.rs", "src/a.rs#L3", "lib/b.rs#fn:run"]
+    rows = checks.symbol_targets(spark.createDataFrame([(v,) for v in values], "value string"), paths, symbols).collect()
+    assert {r.value: (r.found, r.legacy) for r in rows} == {
+        "src/a.rs": (True, False), "a.rs": (True, True), "source:src/a.rs": (True, True), "src/a.rs#fn:run": (True, False), "src/a.rs#run": (True, True), "a.rs#fn:run": (True, True),
+        "src/a.rs#fn:no": (False, False), "none.rs": (False, False), "src/a.rs#L3": (True, False), "lib/b.rs#fn:run": (False, False),
+    }
+
+
+def test_only_stale_pairs_are_scanned_again(spark, tmp_path):
+    from tracery.operators import partitions, policy
+
+    files_ = lambda texts: spark.createDataFrame([(p, "rust", str(hash(t)), t) for p, t in texts.items()], "path string, language string, hash string, text string")
+    texts = {f"src/{i}.rs": f"fn a() {{ log({i}) }}" for i in range(20)}
+    policies = lambda pattern: spark.createDataFrame([("p", "d", "rust", "log($A)", None), ("q", "d", "rust", pattern, None), ("bad", "d", "rust", None, "pattern: log\nregex: '('")], "id string, decision string, language string, pattern string, rule string")
+    globs = spark.createDataFrame([("d", "src/**")], "decision string, glob string")
+    scope = lambda texts: spark.createDataFrame([("d", p) for p in texts], "decision string, path string")
+    folder = f"file://{tmp_path}/kept"
+
+    def scan(texts, pattern="drop($A)", globs=globs):
+        plan = partitions.plan(policies(pattern), globs)
+        n = partitions.rescan(spark, folder, files_(texts), plan, scope(texts))
+        full = policy.matches(files_(texts).drop("hash"), policies(pattern), scope(texts))
+        key = lambda df: sorted((r.id, r.path, r.line, r.range, r.text, sorted(r.captures.items())) for r in df.collect())
+        assert key(partitions.matches(spark, folder)) == key(full)
+        return n
+
+    assert scan(texts) == 60
+    assert scan(texts) == 0
+    texts["src/3.rs"] = "fn b() { drop(x) }"
+    assert scan(texts) == 3  # one file for each policy
+    assert scan(texts, "log(4)") == 20  # one policy for each file
+    del texts["src/3.rs"], texts["src/4.rs"]
+    assert scan(texts, "log(4)") == 0  # the last match of a policy is gone
+    assert scan({}, "log(4)") == 0
+    assert scan(texts, "log(4)", globs.limit(0)) == 54  # other globs are another policy

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import elixir, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators import checks, elixir, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
 from ..operators.recursion import shared_folder
 from ..sources import code, files, notes
 from ..sources import elixir as elixir_source
@@ -350,6 +350,43 @@ def _all(spark: SparkSession, sf: str, changed: DataFrame | None = None) -> Data
     return rules.validate(_notes(spark, sf), _links(spark, sf), _targets(spark, sf), _ring(spark, sf), _declared(spark, sf), matched, "docs/adr", changed)
 
 
+def _repository(spark: SparkSession, sf: str) -> checks.Derived:
+    """A repository of the parts: a decision each, written as a note, and a Rust file for each even one."""
+    part = table(spark, sf, "part")
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    size = F.col("p_size").cast("string")
+    path = lambda k: F.concat(F.lit("src/m"), size, F.lit("/f"), k, F.lit(".rs"))
+    body = F.concat(F.lit("fn run() {\n  log("), size, F.lit(");\n"), F.when(k % 4 == 0, F.lit("  drop(x);\n")).otherwise(F.lit("")), F.lit("}\n"))
+    source = part.where(k % 2 == 0).select(path(n).alias("path"), F.lit("rust").alias("language"), body.alias("text"))
+    symbols = source.select(F.concat("path", F.lit("#fn:run")).alias("id"), "path", F.lit("fn:run").alias("selector"), F.array(F.lit("run")).alias("aliases"))
+    name = lambda k: F.concat(F.lit("ADR-20240101-k"), k.cast("string"))
+    listed = lambda *x: F.concat(F.lit("["), *x, F.lit("]"))
+    governs = F.when(k % 5 == 0, F.concat(F.lit("src/m"), size, F.lit("/**"))).when(k % 5 == 1, F.concat(F.lit("src/none"), n, F.lit("/**"))).when(k % 5 == 2, F.lit("src/{x")).when(k % 5 == 4, F.concat(F.lit("f"), n, F.lit(".rs")))
+    symbol = F.when(k % 8 == 0, F.concat(F.lit("source:"), path(n))).when(k % 8 == 1, path(n)).when(k % 8 == 2, F.concat(path(n), F.lit("#fn:gone"))).when(k % 8 == 4, F.concat(path(n), F.lit("#run"))).when(k % 8 == 6, F.concat(path(n), F.lit("#fn:run")))
+    text = F.concat_ws(
+        "\n", F.lit("---"), F.concat(F.lit("id: "), name(k)), F.lit("kind: decision"), F.concat(F.lit("title: K "), n), F.concat(F.lit("status: "), F.when(k % 3 == 1, "draft").otherwise("accepted")),
+        F.concat(F.lit("governs: "), listed(F.coalesce(F.concat(F.lit("'"), governs, F.lit("'")), F.lit("")))),
+        F.concat(F.lit("supersedes: "), listed(F.when(k % 10 == 0, name(k - 1)).otherwise(F.lit("")))), F.concat(F.lit("superseded_by: "), listed(F.when(k % 10 == 9, name(k + 1)).otherwise(F.lit("")))),
+        F.lit("targets:"), F.concat(F.lit("  symbols: "), listed(F.coalesce(F.concat(F.lit("'"), symbol, F.lit("'")), F.lit("")))), F.concat(F.lit("  scope: "), listed(F.when(k % 7 == 0, "'zzz/*'").otherwise(""))),
+        F.concat(F.lit("  patterns: "), listed(F.when(k % 6 == 0, F.concat(F.lit("{ref: "), name(k), F.lit("/p}"))).otherwise(F.lit("")))),
+        F.when(k % 10 == 0, F.lit("policy:\n  patterns:\n    - {id: p, language: rust, pattern: 'drop($X)'}\n    - {id: q, language: rust, rule: 'regex: \"(\"'}")), F.lit("---"),
+        F.concat(F.lit("# K "), n), F.concat(F.lit("see [["), F.when(k % 9 == 0, name(k)).when(k % 9 == 1, "nobody").otherwise(F.concat(F.lit("source:f"), n, F.lit(".rs"))), F.lit("]]")),
+        F.lit("## Context"), F.lit("## Decision"), F.when(k % 11 > 0, "## Consequences"),
+    )
+    noted = part.select(F.concat(F.lit("docs/adr/20240101-k"), n, F.lit(".md")).alias("path"), F.concat(text, F.lit("\n")).alias("text"))
+    return checks.derive(notes.notes(noted), source, symbols)
+
+
+def validation_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """How many diagnostics of each code a full check gives, from notes and files alone."""
+    return checks.check(_repository(spark, sf), "docs/adr").groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+def publication_blockers(spark: SparkSession, sf: str) -> DataFrame:
+    """What effective decisions of those notes govern and cannot."""
+    return checks.blocking(_repository(spark, sf)).select("code", "path")
+
+
 def validation_full(spark: SparkSession, sf: str) -> DataFrame:
     """How many diagnostics of each code a full check gives."""
     return _all(spark, sf).groupBy("code").agg(F.count("*").alias("n"))
@@ -490,7 +527,7 @@ QUERIES = {
     for f in (
         note_rules, link_rules, target_rules, supersession_rules, policy_declarations, immutable_decisions, scope_moves, full_scan, diagnostic_order, publication_gate, reconciliation, receipt_proof,
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
-        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed,
+        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed, validation_derived, publication_blockers,
         scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
         duplicate_pattern_rules, elixir_callables, elixir_directives, elixir_relations,
     )

@@ -155,3 +155,20 @@ _LOCAL = f"""SELECT code, path FROM ({NOTE_LOCAL}) UNION ALL SELECT code, path F
  UNION ALL SELECT 'policy-violation', path FROM (WITH {FOUND} SELECT path FROM found)"""
 SQL["validation_full"] = f"SELECT code, count(*) AS n FROM ({_LOCAL} UNION ALL SELECT code, path FROM ({DUPLICATES}) UNION ALL SELECT code, path FROM ({SUPERSESSION})) GROUP BY code"
 SQL["validation_changed"] = f"""SELECT code, count(*) AS n FROM ({_LOCAL}) WHERE path = 'Brand#12' OR path IN (SELECT {NOTE_PATH} FROM part WHERE p_partkey % 2 = 1) OR path IN (SELECT 'src/' || p_partkey FROM part WHERE p_partkey % 2 = 1) GROUP BY code"""
+_NOTED = """p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 3 <> 1 AS accepted, 'docs/adr/20240101-k' || p_partkey || '.md' AS path FROM part),
+ d AS (SELECT p.*, accepted AND k % 10 = 9 AND EXISTS (SELECT 1 FROM p o WHERE o.k = p.k + 1 AND o.accepted) AS historical FROM p),
+ f AS (SELECT k, s, 'src/m' || s || '/f' || k || '.rs' AS file FROM p WHERE k % 2 = 0),
+ g AS (SELECT path, k, accepted, historical, CASE WHEN k % 5 = 2 THEN 'invalid-glob' WHEN k % 5 = 1 OR k % 5 = 4 AND k % 2 = 1 OR k % 5 = 0 AND s NOT IN (SELECT s FROM f) THEN 'unresolved-governs' END AS code FROM d)"""
+SQL["validation_derived"] = f"""WITH {_NOTED}, told AS (
+ SELECT 'error' AS severity, code FROM g WHERE NOT historical AND code IS NOT NULL
+ UNION ALL SELECT CASE WHEN k % 8 IN (0, 4) THEN 'warning' ELSE 'error' END, CASE WHEN k % 8 IN (0, 4) THEN 'legacy-source-target' ELSE 'unresolved-target' END FROM d WHERE k % 8 IN (0, 1, 2, 4) AND NOT historical
+ UNION ALL SELECT 'warning', 'empty-target-scope' FROM d WHERE k % 7 = 0 AND NOT historical
+ UNION ALL SELECT 'error', 'unresolved-pattern' FROM d WHERE k % 6 = 0 AND k % 10 <> 0
+ UNION ALL SELECT 'error', 'invalid-policy-pattern' FROM d WHERE k % 10 = 0
+ UNION ALL SELECT 'error', 'document-format' FROM d WHERE k % 11 = 0 AND NOT historical
+ UNION ALL SELECT 'error', 'broken-link' FROM d WHERE k % 9 = 1 OR k % 9 > 1 AND k % 2 = 1
+ UNION ALL SELECT 'error', 'unknown-superseded-by' FROM d WHERE k % 10 = 9 AND k + 1 NOT IN (SELECT k FROM p)
+ UNION ALL SELECT 'error', 'unknown-supersedes' FROM d WHERE k % 10 = 0 AND k - 1 NOT IN (SELECT k FROM p)
+ UNION ALL SELECT 'error', 'policy-violation' FROM d JOIN f ON f.s = d.s AND f.k % 4 = 0 WHERE d.k % 10 = 0 AND d.accepted)
+ SELECT severity, code, count(*) AS n FROM told GROUP BY 1, 2"""
+SQL["publication_blockers"] = f"WITH {_NOTED} SELECT code, path FROM g WHERE accepted AND NOT historical AND code IS NOT NULL"

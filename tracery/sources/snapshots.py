@@ -90,12 +90,21 @@ def contents(tables: dict[str, DataFrame]) -> str:
     return root_hash(next(iter(tables.values())).sparkSession.createDataFrame([(f"{k}:{v}",) for k, v in out.items()], "hash string")).first()[0]
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20, at: Callable[[str], None] = lambda step: None) -> str:
+class PublicationBlocked(ValueError):
+    """Diagnostics that keep a state from being published."""
+
+
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20, at: Callable[[str], None] = lambda step: None, blockers: DataFrame | None = None, shown: int = 1000) -> str:
     """Write tables as a snapshot and commit it; returns the root hash of all of them (nodes and edges by their own hashes).
 
+    blockers: diagnostics (path, code, message); if there are any nothing is written, and the last snapshot stays (the
+    first `shown` of very many are told).
+
     Equal contents are one snapshot that becomes the newest and is not written again. What falls out of the
     kept ones is deleted last. at(step) is called after each step.
     """
+    if blockers is not None and (rows := blockers.orderBy("path", "code", "message").limit(shown).collect()):
+        raise PublicationBlocked("\n".join(f"{r.path}: {r.code}: {r.message}" for r in rows))
     root = contents(tables)
     if root not in _names(spark, folder):
         staged = f"{folder}/staged-{uuid.uuid4().hex}"
