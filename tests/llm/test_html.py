@@ -152,3 +152,47 @@ def test_cases(spark):
     got = html_blocks.extract(pages).collect()
     assert sorted(((r.page_id, r.text[:200], r.n_chars) for r in got), key=str) == sorted([(1, "", 0), (2, "", 0), (None, LONG, len(LONG)), (3, "", 0), (4, LONG, len(LONG)), (4, LONG, len(LONG)), (5, ("long text " * 20)[:200], 999_999)], key=str)
     assert html_blocks.extract(pages.limit(0)).count() == 0
+
+
+def reader(k, dated=True):
+    return f"<div class='c'><b>Reader {k}</b>{f'<span>2024-01-0{k}</span>' * dated}<p>I like this very much, thanks for writing it {k}. Really, thanks a lot.</p></div>"
+
+
+def test_what_readers_wrote():
+    dated, plain = "".join(reader(k) for k in range(5)), "".join(reader(k, False) for k in range(5))
+    boxes = ["section class='responses'", "section id='disqus_thread'", "section class='reader-responses'", "div class='user-comments'", "ol class='commentlist'", "div class='thread'><h3>Comments</h3", "div class='x'><h2>12 Comments</h2"]
+    for box in boxes:
+        for comments in (dated, plain):
+            below = f"<{box}>{comments}</{box.split()[0]}>"
+            assert html_blocks.main_text(f"<body><article><h1>T</h1><p>{LONG}</p></article>{below}</body>") == f"T\n{LONG}", box
+            assert html_blocks.main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{below}</article></body>") == f"T\n{LONG}", box
+    assert html_blocks.main_text(f"<body><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class='z'>{dated}</div></body>") == f"T\n{LONG}\n{LONG}"
+    assert html_blocks.main_text(f"<body>{dated}</body>").count("thanks for writing") == 5  # nothing else is there
+    section = f"<h2>Discussion</h2><p>{LONG}</p><section><h2>Comments on the method</h2><p>{LONG}</p></section>"
+    assert html_blocks.main_text(f"<body><article><p>{LONG}</p>{section.replace('Comments on', 'Notes on')}</article></body>").count(LONG) == 3
+
+
+def test_an_article_with_the_title_is_not_outweighed():
+    beside = f"<div class='x'>{''.join(f'<p>{k} {LONG}</p>' for k in range(5))}</div>"
+    assert html_blocks.main_text(f"<body><article><h1>T</h1><p>Short article of one sentence, but it is the article of this page all the same.</p></article>{beside}</body>").startswith("T\nShort article")
+
+
+def test_linked_lines_of_an_article():
+    body = f"<p>{LONG}</p><p>See <a href='/r'>the long report of the committee on roads</a>.</p><p>{LONG}</p>"
+    assert html_blocks.main_text(f"<body>{body}</body>") == f"{LONG}\nSee the long report of the committee on roads.\n{LONG}"
+
+
+def test_pictures_and_films_that_are_not_closed():
+    for tag in ("<svg>", "<video src=x>", "<audio controls>", "<canvas id=a>", "<object data=x>", "<svg/>", "<svg><path d='1'/><text>no</text></svg>", "<VIDEO>no</video>", "<svg>" * 3):
+        assert html_blocks.main_text(f"<body><p>{LONG}</p>{tag}<p>2 {LONG}</p></body>") == f"{LONG}\n2 {LONG}", tag
+
+
+def test_long_attributes():
+    for n in (9_000, 10_000, 300_000):
+        assert html_blocks.main_text(f"<body><p>{LONG}</p><p title=\"{'x' * n}>leak\">2 {LONG}</p></body>") == f"{LONG}\n2 {LONG}"
+
+
+def test_many_unclosed_pictures_take_linear_time():
+    began = time.time()
+    html_blocks.main_text("<svg>" * 20_000 + "<p title=\"" * 20_000 + LONG)
+    assert time.time() - began < 20
