@@ -42,16 +42,11 @@ class Debounce(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         burst = (self.number.get()[0] if self.number.exists() else 0) + 1
-        held: list[tuple] = []
-        for (path,), (events,) in self.paths.iterator():
-            held.append((key[0], burst, path, events))
-            if len(held) == ROWS:
-                yield pd.DataFrame(held, columns=["root", "burst", "path", "events"])
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=["root", "burst", "path", "events"])
+        held = [(key[0], burst, path, events) for (path,), (events,) in self.paths.iterator()]
+        # All state is changed before anything is handed on: what is yielded may be asked for under another key.
         self.paths.clear()
         self.number.update((burst,))
+        return iter([pd.DataFrame(held[k : k + ROWS], columns=["root", "burst", "path", "events"]) for k in range(0, len(held), ROWS)])
 
     def close(self) -> None:
         pass
@@ -64,7 +59,7 @@ def bursts(events: DataFrame, gap: int = GAP) -> DataFrame:
     The burst that goes on, and its timer, are state: they outlive the query. A query takes up where its checkpoint
     ends, and a burst whose time has run out meanwhile is told at once. Needs a state store that has timers
     (spark.sql.streaming.stateStore.providerClass of RocksDB), and a trigger of processing time shorter than the gap;
-    a trigger tells what has run out by its own clock. Events without root or path are no events.
+    a trigger tells what has run out by its own clock. A task holds the distinct paths of the bursts that it tells. Events without root or path are no events.
     """
     real = events.where("root is not null and path is not null").select("root", "path")
     return real.groupBy("root").transformWithStateInPandas(statefulProcessor=Debounce(gap), outputStructType=BURSTS, outputMode="Append", timeMode="ProcessingTime")
