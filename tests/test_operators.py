@@ -277,3 +277,58 @@ def test_many_globs_meet_few_paths(spark):
     paths = spark.range(20_000).select(F.concat(F.lit("src/mod"), (F.col("id") % 40).cast("string"), F.lit("/name"), F.col("id").cast("string"), F.lit("_x.rs")).alias("path"))
     made = policy.with_regex(spark, [(f"d{i}", f"**/name{i}_*.rs") for i in range(0, 20_000, 20)])
     assert policy.governed(made, paths).count() == 1000
+
+
+def test_what_allows_a_change_of_a_decision(spark):
+    from tracery.operators import gate
+
+    old = "---\nstatus: accepted\ngoverns:\n  - src/a.rs\n  - 'src/x.rs'\n---\nsee [[ADR-0001]]\n"
+    schema = "status string, path string, previous_path string, old_text string, new_text string"
+    files = [("renamed", "src/b.rs", "src/a.rs", None, None), ("renamed", "src/c.rs", "src/b.rs", None, None), ("copied", "src/y.rs", "src/x.rs", None, None)]
+
+    def allowed(new, before=old, files=files, **more):
+        changes = spark.createDataFrame([("modified", "docs/adr/1.md", None, before, new), *files], schema)
+        return {r.why for r in gate.allowed_changes(changes, **more).collect() if r.path == "docs/adr/1.md"}
+
+    moved = old.replace("src/a.rs", "src/c.rs")
+    assert allowed(moved) == {"source rename"}
+    assert allowed(moved + "more\n") == allowed(old.replace("src/a.rs", "src/b.rs")) == allowed(old.replace("src/x.rs", "src/y.rs")) == allowed(old) == set()
+    assert allowed(moved, files=[*files, ("renamed", "src/d.rs", "src/a.rs", None, None)]) == set()  # no one answer
+    assert allowed(moved.replace("accepted", "draft"), old.replace("accepted", "draft")) == set()
+    assert allowed(old.replace("[[ADR-0001]]", "[[docs/adr/0001-x.md|ADR-0001]]")) == {"portable links"}
+    receipt = spark.createDataFrame([("docs/adr/1.md", "h1", "h2")], "path string, before string, after string")
+    assert allowed("x", receipt=receipt, staged=receipt) == {"receipt"}
+    assert allowed("x", receipt=receipt, staged=receipt.union(spark.createDataFrame([("y", "h", "h")], receipt.schema))) == set()
+    assert allowed("x", base=spark.createDataFrame([("docs/adr/2.md",)], "path string")) == {"branch"}
+    assert allowed("x", base=spark.createDataFrame([("docs/adr/1.md",)], "path string")) == set()
+    ring = spark.createDataFrame([("renamed", "b", "a"), ("renamed", "a", "b"), ("renamed", "a", "c"), ("renamed", "z", "y")], "status string, path string, previous_path string")
+    assert rows(gate.cyclic_renames(ring)) == [("a",), ("b",), ("c",)]
+    swap = spark.createDataFrame([(1, "renamed", "b", "a"), (1, "renamed", "a", "b"), (2, "renamed", "c", "a"), (3, "added", "a", None), (4, "deleted", "c", None)], "commit long, status string, path string, previous_path string")
+    from tracery.operators import renames
+
+    assert {tuple(r) for r in renames.followed(swap).collect()} == {("a", None, "b", None, 1), ("a", 3, "a", None, 0), ("b", None, "c", 4, 2)}
+    twice = spark.createDataFrame([(1, "renamed", "b", "a"), (1, "renamed", "c", "a"), (2, "renamed", "d", "b")], swap.schema)
+    assert rows(renames.ambiguous(twice)) == [(1, "a", "left twice")]
+
+
+def test_a_long_history_of_renames(spark):
+    """10,000 commits that pass one file on, in a few rounds."""
+    from tracery.operators import renames
+
+    history = spark.range(1, 10_001).select(F.col("id").alias("commit"), F.lit("renamed").alias("status"), F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("path"), F.concat(F.lit("f"), ((F.col("id") - 1) % 7).cast("string")).alias("previous_path"))
+    assert rows(renames.followed(history)) == [("f0", None, "f4", None, 10_000)]
+
+
+def test_renames_of_edited_files(spark):
+    from tracery.operators import renames
+
+    lines = [f"line {i} of this file\n" for i in range(100)]
+    text = lambda a, b, own="": "".join(lines[a:b]) + "}\n" * 40 + own
+    files = lambda rows: spark.createDataFrame([(p, str(hash(t)), t) for p, t in rows], "path string, hash string, text string")
+    before = [("old/a", text(0, 50)), ("old/b", text(50, 100)), ("old/gone", "nothing like it\n" * 5), ("same", "x\n"), ("old/e", ""), ("old/e2", ""), *((f"old/copy{i}", "copy of one text\n" * 9) for i in range(5))]
+    after = [("new/a", text(0, 40)), ("new/b", text(60, 100, "more\n")), ("new/fresh", "all is new here\n" * 7), ("same", "x\n"), ("new/e", ""), *((f"new/copy{i}", "copy of one text\n" * 9) for i in range(3)), ("new/like", "copy of one text\n" * 8)]
+    got = {r.path: (r.status, r.previous_path, r.percent) for r in renames.similar_changes(files(before), files(after)).collect()}
+    moved = {p: x for p, x in got.items() if x[0] == "renamed"}
+    assert moved == {"new/a": ("renamed", "old/a", 81), "new/b": ("renamed", "old/b", 81), "new/copy0": ("renamed", "old/copy0", 100), "new/copy1": ("renamed", "old/copy1", 100), "new/copy2": ("renamed", "old/copy2", 100), "new/like": ("renamed", "old/copy3", 88)}
+    assert {p for p, x in got.items() if x[0] == "added"} == {"new/fresh", "new/e"} and {p for p, x in got.items() if x[0] == "deleted"} == {"old/gone", "old/e", "old/e2", "old/copy4"}
+    assert rows(renames.similar_changes(files(before).limit(0), files(after).limit(0))) == []

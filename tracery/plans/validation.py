@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import checks, elixir, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators import checks, elixir, gate, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
 from ..operators.recursion import shared_folder
 from ..sources import code, files, notes
 from ..sources import elixir as elixir_source
@@ -108,6 +108,24 @@ def immutable_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return rules.immutability(changes, allowed, "docs/adr").select("code", "path")
 
 
+def allowed_decision_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed decisions whose exceptions are derived: renames of sources in two steps, portable links, and what the base of a branch does not have."""
+    part = table(spark, sf, "part")
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    none = F.lit(None).cast("string")
+    path = F.concat(F.lit("docs/adr/"), n, F.lit(".md"))
+    note = lambda glob, link: F.concat(F.lit("---\nstatus: "), F.when(k % 6 == 1, "draft").otherwise("accepted"), F.lit("\ngoverns:\n  - '"), glob, F.lit("'\n  - keep\n---\n# T\n"), link)
+    file = lambda x: F.concat(F.lit(f"src/{x}"), n)
+    plain, whole = F.lit("see [[ADR-0001]]\n"), F.lit("see [[docs/adr/0001-x.md|ADR-0001]]\n")
+    status = F.when(k % 6 == 4, "deleted").when(k % 6 == 5, "added").otherwise("modified")
+    decided = part.select(status.alias("status"), path.alias("path"), none.alias("previous_path"), note(file("a"), plain).alias("old_text"), note(F.when(k % 6 < 2, file("c")).otherwise(file("a")), F.when(k % 6 == 2, whole).when(k % 6 == 3, F.lit("other")).otherwise(plain)).alias("new_text"))
+    moved = [part.where("p_partkey % 6 < 2").select(F.lit("renamed"), file(b), file(a), none, none) for a, b in (("a", "b"), ("b", "c"))]
+    changes = decided.union(moved[0]).union(moved[1])
+    base = part.where("p_partkey % 12 <> 4").select(path.alias("path")).union(part.select(file("a")))
+    allowed = gate.allowed_changes(changes, base=base.union(part.select(file("b"))))
+    return rules.immutability(changes, allowed, "docs/adr").select("code", "path")
+
+
 def scope_moves(spark: SparkSession, sf: str) -> DataFrame:
     """A configuration that moves the decision folder while a decision changes; without either there is no row."""
     k, none = F.col("p_partkey").cast("string"), F.lit(None).cast("string").alias("previous_path")
@@ -527,7 +545,7 @@ QUERIES = {
     for f in (
         note_rules, link_rules, target_rules, supersession_rules, policy_declarations, immutable_decisions, scope_moves, full_scan, diagnostic_order, publication_gate, reconciliation, receipt_proof,
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
-        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed, validation_derived, publication_blockers,
+        positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed, validation_derived, publication_blockers, allowed_decision_changes,
         scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
         duplicate_pattern_rules, elixir_callables, elixir_directives, elixir_relations,
     )

@@ -172,3 +172,4 @@ SQL["validation_derived"] = f"""WITH {_NOTED}, told AS (
  UNION ALL SELECT 'error', 'policy-violation' FROM d JOIN f ON f.s = d.s AND f.k % 4 = 0 WHERE d.k % 10 = 0 AND d.accepted)
  SELECT severity, code, count(*) AS n FROM told GROUP BY 1, 2"""
 SQL["publication_blockers"] = f"WITH {_NOTED} SELECT code, path FROM g WHERE accepted AND NOT historical AND code IS NOT NULL"
+SQL["allowed_decision_changes"] = """SELECT 'adr-immutability-violation' AS code, 'docs/adr/' || p_partkey || '.md' AS path FROM part WHERE p_partkey % 6 IN (1, 3) OR p_partkey % 12 = 10"""
