@@ -386,3 +386,48 @@ def test_only_stale_pairs_are_scanned_again(spark, tmp_path):
     assert scan(texts, "log(4)") == 0  # the last match of a policy is gone
     assert scan({}, "log(4)") == 0
     assert scan(texts, "log(4)", globs.limit(0)) == 54  # other globs are another policy
+
+
+def test_a_change_reads_only_its_branches(spark, tmp_path):
+    from tracery.operators import hashtree
+    from tracery.operators.hashing import root_hash
+
+    hashed = lambda lo, hi: spark.range(lo, hi).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    before = hashed(0, 3000).union(hashed(7, 9))  # two are there twice
+    folder = f"file://{tmp_path}/tree"
+    hashtree.store(hashtree.build(before), folder)
+    tree = hashtree.load(spark, folder)
+    assert hashtree.same_root(tree)
+    came, gone = hashed(5000, 5004), hashed(7, 8).union(hashed(100, 103)).union(hashed(9999, 10000))
+    after, read = hashtree.updated(tree, came, gone)
+    want = before.exceptAll(gone).union(came)
+    assert after.root().first()[0] == root_hash(want).first()[0]
+    assert hashtree.same_root(after) and after.leaves.count() == want.count()
+    assert 5 <= read.count() < 20  # of 3,002
+    found, seen = hashtree.differences(tree, after)
+    assert sorted((r.change, r.hash, r.n) for r in found.collect()) == sorted([("added", r.hash, 1) for r in came.collect()] + [("removed", r.hash, 1) for r in gone.collect() if r.hash != hashed(9999, 10000).first().hash])
+    assert seen.count() < 40
+    same, seen = hashtree.differences(tree, hashtree.load(spark, folder))
+    assert same.count() == seen.count() == 0
+    emptied, _ = hashtree.updated(tree, before.limit(0), before)
+    assert emptied.leaves.count() == 0
+
+
+def test_stored_snapshots_are_compared_without_a_shuffle(spark, tmp_path):
+    edge = "src string, kind string, dst string, hash string"
+    tables = lambda nodes, edges: {"nodes": spark.createDataFrame([(n, "h") for n in nodes], "id string, hash string"), "edges": spark.createDataFrame([(*e, "h") for e in edges], edge)}
+    folder = f"file://{tmp_path}"
+    old, new = tables("abc", [("a", "calls", "b"), ("b", "calls", "c")]), tables("abd", [("a", "calls", "b"), ("a", "calls", "d")])
+    a, b = (snapshots.publish(spark, folder, t, buckets=4) for t in (old, new))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        found = snapshots.stored_diff(spark, folder, a, b)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(map(tuple, found.collect())) == [("edge_added", "a:calls:d"), ("edge_removed", "b:calls:c"), ("node_added", "d"), ("node_removed", "c")]
+    assert sorted(r.id for r in snapshots.load(spark, folder, "latest", "nodes").collect()) == ["a", "b", "d"]
+    c = snapshots.publish(spark, folder, tables("a", []), buckets=None)
+    assert sorted(map(tuple, snapshots.stored_diff(spark, folder, "latest", b).collect()))[:2] == [("edge_added", "a:calls:b"), ("edge_added", "a:calls:d")]
+    assert snapshots.publish(spark, folder, new, buckets=None) == b and snapshots.history(spark, folder)[-1]["buckets"] == 4 and c != b

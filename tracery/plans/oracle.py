@@ -202,3 +202,4 @@ SQL = {
  SELECT snapshot, row_number() OVER (ORDER BY snapshot = 7, place IS NULL, place NULLS FIRST, mtime, snapshot) AS position FROM o""",
     **VALIDATION,
 }
+SQL["hash_tree_update"], SQL["stored_diff"] = SQL["graph_root_hash"], SQL["snapshot_diff"]

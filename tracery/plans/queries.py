@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, hashing, ordered, policy, recursion, renames, resolve, rules, scopes, sets
-from ..sources import notes
+from ..operators import graph, hashing, hashtree, ordered, policy, recursion, renames, resolve, rules, scopes, sets
+from ..sources import notes, snapshots
 from . import bind
 from .bind import micros, named, table
 from .validation import QUERIES as VALIDATION
@@ -241,6 +243,26 @@ def graph_root_hash(spark: SparkSession, sf: str) -> DataFrame:
     return hashing.root_hash(nodes.union(edges))
 
 
+def hash_tree_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The root after edges came and went, of a stored tree of which only the changed branches are read."""
+    edge = lambda late: bind.shipments(spark, sf, late).select(hashing.typed_hash("edge", F.col("src"), F.col("kind"), F.col("dst")).alias("hash"))
+    early, late = edge(False), edge(True)
+    folder = f"{recursion.shared_folder(spark)}/tracery-tree-{uuid.uuid4().hex}"
+    hashtree.store(hashtree.build(node_hashes(spark, sf).select("hash").union(early)), folder)
+    tree, _ = hashtree.updated(hashtree.load(spark, folder), late.subtract(early), early.subtract(late))
+    return tree.root()
+
+
+def stored_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed between two snapshots that are stored in buckets."""
+    folder, roots = f"{recursion.shared_folder(spark)}/tracery-snapshots-{uuid.uuid4().hex}", []
+    for late in (False, True):
+        edges = bind.shipments(spark, sf, late).withColumn("hash", F.sha2(F.concat_ws(" ", "src", "dst"), 256))
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("hash", F.sha2("id", 256))
+        roots.append(snapshots.publish(spark, folder, {"nodes": nodes, "edges": edges}, buckets=8))
+    return snapshots.stored_diff(spark, folder, *roots)
+
+
 def policy_scan(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern"), "text")
     return policy.literal_matches(table(spark, sf, "documents").select("doc_id", "text"), items, "doc_id")
@@ -365,7 +387,7 @@ QUERIES = {
         callers, callees, attack_surface, call_resolution, references, undocumented, cites, cited_by, orphans, governs, governing, glob_scope, suffix_resolution,
         coverage_total, coverage_by_module, coverage_by_owner, nodes_by_kind, snapshot_diff, symmetric_difference, equal_sets, changed_policy_paths, retention,
         budget_cut, first_wins, duplicates, duplicate_patterns, supersession_effective, supersession_historical, rename_chain, asof_alias, scope_interval, link_extract,
-        link_resolve, slug, safe_path, id_parse, decision_ids, suggest_topk, node_hashes, graph_root_hash, policy_scan, deny_imports, debounce_sessions, state_summary,
+        link_resolve, slug, safe_path, id_parse, decision_ids, suggest_topk, node_hashes, graph_root_hash, hash_tree_update, stored_diff, policy_scan, deny_imports, debounce_sessions, state_summary,
         failure_categories, severity_counts, affected_paths, changes, changes_similar, rename_history, selector_resolution, container_parent, pattern_resolution, editor_lookup, note_resolution,
         github_escape, diagnostic_filter, line_counts, remote_callables, clause_groups, snapshot_order,
     )

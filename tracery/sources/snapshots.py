@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import edge_text
 from ..operators.hashing import root_hash
 
 
@@ -90,15 +91,30 @@ def contents(tables: dict[str, DataFrame]) -> str:
     return root_hash(next(iter(tables.values())).sparkSession.createDataFrame([(f"{k}:{v}",) for k, v in out.items()], "hash string")).first()[0]
 
 
+#: Columns by which tables of a snapshot are put in buckets: the same rows of two snapshots lie in the same bucket.
+BUCKETED = {"nodes": ["id"], "edges": ["src", "kind", "dst"]}
+
+
+def _write_table(t: DataFrame, path: str, name: str, buckets: int | None) -> None:
+    if not buckets or name not in BUCKETED:
+        t.write.parquet(path)
+        return
+    keys, own = BUCKETED[name], f"tracery_{uuid.uuid4().hex}"
+    # Rows are dealt as the buckets are, so each bucket is one file and keeps its order.
+    t.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(own)
+    t.sparkSession.sql(f"DROP TABLE {own}")  # the files stay, under the snapshot's name
+
+
 class PublicationBlocked(ValueError):
     """Diagnostics that keep a state from being published."""
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20, at: Callable[[str], None] = lambda step: None, blockers: DataFrame | None = None, shown: int = 1000) -> str:
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 20, at: Callable[[str], None] = lambda step: None, blockers: DataFrame | None = None, shown: int = 1000, buckets: int | None = None) -> str:
     """Write tables as a snapshot and commit it; returns the root hash of all of them (nodes and edges by their own hashes).
 
     blockers: diagnostics (path, code, message); if there are any nothing is written, and the last snapshot stays (the
-    first `shown` of very many are told).
+    first `shown` of very many are told). buckets: nodes and edges are stored in so many, so that snapshots with equally many
+    are compared without a shuffle.
 
     Equal contents are one snapshot that becomes the newest and is not written again. What falls out of the
     kept ones is deleted last. at(step) is called after each step.
@@ -109,13 +125,15 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep
     if root not in _names(spark, folder):
         staged = f"{folder}/staged-{uuid.uuid4().hex}"
         for name, t in tables.items():
-            t.write.parquet(f"{staged}/{name}")
+            _write_table(t, f"{staged}/{name}", name, buckets)
         at("staged")
         if not _rename(spark, staged, f"{folder}/{root}"):
             _delete(spark, staged)
     at("installed")
     kept = [x for x in history(spark, folder) if x["root"] != root]
-    kept = [*kept, {"root": root, "seq": max((x["seq"] for x in kept), default=0) + 1}][-keep:]
+    before = next((x for x in history(spark, folder) if x["root"] == root), None)
+    own = before.get("buckets") if before else buckets  # an equal snapshot stays as it was written
+    kept = [*kept, {"root": root, "seq": max((x["seq"] for x in kept), default=0) + 1, "buckets": own}][-keep:]
     known = _indexes(spark, folder)
     _write(spark, f"{folder}/index.{(known or [0])[-1] + 1}.json", json.dumps(kept))
     at("committed")
@@ -141,3 +159,28 @@ def load(spark: SparkSession, folder: str, ref: str, name: str) -> DataFrame:
     if root not in known:
         raise ValueError(f"no such snapshot: {ref}")
     return spark.read.parquet(f"{folder}/{root}/{name}")
+
+
+def bucketed(spark: SparkSession, folder: str, ref: str, name: str) -> DataFrame:
+    """load(), and Spark knows the buckets of the table if it was stored in some."""
+    plain = load(spark, folder, ref, name)
+    known = history(spark, folder)
+    entry = known[-1] if ref == "latest" else next(x for x in known if x["root"] == ref)
+    if not entry.get("buckets") or name not in BUCKETED:
+        return plain
+    table, columns = f"tracery_{name}_{entry['root'][:16]}_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}", ", ".join(f"`{c}` {t}" for c, t in plain.dtypes)
+    keys = ", ".join(BUCKETED[name])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {entry['buckets']} BUCKETS LOCATION '{folder}/{entry['root']}/{name}'")
+    return spark.table(table)
+
+
+def stored_diff(spark: SparkSession, folder: str, a: str, b: str) -> DataFrame:
+    """U1, S15. sets.snapshot_diff of two stored snapshots: bucket by bucket, without a shuffle, where both have equally many."""
+    out = None
+    for name, text in (("nodes", F.col("id")), ("edges", edge_text(F.col("src"), F.col("kind"), F.col("dst")))):
+        keys = BUCKETED[name]
+        old, new = (bucketed(spark, folder, ref, name).select(*keys) for ref in (a, b))
+        for change, left, right in ((f"{name[:-1]}_added", new, old), (f"{name[:-1]}_removed", old, new)):
+            rows = left.join(right, keys, "left_anti").distinct().select(F.lit(change).alias("change"), text.alias("item"))
+            out = rows if out is None else out.union(rows)
+    return out
