@@ -415,7 +415,7 @@ def test_a_change_reads_only_its_branches(spark, tmp_path):
 
 def test_stored_snapshots_are_compared_without_a_shuffle(spark, tmp_path):
     edge = "src string, kind string, dst string, hash string"
-    tables = lambda nodes, edges: {"nodes": spark.createDataFrame([(n, "h") for n in nodes], "id string, hash string"), "edges": spark.createDataFrame([(*e, "h") for e in edges], edge)}
+    tables = lambda nodes, edges: {"nodes": spark.createDataFrame([(n, f"h{n}") for n in nodes], "id string, hash string"), "edges": spark.createDataFrame([(*e, "".join(e)) for e in edges], edge)}
     folder = f"file://{tmp_path}"
     old, new = tables("abc", [("a", "calls", "b"), ("b", "calls", "c")]), tables("abd", [("a", "calls", "b"), ("a", "calls", "d")])
     a, b = (snapshots.publish(spark, folder, t, buckets=4) for t in (old, new))

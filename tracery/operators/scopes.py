@@ -45,33 +45,44 @@ def latest(sites: DataFrame, directives: DataFrame, keys: list[str]) -> DataFram
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("d_line", "d_site")).alias("x")).select(*keys, "x.*")
 
 
+def _last(points: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, _d): for each point (id, path, owner, line, site, alias) the last active directive (_d) that gives its alias.
+
+    In each block of lines a point looks up only the last directive before it, so a name that a file gives again and
+    again costs a row for each time.
+    """
+    s, d = _meeting(points, own, 1)
+    s = s.select("id", F.struct("_key", "alias").alias("_key"), "line", "site")
+    # A directive counts from the byte behind its own on.
+    d = d.select(F.struct("_key", "alias").alias("_key"), F.col("d_line").alias("line"), (F.col("d_site") + 1).alias("site"), F.struct("d_line", "d_site", "_d").alias("x"))
+    found = asof_latest(s, d, "_key", ["line", "site"], "x", F.floor(F.col("line") / SPAN))
+    return found.where("x is not null").groupBy("id").agg(F.max("x")["_d"].alias("_d"))
+
+
 def expand_aliases(sites: DataFrame, directives: DataFrame) -> DataFrame:
     """sites (id, path, owner, line, site, module) with module written out.
 
     The latest active alias of the module's first part replaces it, and what it stands for is looked up again
     where that alias stands, at most DEEPEST times. directives: path, owner, d_line, d_site, scope_start,
-    scope_end, alias, target. In each block of lines a site looks up only the last directive before it, so a name that
-    a file gives again and again costs a row for each time.
+    scope_end, alias, target. Where an alias leads is looked up once for each directive; these steps are then doubled.
     """
-    out, front = None, sites
-    own = directives.select("path", "owner", "d_line", "d_site", "scope_start", "scope_end", "alias", "target")
-    for _ in range(DEEPEST):
-        s, d = _meeting(front, own, 1)
-        # A directive counts from the byte behind its own on.
-        s = s.select("id", F.struct("_key", F.substring_index("module", ".", 1).alias("alias")).alias("_key"), "line", "site")
-        d = d.select(F.struct("_key", "alias").alias("_key"), F.col("d_line").alias("line"), (F.col("d_site") + 1).alias("site"), F.struct("target", "d_line", "d_site").alias("x"))
-        found = asof_latest(s, d, "_key", ["line", "site"], "x", F.floor(F.col("line") / SPAN))
-        best = found.where("x is not null").groupBy("id").agg(F.max_by("x", F.struct("x.d_line", "x.d_site")).alias("x"))
-        stepped = cut(front.join(best, "id", "left"))  # each round reads it three times
-        ended = stepped.where("x is null").select(*sites.columns)
-        out = ended if out is None else out.union(ended)
-        rest = F.regexp_replace("module", r"^[^.]*", "")
-        front = stepped.where("x is not null").select(*[
-            (F.concat("x.target", rest) if c == "module" else F.col("x.d_line") if c == "line" else F.col("x.d_site") if c == "site" else F.col(c)).alias(c) for c in sites.columns
-        ])
-        if not front.limit(1).count():
-            break
-    return out.union(front).select("id", "module")
+    head, rest = lambda c: F.substring_index(c, ".", 1), lambda c: F.regexp_replace(c, r"^[^.]*", "")
+    own = cut(directives.select("path", "owner", "d_line", "d_site", "scope_start", "scope_end", "alias", "target").withColumn("_d", F.monotonically_increasing_id()))
+    following = _last(own.select(F.col("_d").alias("id"), "path", "owner", F.col("d_line").alias("line"), F.col("d_site").alias("site"), head("target").alias("alias")), own)
+    # A step leads from a directive to another and adds what is left of its target; at the end it stays.
+    step = own.select("_d", "target").join(following.select(F.col("id").alias("_d"), F.col("_d").alias("to")), "_d", "left")
+    step = cut(step.select("_d", F.coalesce("to", "_d").alias("to"), F.when(F.col("to").isNotNull(), rest(F.col("target"))).otherwise("").alias("tail")))
+
+    def then(f: DataFrame, g: DataFrame) -> DataFrame:
+        g = g.select(F.col("_d").alias("to"), F.col("to").alias("_to"), F.col("tail").alias("_tail"))
+        return cut(f.join(g, "to").select("_d", F.col("_to").alias("to"), F.concat("_tail", "tail").alias("tail")))
+
+    whole = step
+    for _ in range((DEEPEST - 1).bit_length() - 1):  # 1, 3, 7 and at last DEEPEST - 1 steps
+        whole = then(then(whole, whole), step)
+    first = _last(sites.select("id", "path", "owner", "line", "site", head(F.col("module")).alias("alias")), own)
+    led = first.join(whole, "_d").join(own.select(F.col("_d").alias("to"), "target"), "to").select("id", F.concat("target", "tail").alias("_module"))
+    return sites.select("id", "module").join(led, "id", "left").select("id", F.when(F.col("_module").isNotNull(), F.concat("_module", rest(F.col("module")))).otherwise(F.col("module")).alias("module"))
 
 
 def visible_imports(sites: DataFrame, imports: DataFrame, callables: DataFrame) -> DataFrame:
