@@ -181,10 +181,10 @@ SQL = {
  m AS (SELECT q.path, q.selector, k.id, k.rank, min(k.rank) OVER (PARTITION BY q.path, q.selector) AS best FROM q LEFT JOIN k ON k.selector = q.selector AND (q.path IS NULL OR k.path = q.path))
  SELECT path, selector, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS symbol, CASE count(DISTINCT id) WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state
  FROM m WHERE rank IS NULL OR rank = best GROUP BY 1, 2""",
-    "container_parent": """WITH m AS (SELECT DISTINCT 'Brand#' || (l_suppkey % 25 + 1) AS path, p_name AS container FROM lineitem JOIN part ON p_partkey = l_partkey),
- t AS (SELECT p_brand AS path, p_name AS container, min('part:' || p_partkey) AS parent FROM part WHERE p_size > 30 GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.path, m.container, t.parent FROM m LEFT JOIN t USING (path, container)""",
-    "pattern_resolution": """SELECT a.pattern, d.decision FROM (SELECT DISTINCT p_name || '/' || p_type AS pattern FROM part) a
- LEFT JOIN (SELECT p_name || '/' || p_type AS pattern, arg_min('part:' || p_partkey, p_partkey) AS decision FROM part WHERE p_size > 20 GROUP BY 1) d USING (pattern)""",
+    "container_parent": """WITH m AS (SELECT DISTINCT 'Brand#' || (l_suppkey % 25 + 1) AS path, p_name || ' ' || p_size AS container FROM lineitem JOIN part ON p_partkey = l_partkey),
+ t AS (SELECT p_brand AS path, p_name || ' ' || p_size AS container, min('part:' || p_partkey) AS parent FROM part GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.path, m.container, t.parent FROM m LEFT JOIN t USING (path, container)""",
+    "pattern_resolution": """SELECT a.pattern, d.decision FROM (SELECT DISTINCT p_name || '/' || CASE WHEN p_size > 20 THEN p_type ELSE 'gone' END AS pattern FROM part) a
+ LEFT JOIN (SELECT p_name || '/' || p_type AS pattern, arg_min('part:' || p_partkey, p_partkey) AS decision FROM part GROUP BY 1) d USING (pattern)""",
     "editor_lookup": f"""WITH {SYMBOLS}, q AS (SELECT name AS target FROM symbols UNION SELECT kind FROM symbols UNION SELECT name || '?' FROM symbols),
  k AS (SELECT id, name AS target, 0 AS rank FROM symbols UNION SELECT id, kind, 1 FROM symbols), m AS (SELECT k.*, min(rank) OVER (PARTITION BY target) AS best FROM k),
  n AS (SELECT target, id, row_number() OVER (PARTITION BY target ORDER BY id) AS n, count(*) OVER (PARTITION BY target) AS total FROM m WHERE rank = best)

@@ -326,14 +326,15 @@ def selector_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 def container_parent(spark: SparkSession, sf: str) -> DataFrame:
     members = table(spark, sf, "lineitem").select(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("path"), F.col("l_partkey")).distinct()
-    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("container"))
-    types = table(spark, sf, "part").where("p_size > 30").select(named("part", "p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"))
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("container"))
+    types = table(spark, sf, "part").select(named("part", "p_partkey").alias("id"), F.col("p_brand").alias("path"), name.alias("name"))
     return resolve.containers(members.join(names, "l_partkey").select("path", "container").distinct(), types)
 
 
 def pattern_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    declared = table(spark, sf, "part").where("p_size > 20").select(F.concat_ws("/", "p_name", "p_type").alias("pattern"), F.col("p_partkey").alias("seq"), named("part", "p_partkey").alias("decision"))
-    asked = table(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_type").alias("pattern")).distinct()
+    declared = table(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_type").alias("pattern"), F.col("p_partkey").alias("seq"), named("part", "p_partkey").alias("decision"))
+    asked = table(spark, sf, "part").select(F.concat_ws("/", "p_name", F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("gone")).alias("pattern")).distinct()
     return resolve.patterns(asked, declared)
 
 

@@ -169,7 +169,7 @@ def receipt_proof(spark: SparkSession, sf: str) -> DataFrame:
 
 def rename_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Paths that several renames leave or reach."""
-    rows = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.when(F.col("l_returnflag") == "R", "copied").otherwise("renamed").alias("status"), named("part", "l_partkey").alias("path"), named("supplier", "l_suppkey").alias("previous_path"))
+    rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "copied").otherwise("renamed").alias("status"), named("part", "l_partkey").alias("path"), named("supplier", "l_suppkey").alias("previous_path"))
     return sets.rename_conflicts(rows)
 
 
@@ -203,7 +203,7 @@ def visible_imports(spark: SparkSession, sf: str) -> DataFrame:
     strings = "array<string>"
     imports = directives.withColumn("module", F.concat(F.lit("M"), (d % 2).cast("string"))).withColumn("only_kind", F.when(d % 11 == 0, "macros")).withColumn("only", F.when(d % 5 == 0, F.array(F.lit("f1/1"), F.lit("f2/0"))).cast(strings)).withColumn("except", F.when(d % 3 == 0, F.array(F.lit("f0/0"))).when(d % 3 == 1, F.array(F.lit("f1/1"))).cast(strings))
     k = F.col("n_nationkey")
-    callables = table(spark, sf, "nation").where("n_nationkey < 10").select(F.concat(F.lit("C"), k.cast("string")).alias("id"), F.concat(F.lit("M"), (k % 2).cast("string")).alias("module"), F.when(k % 4 == 0, "macro").otherwise("function").alias("kind"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("name"), (k % 2).alias("arity"))
+    callables = table(spark, sf, "nation").select(F.concat(F.lit("C"), k.cast("string")).alias("id"), F.concat(F.lit("M"), (k % 2).cast("string")).alias("module"), F.when(k % 4 == 0, "macro").otherwise("function").alias("kind"), F.concat(F.when(k < 10, "f").otherwise("g"), (k % 3).cast("string")).alias("name"), (k % 2).alias("arity"))
     return scopes.visible_imports(sites, imports, callables)
 
 
@@ -454,7 +454,8 @@ def document_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def citation_index(spark: SparkSession, sf: str) -> DataFrame:
     """How many notes cite each, and whether it cites any."""
-    return graph.citation_index(table(spark, sf, "events").select(F.col("user_id").alias("note")).distinct(), bind.user_links(spark, sf).where("note % 3 > 0"))
+    users = table(spark, sf, "events").select(F.col("user_id").alias("note")).distinct()
+    return graph.citation_index(users.union(table(spark, sf, "customer").select(F.col("c_custkey") + 1_000_000)), bind.user_links(spark, sf))
 
 
 def note_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,7 +511,7 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 def duplicate_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
     """V7, A5: patterns that a note, or several notes, declare more than once."""
-    rows = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat_ws("/", F.lit("D"), "p_type").alias("pattern"), F.col("p_type").alias("local"), F.concat(F.lit("n"), (F.col("p_size") % 4).cast("string")).alias("path"), F.col("p_partkey").alias("line"), F.col("p_partkey").alias("seq"))
+    rows = table(spark, sf, "part").select(F.concat_ws("/", F.lit("D"), "p_type").alias("pattern"), F.col("p_type").alias("local"), F.concat(F.lit("n"), (F.col("p_size") % 4).cast("string")).alias("path"), F.col("p_partkey").alias("line"), F.col("p_partkey").alias("seq"))
     return rules.duplicate_pattern_rules(rows).select("code", "path", "line", "message")
 
 

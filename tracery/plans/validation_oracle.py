@@ -59,7 +59,7 @@ SQL = {
  CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey + 1000000 AS VARCHAR) END AS path FROM part""",
     "receipt_proof": """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 THEN 'not in the receipt' WHEN p_partkey % 4 = 0 THEN 'not staged' ELSE 'other contents' END AS reason FROM part
  WHERE (p_partkey % 3 = 0) <> (p_partkey % 4 = 0) OR p_partkey % 3 > 0 AND p_partkey % 4 > 0 AND p_size % 6 = 0""",
-    "rename_conflicts": """WITH r AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag <> 'R') SELECT 'supplier:' || l_suppkey AS path, 'left twice' AS reason FROM r GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 1
+    "rename_conflicts": """WITH r AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R') SELECT 'supplier:' || l_suppkey AS path, 'left twice' AS reason FROM r GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 1
  UNION ALL SELECT 'part:' || l_partkey, 'reached twice' FROM r GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1""",
     "scope_active": f"WITH {SITES} SELECT id, d AS d_line FROM a",
     "alias_expansion": """WITH RECURSIVE s AS (SELECT event_id AS id, user_id, event_id AS line, 'A' || (event_id % 3) || '.f' AS module FROM events WHERE event_type = 'purchase'),
@@ -68,7 +68,7 @@ SQL = {
   (SELECT r.*, d.d, d.target, row_number() OVER (PARTITION BY r.id ORDER BY d.d DESC) AS n FROM r JOIN d ON d.user_id = r.user_id AND d.d < r.line AND r.line <= d.d + 8000 AND d.alias = split_part(r.module, '.', 1) WHERE r.step < 16) WHERE n = 1)
  SELECT id, arg_max(module, step) AS module FROM r GROUP BY id""",
     "visible_imports": f"""WITH {SITES}, m AS (SELECT id, 'M' || (d % 2) AS module, max(d) AS last, coalesce(max(d) FILTER (d % 3 = 2), -1) AS cut FROM a GROUP BY 1, 2),
- c AS (SELECT 'C' || n_nationkey AS cid, 'M' || (n_nationkey % 2) AS module, n_nationkey % 4 = 0 AS macro, 'f' || (n_nationkey % 3) || '/' || (n_nationkey % 2) AS who FROM nation WHERE n_nationkey < 10),
+ c AS (SELECT 'C' || n_nationkey AS cid, 'M' || (n_nationkey % 2) AS module, n_nationkey % 4 = 0 AS macro, CASE WHEN n_nationkey < 10 THEN 'f' ELSE 'g' END || (n_nationkey % 3) || '/' || (n_nationkey % 2) AS who FROM nation),
  x AS (SELECT m.id, c.cid FROM m JOIN c ON c.module = m.module AND c.who = 'f' || (m.id % 3) || '/' || (m.id % 2) WHERE (last % 5 > 0 OR who IN ('f1/1', 'f2/0')) AND (last % 11 > 0 OR macro)
   AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = m.id AND 'M' || (a.d % 2) = m.module AND a.d > m.cut AND who = CASE a.d % 3 WHEN 0 THEN 'f0/0' WHEN 1 THEN 'f1/1' END))
  SELECT s.id, CASE WHEN count(DISTINCT cid) = 1 THEN min(cid) END AS target FROM s LEFT JOIN x ON x.id = s.id GROUP BY s.id""",
@@ -117,8 +117,8 @@ SQL |= {
     "asset_budget": """SELECT path, 'image/png' AS mime, bytes FROM (SELECT path, bytes, sum(bytes) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS used FROM
  (SELECT 'img/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.png' AS path, CAST(strlen(text) + 4 AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 > 0)) WHERE used <= 300000""",
     "document_hashes": "SELECT doc_id, sha256(text || '.' || CASE doc_id % 4 WHEN 3 THEN chr(10) ELSE '' END) AS hash FROM documents",
-    "citation_index": """WITH l AS (SELECT e.user_id AS note, p.user_id AS target FROM events e JOIN events p ON p.event_id = e.event_id - 1 WHERE e.user_id % 3 > 0)
- SELECT u AS note, (SELECT count(DISTINCT note) FROM l WHERE target = u AND note <> u) AS citing, EXISTS (SELECT 1 FROM l WHERE note = u) AS has_outgoing FROM (SELECT DISTINCT user_id AS u FROM events)""",
+    "citation_index": """WITH l AS (SELECT e.user_id AS note, p.user_id AS target FROM events e JOIN events p ON p.event_id = e.event_id - 1)
+ SELECT u AS note, (SELECT count(DISTINCT note) FROM l WHERE target = u AND note <> u) AS citing, EXISTS (SELECT 1 FROM l WHERE note = u) AS has_outgoing FROM (SELECT DISTINCT user_id AS u FROM events UNION ALL SELECT c_custkey + 1000000 FROM customer)""",
     "note_targets": """WITH l AS (SELECT DISTINCT 'supplier:' || l_suppkey AS note, CASE WHEN l_suppkey % 10 = 0 AND p_size = 1 THEN p_brand ELSE 'part:' || p_partkey END AS target FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50)
  SELECT 'supplier:' || s_suppkey AS note, 'src/main' AS target FROM supplier UNION SELECT note, target FROM l UNION SELECT note, 'match:p' || right(target, 1) FROM l""",
     "top_level_parts": "SELECT p_partkey, 'a<b, c>;[' || p_size || ', {2}];f(' || p_brand || ', x);' || p_name AS parts FROM part",
@@ -132,7 +132,7 @@ SQL |= {
     "suggestions": f"""WITH f AS ({SQL["fuzzy_scores"]}), s AS (SELECT path, CAST(CASE WHEN path = 'e3' THEN 100000 WHEN regexp_extract(path, '[^/]*$') = 'e3' THEN 90000 WHEN ends_with(path, '/e3') THEN 80000 - strlen(path)
  WHEN starts_with(regexp_extract(path, '[^/]*$'), 'e3') THEN 70000 - strlen(path) WHEN contains(path, 'e3') THEN 60000 - (instr(path, 'e3') - 1) - strlen(path) ELSE 40000 + score - strlen(path) END AS BIGINT) AS score FROM f)
  SELECT path, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, path LIMIT 50""",
-    "duplicate_pattern_rules": """WITH d AS (SELECT 'D/' || p_type AS pattern, p_type AS local, 'n' || (p_size % 4) AS path, p_partkey AS line FROM part WHERE p_partkey % 50 = 0),
+    "duplicate_pattern_rules": """WITH d AS (SELECT 'D/' || p_type AS pattern, p_type AS local, 'n' || (p_size % 4) AS path, p_partkey AS line FROM part),
  r AS (SELECT *, min(path) OVER (PARTITION BY pattern) AS first_note, row_number() OVER (PARTITION BY pattern, path ORDER BY line) AS n FROM d),
  m AS (SELECT pattern, string_agg(DISTINCT path, ', ' ORDER BY path) AS notes, count(DISTINCT path) AS many FROM d GROUP BY pattern)
  SELECT 'duplicate-policy-pattern' AS code, path, CAST(line AS BIGINT) AS line, 'policy pattern id `' || local || '` is declared more than once' AS message FROM r WHERE path = first_note AND n > 1
