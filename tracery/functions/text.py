@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ MEDIA = {"gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "pdf": "
 NO_CALLS = ["Err", "Ok", "Some", "for", "format", "if", "match", "println", "return", "sizeof", "switch", "vec", "while"]
 
 
+def per_value(f: Callable, returns: str) -> Callable[..., Column]:
+    """A function of values over whole columns in Arrow batches, for what columns cannot express."""
+
+    def own(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*x) for x in zip(*columns, strict=True)], dtype=object)
+
+    return F.pandas_udf(own, returns)
+
+
 def looked_up(x: Column, values: dict[str, str], other: str | None = None) -> Column:
     """The value of a small fixed table."""
     found = F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[x]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pattern as code
 from ..functions.ids import trimmed
-from ..functions.text import denies, glob_prefix, glob_regex
+from ..functions.text import denies, glob_prefix, glob_regex, per_value
 from .recursion import cut
 from .resolve import partial_paths
 
@@ -197,6 +197,6 @@ def declaration_errors(patterns: DataFrame) -> DataFrame:
         .when(blank("language"), "missing-policy-pattern-language")
         .when(F.col("pattern").isNull() & F.col("rule").isNull(), "missing-policy-pattern-body")
         .when(blank("pattern") & blank("rule"), "empty-policy-pattern")
-        .when(F.udf(code.error, "string")("pattern", "rule").isNotNull(), "invalid-policy-pattern")
+        .when(per_value(code.error, "string")("pattern", "rule").isNotNull(), "invalid-policy-pattern")
     )
     return patterns.select(*[c for c in ("path", "id", "line") if c in patterns.columns], why.alias("code")).where("code is not null")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import per_value
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
@@ -262,5 +264,5 @@ def braces(text: str | None) -> list[str]:
 def expand_braces(modules: DataFrame, column: str) -> DataFrame:
     """Rows with the braces of a::{b, c::{d}} written out in the column itself, however many and deep they are."""
     plain, nested = modules.where(~F.col(column).contains("{")), modules.where(F.col(column).contains("{"))
-    own = F.explode(F.udf(braces, "array<string>")(F.col(column)))
+    own = F.explode(per_value(braces, "array<string>")(F.col(column)))
     return plain.union(nested.withColumn(column, own)).withColumn(column, F.regexp_replace(column, "::self$", "")).distinct()

@@ -273,7 +273,7 @@ def portable_links(spark: SparkSession, sf: str) -> DataFrame:
     link = _variant("p_partkey", ["[[docs/adr/0001-use-spark.md|ADR-0001]]", "[[docs/adr/0001-use-spark#x|ADR-0001#x]]", "[[docs/adr/0002-y.md|ADR-0001]]", "`[[docs/adr/0001-use-spark.md|ADR-0001]]`", "[[20240229-a-b.md | ADR-20240229-a-b ]]"])
     body = F.concat(F.lit("a "), link, F.lit(" b "), F.col("p_partkey").cast("string"))
     backed = ids.is_file_backed(F.lit("notes/Guide.md"), _variant("p_partkey", ["guide", "GUIDE", "notes/Guide", "notes/Guide.md", "notes/guide", "x"]))
-    return table(spark, sf, "part").select("p_partkey", F.udf(notes.portable, "string")(body).alias("body"), backed.alias("backed"), ids.portable_target(F.lit("notes/Guide.md"), _variant("p_partkey", ["Guide", "notes/Guide.md#In", "Guide#In"])).alias("target"))
+    return table(spark, sf, "part").select("p_partkey", text.per_value(notes.portable, "string")(body).alias("body"), backed.alias("backed"), ids.portable_target(F.lit("notes/Guide.md"), _variant("p_partkey", ["Guide", "notes/Guide.md#In", "Guide#In"])).alias("target"))
 
 
 def frontmatter_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +281,7 @@ def frontmatter_lines(spark: SparkSession, sf: str) -> DataFrame:
     quote = _variant("p_partkey", ["", '"', "'"])
     head = F.concat(F.lit("id: x\ngoverns:\n  - "), quote, "p_name", quote, F.lit("\n  - keep\n"))
     body = F.concat(F.lit("---\n"), head, F.lit("---\ngoverns: "), "p_name")
-    new = F.udf(notes.governs_rewritten, "string")(body, F.create_map("p_name", F.lit("new/path")))
+    new = text.per_value(notes.governs_rewritten, "string")(body, F.create_map("p_name", F.lit("new/path")))
     return table(spark, sf, "part").select("p_partkey", text.key_line(head, F.lit("governs")).alias("line"), text.key_line(head, F.lit("zz")).alias("other"), new.alias("text"))
 
 

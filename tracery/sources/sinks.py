@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.recursion import cut
 
 
 def lines(rows: DataFrame, how: str = "text", limit: int | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def json_array(rows: DataFrame) -> DataFrame:
     The rows are lines in order, so no task holds them all.
     """
     spark = rows.sparkSession
-    body = lines(rows, "ndjson").withColumn("k", F.monotonically_increasing_id())
+    body = cut(lines(rows, "ndjson").withColumn("k", F.monotonically_increasing_id()))  # numbered once, for the last one too
     last = body.agg(F.max("k").alias("last"))
     body = body.crossJoin(last).select(F.col("k"), F.concat("value", F.when(F.col("k") < F.col("last"), ",").otherwise("")).alias("value"))
     ends = spark.createDataFrame([(-1, "["), ((1 << 62), "]")], "k long, value string")
