@@ -332,3 +332,36 @@ def test_renames_of_edited_files(spark):
     assert moved == {"new/a": ("renamed", "old/a", 81), "new/b": ("renamed", "old/b", 81), "new/copy0": ("renamed", "old/copy0", 100), "new/copy1": ("renamed", "old/copy1", 100), "new/copy2": ("renamed", "old/copy2", 100), "new/like": ("renamed", "old/copy3", 88)}
     assert {p for p, x in got.items() if x[0] == "added"} == {"new/fresh", "new/e"} and {p for p, x in got.items() if x[0] == "deleted"} == {"old/gone", "old/e", "old/e2", "old/copy4"}
     assert rows(renames.similar_changes(files(before).limit(0), files(after).limit(0))) == []
+
+
+def test_suggestions_of_many_queries(spark):
+    """Equal to scoring every pair, and few pairs are scored where matches are plenty."""
+    import random
+
+    from tracery.functions.text import suggestion_score
+    from tracery.operators import suggest
+
+    rng = random.Random(5)
+    parts = ["src", "lib", "main", "graph", "Node", "état", "x", "test_a", "b2"]
+    targets = sorted({"/".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) + rng.choice(["", ".rs", ".py"]) for _ in range(400)})
+    asked = ["src", "NODE", " lib/x ", "gph", "e", "zzz", "main.rs", "état", "srb", "", "tst", "lib/x.rs", "q", "mn", None, "src"]
+    t, q = spark.createDataFrame([(x,) for x in [*targets, *targets[:9], None]], "target string"), spark.createDataFrame([(x,) for x in asked], "query string")
+    pairs = q.where("query is not null and trim(query) <> ''").distinct().crossJoin(t.where("target is not null").distinct())
+    want = {}
+    for r in pairs.select("query", "target", suggestion_score(F.lower(F.trim("query")), F.col("target")).alias("score")).where("score is not null").collect():
+        want.setdefault(r["query"], []).append((-r.score, r.target))
+    want = sorted((a, n + 1, x, -s) for a, found in want.items() for n, (s, x) in enumerate(sorted(found)[:5]))
+    got = suggest.top(q, t, 5).collect()
+    assert sorted(tuple(r) for r in got if r.query.strip()) == want
+    assert [(r["rank"], r.target) for r in sorted((r for r in got if not r.query.strip()), key=lambda r: r["rank"])] == list(enumerate(targets[:5], 1))
+    many = spark.range(20_000).select(F.concat(F.lit("src/m"), (F.col("id") % 50).cast("string"), F.lit("/name"), F.col("id").cast("string"), F.lit(".rs")).alias("target"))
+    own = many.select("target", F.col("target").alias("low"))
+    matches, loose = suggest.scored_pairs(spark.range(0, 20_000, 20).select(F.concat(F.lit("name"), F.col("id").cast("string")).alias("q")), own, 1)
+    assert matches.count() + loose.count() < 20_000  # of 20,000,000
+
+
+def test_the_gate_of_json_arrays(spark):
+    from tracery.sources import sinks
+
+    found = [r.value for r in sinks.json_array(spark.range(3)).collect()]
+    assert found == ["[", '{"id":0},', '{"id":1},', '{"id":2}', "]"]

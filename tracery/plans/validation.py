@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import checks, elixir, gate, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets
+from ..operators import checks, elixir, gate, graph, partitions, policy, projection, recursion, resolve, rules, scopes, sets, suggest
 from ..operators.recursion import shared_folder
 from ..sources import code, files, notes
 from ..sources import elixir as elixir_source
@@ -509,6 +509,13 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return scored.where("score is not null").orderBy(F.desc("score"), "path").limit(50)
 
 
+def suggestions_of_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three suggestions for each language and each digit, by an index."""
+    paths = bind.url_paths(spark, sf).select("path").distinct()
+    asked = paths.select(F.explode(F.array(F.substring_index("path", "/", 1), F.right("path", F.lit(1)))).alias("query")).where("query rlike '^[a-z0-9]+$'").distinct()
+    return suggest.top(asked, paths.withColumnRenamed("path", "target"), 3)
+
+
 def duplicate_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
     """V7, A5: patterns that a note, or several notes, declare more than once."""
     rows = table(spark, sf, "part").select(F.concat_ws("/", F.lit("D"), "p_type").alias("pattern"), F.col("p_type").alias("local"), F.concat(F.lit("n"), (F.col("p_size") % 4).cast("string")).alias("path"), F.col("p_partkey").alias("line"), F.col("p_partkey").alias("seq"))
@@ -547,7 +554,7 @@ QUERIES = {
         note_rules, link_rules, target_rules, supersession_rules, policy_declarations, immutable_decisions, scope_moves, full_scan, diagnostic_order, publication_gate, reconciliation, receipt_proof,
         rename_conflicts, scope_active, alias_expansion, visible_imports, notes_parsed, line_fragments, selector_codec, callable_aliases, node_identities, fuzzy_scores, media_and_languages, text_files,
         positions, portable_links, frontmatter_lines, watch_relevance, projected_nodes, projected_edges, symbol_index, heading_links, policy_matches, policy_plan, policy_rescan, policy_violations, validation_full, validation_changed, validation_derived, publication_blockers, allowed_decision_changes,
-        scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions,
+        scan_errors, documentation_scan, asset_budget, document_hashes, citation_index, note_targets, top_level_parts, signatures, parsed_sources, brace_expansion, incremental_parse, suggestions, suggestions_of_many,
         duplicate_pattern_rules, elixir_callables, elixir_directives, elixir_relations,
     )
 }

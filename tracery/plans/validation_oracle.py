@@ -173,3 +173,8 @@ SQL["validation_derived"] = f"""WITH {_NOTED}, told AS (
  SELECT severity, code, count(*) AS n FROM told GROUP BY 1, 2"""
 SQL["publication_blockers"] = f"WITH {_NOTED} SELECT code, path FROM g WHERE accepted AND NOT historical AND code IS NOT NULL"
 SQL["allowed_decision_changes"] = """SELECT 'adr-immutability-violation' AS code, 'docs/adr/' || p_partkey || '.md' AS path FROM part WHERE p_partkey % 6 IN (1, 3) OR p_partkey % 12 = 10"""
+SQL["suggestions_of_many"] = f"""WITH {PATHS}, p AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name FROM paths),
+ q AS (SELECT DISTINCT query FROM (SELECT split_part(path, '/', 1) AS query FROM p UNION ALL SELECT right(path, 1) FROM p) WHERE regexp_matches(query, '^[a-z0-9]+$')),
+ s AS (SELECT query, path AS target, CAST(CASE WHEN path = query THEN 100000 WHEN name = query THEN 90000 WHEN ends_with(path, '/' || query) THEN 80000 - strlen(path)
+  WHEN starts_with(name, query) THEN 70000 - strlen(path) ELSE 60000 - (instr(path, query) - 1) - strlen(path) END AS BIGINT) AS score FROM p JOIN q ON contains(path, query)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM s) SELECT query, CAST(rank AS INT) AS rank, target, score FROM r WHERE rank <= 3"""
