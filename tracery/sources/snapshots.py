@@ -3,7 +3,7 @@
 A publication has these steps, and may stop between any two of them:
 
 1. tables are written to a folder that no reader knows (staged);
-2. that folder gets the name of its contents' root hash, unless there is one already (installed);
+2. that folder gets the name of its contents' root hash, or goes if there is one already (installed);
 3. a new index is written under a name of its own and gets the next index's name (committed);
 4. older indexes, and snapshots that the new index no longer lists, are deleted (cleaned).
 
@@ -116,19 +116,19 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep
     first `shown` of very many are told). buckets: nodes and edges are stored in so many, so that snapshots with equally many
     are compared without a shuffle.
 
-    Equal contents are one snapshot that becomes the newest and is not written again. What falls out of the
+    Equal contents are one snapshot that becomes the newest; what was written for it again goes. What falls out of the
     kept ones is deleted last. at(step) is called after each step.
     """
     if blockers is not None and (rows := blockers.orderBy("path", "code", "message").limit(shown).collect()):
         raise PublicationBlocked("\n".join(f"{r.path}: {r.code}: {r.message}" for r in rows))
-    root = contents(tables)
-    if root not in _names(spark, folder):
-        staged = f"{folder}/staged-{uuid.uuid4().hex}"
-        for name, t in tables.items():
-            _write_table(t, f"{staged}/{name}", name, buckets)
-        at("staged")
-        if not _rename(spark, staged, f"{folder}/{root}"):
-            _delete(spark, staged)
+    staged = f"{folder}/staged-{uuid.uuid4().hex}"
+    for name, t in tables.items():
+        _write_table(t, f"{staged}/{name}", name, buckets)
+    at("staged")
+    # The hash is of what was written: a table that is evaluated twice may come out otherwise.
+    root = contents({name: spark.read.schema(t.schema).parquet(f"{staged}/{name}") for name, t in tables.items()})
+    if root in _names(spark, folder) or not _rename(spark, staged, f"{folder}/{root}"):
+        _delete(spark, staged)
     at("installed")
     kept = [x for x in history(spark, folder) if x["root"] != root]
     before = next((x for x in history(spark, folder) if x["root"] == root), None)
