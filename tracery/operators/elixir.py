@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scopes
+from .recursion import kept
 
 
 def callables(parsed: DataFrame) -> DataFrame:
@@ -30,11 +31,12 @@ def relations(parsed: DataFrame) -> DataFrame:
     target is the one callable or module that a relationship leads to; outcome is resolved, external (nothing
     or several answer) or dynamic (only known when the code runs). A private callable answers in its module alone.
     """
+    parsed = kept(parsed)  # files are read once for all that is asked of them
     rows = parsed.select("path", F.explode("relations").alias("r")).select("path", "r.*").withColumn("id", F.concat_ws(":", "path", F.col("site").cast("string"), "kind"))
     told = directives(parsed)
     aliased = told.where("alias is not null").withColumn("target", F.col("module"))
     written = scopes.expand_aliases(rows.where("module is not null").select("id", "path", "owner", "line", "site", "module"), aliased).withColumnRenamed("module", "_module")
-    rows = rows.join(written, "id", "left").withColumn("module", F.coalesce("_module", "module")).drop("_module")
+    rows = kept(rows.join(written, "id", "left").withColumn("module", F.coalesce("_module", "module")).drop("_module"))
     known = callables(parsed)
     remote = scopes.remote_callables(known.where("exported and kind in ('function', 'macro', 'guard')").select("module", "name", "arity", "id")).withColumnRenamed("target", "_remote")
     modules = parsed.select(F.explode("modules").alias("m")).select(F.col("m.name").alias("module")).groupBy("module").agg(F.count("*").alias("_n")).where("_n = 1").select("module", F.col("module").alias("_whole"))

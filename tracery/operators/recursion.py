@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: as cut(), for what is costly to evaluate, which a checkpoint does twice."""
+    path = f"{shared_folder(df.sparkSession)}/tracery-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rounds whose additions are read as they are before they are written as one.
 TOGETHER = 16
 

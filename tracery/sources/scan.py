@@ -103,7 +103,8 @@ class ScanReader(DataSourceReader):
             errors += [x for _, _, own in found for x in own]
             here = [x for own, _, _ in found for x in own]
         parts = [Subtree(tuple(here[k::PARTS])) for k in range(min(PARTS, len(here)))]
-        return parts + [Subtree((), tuple(files[k::PARTS]), tuple(errors[k::PARTS])) for k in range(min(PARTS, max(len(files), len(errors))))]
+        parts += [Subtree((), tuple(files[k::PARTS]), tuple(errors[k::PARTS])) for k in range(min(PARTS, max(len(files), len(errors))))]
+        return parts or [Subtree(())]  # a reader without partitions is asked for one all the same
 
     def row(self, path: str) -> tuple:
         full = os.path.join(self.base, path)
