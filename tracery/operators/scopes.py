@@ -77,8 +77,10 @@ def expand_aliases(sites: DataFrame, directives: DataFrame) -> DataFrame:
         g = g.select(F.col("_d").alias("to"), F.col("to").alias("_to"), F.col("tail").alias("_tail"))
         return cut(f.join(g, "to").select("_d", F.col("_to").alias("to"), F.concat("_tail", "tail").alias("tail")))
 
-    whole = step
+    whole, onward = step, step.where("to <> _d").select(F.col("_d").alias("to"))
     for _ in range((DEEPEST - 1).bit_length() - 1):  # 1, 3, 7 and at last DEEPEST - 1 steps
+        if not whole.join(onward, "to", "left_semi").limit(1).count():
+            break
         whole = then(then(whole, whole), step)
     first = _last(sites.select("id", "path", "owner", "line", "site", head(F.col("module")).alias("alias")), own)
     led = first.join(whole, "_d").join(own.select(F.col("_d").alias("to"), "target"), "to").select("id", F.concat("target", "tail").alias("_module"))
