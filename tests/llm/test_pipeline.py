@@ -136,5 +136,5 @@ def test_no_folder_of_one_machine_on_a_cluster():
     assert common.shared_dir(session) == common.shared_dir(session)
 
 
-def test_ten_queries():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
