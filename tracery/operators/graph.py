@@ -6,7 +6,7 @@ target where a call is not resolved, links (note, target), governed (decision, p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import parent_dir
@@ -19,12 +19,29 @@ def executable(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("kind").isin(EXECUTABLE))
 
 
+def _reached(direct: DataFrame, asked: DataFrame, named: DataFrame) -> DataFrame:
+    """(symbol, by), distinct: the rows of direct (symbol, by), and those of asked (by, key) with all that have the key in named (symbol, key).
+
+    A key that many ask for and many have gives as many rows as both multiplied. So rows are made distinct before they
+    meet, and behind it only those of symbols with several keys; what direct repeats is left out of direct.
+    """
+    named = named.where("key is not null").distinct()
+    asked = asked.distinct().join(named.select("key").distinct(), "key", "left_semi").select("by", "key")
+    own = direct.join(named.select("symbol", "key"), "symbol", "left").withColumnRenamed("by", "_by")
+    again = asked.select(F.col("by"), F.col("key").alias("_key"), F.lit(True).alias("_again"))
+    own = own.join(again, F.col("_by").eqNullSafe(F.col("by")) & (F.col("key") == F.col("_key")), "left")
+    own = own.groupBy("symbol", "_by").agg(F.count("_again").alias("_again")).where("_again = 0").select("symbol", F.col("_by").alias("by"))
+    keyed = named.withColumn("_keys", F.count("*").over(Window.partitionBy("symbol")))
+    met = lambda which: asked.join(keyed.where(which), "key").select("symbol", "by")
+    return own.union(met("_keys = 1")).union(met("_keys > 1").distinct())
+
+
 def callers(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(symbol, caller), distinct: executable edges to the symbol, and unresolved calls by its name."""
-    edges = executable(calls)
-    by_id = edges.join(symbols.select(F.col("id").alias("target")), "target").select(F.col("target").alias("symbol"), "caller")
-    by_name = edges.where("target is null").select("caller", F.col("text").alias("name")).distinct().join(symbols.select("id", "name"), "name")
-    return by_id.union(by_name.select(F.col("id").alias("symbol"), "caller")).distinct()
+    edges = executable(calls).withColumnRenamed("caller", "by")
+    by_id = edges.join(symbols.select(F.col("id").alias("target")).distinct(), "target").select(F.col("target").alias("symbol"), "by")
+    by_name = edges.where("target is null").select("by", F.col("text").alias("key"))
+    return _reached(by_id, by_name, symbols.select(F.col("id").alias("symbol"), F.col("name").alias("key"))).withColumnRenamed("by", "caller")
 
 
 def callees(calls: DataFrame) -> DataFrame:
@@ -42,9 +59,9 @@ def attack_surface(symbols: DataFrame, calls: DataFrame, entry: Column) -> DataF
 
 def references(symbols: DataFrame, links: DataFrame) -> DataFrame:
     """(symbol, note), distinct: notes whose links name the symbol itself or the whole of its path."""
-    exact = links.join(symbols.select("id"), links.target == F.col("id")).select(F.col("id").alias("symbol"), "note")
-    whole = links.join(symbols.select("id", "path"), links.target == F.col("path")).select(F.col("id").alias("symbol"), "note")
-    return exact.union(whole).distinct()
+    links = links.select(F.col("note").alias("by"), F.col("target").alias("key"))
+    exact = links.join(symbols.select(F.col("id").alias("key")).distinct(), "key").select(F.col("key").alias("symbol"), "by")
+    return _reached(exact, links, symbols.select(F.col("id").alias("symbol"), F.col("path").alias("key"))).withColumnRenamed("by", "note")
 
 
 def undocumented(symbols: DataFrame, links: DataFrame) -> DataFrame:
