@@ -1,6 +1,14 @@
 """What work grows with: rows that are multiplied are not made distinct, small tables are dealt over tasks."""
 
-from tracery.operators import graph
+import pyarrow as pa
+import pytest
+import yaml
+from pyspark.sql import functions as F
+
+from tracery.functions import text
+from tracery.operators import checks, graph, policy
+from tracery.plans import validation
+from tracery.sources import elixir, notes
 
 
 def test_callers_by_name_are_not_shuffled_again(spark):
@@ -21,3 +29,56 @@ def test_references_to_a_path_are_not_shuffled_again(spark):
     found = graph.references(symbols, links)
     assert sorted(map(tuple, found.select("symbol", "note").collect())) == [("p", "m"), ("p", "n"), ("s1", "m"), ("s1", "n"), ("s2", "n"), ("s3", "m")]
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_small_tables_are_dealt_over_tasks(spark):
+    """Parsing takes far longer than reading: one task read a whole table of parts, whatever its rows took."""
+    texts = spark.createDataFrame([(str(k), f"---\nid: N{k}\n---\n# T\n") for k in range(40)], "path string, text string").coalesce(1)
+    for parsed in (notes.notes(texts), elixir.parsed(texts)):
+        assert parsed.rdd.getNumPartitions() > 1
+        assert parsed.count() == 40
+
+
+def test_frontmatter_is_read_by_libyaml_as_before():
+    for head in ("id: x\ngoverns: ['a', 7]\n", "a: [1", "a: b: c\n", "- 1\n", "x: 2024-01-01\n", "", "t:\t1\n", "a: |# x\n"):
+        try:
+            told = yaml.safe_load(head)
+        except yaml.YAMLError as e:
+            with pytest.raises(yaml.YAMLError) as other:
+                notes._loaded(head)
+            assert str(other.value) == str(e)
+        else:
+            assert notes._loaded(head) == told
+
+
+def test_one_pattern_of_many_policies_is_matched_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(policy.code, "matches", lambda t, p, r: calls.append(p) or [(1, "L1", "x", {})])
+    monkeypatch.setattr(policy.code, "error", lambda p, r: None)
+    asked = [{"id": f"p{k}", "decision": "d", "pattern": "x()", "rule": None} for k in range(5)]
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("id", "decision", "pattern", "rule")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array(["rust"]), pa.array(["x()"]), pa.array([asked], kind)], ["path", "language", "text", "asked"])
+    out = list(policy._matches(iter([batch])))
+    assert calls == ["x()"] and out[0].column(0).to_pylist() == ["p0", "p1", "p2", "p3", "p4"]
+
+
+def test_matches_by_glob_equal_those_of_pairs(spark):
+    files = spark.createDataFrame([(f"f{k}", "rust" if k % 3 else "go", "a(); b(1);\na()" if k % 2 else "b(2)") for k in range(12)], "path string, language string, text string")
+    policies = spark.createDataFrame([(f"p{k}", f"d{k % 4}", "rust", "a()" if k % 2 else "b($X)", None) for k in range(9)], "id string, decision string, language string, pattern string, rule string")
+    globs = spark.createDataFrame([("d0", "g0"), ("d0", "g1"), ("d1", "g1"), ("d2", "g1"), ("d3", "none")], "decision string, glob string")
+    hits = spark.createDataFrame([(g, f"f{k}") for g, n in (("g0", 8), ("g1", 12)) for k in range(n)], "glob string, path string")
+    plain = policy.matches(files, policies, globs.join(hits, "glob"))
+    rows = lambda f: sorted(str(r) for r in f.collect())
+    assert rows(policy.matches_by_glob(files, policies, globs, hits)) == rows(plain) != []
+
+
+def test_blockers_need_no_symbols_links_or_policies(spark, sf, monkeypatch):
+    noted, files_, symbols = validation._repository(spark, sf)
+    whole = sorted(map(tuple, checks.blocking(checks.derive(noted, files_, symbols)).collect()))
+    monkeypatch.setattr(checks, "symbol_targets", None)
+    assert sorted(map(tuple, checks.blockers(noted, files_).collect())) == whole
+
+
+def test_top_level_parts_by_kind_of_brackets(spark):
+    rows = spark.createDataFrame([("a<b, c>, [1, {2}], )x, f(,",), (None,), ("",), ("a,,b\u2003,",)], "x string")
+    assert [r.p for r in rows.select(text.split_top_level(F.col("x")).alias("p")).collect()] == [["a<b, c>", "[1, {2}]", ")x", "f(,"], None, [], ["a", "b"]]
