@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import glob_prefix, glob_regex
 from . import partitions, policy, recursion, resolve, rules
-from .recursion import cut
+from .recursion import kept
 
 
 def _read_globs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,8 +31,8 @@ def selections(globs: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame
 
     A glob that selects no file stands for the file that it spells, if there is one; then it need not be readable.
     """
-    read = cut(globs.select("glob").where("glob is not null").distinct().mapInArrow(_read_globs, "glob string, regex string, prefix string"))
-    hits = cut(policy.governed(read.select(F.col("glob").alias("decision"), "glob", "regex", "prefix"), paths.select("path")).select(F.col("decision").alias("glob"), "path"))
+    read = kept(globs.select("glob").where("glob is not null").distinct().mapInArrow(_read_globs, "glob string, regex string, prefix string"))
+    hits = kept(policy.governed(read.select(F.col("glob").alias("decision"), "glob", "regex", "prefix"), paths.select("path")).select(F.col("decision").alias("glob"), "path"))
     found = hits.select("glob").distinct().withColumn("found", F.lit(True))
     told = read.join(found, "glob", "left").select("glob", F.coalesce("found", F.lit(False)).alias("found"), (F.col("regex").isNotNull() | F.col("found").isNotNull()).alias("valid"))
     return told, hits
@@ -47,7 +47,7 @@ def symbol_targets(values: DataFrame, paths: DataFrame, symbols: DataFrame) -> D
     once = values.select("value").distinct().withColumn("key", ids.link_target(body)).withColumn("selector", ids.link_fragment(body))
     once = once.withColumn("line", F.coalesce(ids.is_line_fragment(F.col("selector")), F.lit(False)))
     found = resolve.partial_paths(once.select(F.col("key").alias("query")).distinct(), paths.select("path").distinct()).select(F.col("query").alias("key"), "path")
-    once = cut(once.join(found, "key", "left"))
+    once = kept(once.join(found, "key", "left"))
     asked = once.where("path is not null and selector is not null and not line").select("path", "selector").distinct()
     answers = resolve.selectors(asked, symbols).where("symbol is not null").join(symbols.select(F.col("id").alias("symbol"), F.col("selector").alias("own")), "symbol")
     once = once.join(answers.select("path", "selector", "own"), ["path", "selector"], "left")
@@ -71,51 +71,68 @@ class Derived:
     effective: DataFrame
 
 
-def derive(notes: DataFrame, files: DataFrame, symbols: DataFrame) -> Derived:
-    """V4, V13, V14. All inputs of validation from notes (as sources.notes gives them), files (path, language, text) and symbols (id, path, selector, aliases).
+@dataclass
+class _Standing:
+    """Notes with what is history among them, the decisions that are effective, and what globs of the others select."""
 
-    Accepted decisions that others supersede are history: neither their targets nor what they govern are asked for.
-    A decision that governs nothing in particular governs all files. Policies are scanned in what their decision governs,
-    where it is effective and declares the pattern first.
-    """
-    notes = cut(notes)
-    paths = files.select("path").distinct()
+    notes: DataFrame
+    known: DataFrame
+    effective: DataFrame
+    asked: DataFrame
+    by_glob: DataFrame
+    hits: DataFrame
+
+
+def _standing(notes: DataFrame, paths: DataFrame) -> _Standing:
+    notes = kept(notes)
     decided = notes.where("kind = 'decision' and id is not null")
-    status = decided.select("id", "status")
+    accepted = decided.where("status = 'accepted'").select("id").distinct()
     edges = decided.select(F.col("id").alias("src"), F.explode("supersedes").alias("dst"))
-    accepted = status.where("status = 'accepted'").select("id").distinct()
-    replaced = cut(recursion.reachable(accepted, edges).distinct())
-    historical, effective = cut(accepted.join(replaced, "id", "left_semi")), cut(accepted.join(replaced, "id", "left_anti"))
+    replaced = kept(recursion.reachable(accepted, edges).distinct())
+    historical, effective = accepted.join(replaced, "id", "left_semi"), kept(accepted.join(replaced, "id", "left_anti"))
     old = historical.withColumn("historical", F.lit(True))
     known = notes.join(old, "id", "left").withColumn("historical", F.coalesce("historical", F.lit(False)) & (F.col("kind") == "decision"))
-    known = cut(known.withColumn("historical", F.coalesce("historical", F.lit(False))))
+    known = kept(known.withColumn("historical", F.coalesce("historical", F.lit(False))))
     now = known.where("not historical")
     every = F.when((F.col("kind") == "decision") & (F.size("governs") == 0), F.array(F.lit("**"))).otherwise(F.col("governs"))
     globs = lambda what, column: now.select("path", F.lit(what).alias("what"), F.explode(column).alias("value"))
-    asked = cut(globs("governs", every).union(globs("scope", F.col("targets_scope"))))
+    asked = kept(globs("governs", every).union(globs("scope", F.col("targets_scope"))))
     told, hits = selections(asked.select(F.col("value").alias("glob")), paths)
     by_glob = asked.join(told.withColumnRenamed("glob", "value"), "value").select("path", "what", "value", "found", "valid", F.lit(False).alias("legacy"))
+    return _Standing(notes, known, effective, asked, by_glob, hits)
+
+
+def derive(notes: DataFrame, files: DataFrame, symbols: DataFrame) -> Derived:
+    """V4, V13, V14. All inputs of validation from notes (as sources.notes gives them), files (path, language, text) and symbols (id, path, selector, aliases).
+
+    Accepted decisions that others supersede are history: neither their targets nor what they govern are asked for.
+    A decision that governs nothing in particular governs all files. Policies are scanned in what their decision governs,
+    where it is effective and declares the pattern first.
+    """
+    paths = files.select("path").distinct()
+    standing = _standing(notes, paths)
+    notes, known, effective, asked, hits, by_glob = standing.notes, standing.known, standing.effective, standing.asked, standing.hits, standing.by_glob
+    decided, now = notes.where("kind = 'decision' and id is not null"), known.where("not historical")
     named = now.select("path", F.explode("targets_symbols").alias("value"))
     by_symbol = named.join(symbol_targets(named, paths, symbols), "value").select("path", F.lit("symbol").alias("what"), "value", "found", F.lit(True).alias("valid"), "legacy")
     declared = decided.select("path", F.col("id").alias("decision"), F.posexplode("policies").alias("seq", "p")).select("path", "decision", "seq", F.col("p.id").alias("local"), "p.language", "p.pattern", "p.rule")
-    declared = cut(declared)
+    declared = kept(declared)
     local = ids.trimmed(F.col("local"))
     owned = declared.where(F.coalesce(local, F.lit("")) != "").select(F.concat_ws("/", "decision", local).alias("pattern"), local.alias("local"), "path", F.lit(None).cast("long").alias("line"), "seq")
     refs = known.select("path", F.explode("target_patterns").alias("value"))
     full = F.when(F.instr("value", "/") > 0, F.concat_ws("/", ids.pattern_decision(F.col("value")), ids.pattern_local(F.col("value")))).otherwise(F.col("value"))
     there = owned.select(F.col("pattern").alias("full")).distinct().withColumn("found", F.lit(True))
     by_pattern = refs.withColumn("full", full).join(there, "full", "left").select("path", F.lit("pattern").alias("what"), "value", F.coalesce("found", F.lit(False)).alias("found"), F.lit(True).alias("valid"), F.lit(False).alias("legacy"))
-    targets = cut(by_glob.union(by_symbol).union(by_pattern).withColumn("line", F.lit(None).cast("long")))
+    targets = kept(by_glob.union(by_symbol).union(by_pattern).withColumn("line", F.lit(None).cast("long")))
     order = notes.select(F.col("path").alias("seq"), "path", "id", "title", F.transform("headings", lambda h: h["text"]).alias("headings")).where("id is not null")
     selectors = symbols.select("path", F.explode(F.concat(F.array("selector"), "aliases")).alias("selector"))
     links = resolve.links(notes.select("path", F.explode("links").alias("l")).select("path", "l.link", "l.line"), order, paths, selectors, owned.select(F.col("pattern").alias("id")))
-    registered = cut(partitions.registered(declared, effective))
+    registered = kept(partitions.registered(declared, effective))
     governing = asked.where("what = 'governs'").join(notes.select("path", F.col("id").alias("decision")), "path").join(registered.select("decision").distinct(), "decision", "left_semi")
-    scope = governing.join(hits.select(F.col("glob").alias("value"), F.col("path").alias("file")), "value").select("decision", F.col("file").alias("path")).distinct()
-    matched = policy.violations(policy.matches(files, registered.select("decision", "id", "language", "pattern", "rule"), scope))
+    matched = policy.violations(policy.matches_by_glob(files, registered, governing.select("decision", F.col("value").alias("glob")), hits))
     errors = policy.declaration_errors(declared.select("path", F.col("local").alias("id"), F.lit(None).cast("long").alias("line"), "language", "pattern", "rule"))
-    kept = decided.select("id", "path", "supersedes", "superseded_by")
-    return Derived(known, links, targets, kept, errors, owned, matched, notes.join(effective, "id", "left_semi").where("kind = 'decision'").select("path"))
+    own = decided.select("id", "path", "supersedes", "superseded_by")
+    return Derived(known, links, targets, own, errors, owned, matched, notes.join(effective, "id", "left_semi").where("kind = 'decision'").select("path"))
 
 
 def check(d: Derived, decision_dir: str, changed: DataFrame | None = None) -> DataFrame:
@@ -126,4 +143,15 @@ def check(d: Derived, decision_dir: str, changed: DataFrame | None = None) -> Da
 
 def blocking(d: Derived) -> DataFrame:
     """V13. What keeps a state from being published: globs of effective decisions that govern nothing or cannot be read."""
-    return rules.in_order(rules.target_rules(d.targets.where("what = 'governs'").join(d.effective, "path", "left_semi")).where("severity = 'error'"))
+    return _unfit(d.targets, d.effective)
+
+
+def _unfit(targets: DataFrame, effective: DataFrame) -> DataFrame:
+    return rules.in_order(rules.target_rules(targets.where("what = 'governs'").join(effective, "path", "left_semi")).where("severity = 'error'"))
+
+
+def blockers(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """V13. blocking() of notes and files where nothing else is asked: only globs and supersession are looked at, no symbol, link or policy."""
+    s = _standing(notes, files.select("path").distinct())
+    own = s.notes.join(s.effective, "id", "left_semi").where("kind = 'decision'").select("path")
+    return _unfit(s.by_glob.withColumn("line", F.lit(None).cast("long")), own)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pattern as code
 from ..functions.ids import trimmed
+from ..functions.spread import sliced, spread
 from ..functions.text import denies, glob_prefix, glob_regex, per_value
 from .recursion import cut
 from .resolve import partial_paths
@@ -144,13 +145,15 @@ MATCHES = "id string, decision string, path string, line long, range string, tex
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in MATCHES.split(", ")]
     kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())]
-    for batch in batches:
+    for batch in sliced(batches):
         rows: list[tuple] = []
         for path, language, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            t = code.tokens(text, language) if text else None
+            t, told = code.tokens(text, language) if text else None, {}
             for p in asked if t else ():
-                if code.error(p["pattern"], p["rule"]) is None:
-                    rows += [(p["id"], p["decision"], path, line, place, found, list(captures.items())) for line, place, found, captures in code.matches(t, p["pattern"], p["rule"])]
+                body = p["pattern"], p["rule"]
+                if body not in told:  # policies of one pattern are matched once
+                    told[body] = code.matches(t, *body) if code.error(*body) is None else []
+                rows += [(p["id"], p["decision"], path, line, place, found, list(captures.items())) for line, place, found, captures in told[body]]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -161,6 +164,7 @@ def scanned(files: DataFrame, pairs: DataFrame) -> DataFrame:
     A file is read, and its tokens told, once for all its policies.
     """
     asked = pairs.groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
+    files = spread(files.select("path", "language", "text"), "path", "language")
     return files.join(asked, ["path", "language"]).select("path", "language", "text", "asked").mapInArrow(_matches, MATCHES)
 
 
@@ -176,6 +180,29 @@ def matches(files: DataFrame, policies: DataFrame, scope: DataFrame, changed: Da
     return scanned(files, asked.join(policies.select("decision", "id", "language", "pattern", "rule"), "decision"))
 
 
+def matches_by_glob(files: DataFrame, policies: DataFrame, globs: DataFrame, hits: DataFrame) -> DataFrame:
+    """matches() where decisions govern by globs (decision, glob) and these select files (glob, path).
+
+    A pattern or rule that many decisions declare is matched once in a file that any of them governs, and each of its
+    matches is told of all of them behind that: pairs of decisions and files, which grow with the product of both, are neither
+    shuffled nor scanned. Only decisions of several globs, which may select a file twice, are made distinct.
+    """
+    body = ["language", "pattern", "rule"]
+    named = policies.select("decision", "id", *body).distinct()
+    bodies = named.select(*body).distinct().withColumn("body", F.sha2(F.to_json(F.struct(*body)), 256))
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"b.{c}")) for c in body]
+    named = cut(named.alias("n").join(bodies.alias("b"), same).select("n.decision", "n.id", "n.language", "n.pattern", "n.rule", "b.body"))
+    globs, hits = globs.select("decision", "glob").distinct(), cut(hits.select("glob", "path").distinct())
+    owners = globs.withColumn("_globs", F.count("*").over(Window.partitionBy("decision"))).join(named, "decision")
+    owners = cut(owners.select("glob", "body", "decision", "id", "language", "pattern", "rule", "_globs"))
+    asked = hits.join(owners.select("glob", "body", *body).distinct(), "glob").select("path", "language", F.col("body").alias("id"), F.lit(None).cast("string").alias("decision"), "pattern", "rule")
+    found = cut(scanned(files, asked).withColumnRenamed("id", "body").drop("decision"))
+    told = found.join(hits, "path").join(owners.select("glob", "body", "decision", "id", "_globs"), ["glob", "body"])
+    rows = lambda which: told.where(which).select("id", "decision", "path", "line", "range", "text", "captures")
+    place = ["id", "decision", "path", "line", "range"]
+    return rows("_globs = 1").union(rows("_globs > 1").dropDuplicates(place))
+
+
 def in_match_order(found: DataFrame) -> DataFrame:
     """O5, O6. Match rows by path, line, range and text, and by captures where these tie."""
     return found.orderBy("path", "line", "range", "text", F.to_json(F.array_sort(F.map_entries("captures"))))
