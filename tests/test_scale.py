@@ -6,7 +6,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from tracery.functions import text
-from tracery.operators import checks, graph, policy
+from tracery.operators import checks, graph, policy, renames
 from tracery.plans import validation
 from tracery.sources import elixir, notes
 
@@ -82,3 +82,18 @@ def test_blockers_need_no_symbols_links_or_policies(spark, sf, monkeypatch):
 def test_top_level_parts_by_kind_of_brackets(spark):
     rows = spark.createDataFrame([("a<b, c>, [1, {2}], )x, f(,",), (None,), ("",), ("a,,b\u2003,",)], "x string")
     assert [r.p for r in rows.select(text.split_top_level(F.col("x")).alias("p")).collect()] == [["a<b, c>", "[1, {2}]", ")x", "f(,"], None, [], ["a", "b"]]
+
+
+def test_files_alike_take_no_round_each(spark, monkeypatch):
+    """Of 12 x 12 pairs of one score a round took one."""
+    rows = [(f"l{a:02}", f"r{b:02}", 90 if (a + b) % 5 else 95, a == b) for a in range(12) for b in range(12)]
+    pairs = spark.createDataFrame(rows, "left string, right string, percent int, equal boolean")
+    left = spark.createDataFrame([(f"l{k:02}", k % 3 + 1) for k in range(12)], "file string, n long")
+    right = spark.createDataFrame([(f"r{k:02}", k % 2 + 1) for k in range(12)], "file string, n long")
+    tables = []
+    monkeypatch.setattr(renames, "kept", lambda f, own=renames.kept: tables.append(1) or own(f))
+    told = lambda: sorted(map(tuple, renames.one_to_one(pairs, left, right).select("left", "right", "l_from", "r_from", "n", "percent").collect()))
+    fast, few = told(), len(tables)
+    monkeypatch.setattr(renames, "REST", 0)
+    assert told() == fast
+    assert few == 2 < len(tables) - few

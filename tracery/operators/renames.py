@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import sliced
 from .ordered import asof_latest
-from .recursion import chain_ends, cut
+from .recursion import chain_ends, cut, kept
 from .sets import changes_between
 
 #: Shared bytes in a hundred of the larger file that make a rename.
 LEAST = 50
 #: Pairs of files that one task should meet over one piece.
 PAIRS = 1 << 20
+#: Pairs at most that one task takes from one by one, when no more are left.
+REST = 1 << 19
 #: Commits of a span in which the last arrival at a path is looked up.
 SPAN = 1000
 # Fixed value: a piece is a line with its end, or 64 characters of a longer one.
@@ -33,12 +39,12 @@ def shared_bytes(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataF
     comes before the last `least` hundredths of each, so only those are looked up: a piece that all files have is a
     lookup of no file that has enough else, but counts for the score. What many files look up is dealt over parts.
     """
-    sides = cut(pieces(left).select(F.lit(0).alias("side"), "*").union(pieces(right).select(F.lit(1).alias("side"), "*")))
+    sides = kept(pieces(left).select(F.lit(0).alias("side"), "*").union(pieces(right).select(F.lit(1).alias("side"), "*")))
     often = sides.groupBy("piece").agg(F.count("*").alias("files"))
     before = Window.partitionBy("side", "file").orderBy("files", "piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("side", "file")
     ranked = sides.join(often, "piece").withColumn("size", F.sum("bytes").over(whole)).withColumn("gone", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    asked = cut(ranked.where((F.col("size") - F.col("gone")) * 100 >= F.col("size") * least).select("side", "file", "piece", "size"))
+    asked = kept(ranked.where((F.col("size") - F.col("gone")) * 100 >= F.col("size") * least).select("side", "file", "piece", "size"))
     both = asked.groupBy("piece").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).where("l > 0 and r > 0")
     both = both.select("piece", F.ceil(F.col("l") * F.col("r") / PAIRS).cast("int").alias("parts"))
     a = asked.where("side = 0").join(both, "piece").select("piece", F.pmod(F.xxhash64("file"), "parts").cast("int").alias("part"), F.col("file").alias("left"), F.col("size").alias("l_size"))
@@ -51,26 +57,49 @@ def shared_bytes(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataF
     return met.where(F.col("shared") * 100 >= F.col("size") * least).select("left", "right", F.floor(F.col("shared") * 100 / F.col("size")).cast("int").alias("percent"))
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pairs take, the best first; what they bring are their ends' numbers and how many these still have."""
+    names = ["left", "right", "percent", "l_from", "r_from", "n"]
+    gone: tuple[dict, dict] = {}, {}
+    for batch in sliced(batches):
+        rows = []
+        for left, right, percent, l_from, r_from, l_n, r_n in zip(*(batch.column(c).to_pylist() for c in (*names[:5], "l_n", "r_n")), strict=True):
+            l, r = gone[0].get(left, 0), gone[1].get(right, 0)
+            if (n := min(l_n - l, r_n - r)) > 0:
+                rows.append((left, right, percent, l_from + l, r_from + r, n))
+                gone[0][left], gone[1][right] = l + n, r + n
+        kinds = [batch.schema.field(c).type for c in (*names[:5], "l_n")]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
+
+
 def one_to_one(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(left, right, l_from, r_from, n, percent): pairs (left, right, percent, equal) that are the best of both their ends, again and again.
 
     left, right: file, n, how many stand for the file. A pair takes as many of both as the smaller side still has,
     from the numbers l_from and r_from on. The best pair has the most percent, then equal contents, then the
-    smallest names. The best of all pairs left is always taken, so rounds end; they are few where scores differ.
+    smallest names. The best of all pairs left is always taken, so rounds end; they are few where scores differ. Where
+    many files are alike a round takes but one pair of them, so the last REST pairs are taken by one task in that
+    order: of two pairs with an end in common the better one comes first, as in rounds.
     """
     live = pairs.join(left.select(F.col("file").alias("left"), F.col("n").alias("l_n")), "left").join(right.select(F.col("file").alias("right"), F.col("n").alias("r_n")), "right")
-    live = cut(live.select("left", "right", "percent", "equal", F.lit(0).cast("long").alias("l_from"), F.lit(0).cast("long").alias("r_from"), "l_n", "r_n"))
+    live = kept(live.select("left", "right", "percent", "equal", F.lit(0).cast("long").alias("l_from"), F.lit(0).cast("long").alias("r_from"), "l_n", "r_n"))
     out = None
-    while live.limit(1).count():
+    while n := live.limit(REST + 1).count():
+        if n <= REST:
+            order = (-F.col("percent"), ~F.col("equal"), "left", "right")
+            schema = live.select("left", "right", "percent", "l_from", "r_from", F.col("l_n").alias("n")).schema
+            last = kept(live.repartition(1).sortWithinPartitions(*order).mapInArrow(_taken, schema))
+            return last if out is None else out.union(last)
         rank = lambda other: F.struct((-F.col("percent")).alias("p"), (~F.col("equal")).alias("e"), F.col(other).alias("to"))
-        best = lambda end, other: live.groupBy(end).agg(F.min(rank(other)).alias("x")).select(end, F.col("x.to").alias(other))
-        took = live.join(best("left", "right"), ["left", "right"]).join(best("right", "left"), ["left", "right"])
-        took = cut(took.select("left", "right", "percent", "l_from", "r_from", F.least("l_n", "r_n").alias("n")))
+        best = lambda end, other: F.min(rank(other)).over(Window.partitionBy(end))["to"]
+        took = live.withColumn("_best", best("left", "right")).where(F.col("_best") == F.col("right")).drop("_best")
+        took = took.join(live.groupBy("right").agg(F.min(rank("left"))["to"].alias("left")), ["left", "right"])
+        took = kept(took.select("left", "right", "percent", "l_from", "r_from", F.least("l_n", "r_n").alias("n")))
         out = took if out is None else out.union(took)
         left_took, right_took = took.select("left", F.col("n").alias("l")), took.select("right", F.col("n").alias("r"))
         rest = live.join(took.select("left", "right"), ["left", "right"], "left_anti").join(left_took, "left", "left").join(right_took, "right", "left").fillna(0, ["l", "r"])
         rest = rest.select("left", "right", "percent", "equal", (F.col("l_from") + F.col("l")).alias("l_from"), (F.col("r_from") + F.col("r")).alias("r_from"), (F.col("l_n") - F.col("l")).alias("l_n"), (F.col("r_n") - F.col("r")).alias("r_n"))
-        live = cut(rest.where("l_n > 0 and r_n > 0"))
+        live = kept(rest.where("l_n > 0 and r_n > 0"))
     return out if out is not None else live.select("left", "right", "l_from", "r_from", F.col("l_n").alias("n"), "percent")
 
 
@@ -89,7 +118,7 @@ def similar_renames(deleted: DataFrame, added: DataFrame, least: int = LEAST) ->
     without text, null or empty, is like no other.
     """
     (l_text, l_own), (r_text, r_own) = (_numbered(f) for f in (deleted, added))
-    l_text, r_text = cut(l_text), cut(r_text)
+    l_text, r_text = kept(l_text), kept(r_text)
     found = shared_bytes(l_text.select("file", "text"), r_text.select("file", "text"), least)
     hashes = lambda t, name: t.select(F.col("file").alias(name), F.col("hash").alias(f"{name}_hash"))
     found = found.join(hashes(l_text, "left"), "left").join(hashes(r_text, "right"), "right")
@@ -108,13 +137,13 @@ def similar_changes(before: DataFrame, after: DataFrame, least: int = LEAST) ->
     As changes_between, and of the files that it calls deleted and added those are renames that share `least` of a
     hundred bytes of the larger one. Only these files' texts are read.
     """
-    plain = cut(changes_between(before.select("path", "hash"), after.select("path", "hash")))
+    plain = kept(changes_between(before.select("path", "hash"), after.select("path", "hash")))
     lost = lambda files, status: files.join(plain.where(F.col("status") == status).select("path"), "path", "left_semi").select("path", "hash", "text")
-    moved = cut(similar_renames(lost(before, "deleted"), lost(after, "added"), least))
+    moved = kept(similar_renames(lost(before, "deleted"), lost(after, "added"), least))
     gone = moved.select(F.lit("deleted").alias("status"), F.col("previous_path").alias("path")).union(moved.select(F.lit("added"), "path"))
     same = F.when(F.col("status").isin("renamed", "copied"), 100).alias("percent")
-    kept = plain.join(gone, ["status", "path"], "left_anti").select("status", "path", "previous_path", same)
-    return kept.union(moved.select(F.lit("renamed").alias("status"), "path", "previous_path", "percent"))
+    rest = plain.join(gone, ["status", "path"], "left_anti").select("status", "path", "previous_path", same)
+    return rest.union(moved.select(F.lit("renamed").alias("status"), "path", "previous_path", "percent"))
 
 
 def _name(path: str, commit: str):
