@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 # Languages and media types by extension.
 LANGUAGES = {"ex": "elixir", "exs": "elixir", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript"}
 MEDIA = {"gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "pdf": "application/pdf", "png": "image/png", "svg": "image/svg+xml", "webp": "image/webp"}
+# Brackets.
+CLOSED_BY = {"(": ")", "[": "]", "{": "}", "<": ">"}
 # Words that look like calls but are none.
 NO_CALLS = ["Err", "Ok", "Some", "for", "format", "if", "match", "println", "return", "sizeof", "switch", "vec", "while"]
 
@@ -171,19 +174,27 @@ def key_line(frontmatter: Column, needle: Column) -> Column:
     return F.when(at > 0, line_number(frontmatter, at - 1) + 1).otherwise(F.lit(2).cast("long"))
 
 
-def split_top_level(x: Column, separator: str = ",") -> Column:
-    """X22. The trimmed parts of a text between separators outside of brackets of the four kinds, without empty ones."""
-    kinds = ("()", "[]", "{}", "<>")
-    depth = lambda s: [F.greatest(s[f"d{k}"] + F.when(s["c"] == o, 1).when(s["c"] == e, -1).otherwise(0), F.lit(0)).alias(f"d{k}") for k, (o, e) in enumerate(kinds)]
-    start = F.struct(*[F.lit(0).alias(f"d{k}") for k in range(4)], F.lit("").alias("c"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+def _top_level(x: str | None, separator: str) -> list[str] | None:
+    """The stretches of a text between separators outside of brackets; each kind of brackets counts by itself, and one that closes nothing is none."""
+    if x is None:
+        return None
+    depth, out, first = dict.fromkeys(")]}>", 0), [], 0
+    for m in re.finditer(rf"[()\[\]{{}}<>]|{re.escape(separator)}", x):
+        c = m[0]
+        if c in CLOSED_BY:
+            depth[CLOSED_BY[c]] += 1
+        elif c in depth:
+            depth[c] = max(0, depth[c] - 1)
+        if c == separator and not any(depth.values()):
+            out.append(x[first : m.start()])
+            first = m.end()
+    return [*out, x[first:]]
 
-    def step(s: Column, c: Column) -> Column:
-        depths = depth({**{f"d{k}": s[f"d{k}"] for k in range(4)}, "c": c})
-        cut = (c == separator) & (sum(depths[1:], depths[0]) == 0)
-        return F.struct(*depths, c.alias("c"), F.when(cut, F.lit("")).otherwise(F.concat(s["now"], c)).alias("now"), F.when(cut, F.array_append(s["out"], s["now"])).otherwise(s["out"]).alias("out"))
 
-    end = F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), start, step)
-    return F.filter(F.transform(F.array_append(end["out"], end["now"]), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+def split_top_level(x: Column, separator: str = ",") -> Column:
+    """X22. The trimmed parts of a text between separators outside of brackets of the four kinds, without empty ones."""
+    parts = per_value(partial(_top_level, separator=separator), "array<string>")(x)
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
 
 def signature(x: Column) -> Column:
