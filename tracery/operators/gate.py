@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spread import sliced, spread
 from ..sources import notes
 from . import sets
-from .recursion import chain_ends, cut
+from .recursion import chain_ends, cut, kept
 
 
 def composed_renames(changes: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def cyclic_renames(changes: DataFrame) -> DataFrame:
 
 def _governed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the old text of a decision governs, and whether it is a links' migration; only of accepted ones what they govern."""
-    for batch in batches:
+    for batch in sliced(batches):
         paths, values, linked = [], [], []
         for path, old, new in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             before, after = notes.parse(path, old), notes.parse(path, new)
@@ -46,12 +47,12 @@ def _governed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = []
+        same = []
         for path, old, new, pairs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             told = notes.governs_rewritten(old, {p["old"]: p["new"] for p in pairs})
             if told is not None and told == new != old:
-                kept.append(path)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["path"])
+                same.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(same, pa.string())], ["path"])
 
 
 def allowed_changes(changes: DataFrame, receipt: DataFrame | None = None, staged: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
@@ -63,11 +64,11 @@ def allowed_changes(changes: DataFrame, receipt: DataFrame | None = None, staged
     have, which is asked only in a check of a branch.
     """
     texts = changes.where("status = 'modified' and previous_path is null and old_text is not null and new_text is not null").select("path", "old_text", "new_text")
-    texts = cut(texts)
-    told = cut(texts.mapInArrow(_governed, "path string, governs array<string>, linked boolean"))
+    texts = kept(spread(texts, "path"))
+    told = kept(texts.mapInArrow(_governed, "path string, governs array<string>, linked boolean"))
     out = told.where("linked").select("path", F.lit("portable links").alias("why"))
     renamed = told.select("path", F.explode("governs").alias("old")).distinct().join(composed_renames(changes), "old").groupBy("path").agg(F.collect_list(F.struct("old", "new")).alias("pairs"))  # as many as a note governs
-    moved = texts.join(renamed, "path").select("path", "old_text", "new_text", "pairs").mapInArrow(_rewritten, "path string")
+    moved = spread(texts.join(renamed, "path").select("path", "old_text", "new_text", "pairs"), "path").mapInArrow(_rewritten, "path string")
     out = out.union(moved.select("path", F.lit("source rename")))
     if receipt is not None and staged is not None:
         proven = sets.proof(receipt, staged).agg((F.count("*") == 0).alias("proven"))  # one row
