@@ -6,9 +6,9 @@ import yaml
 from pyspark.sql import functions as F
 
 from tracery.functions import text
-from tracery.operators import checks, graph, policy, renames
-from tracery.plans import validation
-from tracery.sources import elixir, notes
+from tracery.operators import checks, graph, hashing, hashtree, policy, renames, scopes, sets
+from tracery.plans import queries, validation
+from tracery.sources import elixir, notes, snapshots
 
 
 def test_callers_by_name_are_not_shuffled_again(spark):
@@ -97,3 +97,31 @@ def test_files_alike_take_no_round_each(spark, monkeypatch):
     monkeypatch.setattr(renames, "REST", 0)
     assert told() == fast
     assert few == 2 < len(tables) - few
+
+
+def _counted(spark, df, column):
+    """(df, accumulator): how many of its rows were evaluated."""
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(x):
+        told.add(1)
+        return x
+
+    return df.withColumn(column, same(F.col(column))), told
+
+
+def test_a_stored_tree_evaluates_its_hashes_once(spark, tmp_path):
+    """The levels were made of the hashes first and the leaves were shuffled again for their folders."""
+    hashes = spark.range(40).select(F.sha2((F.col("id") % 30).cast("string"), 256).alias("hash"))
+    counted, told = _counted(spark, hashes, "hash")
+    folder = f"file://{tmp_path}/tree"
+    hashtree.store(hashtree.build(counted), folder)
+    assert told.value == 40
+    tree = hashtree.load(spark, folder)
+    assert tree.root().first() == hashing.root_hash(hashes).first() and hashtree.same_root(tree)
+    one = lambda *ids: spark.createDataFrame([(k,) for k in ids], "k string").select(F.sha2("k", 256).alias("hash"))
+    after, read = hashtree.updated(tree, one("3", "3", "new", "new", "gone"), one("3", "4", "4", "4", "29", "gone", "other"))
+    want = hashes.exceptAll(one("3", "4", "4", "29")).union(one("3", "3", "new", "new"))
+    assert after.root().first() == hashing.root_hash(want).first()
+    assert sorted(r.h for r in after.leaves.collect()) == sorted(r.hash for r in want.collect()) and read.count() == 5

@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows whose Python values a task holds at once.
 ROWS = 500
+#: Rows that one task of a shuffle should get.
+TASK_ROWS = 400_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Tasks over which so many rows are dealt: as many more as there are more rows, so none holds more of a larger table."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

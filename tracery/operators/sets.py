@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.ids import edge_text
 
 
+def compared(a: DataFrame, b: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Distinct keys of both frames with _a and _b, whether each has them: one shuffle for all differences. parts: tasks that it is dealt over."""
+    sides = a.select(*keys, F.lit(True).alias("_a"), F.lit(False).alias("_b")).union(b.select(*keys, F.lit(False), F.lit(True)))
+    return (sides.repartition(parts, *keys) if parts else sides).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+
+
 def snapshot_diff(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, edges_b: DataFrame) -> DataFrame:
     """(change, item): nodes by id and edges by text that only one of two snapshots has."""
 

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import parts_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks over which the rows of a table are dealt."""
+    return parts_for(spark, table(spark, sf_dir, name).count())
+
+
 def named(prefix: str, key: str) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
 
@@ -71,7 +78,8 @@ def shipments(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
     cut = F.lit("1998-06-01").cast("timestamp")
     lines = table(spark, sf_dir, "lineitem")
     lines = lines.where(F.col("l_shipdate") >= cut) if late else lines.where(F.col("l_shipdate") < cut)
-    return lines.select("l_suppkey", "l_partkey").distinct().select(named("supplier", "l_suppkey").alias("src"), F.lit("ships").alias("kind"), named("part", "l_partkey").alias("dst"))
+    lines = lines.select("l_suppkey", "l_partkey").repartition(parts(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").distinct()
+    return lines.select(named("supplier", "l_suppkey").alias("src"), F.lit("ships").alias("kind"), named("part", "l_partkey").alias("dst"))
 
 
 def edited_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

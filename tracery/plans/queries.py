@@ -245,11 +245,12 @@ def graph_root_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_tree_update(spark: SparkSession, sf: str) -> DataFrame:
     """The root after edges came and went, of a stored tree of which only the changed branches are read."""
-    edge = lambda late: bind.shipments(spark, sf, late).select(hashing.typed_hash("edge", F.col("src"), F.col("kind"), F.col("dst")).alias("hash"))
-    early, late = edge(False), edge(True)
+    early, late = bind.shipments(spark, sf, False), bind.shipments(spark, sf, True)
+    both = recursion.kept(sets.compared(early, late, ["src", "kind", "dst"], parts := bind.parts(spark, sf, "lineitem")))
+    edge = lambda which: both.where(which).select(hashing.typed_hash("edge", F.col("src"), F.col("kind"), F.col("dst")).alias("hash"))
     folder = f"{recursion.shared_folder(spark)}/tracery-tree-{uuid.uuid4().hex}"
-    hashtree.store(hashtree.build(node_hashes(spark, sf).select("hash").union(early)), folder)
-    tree, _ = hashtree.updated(hashtree.load(spark, folder), late.subtract(early), early.subtract(late))
+    hashtree.store(hashtree.build(node_hashes(spark, sf).select("hash").union(edge("_a")), parts=parts), folder)
+    tree, _ = hashtree.updated(hashtree.load(spark, folder), edge("_b and not _a"), edge("_a and not _b"), parts=parts)
     return tree.root()
 
 
