@@ -125,3 +125,13 @@ def test_a_stored_tree_evaluates_its_hashes_once(spark, tmp_path):
     want = hashes.exceptAll(one("3", "4", "4", "29")).union(one("3", "3", "new", "new"))
     assert after.root().first() == hashing.root_hash(want).first()
     assert sorted(r.h for r in after.leaves.collect()) == sorted(r.hash for r in want.collect()) and read.count() == 5
+
+
+def test_buckets_grow_with_the_rows(spark, sf, monkeypatch):
+    """One of eight tasks sorted an eighth of a snapshot, however large."""
+    told = []
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 500)
+    monkeypatch.setattr(snapshots, "publish", lambda *a, buckets=None, **k: told.append(buckets) or "r")
+    monkeypatch.setattr(snapshots, "stored_diff", lambda *a: None)
+    queries.QUERIES["stored_diff"](spark, sf)  # 6,000 rows
+    assert told == [16, 16] and snapshots.buckets_for(0) == snapshots.buckets_for(4000) == 8

@@ -257,10 +257,11 @@ def hash_tree_update(spark: SparkSession, sf: str) -> DataFrame:
 def stored_diff(spark: SparkSession, sf: str) -> DataFrame:
     """What changed between two snapshots that are stored in buckets."""
     folder, roots = f"{recursion.shared_folder(spark)}/tracery-snapshots-{uuid.uuid4().hex}", []
+    buckets = snapshots.buckets_for(table(spark, sf, "lineitem").count())
     for late in (False, True):
         edges = bind.shipments(spark, sf, late).withColumn("hash", F.sha2(F.concat_ws(" ", "src", "dst"), 256))
         nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("hash", F.sha2("id", 256))
-        roots.append(snapshots.publish(spark, folder, {"nodes": nodes, "edges": edges}, buckets=8))
+        roots.append(snapshots.publish(spark, folder, {"nodes": nodes, "edges": edges}, buckets=buckets))
     return snapshots.stored_diff(spark, folder, *roots)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_text
+from ..functions.spread import TASK_ROWS
 from ..operators.hashing import root_hash
 
 
@@ -95,6 +96,11 @@ def contents(tables: dict[str, DataFrame]) -> str:
 BUCKETED = {"nodes": ["id"], "edges": ["src", "kind", "dst"]}
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets for tables of so many rows: one task sorts a bucket. A power of two, so snapshots that grow keep their number for long."""
+    return max(8, 1 << (-(-rows // TASK_ROWS) - 1).bit_length())
+
+
 def _write_table(t: DataFrame, path: str, name: str, buckets: int | None) -> None:
     if not buckets or name not in BUCKETED:
         t.write.parquet(path)
