@@ -135,3 +135,16 @@ def test_buckets_grow_with_the_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(snapshots, "stored_diff", lambda *a: None)
     queries.QUERIES["stored_diff"](spark, sf)  # 6,000 rows
     assert told == [16, 16] and snapshots.buckets_for(0) == snapshots.buckets_for(4000) == 8
+
+
+def test_aliases_are_looked_up_without_blocks(spark, monkeypatch):
+    """Each scope was put under all blocks of lines that make it up, though the last directive before a site mostly holds."""
+    rows = [("f", None, k, 0, k, k + 50, f"A{k % 2}", f"A{(k + 1) % 2}.x") for k in (10, 21, 32, 300)]
+    directives = spark.createDataFrame(rows, "path string, owner string, d_line long, d_site long, scope_start long, scope_end long, alias string, target string")
+    sites = spark.createDataFrame([(k, "f", None, k, 0, "A0.f") for k in (5, 10, 11, 40, 90, 310)], "id long, path string, owner string, line long, site long, module string")
+
+    def none(*a):
+        raise AssertionError("blocks")
+
+    monkeypatch.setattr(scopes, "placed", none)
+    assert sorted(map(tuple, scopes.expand_aliases(sites, directives).collect())) == [(5, "A0.f"), (10, "A0.f"), (11, "A1.x.f"), (40, "A1.x.x.x.f"), (90, "A0.f"), (310, "A1.x.f")]

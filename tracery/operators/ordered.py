@@ -82,24 +82,25 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
-def asof_latest(sites: DataFrame, directives: DataFrame, key: str, order: list[str], value: str, span: Column) -> DataFrame:
-    """sites with the value of the last directive of the same key at or before them in the order.
+def asof_latest(sites: DataFrame, directives: DataFrame, key: str, order: list[str], value: str, span: Column, most: str | None = None) -> DataFrame:
+    """sites with the value of the last directive of the same key at or before them in the order, and the greatest value of a column (most) of those.
 
     Both have key and order columns; span cuts a key's rows into ranges of the order, so a key with very many
     rows is scanned by many tasks, each of which learns the last directive of the ranges before it.
     """
-    both = directives.select(key, *order, F.lit(0).alias("_site"), F.col(value).alias("_value"), *[F.lit(None).cast(t).alias(c) for c, t in sites.dtypes if c not in (key, *order)]).unionByName(
-        sites.select(*sites.columns, F.lit(1).alias("_site"), F.lit(None).cast(dict(directives.dtypes)[value]).alias("_value"))
+    high = F.col(most) if most else F.lit(None).cast("long")
+    both = directives.select(key, *order, F.lit(0).alias("_site"), F.col(value).alias("_value"), high.alias("_most"), *[F.lit(None).cast(t).alias(c) for c, t in sites.dtypes if c not in (key, *order)]).unionByName(
+        sites.select(*sites.columns, F.lit(1).alias("_site"), F.lit(None).cast(dict(directives.dtypes)[value]).alias("_value"), F.lit(None).cast(dict(directives.dtypes)[most] if most else "long").alias("_most"))
     )
     both = both.withColumn("_span", span)
     place = F.struct(*order)
-    lasts = both.where("_site = 0").groupBy(key, "_span").agg(F.max(F.struct(place.alias("place"), F.col("_value").alias("v"))).alias("_last"))
-    spans = both.select(key, "_span").distinct().join(lasts, [key, "_span"], "left")
+    last = F.max(F.when(F.col("_site") == 0, F.struct(place.alias("place"), F.col("_value").alias("v")))).alias("_last")
+    spans = both.groupBy(key, "_span").agg(last, F.max("_most").alias("_high"))
     earlier = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)["v"]).select(key, "_span", "_carried")
+    carried = spans.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)["v"]).withColumn("_before", F.max("_high").over(earlier)).select(key, "_span", "_carried", "_before")
     inside = Window.partitionBy(key, "_span").orderBy(*order, "_site").rowsBetween(Window.unboundedPreceding, 0)
-    told = both.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)).where("_site = 1")
-    return told.join(carried, [key, "_span"], "left").select(*sites.columns, F.coalesce("_inside", "_carried").alias(value))
+    told = both.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)).withColumn("_here", F.max("_most").over(inside)).where("_site = 1")
+    return told.join(carried, [key, "_span"], "left").select(*sites.columns, F.coalesce("_inside", "_carried").alias(value), *([F.greatest("_here", "_before").alias(most)] if most else []))
 
 
 def snapshot_order(rows: DataFrame, latest: Column) -> DataFrame:
