@@ -148,3 +148,15 @@ def test_aliases_are_looked_up_without_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(scopes, "placed", none)
     assert sorted(map(tuple, scopes.expand_aliases(sites, directives).collect())) == [(5, "A0.f"), (10, "A0.f"), (11, "A1.x.f"), (40, "A1.x.x.x.f"), (90, "A0.f"), (310, "A1.x.f")]
+
+
+def test_clauses_are_dealt_before_arities_multiply_them(spark):
+    rows = [(k % 5, k % 3, k % 4, k) for k in range(60)]
+    clauses = spark.createDataFrame(rows, "module long, least long, most long, line long")
+    want = {}
+    for module, least, most, line in rows:
+        for arity in range(least, most + 1):
+            want.setdefault((module, arity), []).append(line)
+    found = scopes.clause_groups(clauses, parts=7)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, len(v), min(v), max(v)) for k, v in want.items())
+    assert found.rdd.getNumPartitions() == 7

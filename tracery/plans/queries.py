@@ -374,7 +374,7 @@ def remote_callables(spark: SparkSession, sf: str) -> DataFrame:
 def clause_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses by module and name; default arguments give several arities; the ranges are merged."""
     c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("module"), (F.col("l_linenumber") % 3).cast("long").alias("least"), F.col("l_linenumber").cast("long").alias("most"), F.col("l_orderkey").alias("line"))
-    return scopes.clause_groups(c)
+    return scopes.clause_groups(c, bind.parts(spark, sf, "lineitem"))
 
 
 def snapshot_order(spark: SparkSession, sf: str) -> DataFrame:
