@@ -160,3 +160,12 @@ def test_clauses_are_dealt_before_arities_multiply_them(spark):
     found = scopes.clause_groups(clauses, parts=7)
     assert sorted(map(tuple, found.collect())) == sorted((*k, len(v), min(v), max(v)) for k, v in want.items())
     assert found.rdd.getNumPartitions() == 7
+
+
+def test_snapshots_are_compared_by_one_grouping(spark):
+    """Four differences joined and sorted both sides twice."""
+    nodes = lambda *ids: spark.createDataFrame([(k,) for k in ids], "id string")
+    edges = lambda *ends: spark.createDataFrame([(a, "k", b) for a, b in ends], "src string, kind string, dst string")
+    found = sets.snapshot_diff(nodes("a", "b", "b", None), edges("ab", "ab", "bc"), nodes("b", "c", "c", None), edges("ab", "cd", "cd"), 3)
+    assert sorted(map(tuple, found.collect())) == [("edge_added", "c:k:d"), ("edge_removed", "b:k:c"), ("node_added", "c"), ("node_removed", "a")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -14,15 +14,16 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], parts: int | None = No
     return (sides.repartition(parts, *keys) if parts else sides).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
 
 
-def snapshot_diff(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """(change, item): nodes by id and edges by text that only one of two snapshots has."""
+def snapshot_diff(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, edges_b: DataFrame, parts: int | None = None) -> DataFrame:
+    """(change, item): nodes by id and edges by text that only one of two snapshots has. parts: tasks that edges are dealt over."""
 
-    def only(a: DataFrame, b: DataFrame, change: str) -> DataFrame:
-        return a.subtract(b).select(F.lit(change).alias("change"), "item")
+    def one_sided(a: DataFrame, b: DataFrame, what: str, parts: int | None = None) -> DataFrame:
+        change = F.when(F.col("_b"), f"{what}_added").otherwise(f"{what}_removed").alias("change")
+        return compared(a, b, ["item"], parts).where("_a <> _b").select(change, "item")
 
     na, nb = (n.select(F.col("id").alias("item")) for n in (nodes_a, nodes_b))
     ea, eb = (e.select(edge_text(F.col("src"), F.col("kind"), F.col("dst")).alias("item")) for e in (edges_a, edges_b))
-    return only(nb, na, "node_added").union(only(na, nb, "node_removed")).union(only(eb, ea, "edge_added")).union(only(ea, eb, "edge_removed"))
+    return one_sided(na, nb, "node").union(one_sided(ea, eb, "edge", parts))
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,7 +106,7 @@ def nodes_by_kind(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     a, b = bind.shipments(spark, sf, False), bind.shipments(spark, sf, True)
     ends = lambda e: e.select(F.col("src").alias("id")).union(e.select("dst"))
-    return sets.snapshot_diff(ends(a), a, ends(b), b)
+    return sets.snapshot_diff(ends(a), a, ends(b), b, bind.parts(spark, sf, "lineitem"))
 
 
 def symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
