@@ -169,3 +169,11 @@ def test_snapshots_are_compared_by_one_grouping(spark):
     found = sets.snapshot_diff(nodes("a", "b", "b", None), edges("ab", "ab", "bc"), nodes("b", "c", "c", None), edges("ab", "cd", "cd"), 3)
     assert sorted(map(tuple, found.collect())) == [("edge_added", "c:k:d"), ("edge_removed", "b:k:c"), ("node_added", "c"), ("node_removed", "a")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_history_is_evaluated_once(spark):
+    """Each lookup evaluated it again."""
+    rows = [(1, "added", "a", None), (2, "renamed", "b", "a"), (3, "renamed", "c", "b"), (4, "deleted", "c", None)]
+    history, told = _counted(spark, spark.createDataFrame(rows, "commit long, status string, path string, previous_path string"), "path")
+    assert [tuple(r) for r in renames.followed(history).collect()] == [("a", 1, "c", 4, 2)]
+    assert told.value == 4

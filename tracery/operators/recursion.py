@@ -108,18 +108,18 @@ def chain_ends(edges: DataFrame) -> DataFrame:
     end and no row.
     """
     ends = edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")
-    left = cut(edges.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("steps")))
-    done = cut(left.join(ends.select(F.col("id").alias("at")), "at", "left_semi").select("start", "at", "steps"))
-    left = cut(left.join(ends.select(F.col("id").alias("at")), "at", "left_anti").select("start", "at", "steps"))
-    before = -1
+    left = edges.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("steps"))
+    left = left.join(ends.select(F.col("id").alias("at"), F.lit(True).alias("_end")), "at", "left")
+    step = kept(left.select("start", "at", "steps", F.coalesce("_end", F.lit(False)).alias("_end")))
+    done, left, before, rounds = step.where("_end"), step.where("not _end"), -1, 1
     while (n := left.count()) and n != before:
-        jump_done = done.select(F.col("start").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
-        jump_left = left.select(F.col("start").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
-        new = left.join(jump_done, "at").select("start", F.col("_to").alias("at"), (F.col("steps") + F.col("_more")).alias("steps"))
-        still = left.join(jump_left, "at").select("start", F.col("_to").alias("at"), (F.col("steps") + F.col("_more")).alias("steps"))
-        new = cut(new)
-        left, before = cut(still), n if not new.limit(1).count() else -1
-        done = cut(done.union(new))
+        known = done.union(left).select(F.col("start").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"), "_end")
+        step = kept(left.drop("_end").join(known, "at").select("start", F.col("_to").alias("at"), (F.col("steps") + F.col("_more")).alias("steps"), "_end"))
+        new, left, rounds = step.where("_end"), step.where("not _end"), rounds + 1
+        before = n if not new.limit(1).count() else -1
+        done = done.union(new)
+        if rounds % TOGETHER == 0:
+            done = kept(done)
     return done.select("start", F.col("at").alias("end"), "steps")
 
 

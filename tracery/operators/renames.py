@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spread import sliced
 from .ordered import asof_latest
-from .recursion import chain_ends, cut, kept
+from .recursion import chain_ends, kept
 from .sets import changes_between
 
 #: Shared bytes in a hundred of the larger file that make a rename.
@@ -20,7 +20,7 @@ PAIRS = 1 << 20
 #: Pairs at most that one task takes from one by one, when no more are left.
 REST = 1 << 19
 #: Commits of a span in which the last arrival at a path is looked up.
-SPAN = 1000
+SPAN = 1 << 16
 # Fixed value: a piece is a line with its end, or 64 characters of a longer one.
 PIECE = r"[^\n]{0,63}\n|[^\n]{1,64}"
 
@@ -168,6 +168,7 @@ def followed(history: DataFrame) -> DataFrame:
     pointers are doubled: rounds grow with the logarithm of the longest chain of renames. Histories that are
     ambiguous() have no one answer.
     """
+    history = kept(history.select("commit", "status", "path", "previous_path"))  # it is read many times
     arrive = history.where("status in ('added', 'copied', 'renamed')").select("path", (F.col("commit") * 2 + 1).alias("at"), F.col("commit").alias("since"))
     left = history.where("status = 'renamed'").select(F.col("previous_path").alias("path"), (F.col("commit") * 2).alias("at"), "commit", F.col("path").alias("to"))
     left = left.union(history.where("status = 'deleted'").select("path", (F.col("commit") * 2).alias("at"), "commit", F.lit(None).cast("string").alias("to")))
@@ -175,7 +176,7 @@ def followed(history: DataFrame) -> DataFrame:
     # A file that arrived before its path was last left is another one: it is there no more.
     last = asof_latest(left.select("path", (F.col("at") - 1).alias("at"), F.col("commit").alias("c")), left.select("path", "at", F.col("commit").alias("left_at")), "path", ["at"], "left_at", F.floor(F.col("at") / (2 * SPAN)))
     told = told.join(last.select("path", F.col("c").alias("commit"), "left_at"), ["path", "commit"], "left")
-    told = cut(told.select("path", "commit", "to", F.when(F.col("left_at").isNull() | (F.col("since") >= F.col("left_at")), F.col("since")).alias("since")))
+    told = kept(told.select("path", "commit", "to", F.when(F.col("left_at").isNull() | (F.col("since") >= F.col("left_at")), F.col("since")).alias("since")))
     moves = told.where("to is not null").select(_name("path", "since").alias("src"), _name("to", "commit").alias("dst"))
     ends = chain_ends(moves).select("start", "end", "steps")
     died = told.where("to is null").select(_name("path", "since").alias("end"), F.col("commit").alias("died"))
