@@ -31,6 +31,17 @@ def test_references_to_a_path_are_not_shuffled_again(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_callers_by_one_name_are_dealt_over_tasks(spark, monkeypatch):
+    """What a name's callers and symbols give was made by one task, as both sides are small."""
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    monkeypatch.setattr(graph, "MET", 64)
+    symbols = spark.range(64).selectExpr("concat('s', id) as id", "'f' as name")
+    calls = spark.range(64).selectExpr("concat('c', id) as caller", "cast(null as string) as target", "'f' as text", "'call' as kind")
+    found = graph.callers(symbols, calls)
+    assert found.distinct().count() == found.count() == 64 * 64
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 1024
+
+
 def test_small_tables_are_dealt_over_tasks(spark):
     """Parsing takes far longer than reading: one task read a whole table of parts, whatever its rows took."""
     texts = spark.createDataFrame([(str(k), f"---\nid: N{k}\n---\n# T\n") for k in range(40)], "path string, text string").coalesce(1)

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import parent_dir
+from .recursion import kept
 
 # Relationship kinds that run code.
 EXECUTABLE = ["call", "delegate"]
+#: Rows of each side of a name that meet at once, and rows that one task of such meetings should give.
+BLOCK, MET = 1 << 10, 1 << 22
 
 
 def executable(calls: DataFrame) -> DataFrame:
@@ -23,16 +26,27 @@ def _reached(direct: DataFrame, asked: DataFrame, named: DataFrame) -> DataFrame
     """(symbol, by), distinct: the rows of direct (symbol, by), and those of asked (by, key) with all that have the key in named (symbol, key).
 
     A key that many ask for and many have gives as many rows as both multiplied. So rows are made distinct before they
-    meet, and behind it only those of symbols with several keys; what direct repeats is left out of direct.
+    meet, and behind it only those of symbols with several keys; what direct repeats is left out of direct. They meet in
+    blocks of BLOCK by BLOCK rows, over as many tasks as the rows that they give ask for.
     """
+    spark = direct.sparkSession
     named = named.where("key is not null").distinct()
-    asked = asked.distinct().join(named.select("key").distinct(), "key", "left_semi").select("by", "key")
+    asked = kept(asked.distinct().join(named.select("key").distinct(), "key", "left_semi").select("by", "key"))
     own = direct.join(named.select("symbol", "key"), "symbol", "left").withColumnRenamed("by", "_by")
     again = asked.select(F.col("by"), F.col("key").alias("_key"), F.lit(True).alias("_again"))
     own = own.join(again, F.col("_by").eqNullSafe(F.col("by")) & (F.col("key") == F.col("_key")), "left")
     own = own.groupBy("symbol", "_by").agg(F.count("_again").alias("_again")).where("_again = 0").select("symbol", F.col("_by").alias("by"))
-    keyed = named.withColumn("_keys", F.count("*").over(Window.partitionBy("symbol")))
-    met = lambda which: asked.join(keyed.where(which), "key").select("symbol", "by")
+    keyed = kept(named.withColumn("_keys", F.count("*").over(Window.partitionBy("symbol"))))
+    sizes = asked.groupBy("key").agg(F.count("*").alias("_l")).join(keyed.groupBy("key").agg(F.count("*").alias("_r")), "key")
+    rows = sizes.agg(F.sum(F.col("_l") * F.col("_r"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-rows // MET))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda of, n: F.pmod(F.xxhash64(of), blocks(n)).cast("int").alias(f"_at{n}")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1)).alias(f"_at{n}")
+    at = ["key", "_at_l", "_at_r"]
+    left = asked.join(sizes, "key").select("by", "key", block("by", "_l"), each("_r")).repartition(tasks, *at)
+    right = keyed.join(sizes, "key").select("symbol", "_keys", "key", each("_l"), block("symbol", "_r")).repartition(tasks, *at)
+    met = lambda which: left.join(right.where(which), at).select("symbol", "by")
     return own.union(met("_keys = 1")).union(met("_keys > 1").distinct())
 
 
