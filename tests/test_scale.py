@@ -1,5 +1,7 @@
 """What work grows with: rows that are multiplied are not made distinct, small tables are dealt over tasks."""
 
+from dataclasses import replace
+
 import pyarrow as pa
 import pytest
 import yaml
@@ -83,6 +85,25 @@ def test_matches_by_glob_equal_those_of_pairs(spark):
     assert rows(policy.matches_by_glob(files, policies, globs, hits)) == rows(plain) != []
 
 
+def test_matches_are_counted_without_a_row_for_each_policy(spark):
+    """Each match had a row for each decision that asks for it, only to be counted."""
+    files = spark.createDataFrame([(f"f{k % 11}", "rust" if k % 3 else "go", "a(); b(1);\na()" if k % 2 else "b(2)") for k in range(13)], "path string, language string, text string")
+    own = [(f"p{k}", f"d{k % 5}", "rust", "a()" if k % 2 else "b($X)", None) for k in range(20)]
+    policies = spark.createDataFrame([*own, ("p1", "d1", "rust", "b($X)", None), ("p4", "d4", "rust", "a()", None), (None, "d0", "rust", "a()", None), (None, "d0", "rust", "b($X)", None)], "id string, decision string, language string, pattern string, rule string")
+    globs = spark.createDataFrame([("d0", "g0"), ("d0", "g1"), ("d1", "g1"), ("d2", "g1"), ("d3", "none"), ("d4", "g1"), ("d4", "g0"), ("d4", "none")], "decision string, glob string")
+    hits = spark.createDataFrame([(g, f"f{k}") for g, n in (("g0", 8), ("g1", 12)) for k in range(n)], "glob string, path string")
+    by = policy.scanned_by_glob(files, policies, globs, hits)
+    for some in (by, replace(by, owners=by.owners.where("_globs = 1")), replace(by, owners=by.owners.where("_globs > 1")), replace(by, owners=by.owners.where("glob = 'none'"))):
+        assert policy.counted_by_glob(some).first()["n"] == policy.told_by_glob(some).count()
+    assert policy.counted_by_glob(by).first()["n"] > 0
+
+
+def test_a_check_is_counted_as_its_rows_are(spark, sf):
+    d = checks.derive(*validation._repository(spark, sf))
+    plain = checks.check(d, "docs/adr").groupBy("severity", "code").count()
+    assert sorted(map(tuple, checks.counts(d, "docs/adr").collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_blockers_need_no_symbols_links_or_policies(spark, sf, monkeypatch):
     noted, files_, symbols = validation._repository(spark, sf)
     whole = sorted(map(tuple, checks.blocking(checks.derive(noted, files_, symbols)).collect()))

@@ -69,6 +69,7 @@ class Derived:
     patterns: DataFrame
     matched: DataFrame
     effective: DataFrame
+    by_glob: policy.ByGlob
 
 
 @dataclass
@@ -129,10 +130,11 @@ def derive(notes: DataFrame, files: DataFrame, symbols: DataFrame) -> Derived:
     links = resolve.links(notes.select("path", F.explode("links").alias("l")).select("path", "l.link", "l.line"), order, paths, selectors, owned.select(F.col("pattern").alias("id")))
     registered = kept(partitions.registered(declared, effective))
     governing = asked.where("what = 'governs'").join(notes.select("path", F.col("id").alias("decision")), "path").join(registered.select("decision").distinct(), "decision", "left_semi")
-    matched = policy.violations(policy.matches_by_glob(files, registered, governing.select("decision", F.col("value").alias("glob")), hits))
+    scanned = policy.scanned_by_glob(files, registered, governing.select("decision", F.col("value").alias("glob")), hits)
+    matched = policy.violations(policy.told_by_glob(scanned))
     errors = policy.declaration_errors(declared.select("path", F.col("local").alias("id"), F.lit(None).cast("long").alias("line"), "language", "pattern", "rule"))
     own = decided.select("id", "path", "supersedes", "superseded_by")
-    return Derived(known, links, targets, own, errors, owned, matched, notes.join(effective, "id", "left_semi").where("kind = 'decision'").select("path"))
+    return Derived(known, links, targets, own, errors, owned, matched, notes.join(effective, "id", "left_semi").where("kind = 'decision'").select("path"), scanned)
 
 
 def check(d: Derived, decision_dir: str, changed: DataFrame | None = None) -> DataFrame:
@@ -141,6 +143,17 @@ def check(d: Derived, decision_dir: str, changed: DataFrame | None = None) -> Da
     return own if changed is not None else rules.in_order(own.union(rules.duplicate_pattern_rules(d.patterns)))
 
 
+def counts(d: Derived, decision_dir: str) -> DataFrame:
+    """V14. (severity, code, n): how many diagnostics of each code check() gives.
+
+    What policies find is counted and not made: a match has a diagnostic for each policy that asks for it, so these grow
+    with the product of decisions and files.
+    """
+    rest = rules.gathered(d.notes, d.links, d.targets, d.decisions, d.declared, d.matched.where(F.lit(False)), decision_dir).union(rules.duplicate_pattern_rules(d.patterns))
+    found = policy.counted_by_glob(d.by_glob).where("n > 0").select(F.lit("error").alias("severity"), F.lit(policy.VIOLATION).alias("code"), "n")
+    return rest.groupBy("severity", "code").agg(F.count("*").alias("n")).union(found).groupBy("severity", "code").agg(F.sum("n").alias("n"))
+
+
 def blocking(d: Derived) -> DataFrame:
     """V13. What keeps a state from being published: globs of effective decisions that govern nothing or cannot be read."""
     return _unfit(d.targets, d.effective)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from ..functions.text import denies, glob_prefix, glob_regex, per_value
 from .recursion import cut
 from .resolve import partial_paths
 
+# Fixed value: the code of a match's diagnostic.
+VIOLATION = "policy-violation"
 #: Characters of patterns that a task holds at once; more patterns are taken in several passes.
 PATTERN_CHARS = 4 << 20
 #: Pairs of globs and paths that one task should meet under one gram.
@@ -163,7 +166,7 @@ def scanned(files: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A file is read, and its tokens told, once for all its policies.
     """
-    asked = pairs.groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
+    asked = spread(pairs, "path", "language").groupBy("path", "language").agg(F.array_sort(F.collect_set(F.struct("id", "decision", "pattern", "rule"))).alias("asked"))  # as many as there are policies
     files = spread(files.select("path", "language", "text"), "path", "language")
     return files.join(asked, ["path", "language"]).select("path", "language", "text", "asked").mapInArrow(_matches, MATCHES)
 
@@ -180,12 +183,23 @@ def matches(files: DataFrame, policies: DataFrame, scope: DataFrame, changed: Da
     return scanned(files, asked.join(policies.select("decision", "id", "language", "pattern", "rule"), "decision"))
 
 
-def matches_by_glob(files: DataFrame, policies: DataFrame, globs: DataFrame, hits: DataFrame) -> DataFrame:
-    """matches() where decisions govern by globs (decision, glob) and these select files (glob, path).
+@dataclass
+class ByGlob:
+    """Matches of patterns in the files that globs select, before they are told of the policies that declare them.
+
+    found: body, path, line, range, text, captures; hits: glob, path; owners: glob, body, decision, id, _globs (how many its decision has).
+    """
+
+    found: DataFrame
+    hits: DataFrame
+    owners: DataFrame
 
-    A pattern or rule that many decisions declare is matched once in a file that any of them governs, and each of its
-    matches is told of all of them behind that: pairs of decisions and files, which grow with the product of both, are neither
-    shuffled nor scanned. Only decisions of several globs, which may select a file twice, are made distinct.
+
+def scanned_by_glob(files: DataFrame, policies: DataFrame, globs: DataFrame, hits: DataFrame) -> ByGlob:
+    """Matches of policies (id, decision, language, pattern, rule) where decisions govern by globs (decision, glob) and these select files (glob, path).
+
+    A pattern or rule that many decisions declare is matched once in a file that any of them governs: pairs of decisions
+    and files, which grow with the product of both, are neither shuffled nor scanned.
     """
     body = ["language", "pattern", "rule"]
     named = policies.select("decision", "id", *body).distinct()
@@ -197,12 +211,40 @@ def matches_by_glob(files: DataFrame, policies: DataFrame, globs: DataFrame, hit
     owners = cut(owners.select("glob", "body", "decision", "id", "language", "pattern", "rule", "_globs"))
     asked = hits.join(owners.select("glob", "body", *body).distinct(), "glob").select("path", "language", F.col("body").alias("id"), F.lit(None).cast("string").alias("decision"), "pattern", "rule")
     found = cut(scanned(files, asked).withColumnRenamed("id", "body").drop("decision"))
-    told = found.join(hits, "path").join(owners.select("glob", "body", "decision", "id", "_globs"), ["glob", "body"])
+    return ByGlob(found, hits, owners.select("glob", "body", "decision", "id", "_globs"))
+
+
+def told_by_glob(by: ByGlob) -> DataFrame:
+    """matches() of them: each match is told of all policies that declare its pattern. Only decisions of several globs, which may select a file twice, are made distinct."""
+    told = by.found.join(by.hits, "path").join(by.owners, ["glob", "body"])
     rows = lambda which: told.where(which).select("id", "decision", "path", "line", "range", "text", "captures")
     place = ["id", "decision", "path", "line", "range"]
     return rows("_globs = 1").union(rows("_globs > 1").dropDuplicates(place))
 
 
+def counted_by_glob(by: ByGlob) -> DataFrame:
+    """One row, n: how many rows told_by_glob() has, without making them.
+
+    Matches are counted by glob and pattern and multiplied by the policies that ask for both. Policies of several globs
+    are counted by what they ask for, all their globs and patterns; those that ask for the same have the same distinct matches.
+    """
+    zero = F.lit(0).cast("long")
+    asked = by.owners.where("_globs = 1").groupBy("glob", "body").agg(F.count("*").alias("policies"))
+    each = by.found.select("path", "body").groupBy("path", "body").agg(F.count("*").alias("rows")).join(by.hits, "path").groupBy("glob", "body").agg(F.sum("rows").alias("rows"))
+    one = each.join(asked, ["glob", "body"]).agg(F.sum(F.col("policies") * F.col("rows")).alias("n"))
+    wide = by.owners.where("_globs > 1").groupBy("decision", "id").agg(F.array_sort(F.collect_set(F.struct("glob", "body"))).alias("asked"))  # as many as a policy's decision has globs
+    wide = wide.groupBy("asked").agg(F.count("*").alias("policies")).withColumn("which", F.sha2(F.to_json("asked"), 256))
+    place = wide.select("which", "policies", F.explode("asked").alias("x")).select("which", "policies", "x.glob", "x.body")
+    place = place.join(by.hits, "glob").join(by.found.select("path", "body", "line", "range").distinct(), ["path", "body"]).select("which", "policies", "path", "line", "range").distinct()
+    several = place.groupBy("which", "policies").agg(F.count("*").alias("rows")).agg(F.sum(F.col("policies") * F.col("rows")).alias("n"))
+    return one.union(several).agg(F.coalesce(F.sum("n"), zero).alias("n"))
+
+
+def matches_by_glob(files: DataFrame, policies: DataFrame, globs: DataFrame, hits: DataFrame) -> DataFrame:
+    """matches() where decisions govern by globs (decision, glob) and these select files (glob, path), by way of scanned_by_glob()."""
+    return told_by_glob(scanned_by_glob(files, policies, globs, hits))
+
+
 def in_match_order(found: DataFrame) -> DataFrame:
     """O5, O6. Match rows by path, line, range and text, and by captures where these tie."""
     return found.orderBy("path", "line", "range", "text", F.to_json(F.array_sort(F.map_entries("captures"))))
@@ -211,7 +253,7 @@ def in_match_order(found: DataFrame) -> DataFrame:
 def violations(found: DataFrame) -> DataFrame:
     """V9. A diagnostic for each match row."""
     message = F.concat("decision", F.lit(" policy `"), "id", F.lit("` matched `"), "text", F.lit("`"))
-    return found.select(F.lit("error").alias("severity"), F.lit("policy-violation").alias("code"), "path", "line", message.alias("message"))
+    return found.select(F.lit("error").alias("severity"), F.lit(VIOLATION).alias("code"), "path", "line", message.alias("message"))
 
 
 def declaration_errors(patterns: DataFrame) -> DataFrame:
