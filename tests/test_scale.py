@@ -1,5 +1,6 @@
 """What work grows with: rows that are multiplied are not made distinct, small tables are dealt over tasks."""
 
+from collections import Counter
 from dataclasses import replace
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from tracery.functions import text
-from tracery.operators import checks, graph, hashing, hashtree, policy, renames, scopes, sets
+from tracery.operators import checks, graph, hashing, hashtree, policy, recursion, renames, scopes, sets
 from tracery.plans import queries, validation
 from tracery.sources import elixir, notes, snapshots
 
@@ -131,6 +132,43 @@ def test_files_alike_take_no_round_each(spark, monkeypatch):
     assert few == 2 < len(tables) - few
 
 
+def test_groups_of_files_alike_take_few_rounds(spark, monkeypatch):
+    """Pairs beyond REST took a round for each pair of a group of like files."""
+    rows = [(f"l{g}{a:02}", f"r{g}{b:02}", 90 if (a + b) % 7 else 95, a == b) for g in range(3) for a in range(20) for b in range(15 + g)]
+    rows += [("l120", "r000", 60, False), ("x", "l000", 70, False), ("l000", "r-", 99, True)]
+    pairs = spark.createDataFrame(rows, "left string, right string, percent int, equal boolean")
+    side = lambda k, m: spark.createDataFrame([(f, i % m + 1) for i, f in enumerate(sorted({r[k] for r in rows}))], "file string, n long")
+    left, right = side(0, 3), side(1, 2)
+    told = lambda: sorted(map(tuple, renames.one_to_one(pairs, left, right).select("left", "right", "l_from", "r_from", "n", "percent").collect()))
+    fast, tables = told(), []
+    monkeypatch.setattr(renames, "REST", 0)
+    monkeypatch.setattr(renames, "kept", lambda f, own=renames.kept: tables.append(1) or own(f))
+    assert told() == fast
+    assert len(tables) <= 8
+
+
+def test_components_of_edges(spark):
+    edges = [(1, 2), (2, 1), (3, 2), (9, 9), *[(k, k + 1) for k in range(20, 60)], *[(100, k) for k in range(101, 120)], (150, 119)]
+    found = recursion.components(spark.createDataFrame(edges, "src long, dst long"))
+    want = [(k, 1) for k in (1, 2, 3)] + [(k, 20) for k in range(20, 61)] + [(k, 100) for k in (*range(100, 120), 150)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert recursion.components(spark.createDataFrame([(9, 9)], "src long, dst long")).count() == 0
+
+
+def test_pieces_of_one_side_are_only_counted(spark):
+    """A file with half of its bytes in pieces that the other side lacks is like none of it; such pieces were looked up and ranked."""
+    left = spark.createDataFrame([("a", "x\ny\nz\n"), ("b", "x\nx\nq1\n"), ("c", "only here\n"), ("d", "x\n" + "gone " * 9)], "file string, text string")
+    right = spark.createDataFrame([("A", "x\ny\nw\n"), ("B", "x\nx\nx\n"), ("C", "z\n"), ("D", "x\n")], "file string, text string")
+    pieces = lambda t: [p + "\n" for p in t.split("\n")[:-1]] + [x for x in [t.split("\n")[-1]] if x]
+    want = []
+    for f, t in map(tuple, left.collect()):
+        for g, u in map(tuple, right.collect()):
+            n = sum((Counter(pieces(t)) & Counter(pieces(u)))[p] * len(p) for p in set(pieces(t)))
+            if n * 2 >= max(len(t), len(u)):
+                want.append((f, g, n * 100 // max(len(t), len(u))))
+    assert sorted(map(tuple, renames.shared_bytes(left, right).collect())) == sorted(want) != []
+
+
 def _counted(spark, df, column):
     """(df, accumulator): how many of its rows were evaluated."""
     told = spark.sparkContext.accumulator(0)

@@ -101,6 +101,24 @@ def historical(decisions: DataFrame, supersedes: DataFrame) -> DataFrame:
     return accepted.join(reachable(accepted, supersedes), "id", "left_semi")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of ids that edges (src, dst) join, whatever their direction; a component is named by its smallest id.
+
+    Each round every id hooks to its smallest neighbour, pointers jump once and edges are drawn together, so rounds grow with
+    the logarithm of the longest chain. Ids that only loops have are in no component.
+    """
+    live, whole = kept(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()), None
+    while live.limit(1).count():
+        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        jump = kept(hook.join(hook.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")))
+        step = jump.select("id", F.col("to").alias("component"))
+        whole = step if whole is None else kept(whole.join(jump.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        a, b = jump.select(F.col("id").alias("a"), F.col("to").alias("_a")), jump.select(F.col("id").alias("b"), F.col("to").alias("_b"))
+        live = kept(live.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct())
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0) if whole is None else whole
+
+
 def chain_ends(edges: DataFrame) -> DataFrame:
     """(start, end, steps) of chains of edges (src, dst) that do not branch, from every start, by pointer doubling.
 
