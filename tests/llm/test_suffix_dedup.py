@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +97,33 @@ def test_repeat_groups(texts, least):
             want[sub] = sorted(at)
     assert {k: v for k, v in found.items() if k in want} == want
     assert all(joined[k] == v for k, v in found.items())
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 2) | st.just(100_000), max_size=40), st.integers(1, 20), st.integers(1, 12))
+def test_suffix_array(symbols, top, least):
+    """Any text, also one that ends in a repeat; prefixes below least may be told as 0."""
+    sa, lcp = suffix_dedup.suffix_array(np.array(symbols, np.int64), top, least)
+    assert sorted(sa.tolist()) == list(range(len(symbols)))
+    cut = [symbols[i : i + top] for i in sa.tolist()]
+    assert cut == sorted(cut)
+    shared = [0, *(next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(cut, cut[1:], strict=False))][: len(cut)]
+    assert all(have == want or (want < least and not have) for have, want in zip(lcp.tolist(), shared, strict=True))
+
+
+def test_repeats_are_not_dealt_bundle_by_bundle(monkeypatch):
+    """Each bundle gave a row for each part of documents, as many as both multiplied."""
+    monkeypatch.setattr(suffix_dedup, "BUNDLE", 1)
+    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(60)).encode()
+    rows = [(anchor, doc, doc, 0, bytes([65 + anchor]) + text, None) for anchor in range(20) for doc in range(8)]
+    kinds = (*[pa.int64()] * 4, pa.binary(), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "row", "place", "content", "part"])
+    out = [x for b in suffix_dedup._repeats(iter([batch]), 50, 4) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(out) <= 4
+    assert sum(len(suffix_dedup._unpack(blob, **suffix_dedup.SPAN)["doc"]) for _, _, blob in out) >= 20 * 7
+
+
+def test_no_larger_share_of_a_larger_table_is_dealt_string_by_string():
+    """Anchors of a table twelve times as large have twelve times as many stretches; the bound was the same."""
+    assert suffix_dedup.hot_from(10) == suffix_dedup.HOT < suffix_dedup.hot_from(200) < suffix_dedup.hot_from(400) <= suffix_dedup.HOT_MOST
+    assert suffix_dedup.hot_from(1 << 20) == suffix_dedup.HOT_MOST

@@ -37,8 +37,12 @@ CHUNK = 1 << 18
 SLICE = 12 << 20
 #: Bytes of fetched stretches in one suffix array; those of one anchor stay together.
 BUNDLE = 1 << 18
-#: Different stretches of one anchor that meet in one task; those of a more frequent anchor meet string by string.
-HOT, IS_HOT = 2048, 128
+#: Repeats that a task gathers before it deals them to the parts of their documents.
+FOUND = 1 << 20
+#: Different stretches of one anchor that meet in one task; those of a more frequent anchor meet string by string, as many rows as it has strings.
+#: At least HOT, and HOT_SHARE for each part, so that no larger share of a larger table is dealt so; at most HOT_MOST, which a task can hold.
+HOT, HOT_SHARE, HOT_MOST = 2048, 40, 16384
+IS_HOT = 128
 DOC = np.dtype([("doc", "<i8"), ("row", "<u8"), ("n", "<u4")])
 
 
@@ -266,35 +270,60 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary(), pa.int32()), strict=True)], ["anchor", "doc", "row", "place", "content", "part"])
 
 
-def suffix_array(text: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix with the suffix before, at most `top`) by prefix doubling; text holds values from 0 up."""
+def suffix_array(text: np.ndarray, top: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix with the suffix before, at most `top`) by prefix doubling; text holds values from 0 up.
+
+    The first order is by as many symbols as one number holds. A suffix's rank is the place of the first one that shares its
+    prefix so far, so each round sorts only those that others still share theirs with. Prefixes below `least` may be told as 0.
+    """
     n = len(text)
-    ranks = [text.astype(np.int64) + 1]
-    have = 1
-    while True:
-        rank = ranks[-1]
-        next_ = np.zeros(n, np.int64)
-        next_[: max(0, n - have)] = rank[have:]
-        key = rank * (int(rank.max(initial=0)) + 2) + next_
-        sa = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[sa][1:] != key[sa][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[sa] = new + 1
-        ranks.append(rank)
+    symbol = text.astype(np.int64) + 1
+    bits = int(symbol.max(initial=1)).bit_length()
+    ranks, have, key = [symbol], 1, symbol
+    while 2 * have * bits <= 62 and have < top:
+        key = key << (have * bits)
+        key[: max(0, n - have)] |= ranks[-1][have:]
+        ranks.append(key)
         have *= 2
-        if have >= top or (n and new[-1] == n - 1):
+    sa = np.argsort(key)
+    place, new = np.arange(n), np.ones(n, bool)
+    new[1:] = key[sa][1:] != key[sa][:-1]
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, place, 0)) if n else place
+    ranks[-1] = rank
+    while have < top:
+        shared = ~(new & np.concatenate([new[1:], [True]])) if n else new
+        at = np.flatnonzero(shared)
+        if not len(at):
             break
+        own = sa[at]
+        next_ = np.zeros(len(at), np.int64)
+        inside = own + have < n
+        next_[inside] = rank[own[inside] + have] + 1
+        key = rank[own] * (n + 1) + next_
+        order = np.argsort(key)
+        own, key = own[order], key[order]
+        sa[at] = own
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        new[at] = first
+        rank = rank.copy()
+        rank[own] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        ranks.append(rank)
+        have *= 2
     lcp = np.zeros(n, np.int64)
-    a, b = sa[1:].copy(), sa[:-1].copy()
+    low = min(max(least, 1).bit_length() - 1, len(ranks) - 1)
+    pairs = np.flatnonzero(ranks[low][sa[1:]] == ranks[low][sa[:-1]]) if low and 1 << low <= least else np.arange(max(0, n - 1))
+    a, b = sa[1:][pairs], sa[:-1][pairs]
+    long = np.zeros(len(pairs), np.int64)
     for k in range(len(ranks) - 1, -1, -1):
         step = 1 << k
         ok = (a + step <= n) & (b + step <= n)
         same = ok.copy()
         same[ok] = ranks[k][a[ok]] == ranks[k][b[ok]]
-        lcp[1:] += step * same
+        long += step * same
         a, b = np.where(same, a + step, a), np.where(same, b + step, b)
-        a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
-    return sa, np.minimum(lcp, top)
+    lcp[pairs + 1] = np.minimum(long, top)
+    return sa, lcp
 
 
 def repeat_groups(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -331,25 +360,40 @@ def repeat_groups(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Repeats among fetched stretches (kind 1), and those that are known. Rows come by anchor, and whole anchors are taken together."""
+    """Repeats among fetched stretches (kind 1), and those that are known. Rows come by anchor, and whole anchors are taken together.
+
+    Repeats are dealt to the parts of their documents once there are FOUND of them: a row for each bundle and part
+    would be as many as both multiplied.
+    """
     held: list[tuple] = []
+    found: list[tuple] = []
     size, last = 0, None
+
+    def dealt() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        found.clear()
+        doc, row, place, many = columns or [np.zeros(0, np.uint64)] * 4
+        return _row_batch(_rows(1, row >> np.uint64(1), parts, doc, row, place=place.astype("<u4"), many=many.astype("<u4")))
+
     for batch in batches:
         known = batch.filter(batch.column(5).is_valid())
         yield _row_batch([(1, to, b) for to, b in zip(known.column(5).to_pylist(), known.column(4).to_pylist(), strict=True)])
         batch = batch.filter(batch.column(5).is_null())
         for anchor, *r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if anchor != last and size >= BUNDLE:
-                yield _row_batch(_bundle(held, length, parts))
+                found += _bundle(held, length)
                 held, size = [], 0
+                if sum(len(f[0]) for f in found) >= FOUND:
+                    yield dealt()
             held.append(r)
             size, last = size + len(r[3]), anchor
     if held:
-        yield _row_batch(_bundle(held, length, parts))
+        found += _bundle(held, length)
+    yield dealt()
 
 
-def _bundle(rows: list, length: int, parts: int) -> list[tuple[int, int, bytes]]:
-    """Repeats among rows (document, row, place, content), by one suffix array."""
+def _bundle(rows: list, length: int) -> list[tuple[np.ndarray, ...]]:
+    """Repeats (document, row, place, strings) among rows (document, row, place, content), by one suffix array."""
     doc = np.array([r[0] for r in rows], np.int64)
     row = np.array([r[1] for r in rows], np.int64).view(np.uint64)
     place = np.array([r[2] for r in rows], np.int64)
@@ -362,7 +406,7 @@ def _bundle(rows: list, length: int, parts: int) -> list[tuple[int, int, bytes]]
     text[inside] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     text[~inside] = 256 + np.arange(len(rows))
     owner = np.repeat(np.arange(len(rows)), size + 1)
-    sa, lcp = suffix_array(text, 2 * length)
+    sa, lcp = suffix_array(text, 2 * length, length)
     left = np.concatenate([[-1], np.where(inside[:-1], text[:-1], -1)])
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for prefix, lo, hi in repeat_groups(sa, lcp, left, length):
@@ -375,7 +419,7 @@ def _bundle(rows: list, length: int, parts: int) -> list[tuple[int, int, bytes]]
     who = np.concatenate([x[0] for x in out])
     begin = place[who] + np.concatenate([x[1] for x in out])
     many = np.repeat([x[2] - length + 1 for x in out], [len(x[0]) for x in out])
-    return _rows(1, row[who] >> np.uint64(1), parts, doc[who], row[who], place=begin.astype("<u4"), many=many.astype("<u4"))
+    return [(doc[who], row[who], begin, many)]
 
 
 def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -416,7 +460,12 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()), strict=True)], names)
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot: int = HOT) -> DataFrame:
+def hot_from(parts: int) -> int:
+    """Different stretches above which an anchor's strings meet one by one, in a table of so many parts."""
+    return min(HOT_MOST, max(HOT, HOT_SHARE * parts))
+
+
+def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     docs has doc_id and text; other columns are ignored. Each byte is removed that lies in a string of
@@ -429,6 +478,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, h
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text, "doc_id").alias("row"), text.alias("text"))  # copies of a text have rows of their own
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, min(1 << 20, size // part_bytes)))
+    hot = hot_from(parts) if hot is None else hot
     blobs = "kind int, part int, blob binary"
     cut = run_arrow(own.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)), _cut, blobs, length=length, parts=parts)
     met, _ = stored(run_arrow(cut.repartition(parts, "part"), _meet, blobs, parts=parts, hot=hot), "met")
